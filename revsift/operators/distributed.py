@@ -83,3 +83,19 @@ def top_k_per_group(df: DataFrame, partition_cols: list, order_cols: list, k: in
                     rank_col: str = "rank") -> DataFrame:
     ranked = df.withColumn(rank_col, rank_within(partition_cols, order_cols))
     return ranked.filter(F.col(rank_col) <= k)
+
+
+def spread(df: DataFrame, keys: list | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (tokenising, hashing, substring search)
+    enough tasks. Small or unsplittable input files arrive as fewer
+    partitions than the session can run at once; only then the rows are
+    redistributed, hashed by ``keys`` so that later aggregations keyed by a
+    superset of them reuse the partitioning. At cluster scale the scan
+    already has thousands of splits and this is a no-op (one planning step,
+    no job)."""
+    spark = df.sparkSession
+    target = min_partitions or max(spark.sparkContext.defaultParallelism,
+                                   int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

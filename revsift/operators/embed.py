@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import token_bucket, token_sign
 from ..functions.text import tokens
+from .distributed import spread
 
 DEFAULT_DIM = 64
 
 
-def hashed_tokens(df: DataFrame, id_cols: list, text_col: str, dim: int = DEFAULT_DIM,
-                  token_array: Column | None = None) -> DataFrame:
-    """(ids..., bucket, sign) per token occurrence."""
-    toks = token_array if token_array is not None else tokens(text_col)
-    exploded = df.select(*id_cols, F.explode(toks).alias("_tok"))
+def hashed_tokens(df: DataFrame, id_cols: list, text_col: str, dim: int = DEFAULT_DIM) -> DataFrame:
+    """(ids..., bucket, sign) per token occurrence. The raw text is spread
+    over enough tasks before tokenising (a no-op on well-split input)."""
+    src = spread(df.select(*id_cols, F.col(text_col).alias("_text")), list(id_cols))
+    exploded = src.select(*id_cols, F.explode(tokens("_text")).alias("_tok"))
     return exploded.select(*id_cols, token_bucket(F.col("_tok"), dim).alias("bucket"),
                            token_sign(F.col("_tok")).alias("sign"))
 

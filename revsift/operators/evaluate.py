@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distributed import is_small
+import pandas as pd
+
+from .distributed import is_small, spread
 
 METRICS = ("hit_rate", "mrr", "precision", "recall", "ap", "ndcg")
 DIGITS = 6
@@ -32,25 +34,73 @@ def ideal_dcg(n: Column) -> Column:
 
 
 # E1 -----------------------------------------------------------------------------
+def _containment_matcher(b_patterns):
+    """mapInPandas body: one Aho-Corasick pass per document finds every
+    broadcast passage it contains (Aho & Corasick 1975), so the cost is
+    linear in the text, not in passages x text."""
+
+    def run(batches):
+        import ahocorasick
+        texts, owners = b_patterns.value
+        auto = ahocorasick.Automaton()
+        for i, t in enumerate(texts):
+            auto.add_word(t, i)
+        auto.make_automaton()
+        for pdf in batches:
+            out_q, out_d = [], []
+            for doc, text in zip(pdf["doc"].tolist(), pdf["_t"].tolist()):
+                if not text:
+                    continue
+                hits = {i for _, i in auto.iter(text)}
+                for i in hits:
+                    for q in owners[i]:
+                        out_q.append(q)
+                        out_d.append(doc)
+            yield pd.DataFrame({"q": pd.Series(out_q, dtype="int64"), "doc": pd.Series(out_d, dtype="int64")})
+
+    return run
+
+
+def _has_ahocorasick() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+        return True
+    except ImportError:
+        return False
+
+
 def passage_qrels(queries: DataFrame, docs: DataFrame, q_col: str = "item_id", q_text: str = "text",
                   doc_id_col: str = "doc_id", doc_text: str = "text",
-                  max_broadcast_rows: int = 20_000) -> DataFrame:
+                  max_broadcast_rows: int = 100_000, use_automaton: bool | None = None) -> DataFrame:
     """(q, doc) pairs where the document text contains the query passage.
 
     The passage list is size-checked and broadcast; documents stream past it
-    (one pass over the corpus). Above the bound the passages are processed
-    in hash blocks of that size, one corpus pass per block."""
-    q = queries.select(F.col(q_col).alias("q"), F.col(q_text).alias("_p")).filter(
+    in one pass. With pyahocorasick, each task builds one automaton over all
+    passages and scans each document once; without it, a broadcast
+    nested-loop join tests ``instr`` per pair. Above the size bound the
+    passages are processed in hash blocks of that size."""
+    q = queries.select(F.col(q_col).cast("long").alias("q"), F.col(q_text).alias("_p")).filter(
         F.length("_p") > 0)
-    d = docs.select(F.col(doc_id_col).alias("doc"), F.col(doc_text).alias("_t"))
+    d = spread(docs.select(F.col(doc_id_col).cast("long").alias("doc"), F.col(doc_text).alias("_t")))
     if is_small(q, max_broadcast_rows):
         blocks = [q]
     else:
         n_blocks = -(-q.count() // max_broadcast_rows) * 2
         blocks = [q.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
+    auto = _has_ahocorasick() if use_automaton is None else use_automaton
+    spark = docs.sparkSession
     out = None
     for blk in blocks:
-        part = d.join(F.broadcast(blk), F.instr(F.col("_t"), F.col("_p")) > 0).select("q", "doc")
+        if auto:
+            rows = blk.collect()  # size-checked: at most max_broadcast_rows passages
+            owners: dict = {}
+            for r in rows:
+                owners.setdefault(r["_p"], []).append(r["q"])
+            texts = list(owners)
+            bp = spark.sparkContext.broadcast((texts, [owners[t] for t in texts]))
+            part = d.mapInPandas(_containment_matcher(bp), "q long, doc long")
+        else:
+            part = d.join(F.broadcast(blk), F.instr(F.col("_t"), F.col("_p")) > 0).select("q", "doc")
         out = part if out is None else out.unionByName(part)
     return out
 

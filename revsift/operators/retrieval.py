@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import analysed_tokens, keyword_text, tokens
-from .distributed import DEFAULT_BROADCAST_ROWS, bounded_count, is_small, salted, top_k_per_group
+from .distributed import DEFAULT_BROADCAST_ROWS, bounded_count, is_small, salted, spread, top_k_per_group
 from .embed import DEFAULT_DIM, hash_embed
 
 # --- fixed values (published defaults) ----------------------------------------
@@ -49,18 +49,28 @@ def ranked_top_k(df: DataFrame, q_cols: list, score_col: str, id_col: str, k: in
 # ------------------------------------------------------------------------------
 # BM25 (R8, J10, A9)
 # ------------------------------------------------------------------------------
-def bm25_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, term, tf, dl): one row per distinct analysed term of a document.
-    The explode is combined inside each map task (a document never spans two
-    partitions), so only distinct (doc, term) rows are shuffled."""
-    toks = docs.select(F.col(id_col).alias("doc"), analysed_tokens(text_col).alias("_t"))
+def bm25_doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, _t): analysed tokens per document, tokenised after ``spread``."""
+    d = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")), ["doc"])
+    return d.select("doc", analysed_tokens("_text").alias("_t"))
+
+
+def bm25_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  doc_tokens: DataFrame | None = None) -> DataFrame:
+    """(doc, dl, term, tf): one row per distinct analysed term of a document.
+    A document never spans two partitions, so the map-side partial
+    aggregation is already exact and only distinct (doc, term) rows are
+    shuffled (none at all when ``spread`` hash-partitioned by doc)."""
+    toks = doc_tokens if doc_tokens is not None else bm25_doc_tokens(docs, id_col, text_col)
     ex = toks.select("doc", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     return ex.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def bm25_corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      doc_tokens: DataFrame | None = None) -> DataFrame:
     """One row: N documents and the average analysed length."""
-    return docs.select(F.size(analysed_tokens(text_col)).alias("dl")).agg(
+    toks = doc_tokens if doc_tokens is not None else bm25_doc_tokens(docs, id_col, text_col)
+    return toks.select(F.size("_t").alias("dl")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
@@ -89,8 +99,9 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col:
     so a term found in a third of the corpus is split over
     ``salt_buckets`` tasks."""
     qt = query_terms(queries, q_col, text_col)
-    postings = bm25_postings(docs, id_col, doc_text_col)
-    stats = bm25_corpus_stats(docs, doc_text_col)
+    dtok = bm25_doc_tokens(docs, id_col, doc_text_col)
+    postings = bm25_postings(docs, doc_tokens=dtok)
+    stats = bm25_corpus_stats(docs, doc_tokens=dtok)
     small = is_small(qt, max_broadcast_rows)
     if small:
         qterms = F.broadcast(qt.select("term").distinct())
