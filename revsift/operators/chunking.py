@@ -27,7 +27,9 @@ BUFFER = 1
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n, i, s): sentences numbered from 0; n = sentences in the doc."""
     d = docs.select(F.col(id_col).alias("doc"), sentences(text_col).alias("_s"))
-    return d.select("doc", F.size("_s").alias("n"), F.posexplode("_s").alias("i", "s"))
+    # posexplode_outer: no inferred non-empty filter is pushed below a repartition
+    ex = d.select("doc", F.size("_s").alias("n"), F.posexplode_outer("_s").alias("i", "s"))
+    return ex.filter(F.col("i").isNotNull())
 
 
 def sentence_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -59,7 +61,7 @@ def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).repartition(n_parts, "doc")
     S = sentence_rows(base, "doc", "_text")
-    tok = S.select("doc", "n", "i", F.explode(tokens("s")).alias("_tok"))
+    tok = S.select("doc", "n", "i", F.explode_outer(tokens("s")).alias("_tok")).filter(F.col("_tok").isNotNull())
     sv = (tok.select("doc", "n", "i", token_bucket(F.col("_tok"), dim).alias("bucket"),
                      token_sign(F.col("_tok")).alias("sign"))
              .groupBy("doc", "n", "i", "bucket").agg(F.sum("sign").alias("c")))

@@ -99,3 +99,25 @@ def spread(df: DataFrame, keys: list | None = None, min_partitions: int | None =
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once so several branches of a plan read it instead
+    of recomputing it, and a lost executor does not replay the whole
+    lineage. Uses a reliable ``checkpoint()`` into the session's checkpoint
+    folder (``spark.checkpoint.dir`` on a cluster). A local folder is set
+    only for a local master with no folder configured; on a cluster without
+    one the frame is persisted (memory and disk) instead."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if conf_dir:
+            sc.setCheckpointDir(conf_dir)
+        elif sc.master.startswith("local"):
+            from ..session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(spark)
+        else:
+            from pyspark import StorageLevel
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.checkpoint(eager=True)

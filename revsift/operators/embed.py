@@ -32,7 +32,8 @@ def hashed_tokens(df: DataFrame, id_cols: list, text_col: str, dim: int = DEFAUL
     """(ids..., bucket, sign) per token occurrence. The raw text is spread
     over enough tasks before tokenising (a no-op on well-split input)."""
     src = spread(df.select(*id_cols, F.col(text_col).alias("_text")), list(id_cols))
-    exploded = src.select(*id_cols, F.explode(tokens("_text")).alias("_tok"))
+    exploded = (src.select(*id_cols, F.explode_outer(tokens("_text")).alias("_tok"))
+                   .filter(F.col("_tok").isNotNull()))
     return exploded.select(*id_cols, token_bucket(F.col("_tok"), dim).alias("bucket"),
                            token_sign(F.col("_tok")).alias("sign"))
 

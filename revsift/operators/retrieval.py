@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import analysed_tokens, keyword_text, tokens
-from .distributed import DEFAULT_BROADCAST_ROWS, bounded_count, is_small, salted, spread, top_k_per_group
+from .distributed import (DEFAULT_BROADCAST_ROWS, bounded_count, cut_lineage, is_small, salted, spread,
+                          top_k_per_group)
 from .embed import DEFAULT_DIM, hash_embed
 
 # --- fixed values (published defaults) ----------------------------------------
@@ -57,28 +58,42 @@ def bm25_doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def bm25_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   doc_tokens: DataFrame | None = None) -> DataFrame:
-    """(doc, dl, term, tf): one row per distinct analysed term of a document.
+    """(doc, dl, term, tf, first): one row per distinct analysed term of a
+    document; a document without terms keeps one row with a NULL term, and
+    ``first`` marks exactly one row per document (for N and avgdl).
+
     A document never spans two partitions, so the map-side partial
     aggregation is already exact and only distinct (doc, term) rows are
-    shuffled (none at all when ``spread`` hash-partitioned by doc)."""
+    shuffled (none at all when ``spread`` hash-partitioned by doc).
+    ``explode_outer`` keeps Catalyst from inferring a non-empty filter and
+    pushing the tokeniser below the spread."""
     toks = doc_tokens if doc_tokens is not None else bm25_doc_tokens(docs, id_col, text_col)
-    ex = toks.select("doc", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return ex.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    ex = toks.select("doc", F.size("_t").alias("dl"), F.posexplode_outer("_t").alias("pos", "term"))
+    return ex.groupBy("doc", "dl", "term").agg(
+        F.count(F.lit(1)).alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("first"))
 
 
-def bm25_corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      doc_tokens: DataFrame | None = None) -> DataFrame:
+def bm25_corpus_stats(postings: DataFrame) -> DataFrame:
     """One row: N documents and the average analysed length."""
-    toks = doc_tokens if doc_tokens is not None else bm25_doc_tokens(docs, id_col, text_col)
-    return toks.select(F.size("_t").alias("dl")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return postings.filter(F.col("first")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
+def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               materialise: bool = True):
+    """(postings, stats): the corpus side of BM25, tokenised once. The
+    postings are checkpointed (``cut_lineage``) so the document-frequency,
+    corpus-statistics and scoring branches all read one copy."""
+    postings = bm25_postings(docs, id_col, text_col)
+    if materialise:
+        postings = cut_lineage(postings)
+    return postings, bm25_corpus_stats(postings)
 
 
 def term_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Document frequency per analysed term (partial+final aggregation, so
     a term present in every document costs one row per map task)."""
-    return bm25_postings(docs, id_col, text_col).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
+    p = bm25_postings(docs, id_col, text_col)
+    return p.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def query_terms(queries: DataFrame, q_col: str = "q", text_col: str = "text") -> DataFrame:
@@ -90,7 +105,7 @@ def query_terms(queries: DataFrame, q_col: str = "q", text_col: str = "text") ->
 def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col: str = "text",
                 id_col: str = "doc_id", doc_text_col: str = "text", k1: float = BM25_K1,
                 b: float = BM25_B, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                salt_buckets: int = 16) -> DataFrame:
+                salt_buckets: int = 16, index=None) -> DataFrame:
     """(q, doc, score) for every document sharing at least one term.
 
     The query-term table is bounded by the query batch, so it is checked
@@ -99,9 +114,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col:
     so a term found in a third of the corpus is split over
     ``salt_buckets`` tasks."""
     qt = query_terms(queries, q_col, text_col)
-    dtok = bm25_doc_tokens(docs, id_col, doc_text_col)
-    postings = bm25_postings(docs, doc_tokens=dtok)
-    stats = bm25_corpus_stats(docs, doc_tokens=dtok)
+    postings, stats = index if index is not None else bm25_index(docs, id_col, doc_text_col)
+    postings = postings.filter(F.col("term").isNotNull())
     small = is_small(qt, max_broadcast_rows)
     if small:
         qterms = F.broadcast(qt.select("term").distinct())
