@@ -93,6 +93,8 @@ def passage_qrels(queries: DataFrame, docs: DataFrame, q_col: str = "item_id", q
     for blk in blocks:
         if auto:
             rows = blk.collect()  # size-checked: at most max_broadcast_rows passages
+            if not rows:
+                continue
             owners: dict = {}
             for r in rows:
                 owners.setdefault(r["_p"], []).append(r["q"])
@@ -102,6 +104,8 @@ def passage_qrels(queries: DataFrame, docs: DataFrame, q_col: str = "item_id", q
         else:
             part = d.join(F.broadcast(blk), F.instr(F.col("_t"), F.col("_p")) > 0).select("q", "doc")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "q long, doc long")
     return out
 
 
