@@ -293,3 +293,31 @@ def attach_expected(errors: DataFrame, examples: DataFrame, query_col: str = "qu
     exp = last_by_key(examples, query_col, "expected", order)
     return (errors.join(exp, query_col, "left")
                   .withColumn("missing", F.col("expected").isNull()))
+
+
+# E9 --------------------------------------------------------------------------------
+def examples_from_pairs(pairs: DataFrame, query_col: str = "query", answer_col: str = "reference_answer",
+                        id_col: str | None = None, query_by: str = "human") -> DataFrame:
+    """Curated (question, answer) rows -> labelled examples with empty
+    reference contexts and a provenance tag."""
+    ex_id = F.col(id_col).cast("long") if id_col else F.xxhash64(F.col(query_col))
+    return pairs.select(ex_id.alias("example_id"), F.col(query_col).alias("query"),
+                        F.col(answer_col).alias("reference_answer"),
+                        F.array().cast("array<string>").alias("reference_contexts"),
+                        F.lit(query_by).alias("query_by"))
+
+
+# E10 -------------------------------------------------------------------------------
+def pair_similarity(pairs: DataFrame, left_col: str, right_col: str, key: str, embedder=None,
+                    dim: int = 64) -> DataFrame:
+    """(key, cos) of two texts per row under an embedder: the native hashing
+    embedder by default, or any ``Column -> ARRAY`` plug-in (pandas UDF)."""
+    from .embed import hash_embed
+    from .retrieval import cosine
+    if embedder is None:
+        a = hash_embed(pairs.select(key, F.col(left_col).alias("_a")), key, "_a", dim, "_va")
+        b = hash_embed(pairs.select(key, F.col(right_col).alias("_b")), key, "_b", dim, "_vb")
+        j = pairs.select(key).join(a, key, "left").join(b, key, "left")
+    else:
+        j = pairs.select(key, embedder(F.col(left_col)).alias("_va"), embedder(F.col(right_col)).alias("_vb"))
+    return j.select(key, F.round(F.coalesce(cosine(F.col("_va"), F.col("_vb")), F.lit(0.0)), 6).alias("cos"))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import analysed_tokens, keyword_text, tokens
-from .distributed import (DEFAULT_BROADCAST_ROWS, bounded_count, cut_lineage, is_small, salted, spread,
-                          top_k_per_group)
+from .distributed import (DEFAULT_BROADCAST_ROWS, bounded_count, broadcast_if_small, cut_lineage, is_small, salted,
+                          spread, top_k_per_group)
 from .embed import DEFAULT_DIM, hash_embed
 
 # --- fixed values (published defaults) ----------------------------------------
@@ -78,12 +78,27 @@ def bm25_corpus_stats(postings: DataFrame) -> DataFrame:
     return postings.filter(F.col("first")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def stem_postings(postings: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Re-key postings by stem: tf summed over the words sharing a stem.
+    ``vocab`` (term, stem) is one row per distinct word; it is broadcast
+    after a bounded size check, else joined by shuffle (AQE splits a hot
+    term)."""
+    v, _ = broadcast_if_small(vocab, 2_000_000)
+    p = postings.join(v, "term", "left").withColumn("term", F.coalesce(F.col("stem"), F.col("term")))
+    return p.groupBy("doc", "dl", "term").agg(F.sum("tf").alias("tf"), F.max("first").alias("first"))
+
+
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               materialise: bool = True):
+               materialise: bool = True, stem: bool = False):
     """(postings, stats): the corpus side of BM25, tokenised once. The
     postings are checkpointed (``cut_lineage``) so the document-frequency,
-    corpus-statistics and scoring branches all read one copy."""
+    corpus-statistics and scoring branches all read one copy. ``stem=True``
+    applies the X3 stemmer to the distinct vocabulary and re-keys the
+    postings by stem."""
     postings = bm25_postings(docs, id_col, text_col)
+    if stem:
+        from ..functions.stem import stem_vocabulary
+        postings = stem_postings(postings, stem_vocabulary(postings.filter(F.col("term").isNotNull())))
     if materialise:
         postings = cut_lineage(postings)
     return postings, bm25_corpus_stats(postings)
@@ -105,7 +120,7 @@ def query_terms(queries: DataFrame, q_col: str = "q", text_col: str = "text") ->
 def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col: str = "text",
                 id_col: str = "doc_id", doc_text_col: str = "text", k1: float = BM25_K1,
                 b: float = BM25_B, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                salt_buckets: int = 16, index=None) -> DataFrame:
+                salt_buckets: int = 16, index=None, stem: bool = False) -> DataFrame:
     """(q, doc, score) for every document sharing at least one term.
 
     The query-term table is bounded by the query batch, so it is checked
@@ -114,7 +129,12 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col:
     so a term found in a third of the corpus is split over
     ``salt_buckets`` tasks."""
     qt = query_terms(queries, q_col, text_col)
-    postings, stats = index if index is not None else bm25_index(docs, id_col, doc_text_col)
+    if stem:
+        from ..functions.stem import stem_vocabulary
+        qv = stem_vocabulary(qt)
+        qt = (qt.join(F.broadcast(qv), "term").groupBy("q", F.col("stem").alias("term"))
+                .agg(F.sum("qtf").alias("qtf")))
+    postings, stats = index if index is not None else bm25_index(docs, id_col, doc_text_col, stem=stem)
     postings = postings.filter(F.col("term").isNotNull())
     small = is_small(qt, max_broadcast_rows)
     if small:

@@ -92,3 +92,41 @@ def test_ideal_dcg(spark, n, expected):
     from pyspark.sql import functions as F
     v = spark.range(1).select(ev.ideal_dcg(F.lit(n)).alias("v")).first().v
     assert abs(v - expected) < 1e-12
+
+
+def test_examples_from_pairs_and_pair_similarity(spark):
+    pairs = spark.createDataFrame([(1, "best ramen in town?", "Try the noodle bar."),
+                                   (2, "vegan brunch", "The garden cafe.")], "id long, query string, reference_answer string")
+    ex = ev.examples_from_pairs(pairs, id_col="id").collect()
+    assert [(r.example_id, r.reference_contexts, r.query_by) for r in ex] == [(1, [], "human"), (2, [], "human")]
+    t = spark.createDataFrame([(1, "cat mat", "cat mat"), (2, "cat", "stock market"), (3, "", "x")],
+                              "k long, a string, b string")
+    got = dict(rows(ev.pair_similarity(t, "a", "b", "k")))
+    assert got[1] == 1.0 and got[3] == 0.0 and -1.0 <= got[2] <= 1.0
+
+
+def test_plugin_embedder_and_scorer(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from revsift.operators import retrieval as rt
+    from revsift.operators.embed import embed
+
+    @F.pandas_udf("array<double>")
+    def length_embedder(s: pd.Series) -> pd.Series:  # stands in for a model
+        return s.map(lambda t: [float(len(t)), 1.0])
+
+    @F.pandas_udf("double")
+    def shorter_is_better(q: pd.Series, d: pd.Series) -> pd.Series:
+        return -d.str.len().astype(float)
+
+    docs = spark.createDataFrame([(1, "aaaa"), (2, "bb")], "doc_id long, text string")
+    out = embed(docs, "text", embedder=length_embedder)
+    assert rows(out, "doc_id", "embedding") == [(1, [4.0, 1.0]), (2, [2.0, 1.0])]
+    sim = dict(rows(ev.pair_similarity(docs.withColumn("t2", F.col("text")), "text", "t2", "doc_id",
+                                       embedder=length_embedder)))
+    assert sim == {1: 1.0, 2: 1.0}
+    cands = spark.createDataFrame([(7, 1, 1), (7, 2, 2)], "q long, doc long, rank int")
+    qs = spark.createDataFrame([(7, "query")], "q long, text string")
+    top = rt.rerank(cands, qs, docs, k=1, scorer=shorter_is_better).first()
+    assert top.doc == 2

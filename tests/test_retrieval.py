@@ -130,3 +130,18 @@ def test_overlap_rerank_and_normalize(spark):
     assert got == [1.0, 0.0]
     z = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>")
     assert [r.n for r in z.select(normalize(F.col("v")).alias("n")).collect()] == [None, [0.6, 0.8]]
+
+
+def test_porter_stemmer_and_stemmed_bm25(spark):
+    from revsift.functions.stem import porter, stem_vocabulary
+    cases = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre",
+             "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi",
+             "relational": "relat", "conditional": "condit", "generalization": "gener", "adjustment": "adjust",
+             "controlling": "control", "rolling": "roll", "électricité": "électricité", "a": "a"}
+    assert {w: porter(w) for w in cases} == cases
+    v = stem_vocabulary(spark.createDataFrame([("running",), ("runs",), (None,)], "term string"))
+    assert rows(v) == [("running", "run"), ("runs", "run")]
+    q = spark.createDataFrame([(1, "cat")], "q long, text string")
+    plain = {r.doc for r in rt.bm25_topk(q, _docs(spark), k=10).collect()}
+    stemmed = {r.doc for r in rt.bm25_topk(q, _docs(spark), k=10, stem=True).collect()}
+    assert plain == {1, 3} and stemmed == {1, 2, 3}  # "cats" in doc 2 now matches
