@@ -206,21 +206,30 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 # T4 --------------------------------------------------------------------------------
+DRAWS_PER_PASS = 256
+
+
 def sample_with_replacement(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Draw j = 0..n-1 takes the key with the smallest
     ``md5(seed ':' j ':' key)``; n is clamped to the row count; 0 = every row
-    once. One aggregation pass with n ``min_by`` aggregates (no cross join,
-    no explode of the table): partial per map task, final on one row."""
+    once. Each pass is one aggregation with up to 256 ``min_by`` aggregates
+    (no cross join, no explode of the table): partial per map task, final on
+    one row; larger n runs ceil(n / 256) passes."""
     if n == 0:
         return df.select(F.col(key)).withColumn("draw", F.lit(None).cast("int"))
-    aggs = [F.min_by(F.col(key), F.struct(seeded_md5(seed, j, F.col(key)), F.col(key))).alias(f"d{j}")
-            for j in range(n)]
-    aggs.append(F.count(F.lit(1)).alias("_n"))
-    one = df.agg(*aggs)
-    draws = F.array(*[F.struct(F.lit(j).alias("draw"), F.col(f"d{j}").alias(key)) for j in range(n)])
-    ex = one.select("_n", F.explode(draws).alias("_d"))
-    return ex.filter(F.col("_d.draw") < F.col("_n")).select(F.col(f"_d.{key}").alias(key),
-                                                             F.col("_d.draw").alias("draw"))
+    out = None
+    for lo in range(0, n, DRAWS_PER_PASS):
+        js = range(lo, min(n, lo + DRAWS_PER_PASS))
+        aggs = [F.min_by(F.col(key), F.struct(seeded_md5(seed, j, F.col(key)), F.col(key))).alias(f"d{j}")
+                for j in js]
+        aggs.append(F.count(F.lit(1)).alias("_n"))
+        one = df.agg(*aggs)
+        draws = F.array(*[F.struct(F.lit(j).alias("draw"), F.col(f"d{j}").alias(key)) for j in js])
+        ex = one.select("_n", F.explode(draws).alias("_d"))
+        part = ex.filter(F.col("_d.draw") < F.col("_n")).select(F.col(f"_d.{key}").alias(key),
+                                                                 F.col("_d.draw").alias("draw"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # T5 / J3 / U3 ----------------------------------------------------------------------

@@ -183,8 +183,8 @@ _SCORES = """(SELECT d.doc_id, l.quality AS relevancy, 1 - l.toxic AS correctnes
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 ATTACH = f"""WITH qr AS ({QRELS_TEXT}),
-ctx AS (SELECT qr.q, string_agg(d.text, {NL} || {NL} ORDER BY d.doc_id) AS expected
-        FROM qr JOIN documents d ON d.doc_id = qr.doc GROUP BY qr.q),
+src AS (SELECT q, min(doc) AS doc FROM qr GROUP BY q),
+ctx AS (SELECT src.q, d.text AS expected FROM src JOIN documents d ON d.doc_id = src.doc),
 ex AS (SELECT b.item_id AS example_id, b.text AS query, coalesce(ctx.expected, '') AS expected
        FROM benchmark b LEFT JOIN ctx ON ctx.q = b.item_id),
 exp AS (SELECT query, arg_max(expected, example_id) AS expected FROM ex
@@ -239,9 +239,9 @@ SELECT custkey, rank, l_orderkey AS orderkey, price FROM {topk('j', 5, q='custke
         DEFAULT_QA_TEMPLATE, {"context_str": "ctx.context", "query_str": "b.text"})
         + " AS prompt FROM benchmark b LEFT JOIN ctx ON ctx.q = b.item_id",
     "reference_block": REFERENCE,
-    "fetch_nodes": f"""WITH qr AS ({QRELS_TEXT})
-SELECT qr.q AS item_id, CAST(row_number() OVER (PARTITION BY qr.q ORDER BY qr.doc) - 1 AS INTEGER) AS pos, d.n_chars
-FROM qr JOIN documents d ON d.doc_id = qr.doc""",
+    "fetch_nodes": f"""WITH {bm25_ctes(BENCH_Q)}
+SELECT h.q AS item_id, CAST(h.rank - 1 AS INTEGER) AS pos, d.n_chars
+FROM {topk('scores', 10)} h JOIN documents d ON d.doc_id = h.doc""",
     "attach_expected": ATTACH,
     "zip_scores": """SELECT d.doc_id, l.quality AS relevancy, 1 - l.toxic AS correctness
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",

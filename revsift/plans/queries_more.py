@@ -143,22 +143,30 @@ def q_reference_block(spark, d):
     return b.select(F.col("q").alias("item_id"), "block")
 
 
+FETCH_DEPTH = 10
+
+
 def q_fetch_nodes(spark, d):
-    qrels = ev.passage_qrels(_t(spark, d, "benchmark"), _t(spark, d, "documents"))
-    lists = qrels.groupBy("q").agg(F.sort_array(F.collect_list("doc")).alias("ids"))
-    found, _missing = ev.fetch_nodes(lists, _t(spark, d, "documents").select("doc_id", "n_chars"))
+    docs = _t(spark, d, "documents")
+    ranked = rt.bm25_topk(_bench_queries(spark, d), docs, k=FETCH_DEPTH)
+    # retrieved id lists are bounded by the retrieval depth
+    lists = ranked.groupBy("q").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("ids"))
+    found, _missing = ev.fetch_nodes(lists, docs.select("doc_id", "n_chars"))
     return found.select(F.col("q").alias("item_id"), "pos", "n_chars")
 
 
 def _examples(spark, d):
+    """One example per benchmark item: the expected answer is the text of the
+    passage's source document (the first document containing it), '' when
+    no document contains it."""
     bench, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
     qrels = ev.passage_qrels(bench, docs)
-    ctx = (qrels.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
-                .groupBy("q").agg(F.array_sort(F.collect_list(F.struct("doc", "text"))).alias("_c")))
+    src = qrels.groupBy("q").agg(F.min("doc").alias("doc"))
+    ctx = src.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("q", "text")
     ex = bench.select(F.col("item_id").alias("q"), F.col("text").alias("query")).join(ctx, "q", "left")
     return ex.select(F.col("q").alias("example_id"), "query",
-                     F.coalesce(F.array_join(F.transform("_c", lambda x: x["text"]), "\n\n"), F.lit(""))
-                      .alias("expected")), qrels
+                     F.coalesce(F.col("text"), F.lit("")).alias("expected")), qrels
 
 
 def q_attach_expected(spark, d):

@@ -83,20 +83,20 @@ QA_LINE_SCHEMA = QA_SCHEMA
 
 def qa_rows(queries: DataFrame, corpus: DataFrame, qrels: DataFrame) -> DataFrame:
     """Pack (query_id, text), (doc_id, text), (query_id, doc_id) into QA
-    records: one record per query with its relevant ids, one per corpus text.
-    """
-    rel = (qrels.groupBy("query_id")
-                .agg(F.sort_array(F.collect_set(F.col("doc_id").cast("string"))).alias("ids")))
-    q = (queries.join(rel, "query_id", "left")
-                .select(F.create_map(F.col("query_id").cast("string"), F.col("text")).alias("queries"),
-                        F.lit(None).cast("map<string,string>").alias("corpus"),
-                        F.when(F.col("ids").isNotNull(),
-                               F.create_map(F.col("query_id").cast("string"), F.col("ids")))
-                         .alias("relevant_docs")))
-    c = corpus.select(F.lit(None).cast("map<string,string>").alias("queries"),
+    records, one map entry per record: a query, a corpus text, or one
+    relevant pair. No record gathers a query's whole relevant list, so a
+    passage relevant to a third of the corpus still spreads over tasks."""
+    none_s = F.lit(None).cast("map<string,string>")
+    none_a = F.lit(None).cast("map<string,array<string>>")
+    q = queries.select(F.create_map(F.col("query_id").cast("string"), F.col("text")).alias("queries"),
+                       none_s.alias("corpus"), none_a.alias("relevant_docs"))
+    c = corpus.select(none_s.alias("queries"),
                       F.create_map(F.col("doc_id").cast("string"), F.col("text")).alias("corpus"),
-                      F.lit(None).cast("map<string,array<string>>").alias("relevant_docs"))
-    return q.unionByName(c)
+                      none_a.alias("relevant_docs"))
+    r = qrels.select(none_s.alias("queries"), none_s.alias("corpus"),
+                     F.create_map(F.col("query_id").cast("string"),
+                                  F.array(F.col("doc_id").cast("string"))).alias("relevant_docs"))
+    return q.unionByName(c).unionByName(r)
 
 
 def explode_qa(qa: DataFrame):

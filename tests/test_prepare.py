@@ -117,3 +117,13 @@ def test_category_share(spark):
     df = spark.createDataFrame([("A, B",), ("A",), (None,)], "c string")
     out = rows(pp.category_share(df, "c", ", "), "category", "n", "total", "perc")
     assert out == [("A", 2, 2, 100.0), ("B", 1, 2, 50.0)]
+
+
+def test_sample_with_replacement_many_draws(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    s = pp.sample_with_replacement(df, 600, "k", 5)
+    got = rows(s, "draw")
+    assert sorted(d for (d,) in got) == list(range(600))
+    small = dict(rows(pp.sample_with_replacement(df, 10, "k", 5), "draw", "k"))
+    big = dict(rows(s, "draw", "k"))
+    assert all(big[j] == small[j] for j in range(10))  # draws are independent of n
