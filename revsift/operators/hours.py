@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha_mod
+from .distributed import broadcast_if_small
+
+HOURS_BROADCAST_ROWS = 5_000_000
 
 # --- fixed values ---------------------------------------------------------------
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -77,12 +80,15 @@ def open_condition(open_h: Column, close_h: Column, hour: Column, overnight: boo
 def is_open(requests: DataFrame, hours_rows: DataFrame, id_col: str = "business_id",
             ts_col: str = "ts", overnight: bool = False) -> DataFrame:
     """Adds ``is_open``. An equi join on (business, weekday) with the range
-    test on the joined row; unknown business / absent day -> false. A hot
-    business is split by AQE's skew join (the hours side has one row per
-    key)."""
+    test on the joined row; unknown business / absent day -> false. Above
+    the broadcast bound it is a shuffle join whose hot keys AQE's skew join
+    splits (the hours side has one row per key)."""
     r = requests.withColumn("_day", weekday(ts_col)).withColumn("_hour", F.hour(ts_col))
     h = hours_rows.select(F.col("business_id").alias("_bid"), F.col("day").alias("_hday"),
                           "open_hour", "close_hour")
+    # one row per (business, weekday): broadcast after a bounded check, so a
+    # business holding a third of the requests never meets a skewed join
+    h, _ = broadcast_if_small(h, HOURS_BROADCAST_ROWS)
     j = r.join(h, (r[id_col] == h["_bid"]) & (r["_day"] == h["_hday"]), "left")
     return (j.withColumn("is_open", open_condition(F.col("open_hour"), F.col("close_hour"), F.col("_hour"),
                                                    overnight))

@@ -30,7 +30,11 @@ def _long(df: DataFrame, cols: list, cast: str, label_prefix: str) -> DataFrame:
 
 def exact_quantiles(long_df: DataFrame, probs=QUARTILES) -> DataFrame:
     """(column, <name> per prob) from a long (column, x DOUBLE) table."""
-    ranked = global_rank(long_df, [F.col("column"), F.col("x")])
+    # A unique tie-breaker lets range partitioning split a value held by a
+    # third of the rows over several tasks (equal values are interchangeable
+    # for quantiles, so the result does not depend on it).
+    tb = long_df.withColumn("_tb", F.monotonically_increasing_id())
+    ranked = global_rank(tb, [F.col("column"), F.col("x"), F.col("_tb")])
     per_col = ranked.groupBy("column").agg(F.min("_rank").alias("_r0"), F.count(F.lit(1)).alias("_n"))
     r = ranked.join(F.broadcast(per_col), "column").withColumn("_pos", F.col("_rank") - F.col("_r0"))
     keep = F.lit(False)

@@ -127,3 +127,12 @@ def test_sample_with_replacement_many_draws(spark):
     small = dict(rows(pp.sample_with_replacement(df, 10, "k", 5), "draw", "k"))
     big = dict(rows(s, "draw", "k"))
     assert all(big[j] == small[j] for j in range(10))  # draws are independent of n
+
+
+def test_quantiles_with_a_hot_value(spark):
+    from revsift.operators.profile import exact_quantiles
+    import numpy as np
+    vals = [5.0] * 700 + [float(v) for v in range(300)]
+    df = spark.createDataFrame([("c", v) for v in vals], "column string, x double").repartition(4)
+    q = exact_quantiles(df).first()
+    assert (q.p25, q.p50, q.p75) == tuple(float(np.quantile(vals, p)) for p in (0.25, 0.5, 0.75))
