@@ -57,9 +57,8 @@ def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold = exact linear 95th percentile of d over the document; cut
     after i when d_i > threshold; a chunk is its sentences joined by a space.
     """
-    spark = docs.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).repartition(n_parts, "doc")
+    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
+    base = base.repartition(partitions, "doc") if partitions else base.repartition("doc")
     S = sentence_rows(base, "doc", "_text")
     tok = S.select("doc", "n", "i", F.explode_outer(tokens("s")).alias("_tok")).filter(F.col("_tok").isNotNull())
     sv = (tok.select("doc", "n", "i", token_bucket(F.col("_tok"), dim).alias("bucket"),

@@ -94,11 +94,12 @@ def spread(df: DataFrame, keys: list | None = None, min_partitions: int | None =
     already has thousands of splits and this is a no-op (one planning step,
     no job)."""
     spark = df.sparkSession
-    target = min_partitions or max(spark.sparkContext.defaultParallelism,
-                                   int(spark.conf.get("spark.sql.shuffle.partitions")))
+    target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    # by key without a fixed count: AQE sizes the partitions (and keeps at
+    # least the session's parallelism while coalescing)
+    return df.repartition(*keys) if keys else df.repartition(target)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
