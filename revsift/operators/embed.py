@@ -60,6 +60,22 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM
     """(id, embedding ARRAY<DOUBLE>[dim]) dense unit vectors; rows whose text
     has no tokens (or an all-zero sum) are absent."""
     counts = hash_embed_counts(df, [id_col], text_col, dim)
+    return _dense_from_counts(counts, id_col, dim, vector_col)
+
+
+def hash_embed_from_postings(postings: DataFrame, dim: int = DEFAULT_DIM, vector_col: str = "embedding",
+                             id_col: str = "doc") -> DataFrame:
+    """Hashed unit vectors from a postings table (id, term, tf): md5 runs
+    once per distinct token of a document, not per occurrence."""
+    p = postings.filter(F.col("term").isNotNull())
+    counts = (p.select(id_col, token_bucket(F.col("term"), dim).alias("bucket"),
+                       (token_sign(F.col("term")) * F.col("tf")).alias("w"))
+               .groupBy(id_col, "bucket").agg(F.sum("w").cast("bigint").alias("c"))
+               .filter(F.col("c") != 0))
+    return _dense_from_counts(counts, id_col, dim, vector_col)
+
+
+def _dense_from_counts(counts: DataFrame, id_col: str, dim: int, vector_col: str) -> DataFrame:
     per_id = counts.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("_m"),
         F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias("_norm"))

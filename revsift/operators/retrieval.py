@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import analysed_tokens, keyword_text, tokens
+from ..functions.text import analysed_tokens, drop_stop_words, keyword_text, stop_array, tokens
 from .distributed import (DEFAULT_BROADCAST_ROWS, bounded_count, broadcast_if_small, cut_lineage, is_small, salted,
                           spread, top_k_per_group)
-from .embed import DEFAULT_DIM, hash_embed
+from .embed import DEFAULT_DIM, hash_embed, hash_embed_from_postings
 
 # --- fixed values (published defaults) ----------------------------------------
 BM25_K1 = 1.5           # Robertson & Zaragoza 2009
@@ -50,27 +50,38 @@ def ranked_top_k(df: DataFrame, q_cols: list, score_col: str, id_col: str, k: in
 # ------------------------------------------------------------------------------
 # BM25 (R8, J10, A9)
 # ------------------------------------------------------------------------------
-def bm25_doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, _t): analysed tokens per document, tokenised after ``spread``."""
+def corpus_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The corpus tokenised once: (doc, dl, term, tf, first, stop) with one
+    row per distinct token of a document (stop words included and flagged),
+    ``dl`` = analysed length (stop words excluded), ``first`` marking exactly
+    one row per document, and one NULL-term row for a document without
+    tokens. BM25 reads the non-stop rows; the hashing embedder reads all rows
+    (sign x tf per distinct token equals the per-occurrence sum).
+
+    A document never spans two partitions (``spread`` hash-partitions by doc
+    when the input is too coarse), so the partial aggregation is exact where
+    it runs. ``posexplode_outer`` keeps Catalyst from inferring a non-empty
+    filter and running the tokeniser below the spread."""
     d = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")), ["doc"])
-    return d.select("doc", analysed_tokens("_text").alias("_t"))
+    # dl is computed once per document, in its own projection below the
+    # explode (next to the explode it would be re-evaluated for every token)
+    toks = d.select("doc", tokens("_text").alias("_t"))
+    toks = toks.select("doc", "_t", F.size(drop_stop_words(F.col("_t"))).alias("dl"))
+    ex = toks.select("doc", "dl", F.posexplode_outer("_t").alias("pos", "term"))
+    g = ex.groupBy("doc", "dl", "term").agg(
+        F.count(F.lit(1)).alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("first"))
+    return g.withColumn("stop", F.coalesce(F.array_contains(stop_array(), F.col("term")), F.lit(False)))
 
 
 def bm25_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  doc_tokens: DataFrame | None = None) -> DataFrame:
-    """(doc, dl, term, tf, first): one row per distinct analysed term of a
-    document; a document without terms keeps one row with a NULL term, and
-    ``first`` marks exactly one row per document (for N and avgdl).
-
-    A document never spans two partitions, so the map-side partial
-    aggregation is already exact and only distinct (doc, term) rows are
-    shuffled (none at all when ``spread`` hash-partitioned by doc).
-    ``explode_outer`` keeps Catalyst from inferring a non-empty filter and
-    pushing the tokeniser below the spread."""
-    toks = doc_tokens if doc_tokens is not None else bm25_doc_tokens(docs, id_col, text_col)
-    ex = toks.select("doc", F.size("_t").alias("dl"), F.posexplode_outer("_t").alias("pos", "term"))
-    return ex.groupBy("doc", "dl", "term").agg(
-        F.count(F.lit(1)).alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("first"))
+                  corpus: DataFrame | None = None) -> DataFrame:
+    """(doc, dl, term, tf, first) for BM25: the corpus postings without stop
+    words (a document keeps its ``first`` row, with a NULL term, so N and
+    avgdl still count it)."""
+    c = corpus if corpus is not None else corpus_postings(docs, id_col, text_col)
+    return (c.filter(~F.col("stop") | F.col("first"))
+             .withColumn("term", F.when(F.col("stop"), F.lit(None).cast("string")).otherwise(F.col("term")))
+             .drop("stop"))
 
 
 def bm25_corpus_stats(postings: DataFrame) -> DataFrame:
@@ -89,17 +100,17 @@ def stem_postings(postings: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               materialise: bool = True, stem: bool = False):
-    """(postings, stats): the corpus side of BM25, tokenised once. The
-    postings are checkpointed (``cut_lineage``) so the document-frequency,
-    corpus-statistics and scoring branches all read one copy. ``stem=True``
-    applies the X3 stemmer to the distinct vocabulary and re-keys the
-    postings by stem."""
-    postings = bm25_postings(docs, id_col, text_col)
+               materialise: bool = True, stem: bool = False, corpus: DataFrame | None = None):
+    """(postings, stats): the corpus side of BM25, tokenised once. Unless a
+    materialised ``corpus`` is passed, the postings are checkpointed
+    (``cut_lineage``) so the document-frequency, corpus-statistics and
+    scoring branches all read one copy. ``stem=True`` applies the X3 stemmer
+    to the distinct vocabulary and re-keys the postings by stem."""
+    postings = bm25_postings(docs, id_col, text_col, corpus=corpus)
     if stem:
         from ..functions.stem import stem_vocabulary
         postings = stem_postings(postings, stem_vocabulary(postings.filter(F.col("term").isNotNull())))
-    if materialise:
+    if materialise and (corpus is None or stem):
         postings = cut_lineage(postings)
     return postings, bm25_corpus_stats(postings)
 
@@ -399,9 +410,13 @@ def hybrid_candidates(queries: DataFrame, docs: DataFrame, q_col: str = "q", tex
     (q, rank, doc, score). ``doc_vectors`` (doc_id, embedding) may come from a
     persisted vector table; otherwise the hashing embedder builds them."""
     qv = query_variants(queries, q_col, text_col)
+    # tokenise the corpus once for both retrievers
+    corpus = cut_lineage(corpus_postings(docs, doc_id_col, doc_text_col))
     sparse = bm25_topk(qv.select(F.col("qv").alias("q"), "text"), docs, k=sparse_k,
-                       id_col=doc_id_col, text_col="text", doc_text_col=doc_text_col)
-    dvec = doc_vectors if doc_vectors is not None else hash_embed(docs, doc_id_col, doc_text_col, dim)
+                       id_col=doc_id_col, text_col="text", doc_text_col=doc_text_col,
+                       index=bm25_index(docs, corpus=corpus))
+    dvec = (doc_vectors if doc_vectors is not None
+            else hash_embed_from_postings(corpus, dim).withColumnRenamed("doc", doc_id_col))
     qvec = hash_embed(qv.select("qv", "text"), "qv", "text", dim)
     dense = dense_topk(qvec, dvec, k=dense_k, q_col="qv", id_col=doc_id_col)
     lists = [sparse.select((F.floor(F.col("q") / 2)).cast("long").alias("q"), "doc", "rank"),

@@ -128,12 +128,14 @@ def q_render_prompt(spark, d):
 
 
 def _lineitem_hits(spark, d):
-    li = _t(spark, d, "lineitem")
+    # rank the narrow line items first, then attach names and texts, so the
+    # rank shuffle never carries whole documents
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = li.withColumn("rank", F.row_number().over(
+        Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     part = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("biz_name"))
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("l_suppkey"), "text")
     h = li.join(part, "l_partkey", "left").join(docs, "l_suppkey", "left")
-    h = h.withColumn("rank", F.row_number().over(
-        Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     return h.select(F.col("l_orderkey").alias("q"), "rank", F.col("l_extendedprice").alias("score"),
                     "biz_name", F.col("l_suppkey").alias("review_id"), "text")
 
