@@ -46,6 +46,16 @@ def sentence_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return d.select("doc", F.posexplode(wins).alias("i", "window_text"))
 
 
+def _add3(a, b, c, dim: int):
+    zero = F.array_repeat(F.lit(0).cast("bigint"), dim)
+    a, b, c = F.coalesce(a, zero), F.coalesce(b, zero), F.coalesce(c, zero)
+    return F.zip_with(F.zip_with(a, b, lambda x, y: x + y), c, lambda x, y: x + y)
+
+
+def _idot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+
 def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     dim: int = DEFAULT_DIM, pct: float = BREAKPOINT_PERCENTILE,
                     partitions: int | None = None) -> DataFrame:
@@ -56,42 +66,41 @@ def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d_i = round(1 - cos(group_i, group_i+1), 9), cos = 0 for an empty vector;
     threshold = exact linear 95th percentile of d over the document; cut
     after i when d_i > threshold; a chunk is its sentences joined by a space.
+
+    Plan: documents are hash-partitioned by id once. One aggregation builds
+    each sentence's D-slot count vector; everything after that is one
+    window (partitioned by document, ordered by sentence) for the group sums,
+    neighbour distances, per-document threshold and the running cut count,
+    and a final per-chunk aggregation. Every group is one document, which is
+    bounded by the document's length.
     """
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
     base = base.repartition(partitions, "doc") if partitions else base.repartition("doc")
     S = sentence_rows(base, "doc", "_text")
-    tok = S.select("doc", "n", "i", F.explode_outer(tokens("s")).alias("_tok")).filter(F.col("_tok").isNotNull())
-    sv = (tok.select("doc", "n", "i", token_bucket(F.col("_tok"), dim).alias("bucket"),
-                     token_sign(F.col("_tok")).alias("sign"))
-             .groupBy("doc", "n", "i", "bucket").agg(F.sum("sign").alias("c")))
-    # each sentence contributes to groups i-1, i, i+1
-    gv = (sv.select("doc", "n", "bucket", "c",
-                    F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1)).alias("g"))
-            .filter((F.col("g") >= 0) & (F.col("g") < F.col("n")))
-            .groupBy("doc", "g", "bucket").agg(F.sum("c").alias("v")))
-    norms = gv.groupBy("doc", "g").agg(F.sum(F.col("v") * F.col("v")).alias("nn"))
-    roles = F.array(F.struct(F.col("g").alias("p"), F.col("v").alias("l"), F.lit(0).cast("bigint").alias("r")),
-                    F.struct((F.col("g") - 1).alias("p"), F.lit(0).cast("bigint").alias("l"), F.col("v").alias("r")))
-    dots = (gv.select("doc", "bucket", F.explode(roles).alias("_x"))
-              .select("doc", "bucket", "_x.p", "_x.l", "_x.r")
-              .filter(F.col("p") >= 0)
-              .groupBy("doc", "p", "bucket").agg((F.sum("l") * F.sum("r")).alias("prod"))
-              .groupBy("doc", "p").agg(F.sum("prod").alias("dot")))
-    pairs = S.filter(F.col("i") < F.col("n") - 1).select("doc", F.col("i").alias("p"))
-    nl = norms.select("doc", F.col("g").alias("p"), F.col("nn").alias("nl"))
-    nr = norms.select("doc", (F.col("g") - 1).alias("p"), F.col("nn").alias("nr"))
-    pd_ = pairs.join(dots, ["doc", "p"], "left").join(nl, ["doc", "p"], "left").join(nr, ["doc", "p"], "left")
-    cos = F.when((F.col("nl") > 0) & (F.col("nr") > 0),
-                 F.coalesce(F.col("dot"), F.lit(0)).cast("double")
-                 / (F.sqrt(F.col("nl").cast("double")) * F.sqrt(F.col("nr").cast("double")))).otherwise(F.lit(0.0))
-    dist = pd_.select("doc", "p", F.round(F.lit(1.0) - cos, 9).alias("d"))
-    thr = dist.groupBy("doc").agg(F.percentile(F.col("d"), F.lit(pct)).alias("thr"))
-    cuts = dist.join(thr, "doc").select("doc", (F.col("p") + 1).alias("i"),
-                                        (F.col("d") > F.col("thr")).cast("int").alias("cut_before"))
-    w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    labelled = (S.join(cuts, ["doc", "i"], "left")
-                 .withColumn("chunk_no", F.sum(F.coalesce(F.col("cut_before"), F.lit(0))).over(w)))
-    chunks = labelled.groupBy("doc", "chunk_no").agg(
+    tok = (S.select("doc", "i", F.explode_outer(tokens("s")).alias("_tok")).filter(F.col("_tok").isNotNull())
+            .select("doc", "i", token_bucket(F.col("_tok"), dim).alias("bucket"),
+                    token_sign(F.col("_tok")).alias("sign")))
+    sv = (tok.groupBy("doc", "i", "bucket").agg(F.sum("sign").alias("c"))
+             .groupBy("doc", "i").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("_m")))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                      lambda b: F.coalesce(F.element_at(F.col("_m"), b), F.lit(0).cast("bigint")))
+    sent = S.join(sv, ["doc", "i"], "left").select("doc", "n", "i", "s", vec.alias("v"))
+    w = Window.partitionBy("doc").orderBy("i")
+    g = sent.select("doc", "n", "i", "s",
+                    _add3(F.lag("v", 1).over(w), F.col("v"), F.lead("v", 1).over(w), dim).alias("g_here"),
+                    _add3(F.col("v"), F.lead("v", 1).over(w), F.lead("v", 2).over(w), dim).alias("g_next"))
+    # g_next is the group of i+1 only when i+1 exists (i < n-1)
+    nl, nr = _idot(F.col("g_here"), F.col("g_here")), _idot(F.col("g_next"), F.col("g_next"))
+    cos = F.when((nl > 0) & (nr > 0),
+                 _idot(F.col("g_here"), F.col("g_next")).cast("double")
+                 / (F.sqrt(nl.cast("double")) * F.sqrt(nr.cast("double")))).otherwise(F.lit(0.0))
+    d = g.select("doc", "i", "s", F.when(F.col("i") < F.col("n") - 1, F.round(F.lit(1.0) - cos, 9)).alias("d"))
+    wd = Window.partitionBy("doc")
+    d = d.withColumn("thr", F.percentile(F.col("d"), F.lit(pct)).over(wd))
+    cut_before = F.coalesce((F.lag("d", 1).over(w) > F.lag("thr", 1).over(w)).cast("int"), F.lit(0))
+    lab = d.withColumn("_cut", cut_before).withColumn(
+        "chunk_no", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    chunks = lab.groupBy("doc", "chunk_no").agg(
         F.count(F.lit(1)).alias("n_sentences"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ")
          .alias("text"))
