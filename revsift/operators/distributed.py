@@ -118,7 +118,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         elif sc.master.startswith("local"):
             from ..session import ensure_checkpoint_dir
             ensure_checkpoint_dir(spark)
-        else:
+        else:  # no shared folder on this cluster: keep a replicated cache
             from pyspark import StorageLevel
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+            return df.persist(StorageLevel.MEMORY_AND_DISK_2)
     return df.checkpoint(eager=True)

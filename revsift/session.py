@@ -36,8 +36,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only when
-    none is configured (``spark.checkpoint.dir`` wins on a cluster)."""
+    """Return the session's checkpoint folder. ``spark.checkpoint.dir`` (a
+    folder every executor shares) is used when set; a local temporary folder
+    is created only for a local master (tests, single-machine runs). On a
+    cluster without the setting this raises instead of writing to one
+    machine's disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -46,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="revsift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
