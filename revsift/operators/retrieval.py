@@ -143,7 +143,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col:
     if stem:
         from ..functions.stem import stem_vocabulary
         qv = stem_vocabulary(qt)
-        qt = (qt.join(F.broadcast(qv), "term").groupBy("q", F.col("stem").alias("term"))
+        qv, _ = broadcast_if_small(qv, max_broadcast_rows)  # bounded by the query terms
+        qt = (qt.join(qv, "term").groupBy("q", F.col("stem").alias("term"))
                 .agg(F.sum("qtf").alias("qtf")))
     postings, stats = index if index is not None else bm25_index(docs, id_col, doc_text_col, stem=stem)
     postings = postings.filter(F.col("term").isNotNull())
@@ -394,6 +395,27 @@ def rerank(cands: DataFrame, queries: DataFrame, docs: DataFrame, k: int = RERAN
     return out.select("q", "rank", "doc", F.round("score", SCORE_DIGITS).alias("score"))
 
 
+def rerank_overlap_postings(cands: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = RERANK_TOP_K,
+                            q_text_col: str = "text", max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """R12 with the default overlap scorer, read from the corpus postings
+    instead of re-tokenising every candidate text: (q, doc, term) rows for the
+    query's distinct analysed terms (bounded by queries x depth x terms,
+    checked and broadcast) meet the postings in one stream. Same scores as
+    ``rerank(..., scorer=overlap_score)``."""
+    qterms = (queries.select("q", F.explode(F.array_distinct(analysed_tokens(q_text_col))).alias("term")))
+    nq = queries.select("q", F.size(F.array_distinct(analysed_tokens(q_text_col))).alias("_nq"))
+    pairs = cands.select("q", "doc").join(qterms, "q")
+    pairs, _ = broadcast_if_small(pairs, max_broadcast_rows)
+    post = corpus.filter(F.col("term").isNotNull() & ~F.col("stop")).select("doc", "term")
+    matched = post.join(pairs, ["doc", "term"]).groupBy("q", "doc").agg(F.count(F.lit(1)).alias("_m"))
+    scored = (cands.select("q", "doc").join(matched, ["q", "doc"], "left").join(nq, "q")
+                   .select("q", "doc", F.coalesce(F.try_divide(F.coalesce(F.col("_m"), F.lit(0)).cast("double"),
+                                                                F.col("_nq").cast("double")), F.lit(0.0))
+                            .alias("score")))
+    out = ranked_top_k(scored, ["q"], "score", "doc", k)
+    return out.select("q", "rank", "doc", F.round("score", SCORE_DIGITS).alias("score"))
+
+
 def query_variants(queries: DataFrame, q_col: str = "q", text_col: str = "text") -> DataFrame:
     """R9 re-aimed: each query plus its keyword form. Key ``qv = 2q + v``."""
     orig = queries.select(F.col(q_col).alias("q"), F.lit(0).alias("v"), F.col(text_col).alias("text"))
@@ -405,13 +427,14 @@ def hybrid_candidates(queries: DataFrame, docs: DataFrame, q_col: str = "q", tex
                       doc_id_col: str = "doc_id", doc_text_col: str = "text",
                       dense_k: int = DENSE_TOP_K, sparse_k: int = SPARSE_TOP_K,
                       fusion_k: int = FUSION_TOP_K, dim: int = DEFAULT_DIM,
-                      doc_vectors: DataFrame | None = None) -> DataFrame:
+                      doc_vectors: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """Dense + BM25 for the original and keyword query, fused by RRF:
     (q, rank, doc, score). ``doc_vectors`` (doc_id, embedding) may come from a
     persisted vector table; otherwise the hashing embedder builds them."""
     qv = query_variants(queries, q_col, text_col)
-    # tokenise the corpus once for both retrievers
-    corpus = cut_lineage(corpus_postings(docs, doc_id_col, doc_text_col))
+    # tokenise the corpus once for both retrievers (and the reranker)
+    if corpus is None:
+        corpus = cut_lineage(corpus_postings(docs, doc_id_col, doc_text_col))
     sparse = bm25_topk(qv.select(F.col("qv").alias("q"), "text"), docs, k=sparse_k,
                        id_col=doc_id_col, text_col="text", doc_text_col=doc_text_col,
                        index=bm25_index(docs, corpus=corpus))
@@ -429,9 +452,14 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_co
                   doc_id_col: str = "doc_id", doc_text_col: str = "text",
                   min_score: float | None = None, rerank_k: int = RERANK_TOP_K,
                   scorer=overlap_score, **kw) -> DataFrame:
-    """R11/R16 flagship: fused candidates -> score cutoff -> rerank top-k."""
-    fused = hybrid_candidates(queries, docs, q_col, text_col, doc_id_col, doc_text_col, **kw)
+    """R11/R16 flagship: fused candidates -> score cutoff -> rerank top-k.
+    The corpus is tokenised once (checkpointed postings) and shared by BM25,
+    the hashed dense vectors and the default reranker."""
+    corpus = cut_lineage(corpus_postings(docs, doc_id_col, doc_text_col))
+    fused = hybrid_candidates(queries, docs, q_col, text_col, doc_id_col, doc_text_col, corpus=corpus, **kw)
     fused = score_cutoff(fused, min_score)
     qs = queries.select(F.col(q_col).alias("q"), F.col(text_col).alias("text"))
+    if scorer is overlap_score:
+        return rerank_overlap_postings(fused, qs, corpus, k=rerank_k)
     return rerank(fused, qs, docs, k=rerank_k, scorer=scorer, doc_id_col=doc_id_col,
                   doc_text_col=doc_text_col)

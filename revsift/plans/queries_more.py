@@ -12,6 +12,7 @@ from ..operators import evaluate as ev
 from ..operators import hours as hr
 from ..operators import prepare as pp
 from ..operators import retrieval as rt
+from ..operators.distributed import cut_lineage
 from ..operators.embed import hash_embed, hash_embed_sparse, truncate_dims
 from .queries import _bench_queries, _t
 
@@ -80,8 +81,9 @@ def q_hybrid_search(spark, d):
 def q_rerank_overlap(spark, d):
     docs = _t(spark, d, "documents")
     qs = _bench_queries(spark, d)
-    cands = rt.bm25_topk(qs, docs, k=rt.SPARSE_TOP_K)
-    out = rt.rerank(cands, qs, docs, k=rt.RERANK_TOP_K)
+    corpus = cut_lineage(rt.corpus_postings(docs))
+    cands = rt.bm25_topk(qs, docs, k=rt.SPARSE_TOP_K, index=rt.bm25_index(docs, corpus=corpus))
+    out = rt.rerank_overlap_postings(cands, qs, corpus, k=rt.RERANK_TOP_K)
     return out.select(F.col("q").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 

@@ -145,3 +145,15 @@ def test_porter_stemmer_and_stemmed_bm25(spark):
     plain = {r.doc for r in rt.bm25_topk(q, _docs(spark), k=10).collect()}
     stemmed = {r.doc for r in rt.bm25_topk(q, _docs(spark), k=10, stem=True).collect()}
     assert plain == {1, 3} and stemmed == {1, 2, 3}  # "cats" in doc 2 now matches
+
+
+def test_postings_rerank_equals_text_rerank(spark):
+    from revsift.operators.distributed import cut_lineage
+    docs = _docs(spark)
+    q = spark.createDataFrame([(10, "cat on a mat"), (11, "dogs park cats"), (12, "the of")], "q long, text string")
+    corpus = cut_lineage(rt.corpus_postings(docs))
+    cands = rt.bm25_topk(q, docs, k=5, index=rt.bm25_index(docs, corpus=corpus))
+    cands = cands.unionByName(spark.createDataFrame([(12, 1, 1, 0.0)], "q long, rank int, doc long, score double"))
+    a = rows(rt.rerank_overlap_postings(cands, q, corpus, k=3))
+    b = rows(rt.rerank(cands, q, docs, k=3))
+    assert a == b
