@@ -9,5 +9,5 @@ from .queries_more import QUERIES_MORE as _QUERIES_2
 
 QUERIES = {**_QUERIES_1, **_QUERIES_2}
 ORACLE = {**_ORACLE_1, **_ORACLE_2}
-# Not expressible as one SQL statement (greedy sequential selection):
-ROWS_ONLY = ("mmr_topk",)
+# Queries registered without an SQL twin (row-count check only): none.
+ROWS_ONLY = ()

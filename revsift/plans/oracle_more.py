@@ -217,7 +217,33 @@ def slot_sql(bid: str, ts: str) -> str:
     return f"(CASE WHEN ({seed}) % 5 = 0 THEN 0 ELSE 1 + (({seed}) // 5) % 10 END)"
 
 
+# Greedy MMR as a recursive CTE: each step appends the candidate with the
+# best round(0.5*rel - 0.5*max sim to the chosen, 9), ties by id.
+MMR = f"""WITH RECURSIVE {EV_FULL}, {vec_pairs()},
+cand AS (SELECT q, id, round(score, 6) AS rel FROM {topk('s', 50, idc='id')}),
+csim AS (SELECT a.q, a.id AS a, b.id AS b,
+           list_dot_product(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[])) AS sim
+         FROM cand a JOIN cand b ON a.q = b.q JOIN embeddings ea ON ea.vec_id = a.id
+         JOIN embeddings eb ON eb.vec_id = b.id),
+first_pick AS (SELECT q, arg_max(id, (rel, -id)) AS id FROM cand GROUP BY q),
+mmr(q, step, chosen) AS (
+  SELECT q, 1, [id] FROM first_pick
+  UNION ALL
+  SELECT m.q, m.step + 1, list_append(m.chosen, (
+      SELECT c.id FROM cand c
+      WHERE c.q = m.q AND NOT list_contains(m.chosen, c.id)
+      ORDER BY round(0.5 * c.rel - 0.5 * (SELECT max(x.sim) FROM csim x
+                                           WHERE x.q = m.q AND x.a = c.id AND list_contains(m.chosen, x.b)), 9) DESC,
+               c.id
+      LIMIT 1))
+  FROM mmr m
+  WHERE m.step < 10 AND m.step < (SELECT count(*) FROM cand c2 WHERE c2.q = m.q)),
+fin AS (SELECT q, chosen FROM (SELECT q, chosen, row_number() OVER (PARTITION BY q ORDER BY step DESC) AS r FROM mmr) WHERE r = 1)
+SELECT q, CAST(generate_subscripts(chosen, 1) AS INTEGER) AS rank, unnest(chosen) AS vec_id FROM fin"""
+
+
 ORACLE_MORE = {
+    "mmr_topk": MMR,
     "dense_topk": dense_sql(),
     "filtered_dense": dense_sql("AND y.label >= 2 AND y.label < 7"),
     "score_cutoff": f"WITH {EV_FULL}, {vec_pairs()}\nSELECT q, id AS vec_id, round(score, 6) AS score FROM "
