@@ -198,13 +198,12 @@ def vector_stats(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
 
 # S9 ---------------------------------------------------------------------------
 def _path_has_data(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    """True when ``path`` holds a readable Parquet table (public API only:
+    a missing or empty folder fails schema resolution)."""
+    try:
+        return len(spark.read.parquet(path).schema.fields) > 0
+    except Exception:  # missing path or no data files
         return False
-    return any(not st.getPath().getName().startswith(("_", "."))
-               for st in fs.listStatus(hpath))
 
 
 def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame],
