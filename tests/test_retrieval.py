@@ -157,3 +157,16 @@ def test_postings_rerank_equals_text_rerank(spark):
     a = rows(rt.rerank_overlap_postings(cands, q, corpus, k=3))
     b = rows(rt.rerank(cands, q, docs, k=3))
     assert a == b
+
+
+def test_persisted_index_matches_one_shot_search(spark, tmp_path):
+    from revsift.operators.index import HybridIndex
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id AS q", "text")
+    idx = HybridIndex.build_or_load(spark, str(tmp_path / "idx"), docs)
+    a = rows(idx.search(q))
+    b = rows(rt.hybrid_search(q, docs))
+    assert a == b and len(a) > 0
+    again = HybridIndex.build_or_load(spark, str(tmp_path / "idx"), docs.limit(0))  # reused, not rebuilt
+    assert again.postings.count() == idx.postings.count()
+    assert rows(idx.bm25(q, k=5)) == rows(rt.bm25_topk(q, docs, k=5))
