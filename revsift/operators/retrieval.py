@@ -166,9 +166,21 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col:
     return m.groupBy("q", "doc").agg(F.sum(contrib).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = SPARSE_TOP_K, **kw) -> DataFrame:
-    """(q, rank, doc, score) top-k BM25 per query."""
-    s = bm25_scores(queries, docs, **kw)
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = SPARSE_TOP_K, q_col: str = "q",
+              text_col: str = "text", dedupe: bool = False, **kw) -> DataFrame:
+    """(q, rank, doc, score) top-k BM25 per query.
+
+    BM25 depends only on the query's analysed terms. With ``dedupe`` each
+    distinct analysed query is scored once, under the smallest id that has
+    it, and its (at most k) results are joined back to every query sharing
+    it: worth it when a batch repeats queries."""
+    if dedupe:
+        keyed = queries.select(F.col(q_col).alias("q"), F.array_join(analysed_tokens(text_col), " ").alias("_key"))
+        reps = keyed.groupBy("_key").agg(F.min("q").alias("_rep"))
+        qmap = keyed.join(reps, "_key").select("q", "_rep")
+        res = bm25_topk(reps.select(F.col("_rep").alias("q"), F.col("_key").alias("text")), docs, k=k, **kw)
+        return qmap.join(res.withColumnRenamed("q", "_rep"), "_rep").select("q", "rank", "doc", "score")
+    s = bm25_scores(queries, docs, q_col=q_col, text_col=text_col, **kw)
     out = ranked_top_k(s, ["q"], "score", "doc", k)
     return out.select("q", "rank", "doc", F.round("score", SCORE_DIGITS).alias("score"))
 
@@ -435,7 +447,8 @@ def hybrid_candidates(queries: DataFrame, docs: DataFrame, q_col: str = "q", tex
     # tokenise the corpus once for both retrievers (and the reranker)
     if corpus is None:
         corpus = cut_lineage(corpus_postings(docs, doc_id_col, doc_text_col))
-    sparse = bm25_topk(qv.select(F.col("qv").alias("q"), "text"), docs, k=sparse_k,
+    # the keyword variant has the same analysed terms as the original: dedupe
+    sparse = bm25_topk(qv.select(F.col("qv").alias("q"), "text"), docs, k=sparse_k, dedupe=True,
                        id_col=doc_id_col, text_col="text", doc_text_col=doc_text_col,
                        index=bm25_index(docs, corpus=corpus))
     dvec = (doc_vectors if doc_vectors is not None

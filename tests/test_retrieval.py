@@ -170,3 +170,9 @@ def test_persisted_index_matches_one_shot_search(spark, tmp_path):
     again = HybridIndex.build_or_load(spark, str(tmp_path / "idx"), docs.limit(0))  # reused, not rebuilt
     assert again.postings.count() == idx.postings.count()
     assert rows(idx.bm25(q, k=5)) == rows(rt.bm25_topk(q, docs, k=5))
+
+
+def test_bm25_dedupe_equals_plain(spark):
+    q = spark.createDataFrame([(1, "Cat mat"), (2, "the cat, mat!"), (3, "dogs park"), (4, "the")],
+                              "q long, text string")
+    assert rows(rt.bm25_topk(q, _docs(spark), k=3, dedupe=True)) == rows(rt.bm25_topk(q, _docs(spark), k=3))
