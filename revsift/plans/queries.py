@@ -64,7 +64,6 @@ QUERIES = {
 # Sources, preparation, joins, aggregations
 # ==================================================================================
 from ..functions import text as tx  # noqa: E402
-from ..functions.hashing import sha_mod  # noqa: E402
 from ..operators import answers as an  # noqa: E402
 from ..operators import hours as hr  # noqa: E402
 from ..operators import prepare as pp  # noqa: E402
