@@ -24,6 +24,8 @@ class HybridIndex:
     postings: DataFrame          # corpus postings (doc, dl, term, tf, first, stop)
     vectors: DataFrame           # (doc_id, embedding) unit vectors
     docs: DataFrame              # (doc_id, text), read only by plug-in rerankers
+    terms: DataFrame             # (term, df) for BM25, analysed terms only
+    stats: DataFrame             # one row: n_docs, avgdl
     dim: int = DEFAULT_DIM
 
     @classmethod
@@ -35,11 +37,20 @@ class HybridIndex:
         vt = VectorTable(base + "/vectors", dim)
         if recreate or not vt.exists(spark):
             vt.write(hash_embed_from_postings(postings, dim).select(F.col("doc").alias("doc_id"), "embedding"))
+        bm = rt.bm25_postings(None, corpus=postings)
+        terms = build_or_load(spark, base + "/terms", lambda: bm.filter(F.col("term").isNotNull())
+                              .groupBy("term").agg(F.count(F.lit(1)).alias("df")), recreate)
+        stats = build_or_load(spark, base + "/stats", lambda: rt.bm25_corpus_stats(bm), recreate)
         return cls(postings, vt.read(spark), docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                   dim)
+                   terms, stats, dim)
+
+    def bm25_index(self):
+        """(postings, stats, term df): document frequencies are looked up,
+        not re-aggregated, for every query batch."""
+        return rt.bm25_postings(None, corpus=self.postings), self.stats, self.terms
 
     def bm25(self, queries: DataFrame, k: int = rt.SPARSE_TOP_K, **kw) -> DataFrame:
-        return rt.bm25_topk(queries, self.docs, k=k, index=rt.bm25_index(self.docs, corpus=self.postings), **kw)
+        return rt.bm25_topk(queries, self.docs, k=k, index=self.bm25_index(), **kw)
 
     def dense(self, queries: DataFrame, k: int = rt.DENSE_TOP_K) -> DataFrame:
         from .embed import hash_embed
@@ -49,7 +60,8 @@ class HybridIndex:
     def search(self, queries: DataFrame, min_score: float | None = None, rerank_k: int = rt.RERANK_TOP_K,
                scorer=rt.overlap_score) -> DataFrame:
         """Hybrid search over the stored index: (q, rank, doc, score)."""
-        fused = rt.hybrid_candidates(queries, self.docs, doc_vectors=self.vectors, corpus=self.postings)
+        fused = rt.hybrid_candidates(queries, self.docs, doc_vectors=self.vectors, corpus=self.postings,
+                                     bm25=self.bm25_index())
         fused = rt.score_cutoff(fused, min_score)
         qs = queries.select("q", "text")
         if scorer is rt.overlap_score:

@@ -146,17 +146,23 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col:
         qv, _ = broadcast_if_small(qv, max_broadcast_rows)  # bounded by the query terms
         qt = (qt.join(qv, "term").groupBy("q", F.col("stem").alias("term"))
                 .agg(F.sum("qtf").alias("qtf")))
-    postings, stats = index if index is not None else bm25_index(docs, id_col, doc_text_col, stem=stem)
+    if index is None:
+        index = bm25_index(docs, id_col, doc_text_col, stem=stem)
+    postings, stats = index[0], index[1]
+    stored_df = index[2] if len(index) > 2 else None  # (term, df) kept with a persisted index
     postings = postings.filter(F.col("term").isNotNull())
     small = is_small(qt, max_broadcast_rows)
     if small:
         qterms = F.broadcast(qt.select("term").distinct())
-        dfreq = postings.join(qterms, "term", "left_semi").groupBy("term").agg(
-            F.count(F.lit(1)).alias("df"))
+        if stored_df is not None:
+            dfreq = stored_df.join(qterms, "term", "left_semi")
+        else:
+            dfreq = postings.join(qterms, "term", "left_semi").groupBy("term").agg(
+                F.count(F.lit(1)).alias("df"))
         qside = F.broadcast(qt.join(dfreq, "term").join(F.broadcast(stats)))
         m = postings.join(qside, "term")
     else:
-        dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        dfreq = stored_df if stored_df is not None else postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         qside = qt.join(dfreq, "term").join(F.broadcast(stats))
         m = (salted(postings, salt_buckets, F.col("doc"))
              .join(salted(qside, salt_buckets, replicate=True), ["term", "_salt"]))
@@ -439,7 +445,8 @@ def hybrid_candidates(queries: DataFrame, docs: DataFrame, q_col: str = "q", tex
                       doc_id_col: str = "doc_id", doc_text_col: str = "text",
                       dense_k: int = DENSE_TOP_K, sparse_k: int = SPARSE_TOP_K,
                       fusion_k: int = FUSION_TOP_K, dim: int = DEFAULT_DIM,
-                      doc_vectors: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+                      doc_vectors: DataFrame | None = None, corpus: DataFrame | None = None,
+                      bm25=None) -> DataFrame:
     """Dense + BM25 for the original and keyword query, fused by RRF:
     (q, rank, doc, score). ``doc_vectors`` (doc_id, embedding) may come from a
     persisted vector table; otherwise the hashing embedder builds them."""
@@ -450,7 +457,7 @@ def hybrid_candidates(queries: DataFrame, docs: DataFrame, q_col: str = "q", tex
     # the keyword variant has the same analysed terms as the original: dedupe
     sparse = bm25_topk(qv.select(F.col("qv").alias("q"), "text"), docs, k=sparse_k, dedupe=True,
                        id_col=doc_id_col, text_col="text", doc_text_col=doc_text_col,
-                       index=bm25_index(docs, corpus=corpus))
+                       index=bm25 if bm25 is not None else bm25_index(docs, corpus=corpus))
     dvec = (doc_vectors if doc_vectors is not None
             else hash_embed_from_postings(corpus, dim).withColumnRenamed("doc", doc_id_col))
     qvec = hash_embed(qv.select("qv", "text"), "qv", "text", dim)

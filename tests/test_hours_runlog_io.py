@@ -155,3 +155,10 @@ def test_build_or_load_and_recreate_cascade(spark, tmp_path):
     assert len(calls) == 2
     assert sio.recreate_flags(True, False, False) == {"recreate_index": True, "recreate_retrieval_eval": True,
                                                       "recreate_response_eval": True}
+
+
+def test_node_store_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("1:0", 1, 0, "a b", {"biz_name": "X"}, [0.6, 0.8])], sio.NODE_SCHEMA)
+    sio.save_nodes(nodes, str(tmp_path / "n"))
+    back = sio.load_nodes(spark, str(tmp_path / "n"))
+    assert back.schema == sio.NODE_SCHEMA and back.first().metadata == {"biz_name": "X"}
