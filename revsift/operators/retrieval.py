@@ -172,20 +172,107 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col:
     return m.groupBy("q", "doc").agg(F.sum(contrib).alias("score"))
 
 
+def _bm25_contrib(k1: float, b: float) -> Column:
+    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
+    return F.col("qtf") * idf * F.col("tf") * F.lit(k1 + 1.0) / norm
+
+
+def bm25_topk_pruned(queries: DataFrame, docs: DataFrame, k: int = SPARSE_TOP_K, q_col: str = "q",
+                     text_col: str = "text", id_col: str = "doc_id", doc_text_col: str = "text",
+                     k1: float = BM25_K1, b: float = BM25_B, index=None, rare_fraction: float = 0.1,
+                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, margin: float = 1e-6,
+                     with_status: bool = False):
+    """Exact BM25 top-k with MaxScore-style pruning (Turtle & Flood 1995).
+
+    1. Per query term: df and an upper bound ub = qtf * idf * max over
+       postings of tf(k1+1)/(tf + k1(1-b+b dl/avgdl)), in one pass over the
+       postings of the query terms (the query side is small and checked).
+    2. Candidates = documents holding at least one of the query's *rare*
+       terms (df <= rare_fraction * N); they are scored exactly (all terms).
+    3. A document outside the candidates holds only common terms, so its
+       score is at most U = sum of the common terms' ub. When the query has
+       k candidates and U < (k-th candidate score) - margin, no such document
+       can enter the top k: the candidates' top k is the exact answer.
+    4. Queries failing the test are scored exhaustively, and only they.
+    Common terms never expand into per-document rows for settled queries."""
+    qt = query_terms(queries, q_col, text_col)
+    if not is_small(qt, max_broadcast_rows):
+        raise ValueError("pruned BM25 needs a query batch under the broadcast bound")
+    if index is None:
+        index = bm25_index(docs, id_col, doc_text_col)
+    postings, stats = index[0], index[1]
+    postings = postings.filter(F.col("term").isNotNull())
+    weight = F.col("tf") * F.lit(k1 + 1.0) / (
+        F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
+    qterms = F.broadcast(qt.select("term").distinct())
+    tw = (postings.join(qterms, "term", "left_semi").join(F.broadcast(stats))
+                  .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(weight).alias("maxw")))
+    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    # the query side: one row per (query, term), bounded by the checked batch
+    qside = cut_lineage(qt.join(tw, "term").join(F.broadcast(stats))
+                          .withColumn("ub", F.col("qtf") * idf * F.col("maxw"))
+                          .withColumn("rare", F.col("df") <= F.col("n_docs") * F.lit(rare_fraction)))
+    qs = qside.drop("maxw", "ub", "rare")
+    contrib = _bm25_contrib(k1, b)
+    cand = (postings.join(F.broadcast(qside.filter("rare").select("q", "term")), "term")
+                    .select("q", "doc").distinct())
+    # postings of the candidate documents only, then exact scores for them
+    cdocs = cand.select("doc").distinct()
+    pc = postings.join(cdocs, "doc", "left_semi")
+    sc = (pc.join(F.broadcast(qs.drop("n_docs", "avgdl")).join(F.broadcast(stats)), "term")
+            .groupBy("q", "doc").agg(F.sum(contrib).alias("score"))
+            .join(cand, ["q", "doc"], "left_semi"))
+    topc = ranked_top_k(sc, ["q"], "score", "doc", k)
+    kth = topc.groupBy("q").agg(F.count(F.lit(1)).alias("n_c"),
+                                F.min(F.round("score", SCORE_DIGITS)).alias("theta"))
+    u = qside.filter(~F.col("rare")).groupBy("q").agg(F.sum("ub").alias("u"))
+    status = (qside.select("q").distinct().join(kth, "q", "left").join(u, "q", "left")
+                   .withColumn("safe", (F.col("n_c") >= k)
+                               & (F.coalesce(F.col("u"), F.lit(0.0)) < F.col("theta") - F.lit(margin))))
+    safe_q = F.broadcast(status.filter(F.col("safe")).select("q"))      # <= queries in the batch
+    unsafe_q = F.broadcast(status.filter(~F.coalesce(F.col("safe"), F.lit(False))).select("q"))
+    settled = topc.join(safe_q, "q", "left_semi")
+    rest = qs.join(unsafe_q, "q", "left_semi")
+    full = (postings.join(F.broadcast(rest), "term")
+                    .groupBy("q", "doc").agg(F.sum(contrib).alias("score")))
+    full_top = ranked_top_k(full, ["q"], "score", "doc", k)
+    out = settled.select("q", "rank", "doc", "score").unionByName(full_top.select("q", "rank", "doc", "score"))
+    out = out.select("q", "rank", "doc", F.round("score", SCORE_DIGITS).alias("score"))
+    return (out, status) if with_status else out
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = SPARSE_TOP_K, q_col: str = "q",
-              text_col: str = "text", dedupe: bool = False, **kw) -> DataFrame:
+              text_col: str = "text", dedupe: bool = False, prune: bool | None = None,
+              prune_min_rows: int = 50_000_000, **kw) -> DataFrame:
     """(q, rank, doc, score) top-k BM25 per query.
 
     BM25 depends only on the query's analysed terms. With ``dedupe`` each
     distinct analysed query is scored once, under the smallest id that has
     it, and its (at most k) results are joined back to every query sharing
-    it: worth it when a batch repeats queries."""
+    it: worth it when a batch repeats queries.
+
+    ``prune=True`` uses the exact MaxScore path (``bm25_topk_pruned``).
+    ``prune=None`` decides from stored document frequencies (a persisted
+    index): pruning when the exhaustive plan would emit more than
+    ``prune_min_rows`` (query, document, term) contributions."""
     if dedupe:
         keyed = queries.select(F.col(q_col).alias("q"), F.array_join(analysed_tokens(text_col), " ").alias("_key"))
         reps = keyed.groupBy("_key").agg(F.min("q").alias("_rep"))
         qmap = keyed.join(reps, "_key").select("q", "_rep")
-        res = bm25_topk(reps.select(F.col("_rep").alias("q"), F.col("_key").alias("text")), docs, k=k, **kw)
+        res = bm25_topk(reps.select(F.col("_rep").alias("q"), F.col("_key").alias("text")), docs, k=k,
+                        prune=prune, prune_min_rows=prune_min_rows, **kw)
         return qmap.join(res.withColumnRenamed("q", "_rep"), "_rep").select("q", "rank", "doc", "score")
+    index = kw.get("index")
+    if prune is None and index is not None and len(index) > 2 and not kw.get("stem"):
+        qt = query_terms(queries, q_col, text_col)
+        if is_small(qt, kw.get("max_broadcast_rows", DEFAULT_BROADCAST_ROWS)):
+            est = qt.join(index[2], "term").agg(F.sum("df").alias("n")).first()["n"] or 0
+            prune = est > prune_min_rows
+    if prune:
+        kw2 = {x: v for x, v in kw.items() if x in ("id_col", "doc_text_col", "k1", "b", "index",
+                                                  "max_broadcast_rows")}
+        return bm25_topk_pruned(queries, docs, k=k, q_col=q_col, text_col=text_col, **kw2)
     s = bm25_scores(queries, docs, q_col=q_col, text_col=text_col, **kw)
     out = ranked_top_k(s, ["q"], "score", "doc", k)
     return out.select("q", "rank", "doc", F.round("score", SCORE_DIGITS).alias("score"))

@@ -176,3 +176,15 @@ def test_bm25_dedupe_equals_plain(spark):
     q = spark.createDataFrame([(1, "Cat mat"), (2, "the cat, mat!"), (3, "dogs park"), (4, "the")],
                               "q long, text string")
     assert rows(rt.bm25_topk(q, _docs(spark), k=3, dedupe=True)) == rows(rt.bm25_topk(q, _docs(spark), k=3))
+
+
+def test_pruned_bm25_equals_exhaustive(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id AS q", "text")
+    q = q.unionByName(spark.createDataFrame([(900, "the of"), (901, "zzzunknown")], "q long, text string"))
+    a = rows(rt.bm25_topk(q, docs, k=10, prune=True))
+    b = rows(rt.bm25_topk(q, docs, k=10, prune=False))
+    assert a == b and len(a) > 0
+    # a generous rare fraction settles most queries through candidates only
+    c = rows(rt.bm25_topk_pruned(q, docs, k=10, rare_fraction=0.5))
+    assert c == b
