@@ -127,11 +127,17 @@ def availability_range(requests: DataFrame, hours_rows: DataFrame, id_col: str =
     return j.withColumn("hour", hour_label("_t")).drop("_t", "is_open")
 
 
-def availability_json(rows: DataFrame, key_cols: list, label_col: str = "hour", ok_col: str = "ok") -> DataFrame:
+def availability_json(rows: DataFrame, key_cols: list, label_col: str = "hour", ok_col: str = "ok",
+                      requests: DataFrame | None = None) -> DataFrame:
     """per request, an ordered JSON object label -> bool. Bounded by the
-    request's hour range."""
+    request's hour range. With ``requests``, a request whose range is empty
+    gets ``{}``."""
     g = rows.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct(label_col, ok_col))).alias("_e"))
-    return g.select(*key_cols, F.to_json(F.map_from_entries("_e")).alias("availability"))
+    out = g.select(*key_cols, F.to_json(F.map_from_entries("_e")).alias("availability"))
+    if requests is not None:
+        out = (requests.select(*key_cols).join(out, key_cols, "left")
+                       .withColumn("availability", F.coalesce(F.col("availability"), F.lit("{}"))))
+    return out
 
 
 # X4 -------------------------------------------------------------------------------

@@ -242,7 +242,30 @@ fin AS (SELECT q, chosen FROM (SELECT q, chosen, row_number() OVER (PARTITION BY
 SELECT q, CAST(generate_subscripts(chosen, 1) AS INTEGER) AS rank, unnest(chosen) AS vec_id FROM fin"""
 
 
+AVAIL_ROWS = f"""WITH {HOURS},
+  r AS (SELECT event_id, user_id, 1 + event_id % 8 AS pax,
+          unnest(generate_series(ts, ts + to_hours(event_id % 6 - 1), INTERVAL 1 HOUR)) AS t FROM events),
+  ar AS (SELECT r.event_id, strftime(r.t, '%Y-%m-%d %H:00') AS hour,
+           {_avail('r.t')} AND {slot_sql('r.user_id', 'r.t')} >= r.pax AS ok
+         FROM r LEFT JOIN hours h ON h.business_id = r.user_id AND h.day = dayname(r.t))"""
+
+PAIR_SIM = ("WITH qr AS (" + QRELS_TEXT + "),"
+            + hash_sparse_ctes("benchmark", "item_id", "text", "hq_") + ","
+            + hash_sparse_ctes("documents", "doc_id", "text", "hd_") + """,
+dp AS (SELECT qr.q, qr.doc, sum(a.weight * b.weight) AS s
+       FROM qr JOIN hq_w a ON a.id = qr.q JOIN hd_w b ON b.id = qr.doc AND b.bucket = a.bucket
+       GROUP BY qr.q, qr.doc)
+SELECT qr.q AS item_id, qr.doc AS doc_id, round(coalesce(dp.s, 0.0), 6) AS cos
+FROM qr LEFT JOIN dp ON dp.q = qr.q AND dp.doc = qr.doc""")
+
 ORACLE_MORE = {
+    "availability_json": AVAIL_ROWS + """
+SELECT e.event_id, coalesce(j.availability, '{}') AS availability FROM events e LEFT JOIN (
+  SELECT event_id, CAST(to_json(map_from_entries(list({'k': hour, 'v': ok} ORDER BY hour))) AS VARCHAR) AS availability
+  FROM ar GROUP BY event_id) j ON j.event_id = e.event_id""",
+    "pair_similarity": PAIR_SIM,
+    "score_table": f"""SELECT doc_id, CAST(relevancy AS DOUBLE) AS relevancy, CAST(correctness AS DOUBLE) AS correctness
+  FROM {_SCORES}""",
     "mmr_topk": MMR,
     "dense_topk": dense_sql(),
     "filtered_dense": dense_sql("AND y.label >= 2 AND y.label < 7"),

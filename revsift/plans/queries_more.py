@@ -275,7 +275,41 @@ def q_availability_range(spark, d):
     return out.select("event_id", "hour", "ok")
 
 
+def q_availability_json(spark, d):
+    r = _requests(spark, d)
+    r = r.select("event_id", "business_id", "pax", F.col("ts").alias("start"),
+                 (F.col("ts") + F.make_dt_interval(hours=F.pmod(F.col("event_id"), F.lit(6)) - 1)).alias("end"))
+    rows_ = hr.availability_range(r, hr.parse_hours(supplier_hours(spark, d)))
+    return hr.availability_json(rows_, ["event_id"], requests=r)
+
+
+def q_pair_similarity(spark, d):
+    """E10 sanity score: each passage against the document containing it,
+    under the hashing embedder (each text embedded once, then joined)."""
+    bench, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
+    pairs = ev.passage_qrels(bench, docs)
+    qv = hash_embed(bench, "item_id", "text", vector_col="qv").withColumnRenamed("item_id", "q")
+    dv = hash_embed(docs, "doc_id", "text", vector_col="dv").withColumnRenamed("doc_id", "doc")
+    j = pairs.join(qv, "q", "left").join(dv, "doc", "left")
+    return j.select(F.col("q").alias("item_id"), F.col("doc").alias("doc_id"),
+                    F.round(F.coalesce(rt.dot(F.col("qv"), F.col("dv")), F.lit(0.0)), 6).alias("cos"))
+
+
+def q_score_table(spark, d):
+    from .queries import _scores
+    s = _scores(spark, d)
+    long_ = ev.stack_scores(
+        s.select(F.col("doc_id").alias("example_id"), F.lit("relevancy").alias("metric"),
+                 F.col("relevancy").cast("double").alias("score")),
+        s.select(F.col("doc_id").alias("example_id"), F.lit("correctness").alias("metric"),
+                 F.col("correctness").cast("double").alias("score")))
+    return ev.score_table(long_, ["relevancy", "correctness"]).withColumnRenamed("example_id", "doc_id")
+
+
 QUERIES_MORE = {
+    "availability_json": q_availability_json,
+    "pair_similarity": q_pair_similarity,
+    "score_table": q_score_table,
     "dense_topk": q_dense_topk,
     "filtered_dense": q_filtered_dense,
     "score_cutoff": q_score_cutoff,
