@@ -188,3 +188,13 @@ def test_pruned_bm25_equals_exhaustive(spark):
     # a generous rare fraction settles most queries through candidates only
     c = rows(rt.bm25_topk_pruned(q, docs, k=10, rare_fraction=0.5))
     assert c == b
+
+
+def test_persisted_index_auto_prunes_exactly(spark, tmp_path):
+    from revsift.operators.index import HybridIndex
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id AS q", "text")
+    idx = HybridIndex.build_or_load(spark, str(tmp_path / "idx"), docs)
+    auto = rows(idx.bm25(q, k=10, prune_min_rows=0))      # estimate > 0 -> pruned path
+    plain = rows(idx.bm25(q, k=10, prune=False))
+    assert auto == plain == rows(rt.bm25_topk(q, docs, k=10))
