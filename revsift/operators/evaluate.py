@@ -82,17 +82,19 @@ def passage_qrels(queries: DataFrame, docs: DataFrame, q_col: str = "item_id", q
     q = queries.select(F.col(q_col).cast("long").alias("q"), F.col(q_text).alias("_p")).filter(
         F.length("_p") > 0)
     d = spread(docs.select(F.col(doc_id_col).cast("long").alias("doc"), F.col(doc_text).alias("_t")))
-    if is_small(q, max_broadcast_rows):
-        blocks = [q]
+    auto = _has_ahocorasick() if use_automaton is None else use_automaton
+    # with the automaton, one job both checks the bound and fetches the passages
+    first = q.limit(max_broadcast_rows + 1).collect() if auto else None
+    if (first is not None and len(first) <= max_broadcast_rows) or (first is None and is_small(q, max_broadcast_rows)):
+        blocks = [first if first is not None else q]
     else:
         n_blocks = -(-q.count() // max_broadcast_rows) * 2
         blocks = [q.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
-    auto = _has_ahocorasick() if use_automaton is None else use_automaton
     spark = docs.sparkSession
     out = None
     for blk in blocks:
         if auto:
-            rows = blk.collect()  # size-checked: at most max_broadcast_rows passages
+            rows = blk if isinstance(blk, list) else blk.collect()  # each block is at most the bound
             if not rows:
                 continue
             owners: dict = {}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import analysed_tokens, drop_stop_words, keyword_text, stop_array, tokens
-from .distributed import (DEFAULT_BROADCAST_ROWS, bounded_count, broadcast_if_small, cut_lineage, is_small, salted,
+from .distributed import (DEFAULT_BROADCAST_ROWS, broadcast_if_small, cut_lineage, is_small, salted,
                           spread, top_k_per_group)
 from .embed import DEFAULT_DIM, hash_embed, hash_embed_from_postings
 
@@ -353,9 +353,10 @@ def dense_scores_blocked(queries: DataFrame, corpus: DataFrame, k: int, q_col: s
     spark = queries.sparkSession
     qv = queries.select(F.col(q_col).cast("long").alias("q"), F.col(vec_col).alias("v")).filter(
         F.col("v").isNotNull())
-    n_q = bounded_count(qv, max_broadcast_rows)
-    if n_q <= max_broadcast_rows:
-        blocks = [qv]
+    # one job both checks the bound and fetches the query matrix when it fits
+    first = qv.limit(max_broadcast_rows + 1).collect()
+    if len(first) <= max_broadcast_rows:
+        blocks = [first]
     else:
         n_total = qv.count()
         n_blocks = -(-n_total // max_broadcast_rows) * 2  # hash blocks are uneven
@@ -363,7 +364,7 @@ def dense_scores_blocked(queries: DataFrame, corpus: DataFrame, k: int, q_col: s
     c = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col))
     parts = []
     for blk in blocks:
-        rows = blk.collect()  # size-checked above: at most max_broadcast_rows
+        rows = blk if isinstance(blk, list) else blk.collect()  # each block is at most the bound
         if not rows:
             continue
         q_ids = np.array([r["q"] for r in rows], dtype=np.int64)
