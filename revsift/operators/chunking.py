@@ -87,10 +87,12 @@ def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = S.join(sv, ["doc", "i"], "left").select("doc", "n", "i", "s", vec.alias("v"))
     w = Window.partitionBy("doc").orderBy("i")
     g = sent.select("doc", "n", "i", "s",
-                    _add3(F.lag("v", 1).over(w), F.col("v"), F.lead("v", 1).over(w), dim).alias("g_here"),
-                    _add3(F.col("v"), F.lead("v", 1).over(w), F.lead("v", 2).over(w), dim).alias("g_next"))
-    # g_next is the group of i+1 only when i+1 exists (i < n-1)
-    nl, nr = _idot(F.col("g_here"), F.col("g_here")), _idot(F.col("g_next"), F.col("g_next"))
+                    _add3(F.lag("v", 1).over(w), F.col("v"), F.lead("v", 1).over(w), dim).alias("g_here"))
+    g = g.withColumn("nl", _idot(F.col("g_here"), F.col("g_here")))
+    # group i+1 and its squared norm are the next row's (same window, no
+    # recomputation); they exist only when i < n-1
+    g = g.withColumn("g_next", F.lead("g_here", 1).over(w)).withColumn("nr", F.lead("nl", 1).over(w))
+    nl, nr = F.col("nl"), F.col("nr")
     cos = F.when((nl > 0) & (nr > 0),
                  _idot(F.col("g_here"), F.col("g_next")).cast("double")
                  / (F.sqrt(nl.cast("double")) * F.sqrt(nr.cast("double")))).otherwise(F.lit(0.0))
