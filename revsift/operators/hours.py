@@ -48,10 +48,17 @@ def hour_label(col) -> Column:
     return F.date_format(_c(col), HOUR_LABEL)
 
 
+def iso_micros(col) -> Column:
+    """ISO text with a microsecond fraction only when it is non-zero."""
+    c = _c(col)
+    return F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, ISO_FORMAT)).otherwise(
+        F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def now_label() -> Column:
     """current local time as ISO text plus `` (Weekday)``."""
     ts = F.localtimestamp()
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(" ("), weekday(ts), F.lit(")"))
+    return F.concat(iso_micros(ts), F.lit(" ("), weekday(ts), F.lit(")"))
 
 
 # V1 / F10 -------------------------------------------------------------------------
@@ -154,6 +161,8 @@ def register_functions(spark: SparkSession) -> list:
               f"RETURNS INT RETURN CASE WHEN pmod({seed}, 5) = 0 THEN 0 "
               f"ELSE CAST(1 + pmod(floor({seed} / 5), 10) AS INT) END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION now_label() RETURNS STRING RETURN "
-              "concat(date_format(localtimestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), ' (', "
+              "concat(CASE WHEN date_format(localtimestamp(), 'SSSSSS') = '000000' "
+              "THEN date_format(localtimestamp(), \"yyyy-MM-dd'T'HH:mm:ss\") "
+              "ELSE date_format(localtimestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") END, ' (', "
               "date_format(localtimestamp(), 'EEEE'), ')')")
     return ["is_open_hour", "slot_count", "now_label"]
