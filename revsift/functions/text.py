@@ -17,9 +17,10 @@ SENTENCE_PATTERN = r"[^.!?\n]+[.!?\n]*"
 # English stop words dropped by the keyword query and the BM25 analyser.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for",
               "is", "are", "that", "with", "as", "was", "it")
-# ASCII punctuation (the 32 characters ! through ~ that are not letters or
-# digits), as one character class: !"#$%&'()*+,-./ :;<=>?@ [\]^_` {|}~
-PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
+# ASCII punctuation, each replaced by "_" in keys:
+PUNCTUATION = """!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
+# (the regex character class below is built from that string, each character escaped)
+PUNCT_CLASS = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
 # ----------------------------------------------------------------------------
 
 

@@ -115,7 +115,9 @@ SELECT q AS item_id, rank, doc AS doc_id, round(score, 6) AS score FROM {topk('s
 # Sources, preparation, joins, aggregations
 # ==================================================================================
 NL = "chr(10)"
-PUNCT_RE = r"[!-/:-@\[-`{-~]"
+from ..functions.text import PUNCT_CLASS  # noqa: E402  (the same plain punctuation list)
+
+PUNCT_RE = PUNCT_CLASS.replace("'", "''")  # as the body of a SQL string literal
 
 
 def sha_mod_sql(x: str, m: int = 10 ** 8) -> str:

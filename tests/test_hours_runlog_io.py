@@ -166,3 +166,13 @@ def test_node_store_round_trip(spark, tmp_path):
     sio.save_nodes(nodes, str(tmp_path / "n"))
     back = sio.load_nodes(spark, str(tmp_path / "n"))
     assert back.schema == sio.NODE_SCHEMA and back.first().metadata == {"biz_name": "X"}
+
+
+def test_depunct_and_to_number(spark):
+    import string
+
+    from revsift.functions.text import depunct, to_number
+    df = spark.createDataFrame([(string.punctuation + "aZ9 é",)], "s string")
+    assert df.select(depunct("s").alias("x")).first().x == "_" * 32 + "aZ9 é"
+    nums = spark.createDataFrame([("12",), (" 3.5 ",), ("abc",), (None,)], "s string")
+    assert [r.v for r in nums.select(to_number("s").alias("v")).collect()] == [12.0, 3.5, None, None]
