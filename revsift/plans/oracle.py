@@ -6,11 +6,11 @@ correctness oracle, not an execution path.
 
 from __future__ import annotations
 
-# --- fixed values shared with revsift.functions.text --------------------------
-STOP_LIST = ("['the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'on', 'for', "
-             "'is', 'are', 'that', 'with', 'as', 'was', 'it']")
-TOKENS = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
-# -------------------------------------------------------------------------------
+from ..functions.text import STOP_WORDS, TOKEN_PATTERN
+
+# the fixed values of revsift.functions.text, as SQL
+STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+TOKENS = "regexp_extract_all(lower({x}), '" + TOKEN_PATTERN.replace("{", "{{").replace("}", "}}") + "')"
 
 
 def tok(x: str) -> str:

@@ -7,7 +7,9 @@ import re
 from ..operators.answers import DEFAULT_QA_TEMPLATE
 from .oracle import BENCH_Q, NL, QRELS_TEXT, SEED_SQL, atok, bm25_ctes, hexint, retrieval_metrics_sql, tok, topk
 
-SENT_RE = r"[^.!?\n]+[.!?\n]*"
+from ..functions.text import SENTENCE_PATTERN  # noqa: E402
+
+SENT_RE = SENTENCE_PATTERN
 
 
 def sql_str(s: str) -> str:
