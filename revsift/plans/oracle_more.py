@@ -169,18 +169,31 @@ def _render_sql(template: str, values: dict) -> str:
     return " || ".join(out)
 
 
-REFERENCE = f"""WITH h AS (SELECT l.l_orderkey AS q,
+def reference_sql(min_score: float | None = None) -> str:
+    """Reference blocks per order (ranks assigned before the score filter)."""
+    cond = "" if min_score is None else f"WHERE score >= {float(min_score)!r}"
+    return f"""WITH h AS (SELECT l.l_orderkey AS q, l.l_extendedprice AS score,
     row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS r,
     coalesce(p.p_name, 'None') AS g,
     coalesce(d.text, '') || ' (Review ID: <REVIEW_ID>' || coalesce(CAST(l.l_suppkey AS VARCHAR), 'None') || '</REVIEW_ID>)' AS p0
   FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN documents d ON d.doc_id = l.l_suppkey),
 h2 AS (SELECT q, r, g, CASE WHEN length(p0) >= 1000 THEN {NL} || {NL} || '> ...' || substr(p0, 1, 1000) || '...'
-                            ELSE {NL} || {NL} || '> ' || p0 END AS p FROM h),
+                            ELSE {NL} || {NL} || '> ' || p0 END AS p FROM h {cond}),
 grp AS (SELECT q, g, min(r) AS first, string_agg(p, '' ORDER BY r) AS ps FROM h2 GROUP BY q, g)
 SELECT q AS item_id, {NL} || '#### Referenced Paragraphs' || {NL}
   || string_agg('**' || g || '**' || ps || {NL} || {NL}, '' ORDER BY first) || {NL} || '    ' AS block
 FROM grp GROUP BY q"""
 
+
+REFERENCE = reference_sql()
+
+APPEND = f"""WITH blocks AS ({reference_sql(30000.0)})
+SELECT o.o_orderkey AS item_id,
+  CASE WHEN b.block IS NULL THEN 'Order status ' || o.o_orderstatus || ', priority ' || o.o_orderpriority
+       ELSE {NL} || 'Order status ' || o.o_orderstatus || ', priority ' || o.o_orderpriority || {NL} || {NL}
+            || b.block || {NL} END AS response
+FROM orders o LEFT JOIN blocks b ON b.item_id = o.o_orderkey"""
+
 _SCORES = """(SELECT d.doc_id, l.quality AS relevancy, 1 - l.toxic AS correctness
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
@@ -261,6 +274,7 @@ SELECT qr.q AS item_id, qr.doc AS doc_id, round(coalesce(dp.s, 0.0), 6) AS cos
 FROM qr LEFT JOIN dp ON dp.q = qr.q AND dp.doc = qr.doc""")
 
 ORACLE_MORE = {
+    "append_references": APPEND,
     "availability_json": AVAIL_ROWS + """
 SELECT e.event_id, coalesce(j.availability, '{}') AS availability FROM events e LEFT JOIN (
   SELECT event_id, CAST(to_json(map_from_entries(list({'k': hour, 'v': ok} ORDER BY hour))) AS VARCHAR) AS availability

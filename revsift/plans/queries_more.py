@@ -306,7 +306,22 @@ def q_score_table(spark, d):
     return ev.score_table(long_, ["relevancy", "correctness"]).withColumnRenamed("example_id", "doc_id")
 
 
+REF_MIN_SCORE = 30000.0  # same threshold in the SQL twin
+
+
+def q_append_references(spark, d):
+    """Each order's answer text followed by its referenced paragraphs
+    (line items scoring at least REF_MIN_SCORE); unchanged when none do."""
+    o = _t(spark, d, "orders")
+    answers = o.select(F.col("o_orderkey").alias("q"),
+                       F.concat(F.lit("Order status "), F.col("o_orderstatus"), F.lit(", priority "),
+                                F.col("o_orderpriority")).alias("response"))
+    blocks = an.reference_block(_lineitem_hits(spark, d), min_score=REF_MIN_SCORE)
+    return an.append_references(answers, blocks).select(F.col("q").alias("item_id"), "response")
+
+
 QUERIES_MORE = {
+    "append_references": q_append_references,
     "availability_json": q_availability_json,
     "pair_similarity": q_pair_similarity,
     "score_table": q_score_table,
