@@ -274,6 +274,11 @@ SELECT qr.q AS item_id, qr.doc AS doc_id, round(coalesce(dp.s, 0.0), 6) AS cos
 FROM qr LEFT JOIN dp ON dp.q = qr.q AND dp.doc = qr.doc""")
 
 ORACLE_MORE = {
+    "examples_from_pairs": """SELECT conv_id * 100000 + turn AS example_id, text AS query, nt AS reference_answer,
+  CAST(0 AS INTEGER) AS n_contexts, 'human' AS query_by
+  FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND nr = 'assistant' AND nt IS NOT NULL""",
     "append_references": APPEND,
     "availability_json": AVAIL_ROWS + """
 SELECT e.event_id, coalesce(j.availability, '{}') AS availability FROM events e LEFT JOIN (

@@ -320,7 +320,19 @@ def q_append_references(spark, d):
     return an.append_references(answers, blocks).select(F.col("q").alias("item_id"), "response")
 
 
+def q_examples_from_pairs(spark, d):
+    """Human question/answer pairs (a user turn and the assistant reply
+    that follows it) as curated examples: empty contexts, provenance human."""
+    pairs = an.pair_turns(_t(spark, d, "conversations")).filter(F.col("reply_text").isNotNull())
+    ex = ev.examples_from_pairs(pairs.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"),
+                                             F.col("user_text").alias("query"),
+                                             F.col("reply_text").alias("reference_answer")), id_col="id")
+    return ex.select("example_id", "query", "reference_answer",
+                     F.size("reference_contexts").alias("n_contexts"), "query_by")
+
+
 QUERIES_MORE = {
+    "examples_from_pairs": q_examples_from_pairs,
     "append_references": q_append_references,
     "availability_json": q_availability_json,
     "pair_similarity": q_pair_similarity,
