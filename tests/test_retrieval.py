@@ -15,13 +15,14 @@ def _docs(spark):
     return spark.createDataFrame(DOCS, "doc_id long, text string")
 
 
-def _bm25_reference(queries, docs, k1=1.5, b=0.75, stop=None):
+def _bm25_reference(queries, docs, k1=1.5, b=0.75, stop=None, stem=None):
     """Brute-force BM25 in plain Python (the definition, not the plan)."""
     import re
     stop = set(stop or [])
 
     def toks(t):
-        return [w for w in re.findall(r"[^\W_]+", t.lower()) if w not in stop]
+        words = [w for w in re.findall(r"[^\W_]+", t.lower()) if w not in stop]
+        return [stem(w) for w in words] if stem else words
     dt = {d: toks(t) for d, t in docs}
     n = len(dt)
     avgdl = sum(len(v) for v in dt.values()) / n
@@ -198,3 +199,14 @@ def test_persisted_index_auto_prunes_exactly(spark, tmp_path):
     auto = rows(idx.bm25(q, k=10, prune_min_rows=0))      # estimate > 0 -> pruned path
     plain = rows(idx.bm25(q, k=10, prune=False))
     assert auto == plain == rows(rt.bm25_topk(q, docs, k=10))
+
+
+def test_stemmed_bm25_matches_brute_force(spark):
+    from revsift.functions.stem import porter
+    from revsift.functions.text import STOP_WORDS
+    docs = DOCS + [(6, "Running runners ran; the cats are running.")]
+    queries = [(20, "running cat"), (21, "runs"), (22, "the")]
+    q = spark.createDataFrame(queries, "q long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.q, r.doc): r.score for r in rt.bm25_topk(q, d, k=50, stem=True).collect()}
+    assert got == _bm25_reference(queries, docs, stop=STOP_WORDS, stem=porter)
