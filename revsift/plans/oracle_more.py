@@ -274,6 +274,8 @@ SELECT qr.q AS item_id, qr.doc AS doc_id, round(coalesce(dp.s, 0.0), 6) AS cos
 FROM qr LEFT JOIN dp ON dp.q = qr.q AND dp.doc = qr.doc""")
 
 ORACLE_MORE = {
+    "sql_functions": f"""SELECT event_id, CAST({slot_sql('user_id', 'ts')} AS INTEGER) AS slots,
+  coalesce(user_id % 12 <= hour(ts) AND hour(ts) < user_id % 12 + 8, false) AS open_flag FROM events""",
     "examples_from_pairs": """SELECT conv_id * 100000 + turn AS example_id, text AS query, nt AS reference_answer,
   CAST(0 AS INTEGER) AS n_contexts, 'human' AS query_by
   FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations

@@ -338,7 +338,20 @@ def q_bm25_stemmed(spark, d):
     return out.select(F.col("q").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
+def q_sql_functions(spark, d):
+    """The registered SQL functions called from Spark SQL over events
+    (slot count per request; an opening rule derived from the user id)."""
+    hr.register_functions(spark)
+    _t(spark, d, "events").createOrReplaceTempView("revsift_events")
+    return spark.sql("""
+        SELECT event_id,
+               slot_count(CAST(user_id AS STRING), ts) AS slots,
+               is_open_hour(CAST(user_id % 12 AS INT), CAST(user_id % 12 + 8 AS INT), hour(ts)) AS open_flag
+        FROM revsift_events""")
+
+
 QUERIES_MORE = {
+    "sql_functions": q_sql_functions,
     "bm25_stemmed": q_bm25_stemmed,
     "examples_from_pairs": q_examples_from_pairs,
     "append_references": q_append_references,
