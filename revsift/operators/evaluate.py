@@ -232,13 +232,14 @@ def compare_reports(reports: dict) -> DataFrame:
 
 # E6 --------------------------------------------------------------------------------
 def retrieval_errors(per_query: DataFrame, ranked: DataFrame, n_show: int = 10,
-                     q_col: str = "q") -> DataFrame:
+                     q_col: str = "q", id_col: str = "doc") -> DataFrame:
     """Rows with hit_rate < 1 with their first ``n_show`` retrieved ids (in
     rank order, comma-joined), sorted by hit_rate then id."""
     firsts = (ranked.filter(F.col("rank") <= n_show)
                     .groupBy(F.col("q").alias(q_col))
-                    .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))),
-                                                  lambda s: s["id"].cast("string")), ",").alias("retrieved")))
+                    .agg(F.array_join(F.transform(
+                        F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col(id_col).alias("_id")))),
+                        lambda s: s["_id"].cast("string")), ",").alias("retrieved")))
     err = per_query.filter(F.col("hit_rate") < 1)
     return (err.join(firsts, q_col, "left")
                .orderBy(F.col("hit_rate").asc_nulls_last(), F.col(q_col).asc_nulls_last()))

@@ -217,7 +217,7 @@ def q_retrieval_errors(spark, d):
     qrels = ev.passage_qrels(bench, docs).withColumnRenamed("doc", "id")
     per_q = ev.retrieval_metrics(bench.select(F.col("item_id").alias("q")), ranked, qrels, k=rt.DENSE_TOP_K,
                                  id_col="id")
-    err = ev.retrieval_errors(per_q, ranked)
+    err = ev.retrieval_errors(per_q, ranked, id_col="id")
     return err.select(F.col("q").alias("item_id"), "hit_rate", "mrr", "retrieved")
 
 
