@@ -233,16 +233,23 @@ def sample_with_replacement(df: DataFrame, n: int, key: str, seed: int = 42) ->
 
 
 # T5 / J3 / U3 ----------------------------------------------------------------------
-def split_by_group(df: DataFrame, key: str, ratio: float = 0.7, seed: int = 42):
-    """Group split: distinct keys in ``md5(seed ':' key)`` order, the first
-    floor(ratio * n) go to train. Exact global ranks come from range
-    partitioning (no single-task sort or window); rows follow their key by a
-    semi / anti join."""
+def assign_split(df: DataFrame, key: str, ratio: float = 0.7, seed: int = 42,
+                 side_col: str = "side") -> DataFrame:
+    """Group split as a column: distinct keys in ``md5(seed ':' key)`` order,
+    the first floor(ratio * n) are ``train``, the rest ``val`` (NULL keys are
+    ``val``). Exact global ranks come from range partitioning (no single-task
+    sort or window); rows get their side through one join on the key."""
     keys = df.select(key).distinct().filter(F.col(key).isNotNull())
     ranked = global_rank(keys.withColumn("_h", seeded_md5(seed, F.col(key))), [F.col("_h"), F.col(key)])
-    n = keys.agg(F.count(F.lit(1)).alias("_n"))
-    cut = ranked.join(F.broadcast(n)).withColumn("_train", F.col("_rank") <= F.floor(F.col("_n") * F.lit(ratio)))
-    train_keys = cut.filter("_train").select(key)
-    train = df.join(train_keys, key, "left_semi")
-    val = df.join(train_keys, key, "left_anti")
-    return train, val
+    n = keys.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    sides = ranked.join(F.broadcast(n)).select(
+        key, F.when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(ratio)), F.lit("train")).otherwise(F.lit("val"))
+             .alias(side_col))
+    return df.join(sides, key, "left").withColumn(side_col, F.coalesce(F.col(side_col), F.lit("val")))
+
+
+def split_by_group(df: DataFrame, key: str, ratio: float = 0.7, seed: int = 42):
+    """(train, val): no group on both sides (see ``assign_split``)."""
+    tagged = assign_split(df, key, ratio, seed, "_side")
+    return (tagged.filter(F.col("_side") == "train").drop("_side"),
+            tagged.filter(F.col("_side") == "val").drop("_side"))

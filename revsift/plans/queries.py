@@ -288,9 +288,7 @@ def q_sample_repl(spark, d):
 
 def q_group_split(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
-    train, val = pp.split_by_group(o, "o_custkey", 0.7, SAMPLE_SEED)
-    return train.withColumn("side", F.lit("train")).unionByName(val.withColumn("side", F.lit("val"))).select(
-        "o_orderkey", "side")
+    return pp.assign_split(o, "o_custkey", 0.7, SAMPLE_SEED).select("o_orderkey", "side")
 
 
 QUERIES.update({
