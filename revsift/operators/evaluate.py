@@ -122,17 +122,20 @@ def retrieval_metrics(queries: DataFrame, ranked: DataFrame, qrels: DataFrame, k
     rk = ranked.select(F.col(q_col).alias("q"), F.col(id_col).alias("id"), "rank").filter(
         F.col("rank") <= k).dropDuplicates(["q", "id"])
     rel = qrels.select(F.col(q_col).alias("q"), F.col(id_col).alias("id")).distinct()
-    hits = rk.join(rel, ["q", "id"])
-    w = Window.partitionBy("q").orderBy("rank")
-    hits = hits.withColumn("h", F.row_number().over(w))  # bounded: <= k rows per query
-    per_hits = hits.groupBy("q").agg(
-        F.count(F.lit(1)).alias("n_hits"), F.min("rank").alias("first_rank"),
-        F.sum(F.col("h") / F.col("rank")).alias("ap_num"),
-        F.sum(F.lit(1.0) / F.log2(F.col("rank") + 1)).alias("dcg"))
-    n_ret = rk.groupBy("q").agg(F.count(F.lit(1)).alias("n_ret"))
+    # one pass over the ranked lists (at most k rows per query): a hit flag,
+    # the running hit count in rank order, then every per-query sum at once
+    flagged = rk.join(rel.withColumn("_hit", F.lit(1)), ["q", "id"], "left").fillna(0, ["_hit"])
+    w = Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    flagged = flagged.withColumn("h", F.sum("_hit").over(w))
+    is_hit = F.col("_hit") == 1
+    per_q = flagged.groupBy("q").agg(
+        F.count(F.lit(1)).alias("n_ret"), F.sum("_hit").alias("n_hits"),
+        F.min(F.when(is_hit, F.col("rank"))).alias("first_rank"),
+        F.sum(F.when(is_hit, F.col("h") / F.col("rank"))).alias("ap_num"),
+        F.sum(F.when(is_hit, F.lit(1.0) / F.log2(F.col("rank") + 1))).alias("dcg"))
     n_rel = rel.groupBy("q").agg(F.count(F.lit(1)).alias("n_rel"))
     base = queries.select(F.col(q_col).alias("q")).distinct()
-    t = (base.join(n_rel, "q", "left").join(n_ret, "q", "left").join(per_hits, "q", "left")
+    t = (base.join(n_rel, "q", "left").join(per_q, "q", "left")
              .fillna(0, ["n_rel", "n_ret", "n_hits"]))
     has_e = F.col("n_rel") > 0
     nh = F.col("n_hits").cast("double")
