@@ -100,7 +100,8 @@ def stem_postings(postings: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               materialise: bool = True, stem: bool = False, corpus: DataFrame | None = None):
+               materialise: bool = True, stem: bool = False, corpus: DataFrame | None = None,
+               query_stems: DataFrame | None = None):
     """(postings, stats): the corpus side of BM25, tokenised once. Unless a
     materialised ``corpus`` is passed, the postings are checkpointed
     (``cut_lineage``) so the document-frequency, corpus-statistics and
@@ -114,8 +115,18 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         base = cut_lineage(postings) if materialise and corpus is None else postings
         vocab = stem_vocabulary(base.filter(F.col("term").isNotNull()))
         vocab = cut_lineage(vocab) if materialise else vocab
+        stats = bm25_corpus_stats(base)  # N and avgdl do not depend on stemming
+        if query_stems is not None:
+            # only words whose stem a query uses can score: re-key just their
+            # postings (every word of such a stem is kept, so df stays exact)
+            qs = F.broadcast(query_stems.select(F.col("term").alias("stem")).distinct())
+            vocab = vocab.join(qs, "stem", "left_semi")
+            base = base.join(F.broadcast(vocab.select("term")), "term", "left_semi")
         postings = stem_postings(base, vocab)
-    if materialise and (corpus is None or stem):
+        if materialise:
+            postings = cut_lineage(postings)
+        return postings, stats
+    if materialise and corpus is None:
         postings = cut_lineage(postings)
     return postings, bm25_corpus_stats(postings)
 
@@ -152,7 +163,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col:
         qt = (qt.join(qv, "term").groupBy("q", F.col("stem").alias("term"))
                 .agg(F.sum("qtf").alias("qtf")))
     if index is None:
-        index = bm25_index(docs, id_col, doc_text_col, stem=stem)
+        index = bm25_index(docs, id_col, doc_text_col, stem=stem, query_stems=qt if stem else None)
     postings, stats = index[0], index[1]
     stored_df = index[2] if len(index) > 2 else None  # (term, df) kept with a persisted index
     postings = postings.filter(F.col("term").isNotNull())
