@@ -4,7 +4,6 @@ whole tables."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 
@@ -17,6 +16,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import place_documents
 
@@ -53,5 +58,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model(), with_texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_license_scan, op6_main_text, op7_source_mix,
-                                   op8_near_duplicates, op9_sentencepiece)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import fingerprint_neighbours
+
+    return fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_kneser_ney, op3_sharding, op5_license_scan, op6_main_text, op7_source_mix,
+                                   op8_near_duplicates, op9_sentencepiece, op10_fingerprints)}
