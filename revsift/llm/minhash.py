@@ -10,12 +10,13 @@ less noisy than independent hashes.
 
 Documents with the same shingle set are one class (its smallest id), found by
 a pre-aggregated shuffle of set hashes, so thousands of copies are one row
-afterwards. Bands of the signatures give candidate classes. In every band a
-member is first compared with one centre of its bucket; links found are
-grouped, and only members of one bucket that are in different groups by then
-are compared further, until no bucket holds two groups with an uncompared
-pair. Every link is confirmed on the full shingle sets. A link between two
-members that are in one group already cannot change any group, so no group
+afterwards. Bands of the signatures give candidate classes. In every
+bucket the members are first compared with one centre. Links found are
+grouped, and of the pairs of a bucket that are in different groups by then
+only those are compared that can still be similar, given what each has in
+common with the centre (``linked_groups``), so a group of thousands is not
+compared pair by pair. Every link is confirmed on the full shingle sets. A
+link between two members of one group cannot change any group, so no group
 is missed for leaving it out.
 
 Groups are connected components: every partition joins its links by
@@ -26,50 +27,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import id_text, map_batches, written
+from .words import GOLD, mix64, word_hashes
 
 SLOTS = 128
-CENTRE_ROUNDS = 2
 BANDS = 32  # of 4 slots: a pair of similarity 0.8 shares no band once in 2 * 10^7
 TURN_ELEMENTS = 1 << 18
 
-_M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def hash_words(values: pa.Array) -> np.ndarray:
-    """64-bit hash of every word; each distinct word is hashed once."""
-    import xxhash
-
-    d = values.dictionary_encode()
-    if isinstance(d, pa.ChunkedArray):
-        d = d.combine_chunks()
-    h = xxhash.xxh3_64_intdigest
-    table = np.fromiter((h(w.as_buffer()) for w in d.dictionary.cast(pa.binary())), np.uint64, len(d.dictionary)) \
-        if len(d.dictionary) else np.zeros(0, np.uint64)
-    return table[d.indices.to_numpy(zero_copy_only=False)] if len(values) else np.zeros(0, np.uint64)
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, offsets of the texts in them). Words are runs of
-    ``[^\\x20\\x09-\\x0D]`` of the text with A-Z lower-cased."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat = lists.flatten()
-    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
-    owner = np.repeat(np.arange(len(n)), n)[keep]
-    counts = np.bincount(owner, minlength=len(n)) if len(n) else np.zeros(0, np.int64)
-    return hash_words(flat)[keep] if len(flat) else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
+_SALTS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +55,7 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         for k in range(size):
             inside = start + k < off[1:][owner]
             w = np.where(inside, words[np.minimum(start + k, max(len(words) - 1, 0))], np.uint64(k)) if len(words) else h
-            h = mix64(h * _GOLD + w + np.uint64(k + 1))
+            h = mix64(h * GOLD + w + np.uint64(k + 1))
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     first = np.ones(len(h), bool)
@@ -122,7 +91,7 @@ def _minhash_block(h: np.ndarray, owner: np.ndarray, sig: np.ndarray, slots: int
         if not len(h):
             return
         with np.errstate(over="ignore"):
-            x = mix64(h + np.uint64(j + 1) * _GOLD)
+            x = mix64(h + np.uint64(j + 1) * GOLD)
             r = (x >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
             k = j + (mix64(x) % np.uint64(slots - j)).astype(np.int64)
         if j == 0:
@@ -157,7 +126,7 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), 1))
     with np.errstate(over="ignore"):
         for i in range(rows):
-            key = mix64(key * _GOLD + bits[:, :, i])
+            key = mix64(key * GOLD + bits[:, :, i])
     return key.view(np.int64)
 
 
@@ -173,7 +142,7 @@ def document_bands(docs: DataFrame, size: int, slots: int, bands: int) -> DataFr
             h, off = shingle_sets(b.column("text"), size)
             n = np.diff(off)
             with np.errstate(over="ignore"):
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ salt), dtype=np.uint64)]) for salt in (_M1, _GOLD)]
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ salt), dtype=np.uint64)]) for salt in _SALTS]
                 sets = [pa.array((s[off[1:]] - s[off[:-1]]).view(np.int64), mask=n == 0) for s in sums]
             keys = band_keys(super_minhash(h, off, slots), bands).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys))
@@ -201,7 +170,7 @@ def confirm_links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) ->
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
-    return map_batches(both, run, "a long, b long", rows=256)
+    return map_batches(both, run, "a long, b long")
 
 
 def local_union_find(edges: DataFrame) -> DataFrame:
@@ -226,7 +195,7 @@ def local_union_find(edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())],
                                              names=["a", "b"])
 
-    return map_batches(edges, run, "a long, b long", rows=50_000)
+    return map_batches(edges, run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,8 +244,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, slots: in
     tagged = written(full.drop("keys").join(reps, ["set1", "set2"]).select("doc_id", "n_shingles", "rep"), "tagged")
     entry = (full.join(reps.withColumnRenamed("rep", "doc_id"), ["set1", "set2", "doc_id"], "left_semi")
              .select("doc_id", "n_shingles", F.explode("keys").alias("key")))
-    crowded = (entry.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-               .filter("lo < hi").select("key"))
+    crowded = (entry.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("members"))
+               .filter("lo < hi").select("key", "members"))
     # buckets with at least two classes; every comparison is about them only
     buckets = written(entry.join(crowded, "key").distinct(), "buckets")
     near = written(src.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "near")
@@ -291,38 +260,70 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, slots: in
     return out.unionAll(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def linked_groups(buckets: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int,
-                  centre_rounds: int = CENTRE_ROUNDS) -> DataFrame:
+def linked_groups(buckets: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
     """``(node, component)`` of the links among the members ``(key, doc_id,
-    n_shingles)`` of the buckets. ``centre_rounds`` rounds compare each member
-    with one centre of its bucket (another centre in every band and round);
-    the last one compares all pairs of a bucket that are in two groups by
-    then and were not compared before."""
-    done = None
-    for turn in range(centre_rounds + 1):
-        if turn:
-            groups = components(links)
-            own = buckets.join(groups.selectExpr("node as doc_id", "component as g"), "doc_id", "left") \
-                         .withColumn("g", F.coalesce("g", "doc_id"))
-            split = own.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("key")
-            own = written(own.join(split, "key"), "open")
-        else:
-            own = buckets.withColumn("g", F.col("doc_id"))
-        other = own.selectExpr("key", "doc_id as c", "n_shingles as cn", "g as cg")
-        if turn < centre_rounds:
-            # the smallest of the bucket's own order of ids
-            other = other.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "c", F.lit(turn)), "c", "cn", "cg")).alias("m")) \
-                         .select("key", "m.c", "m.cn", "m.cg")
-            pairs = own.join(other, "key").filter("g <> cg")
-        else:
-            pairs = own.join(other, "key").filter("g < cg")
-        # sets of too different sizes cannot be that similar
-        pairs = (pairs.filter(f"100 * least(n_shingles, cn) >= {percent} * greatest(n_shingles, cn)")
-                 .select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct())
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(confirm_links(pairs, texts, size, percent), "found")
-        done = pairs if done is None else done.unionAll(pairs)
-        links = links.unionAll(found)
-    return components(links)
+    n_shingles, members)`` of the buckets, and of further ``links``.
+
+    First every member is compared with the centre of its buckets: the one
+    whose buckets hold most members, which is where the texts of a group were
+    copied from, if that is there. Then two members of one bucket in different
+    groups remain. With i shingles of a, and j of b, in the centre's set, they
+    can only be similar if they share a shingle that the centre lacks, or if
+    least(i, j) alone is enough; only such pairs are compared."""
+    weight = buckets.groupBy("doc_id").agg(F.sum("members").alias("w"))
+    centre = (buckets.join(weight, "doc_id").groupBy("key")
+              .agg(F.max(F.struct("w", (-F.col("doc_id")).alias("low"))).alias("m")).select("key", (-F.col("m.low")).alias("c")))
+    pairs = written(buckets.join(centre, "key").filter("doc_id <> c").select("doc_id", "c").distinct(), "pairs")
+    spokes = written(compare_with_centres(pairs, texts, size, percent), "spokes")
+    links = links.unionAll(spokes.filter("linked").select(F.greatest("doc_id", "c").alias("a"), F.least("doc_id", "c").alias("b")))
+    groups = components(links)
+    own = spokes.join(groups.selectExpr("node as doc_id", "component as g"), "doc_id", "left") \
+                .join(groups.selectExpr("node as c", "component as cg"), "c", "left") \
+                .withColumn("g", F.coalesce("g", "doc_id")).withColumn("cg", F.coalesce("cg", "c"))
+    own = written(own, "members")
+    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
+    # the centre's shingles alone are enough: one of the two is not in the centre's group
+    full = own.filter(f"100 * i >= {percent} * n")
+    second = full.selectExpr("c", "doc_id as d2", "n as n2", "i as i2", "g as g2")
+    alone = (full.filter("g <> cg").join(second, "c")
+             .filter(f"g <> g2 and {fits} and {percent} * (n + n2) <= {100 + percent} * least(i, i2)"))
+    # they share a shingle that the centre lacks
+    each = own.select("c", "doc_id", "n", "g", F.explode("rest").alias("h"))
+    shared = each.groupBy("c", "h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("c", "h")
+    each = written(each.join(shared, ["c", "h"]), "rest")
+    other = each.selectExpr("c", "h", "doc_id as d2", "n as n2", "g as g2")
+    more = each.join(other, ["c", "h"]).filter(f"g < g2 and {fits}")
+    last = alone.select("doc_id", "d2").unionAll(more.select("doc_id", "d2")) \
+                .select(F.greatest("doc_id", "d2").alias("a"), F.least("doc_id", "d2").alias("b")).distinct()
+    found = written(confirm_links(written(last, "pairs"), texts, size, percent), "found")
+    return components(groups.selectExpr("node as a", "component as b").unionAll(found))
+
+
+def compare_with_centres(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs ``(doc_id, c)`` with ``n`` (shingles of the document), ``i``
+    (those in the centre's set too), ``linked`` and ``rest``: of the
+    document's other shingles, in order, as many as a similar text must share
+    one of. A similar text has at least percent of n in common with it, so it
+    shares k = that - i of the others, one of them among all but k - 1."""
+    both = pairs.join(texts.select("doc_id", "text"), "doc_id") \
+                .join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("ct")), "c").select("doc_id", "c", "text", "ct")
+
+    def run(batches):
+        for b in batches:
+            h, off = shingle_sets(b.column("text"), size)
+            hc, oc = shingle_sets(b.column("ct"), size)
+            n, i, linked, rest = np.diff(off), [], [], []
+            for k in range(b.num_rows):
+                x, y = h[off[k]:off[k + 1]], hc[oc[k]:oc[k + 1]]
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                own = x[y[at] != x]
+                common = len(x) - len(own)
+                i.append(common)
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                must = max(1, -(-percent * len(x) // 100) - common)
+                rest.append(own[:max(0, len(own) - must + 1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("c"), pa.array(n), pa.array(i, pa.int64()), pa.array(linked, pa.bool_()),
+                 pa.array(rest, pa.list_(pa.int64()))], names=["doc_id", "c", "n", "i", "linked", "rest"])
+
+    return map_batches(both, run, "doc_id long, c long, n long, i long, linked boolean, rest array<long>")

@@ -16,8 +16,9 @@ words equal the lack; a p beyond 1 counts as almost certain.
 The running sum of words in rank order is taken over rank bins first (one
 row for each source and bin) and over single rows only inside the one bin of
 each source where the sum passes its goal, so a source that holds a third of
-all rows is never sorted in one task. Everything is built from DataFrame
-functions.
+all rows is never sorted in one task. What comes out is the last row taken
+of each source; every row is then settled where it is. Everything is built
+from DataFrame functions.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hex_int
-from .common import checkpointed
+from .common import written
 
 # Weights dealt to the sources in turn, by code point order of their names.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -70,26 +71,25 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
             .select("source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES,
-                total: float | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text",
-                source_col: str = "source") -> DataFrame:
-    """For every row: ``doc_id``, ``source``, ``size`` (words), ``source_size``,
-    ``target`` (its source's), ``copies`` and ``taken`` (copies * size).
-
-    The words taken of a source come nearest to its target that whole
-    documents in rank order allow; no document is taken more than
-    ``max_copies`` times. Null sources are one source; a null text has size 0
-    and is never taken; ties in rank are settled by id, then size (equal rows
-    are interchangeable); a null id ranks as the empty text. The same rows
-    give the same result. The rows are read once; only id, source and size
-    are kept.
-    """
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
-                       word_count(docs[text_col]).alias("size"))
-    # one narrow copy: ids, sources and sizes, so the texts are read once
-    rows = checkpointed(rows)
+def _placed(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (with ``doc_id``, ``source``, ``size``) with their source's
+    plan and their rank, as r / (1 + r): the same order, between 0 and 1."""
     u = (hex_int(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12).cast("double")
          + F.lit(0.5)) / F.lit(float(1 << 48))
+    p = F.least(F.lit(1 - 1e-9), F.col("scale") * F.sqrt(F.col("size").cast("double")))
+    plan = plan.withColumnRenamed("source", "plan_source")
+    # a few numbers for each source: small enough to be broadcast unless there are very many sources
+    r = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left").drop("plan_source")
+    return (r.withColumn("u", u).withColumn("p", p)
+            .withColumn("rank", F.col("u") * (1 - F.col("p")) / (F.col("u") * (1 - F.col("p")) + (1 - F.col("u")) * F.col("p")))
+            .withColumn("bin", F.least(F.col("bins") - 1, F.floor(F.col("rank") * F.col("bins"))))
+            .withColumn("eligible", (F.col("size") > 0) & (F.col("lack") > 0)))
+
+
+def source_plan(rows: DataFrame, weights: tuple[float, ...], max_copies: float, total: float | None, seed: str) -> DataFrame:
+    """One row for each source of ``rows`` (``doc_id``, ``source``, ``size``):
+    its target, whole copies, what is lacking, and up to which rank another
+    copy is taken (bin and, inside it, rank, id and size of the last row)."""
     measure = F.sqrt(F.col("size").cast("double"))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"),
                                       F.sum(F.col("size") * measure).alias("mass"))
@@ -101,34 +101,68 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
             .withColumn("lack", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
             .withColumn("scale", F.when(F.col("mass") > 0, F.col("lack") / F.col("mass")).otherwise(0.0))
             .withColumn("bins", F.greatest(F.lit(LEAST_BINS), F.ceil(F.col("n") / BIN_ROWS)).cast("long")))
-    plan = checkpointed(plan)  # one row for each source
-    p = plan.select(F.col("source").alias("s0"), "source_size", "target", "whole", "lack", "scale", "bins")
-    # AQE broadcasts the sources when they are few, else splits skewed ones
-    r = rows.join(p, rows["source"].eqNullSafe(F.col("s0")), "left").drop("s0")
-    prob = F.least(F.lit(1 - 1e-9), F.col("scale") * measure)
-    # rank r as r / (1 + r): the same order, between 0 and 1
-    r = (r.withColumn("u", u).withColumn("p", prob)
-         .withColumn("rank", F.col("u") * (1 - F.col("p"))
-                     / (F.col("u") * (1 - F.col("p")) + (1 - F.col("u")) * F.col("p")))
-         .withColumn("bin", F.least(F.col("bins") - 1, F.floor(F.col("rank") * F.col("bins")))))
-    eligible = (F.col("size") > 0) & (F.col("lack") > 0)
-    bins = r.filter(eligible).groupBy("source", "bin", "lack").agg(F.sum("size").alias("bin_size"))
+    plan = written(plan.drop("n", "mass"), "sources")
+    r = _placed(rows, plan, seed).filter("eligible")
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (bins.withColumn("below", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-            .filter((F.col("below") < F.col("lack")) & (F.col("below") + F.col("bin_size") >= F.col("lack")))
+    edge = (r.groupBy("source", "bin", "lack").agg(F.sum("size").alias("words"))
+            .withColumn("below", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+            .filter((F.col("below") < F.col("lack")) & (F.col("below") + F.col("words") >= F.col("lack")))
             .select(F.col("source").alias("s1"), F.col("bin").alias("edge_bin"), "below"))
-    r = r.join(checkpointed(edge), r["source"].eqNullSafe(F.col("s1")), "left").drop("s1")
-    in_edge = eligible & (F.col("bin") == F.col("edge_bin"))
-    running = Window.partitionBy("source", "doc_part").orderBy("rank", "doc_id", "size")
-    # rows outside the edge bin are settled where they are; only edge rows go through the window
-    settled = r.filter(~in_edge | in_edge.isNull()).withColumn(
-        "extra", F.when(eligible & (F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin"))), 1).otherwise(0))
-    last = (r.filter(in_edge).withColumn("doc_part", F.lit(0))
-            .withColumn("sum_after", F.col("below") + F.sum("size").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("sum_before", F.col("sum_after") - F.col("size"))
-            # taken if the sum with it is nearer to the goal than the sum without it
-            .withColumn("extra", F.when((F.col("sum_before") < F.col("lack"))
-                                        & (F.col("sum_after") - F.col("lack") <= F.col("lack") - F.col("sum_before")), 1).otherwise(0)))
-    cols = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("copies")]
-    out = settled.select(*cols).unionByName(last.select(*cols))
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    edge = written(edge, "edges")
+    # the rows of one bin of each source, in order; equal rows go together
+    inside = (r.join(edge, F.col("source").eqNullSafe(F.col("s1")) & (F.col("bin") == F.col("edge_bin")))
+              .groupBy("s1", "below", "lack", "rank", "doc_id", "size").agg(F.sum("size").alias("words")))
+    running = Window.partitionBy("s1").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    after = F.col("below") + F.sum("words").over(running)
+    last = (inside.withColumn("after", after).withColumn("before", F.col("after") - F.col("words"))
+            # taken if the sum with it is as near to the goal as the sum without it
+            .filter((F.col("before") < F.col("lack")) & (F.col("after") - F.col("lack") <= F.col("lack") - F.col("before")))
+            .groupBy("s1").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last")))
+    plan = plan.join(edge.select("s1", "edge_bin"), F.col("source").eqNullSafe(F.col("s1")), "left").drop("s1")
+    plan = plan.join(last, F.col("source").eqNullSafe(F.col("s1")), "left").drop("s1")
+    return written(plan, "plan")
+
+
+def _copies() -> Column:
+    inside = (F.col("bin") == F.col("edge_bin")) & F.col("last").isNotNull() & (F.struct("rank", "doc_id", "size") <= F.col("last"))
+    more = F.col("eligible") & (F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin")) | inside)
+    return F.col("whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    # one narrow copy: ids, sources and sizes, so the texts are read once
+    return written(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size")), "sizes")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES,
+                total: float | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text",
+                source_col: str = "source") -> DataFrame:
+    """For every row: ``doc_id``, ``source``, ``size`` (words), ``source_size``,
+    ``target`` (its source's), ``copies`` and ``taken`` (copies * size).
+
+    The words taken of a source come nearest to its target that whole
+    documents in rank order allow; no document is taken more than
+    ``max_copies`` times. Null sources are one source; a null text has size 0
+    and is never taken; ties in rank are settled by id, then size, and rows
+    equal in all three are taken together; a null id ranks as the empty text.
+    The same rows give the same result. An empty table gives no rows. Other
+    columns are not read, and the texts are read once.
+    """
+    rows = _sizes(docs, id_col, text_col, source_col)
+    out = _placed(rows, source_plan(rows, weights, max_copies, total, seed), seed)
+    return out.select("doc_id", "source", "size", "source_size", "target", _copies().cast("long").alias("copies")) \
+              .withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES,
+                    total: float | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text",
+                    source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs``, with all its columns, as often
+    as ``mix_sources`` takes it (not at all for 0 copies, so rows of size 0
+    are left out). Each row is settled where it is, by its source's plan; the
+    texts are not shuffled."""
+    plan = source_plan(_sizes(docs, id_col, text_col, source_col), weights, max_copies, total, seed)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
+                       word_count(docs[text_col]).alias("size"))
+    out = _placed(rows, plan, seed).withColumn("copies", _copies().cast("int")).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

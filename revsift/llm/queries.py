@@ -4,6 +4,7 @@ whole tables."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -16,6 +17,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .posting_lists import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_lm import score_documents
 
@@ -28,6 +35,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_documents(table(spark, sf_dir, "documents"), SHARDS, drained=SHARDS[-1])
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify_documents
+
+    return classify_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -64,5 +77,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_kneser_ney, op3_sharding, op5_license_scan, op6_main_text, op7_source_mix,
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_kneser_ney, op3_sharding, op4_quality, op5_license_scan, op6_main_text, op7_source_mix,
                                    op8_near_duplicates, op9_sentencepiece, op10_fingerprints)}

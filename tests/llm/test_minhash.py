@@ -72,19 +72,26 @@ def test_planted_copies_and_chains(spark):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
-def test_rounds_do_not_change_the_groups(spark):
-    """The exhaustive last round alone and centres before it agree."""
+def test_links_inside_buckets_are_complete(spark):
+    """One bucket of everything: the links found must give all groups, whatever
+    the centre: substituted, cut and lengthened copies, and a second family."""
     rnd = random.Random(8)
-    base = [f"w{rnd.randrange(900)}" for _ in range(120)]
-    texts = {i: " ".join(edited(rnd, base, 0.03)) for i in range(50)}
-    df = documents(spark, list(texts.values())).select("doc_id", "text")
-    buckets = df.selectExpr("1L as key", "doc_id", "117L as n_shingles").union(
-        df.filter("doc_id % 2 = 0").selectExpr("2L as key", "doc_id", "117L as n_shingles"))
-    none = spark.createDataFrame([], "a long, b long")
-    _, want = plain_groups(texts)
-    for rounds in (0, 1, 3):
-        got = {r["node"]: r["component"] for r in linked_groups(buckets, df, none, 4, 80, rounds).collect()}
-        assert {i: got.get(i, i) for i in texts} == want
+    for trial in range(3):
+        base = [f"w{rnd.randrange(900)}" for _ in range(120)]
+        twin = edited(rnd, base, 0.06)
+        texts = [" ".join(edited(rnd, rnd.choice([base, twin]), rnd.choice([0.01, 0.03, 0.05]))) for _ in range(40)]
+        texts += [" ".join(base[:rnd.randrange(70, 121)]) for _ in range(25)]
+        texts += [" ".join(base + [f"z{rnd.randrange(3)}{i}" for i in range(rnd.randrange(0, 60))]) for _ in range(15)]
+        texts = dict(enumerate(dict.fromkeys(texts)))
+        df = documents(spark, list(texts.values())).select("doc_id", "text")
+        sizes = {i: len(plain_set(t)) for i, t in texts.items()}
+        # the centre is the member in the fullest buckets: another one in each trial
+        lead = rnd.choice(list(texts))
+        buckets = spark.createDataFrame([(1, i, n, len(texts)) for i, n in sizes.items()] + [(2, lead, sizes[lead], 1000)],
+                                        "key long, doc_id long, n_shingles long, members long")
+        _, want = plain_groups(texts)
+        got = {r["node"]: r["component"] for r in linked_groups(buckets, df, spark.createDataFrame([], "a long, b long"), 4, 80).collect()}
+        assert {i: got.get(i, i) for i in texts} == want and len(set(want.values())) > 1
 
 
 def test_signatures_estimate_similarity_with_early_stop():

@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
 from revsift.llm import mixing
-from revsift.llm.mixing import mix_sources
+from revsift.llm.mixing import mix_sources, mixed_documents
 from revsift.llm.queries import op7_source_mix
 
 from .conftest import MEDIUM, SMALL, documents
@@ -50,11 +52,16 @@ def plain_mix(rows, seed="mix"):
                 p = min(1 - 1e-9, lack / mass * math.sqrt(size[k]))
                 rank[k] = (u * (1 - p)) / (u * (1 - p) + (1 - u) * p)
         total = 0
-        for k in sorted(rank, key=lambda k: (rank[k], rows[k][0] or 0, size[k])):
-            if total >= lack or total + size[k] - lack > lack - total:
+        same = defaultdict(list)  # equal rows go together
+        for k in rank:
+            same[rank[k], rows[k][0] or 0, size[k]].append(k)
+        for key in sorted(same):
+            words = sum(size[k] for k in same[key])
+            if total >= lack or total + words - lack > lack - total:
                 break
-            taken[k] += size[k]
-            total += size[k]
+            for k in same[key]:
+                taken[k] += size[k]
+            total += words
     return size, by, target, taken
 
 
@@ -81,6 +88,16 @@ def test_many_bins_and_reruns_agree(spark, monkeypatch):
     assert sorted(map(tuple, mix_sources(df.repartition(5)).collect())) == one
 
 
+def test_mixed_documents_repeat_rows_as_taken(spark):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("row", F.lit(1)).withColumn("copies", F.lit("x"))
+    want = {r["doc_id"]: r["copies"] for r in mix_sources(df).collect() if r["copies"]}
+    out = mixed_documents(df)
+    assert out.schema == df.schema
+    got = Counter(r["doc_id"] for r in out.collect())
+    assert got == want and max(want.values()) > 1 and len(want) < df.count()
+    assert mixed_documents(df.limit(0)).count() == 0
+
+
 def test_no_python_in_the_plan(spark):
     plan = op7_source_mix(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
