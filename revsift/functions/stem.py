@@ -27,20 +27,19 @@ STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment
 _WORD = re.compile(r"^[a-z]+$")
 
 
-def _is_cons(w: str, i: int) -> bool:
-    c = w[i]
-    if c in "aeiou":
-        return False
-    if c == "y":
-        return i == 0 or not _is_cons(w, i - 1)
-    return True
+def _cons_flags(w: str) -> list:
+    """Whether each letter is a consonant; a y is one at the start or after a
+    vowel. One forward pass, so runs of any length are fine."""
+    flags = []
+    for c in w:
+        flags.append((not flags or not flags[-1]) if c == "y" else c not in "aeiou")
+    return flags
 
 
 def _measure(stem: str) -> int:
     """m in [C](VC)^m[V]."""
     m, prev_vowel = 0, False
-    for i in range(len(stem)):
-        cons = _is_cons(stem, i)
+    for cons in _cons_flags(stem):
         if cons and prev_vowel:
             m += 1
         prev_vowel = not cons
@@ -48,16 +47,15 @@ def _measure(stem: str) -> int:
 
 
 def _has_vowel(stem: str) -> bool:
-    return any(not _is_cons(stem, i) for i in range(len(stem)))
+    return not all(_cons_flags(stem))
 
 
 def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
+    return len(w) >= 2 and w[-1] == w[-2] and _cons_flags(w)[-1]
 
 
 def _cvc(w: str) -> bool:
-    return (len(w) >= 3 and _is_cons(w, len(w) - 3) and not _is_cons(w, len(w) - 2)
-            and _is_cons(w, len(w) - 1) and w[-1] not in "wxy")
+    return len(w) >= 3 and _cons_flags(w)[-3:] == [True, False, True] and w[-1] not in "wxy"
 
 
 def _replace(w: str, rules, min_m: int) -> str:

@@ -63,13 +63,19 @@ def depunct(col) -> Column:
     return F.regexp_replace(_c(col), PUNCT_CLASS, "_")
 
 
+# Decimal numbers, with an exponent or not, and the words for infinity and not-a-number.
+NUMBER_PATTERN = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
+
+
 def to_number(col) -> Column:
     """Integer if the text is one, else a float, else NULL (as DOUBLE).
 
     Surrounding blanks are allowed, as Python's ``int``/``float`` allow them.
-    Underscore digit groups (``1_000``) are not accepted.
+    Underscore digit groups (``1_000``) and the JVM's own forms (``1d``,
+    ``0x1p3``) are not accepted.
     """
     s = F.trim(_c(col))
+    s = F.when(s.rlike(NUMBER_PATTERN), s)
     as_int = s.try_cast("bigint")
     as_dbl = s.try_cast("double")
     return F.coalesce(as_int.cast("double"), as_dbl)

@@ -39,9 +39,11 @@ def global_rank(df: DataFrame, order_cols: list, rank_col: str = "_rank",
     ``order_cols`` must be a total order (ties broken by a key). The rows are
     range-partitioned and sorted inside each partition; the partition id and
     local position come from ``monotonically_increasing_id`` (partition id in
-    the upper bits). Per-partition counts (one row per partition, so bounded
-    by the partition count) give the offsets, which are broadcast back.
-    No step holds more than one partition of rows.
+    the upper bits). This ranged frame is written once (``cut_lineage``):
+    range bounds are sampled, so two evaluations of it could deal the rows
+    differently. Per-partition counts of that copy (one row per partition, so
+    bounded by the partition count) give the offsets, which are broadcast
+    back. No step holds more than one partition of rows.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -50,6 +52,7 @@ def global_rank(df: DataFrame, order_cols: list, rank_col: str = "_rank",
                  .withColumn("_mid", F.monotonically_increasing_id()))
     ordered = (ordered.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
                       .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), 33)))
+    ordered = cut_lineage(ordered)
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: the single-partition window is bounded
@@ -92,9 +95,13 @@ def spread(df: DataFrame, keys: list | None = None, min_partitions: int | None =
     redistributed, hashed by ``keys`` so that later aggregations keyed by a
     superset of them reuse the partitioning. At cluster scale the scan
     already has thousands of splits and this is a no-op (one planning step,
-    no job)."""
+    no job). A frame that is already shuffled (its plan has an exchange) is
+    left alone: Spark sizes its partitions, and counting them would run the
+    shuffle."""
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
+    if _shuffles(df):
+        return df
     if df.rdd.getNumPartitions() >= target:
         return df
     # by key without a fixed count: AQE sizes the partitions (and keeps at
@@ -102,23 +109,16 @@ def spread(df: DataFrame, keys: list | None = None, min_partitions: int | None =
     return df.repartition(*keys) if keys else df.repartition(target)
 
 
+def _shuffles(df: DataFrame) -> bool:
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once so several branches of a plan read it instead
     of recomputing it, and a lost executor does not replay the whole
     lineage. Uses a reliable ``checkpoint()`` into the session's checkpoint
-    folder (``spark.checkpoint.dir`` on a cluster). A local folder is set
-    only for a local master with no folder configured; on a cluster without
-    one the frame is persisted (memory and disk) instead."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        if conf_dir:
-            sc.setCheckpointDir(conf_dir)
-        elif sc.master.startswith("local"):
-            from ..session import ensure_checkpoint_dir
-            ensure_checkpoint_dir(spark)
-        else:  # no shared folder on this cluster: keep a replicated cache
-            from pyspark import StorageLevel
-            return df.persist(StorageLevel.MEMORY_AND_DISK_2)
+    folder (``spark.checkpoint.dir``; required on a cluster, see
+    ``ensure_checkpoint_dir``)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -119,8 +119,9 @@ def retrieval_metrics(queries: DataFrame, ranked: DataFrame, qrels: DataFrame, k
     ``ranked`` is (q, rank, id) already cut at k; ``qrels`` is (q, id).
     Built from the query table with left joins, so queries with no hits or
     no relevant documents keep their row."""
+    # an id that is listed twice counts at its best rank
     rk = ranked.select(F.col(q_col).alias("q"), F.col(id_col).alias("id"), "rank").filter(
-        F.col("rank") <= k).dropDuplicates(["q", "id"])
+        F.col("rank") <= k).groupBy("q", "id").agg(F.min("rank").alias("rank"))
     rel = qrels.select(F.col(q_col).alias("q"), F.col(id_col).alias("id")).distinct()
     # one pass over the ranked lists (at most k rows per query): a hit flag,
     # the running hit count in rank order, then every per-query sum at once

@@ -105,10 +105,17 @@ def filter_predicate(filters: list, schema: list) -> Column:
     return cond
 
 
-def apply_filter_spec(df: DataFrame, spec: dict, schema: list) -> DataFrame:
-    """P10: a plain Column predicate, so Catalyst pushes it to the scan."""
+def apply_filter_spec(df: DataFrame, spec: dict, schema: list, order: list | None = None) -> DataFrame:
+    """P10: a plain Column predicate, so Catalyst pushes it to the scan. A
+    ``top_k`` of the spec keeps the first rows by ``order`` (default: by all
+    columns)."""
     out = df.filter(filter_predicate(spec.get("filters", []), schema))
-    return out
+    k = spec.get("top_k")
+    if k is None:
+        return out
+    if not isinstance(k, int) or isinstance(k, bool) or k < 1:
+        raise FilterSpecError(f"top_k must be a positive integer, not {k!r}")
+    return out.orderBy(*(order or out.columns)).limit(k)
 
 
 # P12 -------------------------------------------------------------------------------
@@ -151,18 +158,16 @@ def cascade_sample(business: DataFrame, review: DataFrame, user: DataFrame,
 
 # J2 --------------------------------------------------------------------------------
 def join_m1(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Left join that enforces many-to-one: a right key seen twice fails the
-    job. The right side is grouped by the key (with the duplicate check in
-    the same aggregation), and that grouping already has the hash
-    partitioning the join needs, so the check adds no extra shuffle."""
-    other = [c for c in right.columns if c != on]
-    agg = right.filter(F.col(on).isNotNull()).groupBy(on).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in other])
-    checked = agg.select(on, *[F.when(F.col("_n") == 1, F.col(c)).otherwise(
-        F.raise_error(F.concat(F.lit(f"duplicate key in right side of m:1 join on {on}: "),
-                               F.col(on).cast("string")))).alias(c) if i == 0 else F.col(c)
-        for i, c in enumerate(other)])
-    return left.join(checked, on, how)
+    """Left join that enforces many-to-one: a right key seen twice raises,
+    whether or not a left row matches it. The check is its own job over the
+    right keys (partial counts, then one row per duplicate at most), run
+    before the join is built: inside the lazy plan, column pruning or join
+    elimination could drop it."""
+    keys = right.filter(F.col(on).isNotNull())
+    twice = keys.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).limit(1).collect()
+    if twice:
+        raise ValueError(f"duplicate key in right side of m:1 join on {on}: {twice[0][on]}")
+    return left.join(keys, on, how)
 
 
 # J4 / V6 ---------------------------------------------------------------------------
@@ -181,10 +186,10 @@ def lookup(df: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
 
 # A1 --------------------------------------------------------------------------------
 def category_share(df: DataFrame, col: str, sep: str) -> DataFrame:
-    """Count of rows per category (list split on ``sep``) and the share of
+    """Count of rows per category (list split on the literal ``sep``) and the share of
     rows (not of categories), largest first, ties by name."""
     total = df.filter(F.col(col).isNotNull()).agg(F.count(F.lit(1)).alias("total"))
-    cats = (df.select(F.explode(F.split(F.col(col), sep)).alias("category"))
+    cats = (df.select(F.explode(F.split(F.col(col), "\\Q" + sep.replace("\\E", "\\E\\\\E\\Q") + "\\E")).alias("category"))
               .groupBy("category").agg(F.count(F.lit(1)).alias("n")))
     out = cats.join(F.broadcast(total))  # one-row total
     return (out.select("category", "n", "total",

@@ -5,7 +5,9 @@ sample std, min, linear-interpolated quartiles, max. Quartiles are exact:
 values are ranked with range partitioning (``global_rank``), so no task
 holds more than one partition of values (``percentile`` would gather all
 distinct values of a column in one final task; ``percentile_approx`` is not
-exact). Numeric and string columns are profiled; other types are skipped.
+exact). Numeric and decimal columns get moments and quartiles; all others
+(text, dates, timestamps, booleans, binary, nested) get count, unique, top and
+freq of their text (JSON for nested, hex for binary).
 """
 
 from __future__ import annotations
@@ -59,8 +61,10 @@ def exact_quantiles(long_df: DataFrame, probs=QUARTILES) -> DataFrame:
 
 def profile(df: DataFrame, label_prefix: str = "") -> DataFrame:
     dtypes = dict(df.dtypes)
-    num = [c for c in df.columns if dtypes[c] in NUMERIC]
-    strs = [c for c in df.columns if dtypes[c] == "string"]
+    num = [c for c in df.columns if dtypes[c] in NUMERIC or dtypes[c].startswith("decimal")]
+    strs = [c for c in df.columns if c not in num]
+    nested = {c: F.to_json(c) for c in strs if dtypes[c].startswith(("struct", "map", "array"))}
+    df = df.withColumns(nested | {c: F.hex(c) for c in strs if dtypes[c] == "binary"})
     parts = []
     if num:
         nl = _long(df, num, "double", label_prefix)

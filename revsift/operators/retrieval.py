@@ -119,9 +119,10 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if query_stems is not None:
             # only words whose stem a query uses can score: re-key just their
             # postings (every word of such a stem is kept, so df stays exact)
-            qs = F.broadcast(query_stems.select(F.col("term").alias("stem")).distinct())
+            qs, _ = broadcast_if_small(query_stems.select(F.col("term").alias("stem")).distinct())
             vocab = vocab.join(qs, "stem", "left_semi")
-            base = base.join(F.broadcast(vocab.select("term")), "term", "left_semi")
+            used, _ = broadcast_if_small(vocab.select("term"))
+            base = base.join(used, "term", "left_semi")
         postings = stem_postings(base, vocab)
         if materialise:
             postings = cut_lineage(postings)
@@ -285,7 +286,10 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = SPARSE_TOP_K, q_col:
         if is_small(qt, kw.get("max_broadcast_rows", DEFAULT_BROADCAST_ROWS)):
             est = qt.join(index[2], "term").agg(F.sum("df").alias("n")).first()["n"] or 0
             prune = est > prune_min_rows
-    if prune:
+    # the pruned path knows neither stems nor batches beyond the broadcast bound;
+    # the exhaustive one (salted when large) gives the same rows
+    if prune and not kw.get("stem") and is_small(
+            query_terms(queries, q_col, text_col), kw.get("max_broadcast_rows", DEFAULT_BROADCAST_ROWS)):
         kw2 = {x: v for x, v in kw.items() if x in ("id_col", "doc_text_col", "k1", "b", "index",
                                                   "max_broadcast_rows")}
         return bm25_topk_pruned(queries, docs, k=k, q_col=q_col, text_col=text_col, **kw2)
@@ -419,6 +423,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb))
 
 
+def self_query_topk(queries: DataFrame, corpus: DataFrame, spec: dict, schema: list, **kw) -> DataFrame:
+    """R15 from a filter spec: its filters select the corpus and its
+    ``top_k``, if any, is the number of results per query."""
+    from .prepare import FilterSpecError, filter_predicate
+    k = spec.get("top_k")
+    if k is not None:
+        if not isinstance(k, int) or isinstance(k, bool) or k < 1:
+            raise FilterSpecError(f"top_k must be a positive integer, not {k!r}")
+        kw["k"] = k
+    return filtered_dense_topk(queries, corpus, filter_predicate(spec.get("filters", []), schema), **kw)
+
+
 def filtered_dense_topk(queries: DataFrame, corpus: DataFrame, predicate: Column, **kw) -> DataFrame:
     """The metadata predicate is applied to the corpus before scoring, so
     it reaches the Parquet scan as a pushed filter."""

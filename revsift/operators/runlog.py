@@ -79,11 +79,12 @@ def assemble_spans(events: DataFrame) -> DataFrame:
     Output: (event_id, event_type, parent_id, start_ts, end_ts)."""
     kept = events.filter(F.col("event_type").isin(*STEP_EVENT_TYPES))
     g = kept.groupBy("event_id").agg(
-        F.first(F.when(F.col("phase") == "start", F.col("event_type")), ignorenulls=True).alias("event_type"),
-        F.first(F.when(F.col("phase") == "start", F.col("parent_id")), ignorenulls=True).alias("_parent"),
+        # of several start rows the earliest names the step (ties: by type, then parent)
+        F.min(F.when(F.col("phase") == "start", F.struct("ts", "event_type", "parent_id"))).alias("_s"),
         F.min(F.when(F.col("phase") == "start", F.col("ts"))).alias("start_ts"),
         F.max(F.when(F.col("phase") == "end", F.col("ts"))).alias("end_ts"))
-    steps = g.filter(F.col("start_ts").isNotNull())
+    steps = g.filter(F.col("start_ts").isNotNull()).select(
+        "event_id", F.col("_s.event_type").alias("event_type"), F.col("_s.parent_id").alias("_parent"), "start_ts", "end_ts")
     ids = steps.select(F.col("event_id").alias("_pid"))
     j = steps.join(ids, steps["_parent"] == ids["_pid"], "left")
     return j.select("event_id", "event_type", F.col("_pid").alias("parent_id"), "start_ts", "end_ts")

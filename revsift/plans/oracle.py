@@ -134,7 +134,7 @@ def to_number_sql(x: str) -> str:
 SEED_SQL = sha_mod_sql("CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%Y-%m-%d_%H')")
 
 _PROFILE_NUM = {"part": ["p_partkey", "p_size", "p_retailprice"], "events": ["event_id", "user_id", "value"]}
-_PROFILE_STR = {"part": ["p_name", "p_brand", "p_type"], "events": ["event_type", "props"]}
+_PROFILE_STR = {"part": ["p_name", "p_brand", "p_type"], "events": ["ts", "event_type", "props"]}
 
 
 def _profile_sql() -> str:
@@ -208,7 +208,7 @@ SELECT category, n, total, round(100.0::DOUBLE * n / total, 6) AS perc FROM c, t
     "distinct_ids": "SELECT count(DISTINCT l_partkey) AS partkeys, count(DISTINCT l_suppkey) AS suppkeys FROM lineitem",
     "term_stats": f"""WITH dtok AS (SELECT doc_id, {atok('text')} AS toks FROM documents),
   post AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(toks) AS term FROM dtok))
-SELECT term, count(*) AS df FROM post GROUP BY term ORDER BY df DESC, term LIMIT 200""",
+SELECT term, count(*) AS df FROM post GROUP BY term""",
     "iso_dates": "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS text FROM orders",
     "hour_parts": """SELECT event_id, text, dayname(t) AS weekday, CAST(hour(t) AS INTEGER) AS hour,
   strftime(t, '%Y-%m-%d %H:00') AS label

@@ -153,8 +153,8 @@ ex AS (SELECT doc_id, ss, len(ss) AS n, CAST(generate_subscripts(ss, 1) - 1 AS I
 SELECT doc_id, i, array_to_string(list_slice(ss, greatest(i - 1, 0) + 1, least(i + 1, n - 1) + 1), ' ') AS window_text
 FROM ex"""
 
-CITATION_CTES = f"""WITH {bm25_ctes(BENCH_Q)},
-hits AS (SELECT h.q, h.rank, d.text FROM {topk('scores', 3)} h JOIN documents d ON d.doc_id = h.doc),
+CITATION_CTES = f"""WITH hits AS (SELECT h.item_id AS q, h.rank, d.text FROM ({fused_ctes() + rerank_sql("fused")}) h
+  JOIN documents d ON d.doc_id = h.doc_id),
 ctx AS (SELECT q, string_agg('Source ' || CAST(rank AS VARCHAR) || ':' || {NL} || coalesce(text, ''),
                              {NL} || {NL} ORDER BY rank) AS context FROM hits GROUP BY q)"""
 

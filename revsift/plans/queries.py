@@ -201,7 +201,7 @@ def q_category_share(spark, d):
 
 def q_profile(spark, d):
     part = profile(_t(spark, d, "part"), "part.")
-    ev_ = profile(_t(spark, d, "events").drop("ts"), "events.")
+    ev_ = profile(_t(spark, d, "events"), "events.")
     return part.unionByName(ev_)
 
 
@@ -210,12 +210,8 @@ def q_distinct_ids(spark, d):
                                         F.countDistinct("l_suppkey").alias("suppkeys"))
 
 
-TERM_REPORT_ROWS = 200
-
-
 def q_term_stats(spark, d):
-    ts = rt.term_stats(_t(spark, d, "documents"))
-    return ts.orderBy(F.col("df").desc(), "term").limit(TERM_REPORT_ROWS)
+    return rt.term_stats(_t(spark, d, "documents"))
 
 
 def q_iso_dates(spark, d):

@@ -20,7 +20,6 @@ from .queries import _bench_queries, _t
 SCORE_CUTOFF = 0.25
 MMR_K = 10
 IR_DEPTH = max(ev.IR_CUTOFFS)
-CITED_SOURCES = 3
 TOP_ORDERS = 5
 LABEL_SCHEMA = [pp.MetadataField("label", "int")]
 LABEL_SPEC = {"query": "vectors with labels 2 to 6", "filters": [
@@ -112,19 +111,20 @@ def q_topk_per_query(spark, d):
     return out.select("custkey", "rank", F.col("l_orderkey").alias("orderkey"), "price")
 
 
-def _top_hits_with_text(spark, d, k):
+def _cited_sources(spark, d):
+    """The reranked hits of every question (depth 20) with their texts."""
     docs = _t(spark, d, "documents")
-    hits = rt.bm25_topk(_bench_queries(spark, d), docs, k=k)
+    hits = cut_lineage(rt.hybrid_search(_bench_queries(spark, d), docs).select("q", "rank", "doc"))
     return hits.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
 
 
 def q_citation_context(spark, d):
-    c = an.citation_context(_top_hits_with_text(spark, d, CITED_SOURCES))
+    c = an.citation_context(_cited_sources(spark, d))
     return c.select(F.col("q").alias("item_id"), "context")
 
 
 def q_render_prompt(spark, d):
-    c = an.citation_context(_top_hits_with_text(spark, d, CITED_SOURCES))
+    c = an.citation_context(_cited_sources(spark, d))
     p = an.render_prompts(c, _bench_queries(spark, d))
     return p.select(F.col("q").alias("item_id"), "prompt")
 

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set = set()
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   driver_memory: str = "16g", event_log_dir: str | None = None) -> SparkSession:
@@ -62,3 +65,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package where it is not installed: a zip of
+    its modules, added once per application (``addPyFile`` serves it to every
+    executor). A path entry on the driver does not reach the workers."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="revsift-"), "revsift.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)

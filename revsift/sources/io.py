@@ -198,12 +198,17 @@ def vector_stats(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
 
 # S9 ---------------------------------------------------------------------------
 def _path_has_data(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` holds a readable Parquet table (public API only:
-    a missing or empty folder fails schema resolution)."""
+    """True when ``path`` holds a Parquet table with at least one row. Only a
+    missing path or a folder without data files counts as absent; any other
+    error (permissions, network, damaged files) is raised."""
+    from pyspark.errors import AnalysisException
     try:
-        return len(spark.read.parquet(path).schema.fields) > 0
-    except Exception:  # missing path or no data files
-        return False
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return not df.isEmpty()
 
 
 def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame],
@@ -229,7 +234,13 @@ def recreate_flags(recreate_index: bool, recreate_retrieval_eval: bool,
 
 # S10 --------------------------------------------------------------------------
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text file as (line_no, line). ``line_no`` orders lines within the file
-    set (file name, then byte offset order inside the split)."""
-    df = spark.read.text(path).withColumnRenamed("value", "line")
-    return df.select(F.monotonically_increasing_id().alias("line_no"), "line")
+    """Text files as (line_no, line). ``line_no`` orders lines over the file
+    set: by modification time, path, where the split starts, and the place
+    inside the split (rows of a split are numbered as they are read). Splits
+    are packed into partitions by size, so a row number alone is no order.
+    Each line gets back the line end that the source strips: a tagged value
+    may be the last thing on its line."""
+    df = spark.read.text(path)
+    order = F.struct(F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("seq"))
+    return df.select(order.alias("line_no"), F.concat(F.col("value"), F.lit("\n")).alias("line"))
