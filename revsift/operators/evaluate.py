@@ -15,9 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import pandas as pd
-
-from .distributed import is_small, spread
+from .distributed import spread
 
 METRICS = ("hit_rate", "mrr", "precision", "recall", "ap", "ndcg")
 DIGITS = 6
@@ -34,83 +32,64 @@ def ideal_dcg(n: Column) -> Column:
 
 
 # E1 -----------------------------------------------------------------------------
-def _containment_matcher(b_patterns):
-    """mapInPandas body: one Aho-Corasick pass per document finds every
-    broadcast passage it contains (Aho & Corasick 1975), so the cost is
-    linear in the text, not in passages x text."""
-
-    def run(batches):
-        import ahocorasick
-        texts, owners = b_patterns.value
-        auto = ahocorasick.Automaton()
-        for i, t in enumerate(texts):
-            auto.add_word(t, i)
-        auto.make_automaton()
-        for pdf in batches:
-            out_q, out_d = [], []
-            for doc, text in zip(pdf["doc"].tolist(), pdf["_t"].tolist()):
-                if not text:
-                    continue
-                hits = {i for _, i in auto.iter(text)}
-                for i in hits:
-                    for q in owners[i]:
-                        out_q.append(q)
-                        out_d.append(doc)
-            yield pd.DataFrame({"q": pd.Series(out_q, dtype="int64"), "doc": pd.Series(out_d, dtype="int64")})
-
-    return run
-
-
-def _has_ahocorasick() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-        return True
-    except ImportError:
-        return False
+ANCHOR_WORDS = 3
+_GAP = "[ \\t\\r\\n]+"
+
+
+def _anchors(words: Column) -> Column:
+    """Hashes of every run of ANCHOR_WORDS words (none for fewer)."""
+    n = F.size(words) - ANCHOR_WORDS + 1
+    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i - 1 + k) for k in range(ANCHOR_WORDS)]))
 
 
 def passage_qrels(queries: DataFrame, docs: DataFrame, q_col: str = "item_id", q_text: str = "text",
-                  doc_id_col: str = "doc_id", doc_text: str = "text",
-                  max_broadcast_rows: int = 100_000, use_automaton: bool | None = None) -> DataFrame:
-    """(q, doc) pairs where the document text contains the query passage.
-
-    The passage list is size-checked and broadcast; documents stream past it
-    in one pass. With pyahocorasick, each task builds one automaton over all
-    passages and scans each document once; without it, a broadcast
-    nested-loop join tests ``instr`` per pair. Above the size bound the
-    passages are processed in hash blocks of that size."""
-    q = queries.select(F.col(q_col).cast("long").alias("q"), F.col(q_text).alias("_p")).filter(
-        F.length("_p") > 0)
-    d = spread(docs.select(F.col(doc_id_col).cast("long").alias("doc"), F.col(doc_text).alias("_t")))
-    auto = _has_ahocorasick() if use_automaton is None else use_automaton
-    # with the automaton, one job both checks the bound and fetches the passages
-    first = q.limit(max_broadcast_rows + 1).collect() if auto else None
-    if (first is not None and len(first) <= max_broadcast_rows) or (first is None and is_small(q, max_broadcast_rows)):
-        blocks = [first if first is not None else q]
-    else:
-        n_blocks = -(-q.count() // max_broadcast_rows) * 2
-        blocks = [q.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
-    spark = docs.sparkSession
-    out = None
-    for blk in blocks:
-        if auto:
-            rows = blk if isinstance(blk, list) else blk.collect()  # each block is at most the bound
-            if not rows:
-                continue
-            owners: dict = {}
-            for r in rows:
-                owners.setdefault(r["_p"], []).append(r["q"])
-            texts = list(owners)
-            bp = spark.sparkContext.broadcast((texts, [owners[t] for t in texts]))
-            part = d.mapInPandas(_containment_matcher(bp), "q long, doc long")
-        else:
-            part = d.join(F.broadcast(blk), F.instr(F.col("_t"), F.col("_p")) > 0).select("q", "doc")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "q long, doc long")
+                  doc_id_col: str = "doc_id", doc_text: str = "text", max_broadcast_rows: int = 100_000) -> DataFrame:
+    """(q, doc) pairs where the document text contains the query passage as a
+    substring (same case). Ids keep their types.
+
+    All words of a passage but its first and last stand in a text that
+    contains it as whole words, one after the other. So a passage with at
+    least ANCHOR_WORDS inner words names one run of them (the one of the
+    smallest hash) as its anchor; a join on anchors with the runs of the
+    documents gives the candidates, and ``instr`` decides. Only ids and
+    hashes go through that join; texts meet candidates afterwards. Passages
+    with fewer inner words are compared with every document, in blocks of at
+    most ``max_broadcast_rows`` passages."""
+    q = queries.select(F.col(q_col).alias("q"), F.col(q_text).alias("_p")).filter(F.length("_p") > 0)
+    inner = F.split("_p", _GAP)
+    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
+    q = q.withColumn("_a", F.array_min(_anchors(inner)))
+    d = spread(docs.select(F.col(doc_id_col).alias("doc"), F.col(doc_text).alias("_t")).filter(F.length("_t") > 0))
+    runs = d.select("doc", F.explode(F.array_distinct(_anchors(F.split("_t", _GAP)))).alias("_a"))
+    long_q = q.filter(F.col("_a").isNotNull())
+    pairs = runs.join(long_q.select("q", "_a"), "_a").select("q", "doc")
+    out = (d.join(pairs, "doc").join(long_q.select("q", "_p"), "q")
+            .filter(F.instr(F.col("_t"), F.col("_p")) > 0).select("q", "doc"))
+    short = q.filter(F.col("_a").isNull()).select("q", "_p")
+    n = short.count()
+    blocks = -(-n // max_broadcast_rows)
+    for i in range(blocks):
+        part = short if blocks == 1 else short.filter(F.pmod(F.xxhash64("q", "_p"), F.lit(blocks)) == i)
+        out = out.unionByName(d.join(F.broadcast(part), F.instr(F.col("_t"), F.col("_p")) > 0).select("q", "doc"))
     return out
 
 
+def make_pairs(nodes: DataFrame, questions: DataFrame, node_id: str = "node_id", node_text: str = "text",
+               q_col: str = "q", question: str = "question", question_node: str = "node_id"):
+    """A question set over nodes: ``(queries, corpus, relevant)`` as the
+    three maps of the question-answer file - (q, question), (node_id, text)
+    of the nodes that are asked about, (q, node_id). Questions without a
+    known node or without text are left out."""
+    asked = (questions.select(F.col(q_col).alias("q"), F.col(question).alias("question"), F.col(question_node).alias("node_id"))
+             .filter(F.length("question") > 0))
+    known = nodes.select(F.col(node_id).alias("node_id"), F.col(node_text).alias("text"))
+    relevant = asked.join(known.select("node_id"), "node_id", "left_semi").select("q", "node_id").distinct()
+    queries = asked.join(relevant.select("q").distinct(), "q", "left_semi").select("q", "question").distinct()
+    corpus = known.join(relevant.select("node_id").distinct(), "node_id", "left_semi")
+    return queries, corpus, relevant
+
+
 # E2 / W6 / U4 ---------------------------------------------------------------------
 def retrieval_metrics(queries: DataFrame, ranked: DataFrame, qrels: DataFrame, k: int,
                       q_col: str = "q", id_col: str = "doc") -> DataFrame:

@@ -149,20 +149,38 @@ def availability_json(rows: DataFrame, key_cols: list, label_col: str = "hour",
 
 # X4 -------------------------------------------------------------------------------
 def register_functions(spark: SparkSession) -> list:
-    """Register SQL functions callable by name: is_open_hour, slot_count,
-    now_label (temporary SQL UDFs: they inline into the plan)."""
-    seed = ("pmod(" * 8 + "0L" + "".join(
-        f" * 4294967296L + CAST(conv(substring(sha2(concat(business_id, '_', "
-        f"date_format(ts, '{SEED_FORMAT}')), 256), {8 * i + 1}, 8), 16, 10) AS BIGINT), {SLOT_MODULUS})"
-        for i in range(8)))
+    """Register SQL functions callable by name (temporary SQL UDFs: they
+    inline into the plan): is_open_hour, slot_count, now_label, and the three
+    that a caller with a business at hand uses - ``check_availability(id,
+    open_hour, close_hour, ts, pax)``, ``check_availability_range(id,
+    open_hour, close_hour, start, end, pax)`` (a JSON object, hour label ->
+    whether there is a table; the hours are those of the day of ``start``)
+    and ``get_business_id(names, ids, name)`` (the last id of a name)."""
+    def slot_sql(ts: str) -> str:
+        seed = ("pmod(" * 8 + "0L" + "".join(
+            f" * 4294967296L + CAST(conv(substring(sha2(concat(business_id, '_', "
+            f"date_format({ts}, '{SEED_FORMAT}')), 256), {8 * i + 1}, 8), 16, 10) AS BIGINT), {SLOT_MODULUS})"
+            for i in range(8)))
+        return f"CASE WHEN pmod({seed}, 5) = 0 THEN 0 ELSE CAST(1 + pmod(floor({seed} / 5), 10) AS INT) END"
+
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION is_open_hour(open_hour INT, close_hour INT, h INT) "
               "RETURNS BOOLEAN RETURN coalesce(open_hour <= h AND h < close_hour, false)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION slot_count(business_id STRING, ts TIMESTAMP_NTZ) "
-              f"RETURNS INT RETURN CASE WHEN pmod({seed}, 5) = 0 THEN 0 "
-              f"ELSE CAST(1 + pmod(floor({seed} / 5), 10) AS INT) END")
+              f"RETURNS INT RETURN {slot_sql('ts')}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION now_label() RETURNS STRING RETURN "
               "concat(CASE WHEN date_format(localtimestamp(), 'SSSSSS') = '000000' "
               "THEN date_format(localtimestamp(), \"yyyy-MM-dd'T'HH:mm:ss\") "
               "ELSE date_format(localtimestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") END, ' (', "
               "date_format(localtimestamp(), 'EEEE'), ')')")
-    return ["is_open_hour", "slot_count", "now_label"]
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION check_availability(business_id STRING, open_hour INT, close_hour INT, "
+              "ts TIMESTAMP_NTZ, pax INT) RETURNS BOOLEAN RETURN "
+              "is_open_hour(open_hour, close_hour, hour(ts)) AND slot_count(business_id, ts) >= pax")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION check_availability_range(business_id STRING, open_hour INT, close_hour INT, "
+              "first TIMESTAMP_NTZ, last TIMESTAMP_NTZ, pax INT) RETURNS STRING RETURN "
+              f"to_json(map_from_entries(transform(CASE WHEN first <= last THEN sequence(first, last, INTERVAL 1 HOUR) "
+              f"ELSE array() END, t -> struct(date_format(t, '{HOUR_LABEL}'), "
+              # a lambda takes no SQL functions, so the test is written out
+              f"coalesce(open_hour <= hour(t) AND hour(t) < close_hour, false) AND ({slot_sql('t')}) >= pax))))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION get_business_id(names ARRAY<STRING>, ids ARRAY<STRING>, name STRING) "
+              "RETURNS STRING RETURN try_element_at(filter(ids, (x, i) -> names[i] = name), -1)")
+    return ["is_open_hour", "slot_count", "now_label", "check_availability", "check_availability_range", "get_business_id"]

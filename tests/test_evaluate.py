@@ -40,13 +40,26 @@ def test_summary_skips_queries_without_relevant_docs(spark):
     assert out["top_5_retrieval_eval_n_queries_without_relevant"] == 1.0
 
 
-def test_passage_qrels_both_paths(spark):
-    q = spark.createDataFrame([(1, "quick brown"), (2, "absent"), (3, ""), (4, "brown")], "item_id long, text string")
-    d = spark.createDataFrame([(10, "the quick brown fox"), (11, "brown bear"), (12, None)], "doc_id long, text string")
-    want = [(1, 10), (4, 10), (4, 11)]
+def test_passage_qrels_short_and_anchored_passages(spark):
+    q = spark.createDataFrame([("1", "quick brown"), ("2", "absent"), ("3", ""), ("4", "brown"), ("5", "he quick brown fox jumps o"),
+                               ("6", "quick brown fox jumps over the lazy dog"), ("7", "a  b\tc d\ne")], "item_id string, text string")
+    d = spark.createDataFrame([("10", "the quick brown fox"), ("11", "brown bear"), ("12", None), ("13", "see the quick brown fox jumps over the lazy dogs"),
+                               ("14", "quick brown cat jumps over the lazy dog"), ("15", "xa  b\tc d\nef"), ("16", "xa b c d ef")], "doc_id string, text string")
+    want = sorted((x.item_id, y.doc_id) for x in q.collect() for y in d.collect() if x.text and y.text and x.text in y.text)
+    assert ("5", "13") in want and ("7", "15") in want
     assert rows(ev.passage_qrels(q, d), "q", "doc") == want
-    assert rows(ev.passage_qrels(q, d, use_automaton=False), "q", "doc") == want
     assert rows(ev.passage_qrels(q, d, max_broadcast_rows=1), "q", "doc") == want
+    p = ev.passage_qrels(q.filter("item_id in (5, 6)"), d)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in p and "Python" not in p and "Pandas" not in p
+
+
+def test_make_pairs(spark):
+    nodes = spark.createDataFrame([("n1", "text one"), ("n2", "text two"), ("n3", "unasked")], "node_id string, text string")
+    qs = spark.createDataFrame([(1, "what?", "n1"), (2, "who?", "n2"), (3, "", "n2"), (4, "lost?", "n9"), (1, "what?", "n2")],
+                               "q long, question string, node_id string")
+    queries, corpus, relevant = ev.make_pairs(nodes, qs)
+    assert rows(queries) == [(1, "what?"), (2, "who?")] and rows(corpus) == [("n1", "text one"), ("n2", "text two")]
+    assert rows(relevant) == [(1, "n1"), (1, "n2"), (2, "n2")]
 
 
 def test_ir_report_by_label(spark):

@@ -1,3 +1,4 @@
+import json
 import datetime as dt
 import hashlib
 import re
@@ -59,7 +60,7 @@ def test_availability_range_inclusive_and_empty(spark):
 
 def test_sql_functions_and_now_label(spark):
     names = hr.register_functions(spark)
-    assert names == ["is_open_hour", "slot_count", "now_label"]
+    assert names[:3] == ["is_open_hour", "slot_count", "now_label"]
     r = spark.sql("SELECT is_open_hour(9, 22, 21) AS a, is_open_hour(9, 22, 22) AS b, "
                   "is_open_hour(NULL, 22, 10) AS c, "
                   "slot_count('b1', TIMESTAMP_NTZ'2024-01-01 20:45:00') AS s, now_label() AS n").first()
@@ -176,3 +177,16 @@ def test_depunct_and_to_number(spark):
     assert df.select(depunct("s").alias("x")).first().x == "_" * 32 + "aZ9 é"
     nums = spark.createDataFrame([("12",), (" 3.5 ",), ("abc",), (None,)], "s string")
     assert [r.v for r in nums.select(to_number("s").alias("v")).collect()] == [12.0, 3.5, None, None]
+
+
+def test_named_availability_functions(spark):
+    hr.register_functions(spark)
+    r = spark.sql("""SELECT check_availability('b1', 8, 22, TIMESTAMP_NTZ'2024-01-01 20:45:00', 0) AS a,
+        check_availability('b1', 8, 20, TIMESTAMP_NTZ'2024-01-01 20:45:00', 0) AS shut,
+        check_availability('b1', 8, 22, TIMESTAMP_NTZ'2024-01-01 20:45:00', 99) AS full,
+        check_availability_range('b1', 8, 21, TIMESTAMP_NTZ'2024-01-01 20:00:00', TIMESTAMP_NTZ'2024-01-01 21:30:00', 0) AS r,
+        check_availability_range('b1', 8, 21, TIMESTAMP_NTZ'2024-01-01 21:00:00', TIMESTAMP_NTZ'2024-01-01 20:00:00', 0) AS none,
+        get_business_id(array('x', 'y', 'x'), array('1', '2', '3'), 'x') AS id,
+        get_business_id(array('x'), array('1'), 'z') AS missing""").first()
+    assert (r.a, r.shut, r.full, r.id, r.missing) == (True, False, False, "3", None)
+    assert json.loads(r.r) == {"2024-01-01 20:00": True, "2024-01-01 21:00": False} and json.loads(r.none) == {}
