@@ -37,10 +37,11 @@ _GAP = "[ \\t\\r\\n]+"
 
 
 def _anchors(words: Column) -> Column:
-    """Hashes of every run of ANCHOR_WORDS words (none for fewer)."""
-    n = F.size(words) - ANCHOR_WORDS + 1
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i - 1 + k) for k in range(ANCHOR_WORDS)]))
+    """Hashes of every run of ANCHOR_WORDS words (none for fewer). Shifted
+    copies are zipped, so that the lambda sees its own element only."""
+    n = F.greatest(F.size(words) - ANCHOR_WORDS + 1, F.lit(0))
+    runs = F.arrays_zip(*[F.slice(words, k + 1, n).alias(f"w{k}") for k in range(ANCHOR_WORDS)])
+    return F.transform(runs, lambda r: F.xxhash64(r))
 
 
 def passage_qrels(queries: DataFrame, docs: DataFrame, q_col: str = "item_id", q_text: str = "text",
