@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -287,10 +287,19 @@ def linked_groups(buckets: DataFrame, texts: DataFrame, links: DataFrame, size:
     second = full.selectExpr("c", "doc_id as d2", "n as n2", "i as i2", "g as g2")
     alone = (full.filter("g <> cg").join(second, "c")
              .filter(f"g <> g2 and {fits} and {percent} * (n + n2) <= {100 + percent} * least(i, i2)"))
-    # they share a shingle that the centre lacks
-    each = own.select("c", "doc_id", "n", "g", F.explode("rest").alias("h"))
-    shared = each.groupBy("c", "h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("c", "h")
-    each = written(each.join(shared, ["c", "h"]), "rest")
+    # they share a shingle that the centre lacks: of a member's m others it shares at least
+    # k, so one of all but its k - 1 last ones in any fixed order. Those of one group only
+    # come first (they are in no such pair), then the rare ones.
+    mixed = own.groupBy("c").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("c")
+    each = own.join(mixed, "c").select("c", "doc_id", "n", "g", (F.size("rest") - F.col("k") + 1).alias("first"),
+                                       F.size("rest").alias("m"), F.explode("rest").alias("h"))
+    shared = each.groupBy("c", "h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("f")) \
+                 .filter("lo < hi").select("c", "h", "f")
+    of_member = Window.partitionBy("c", "doc_id")
+    each = (each.join(shared, ["c", "h"]).withColumn("s", F.count(F.lit(1)).over(of_member))
+            .withColumn("at", F.row_number().over(of_member.orderBy("f", "h")))
+            .filter("m - s + at <= first").select("c", "h", "doc_id", "n", "g"))
+    each = written(each, "rest")
     other = each.selectExpr("c", "h", "doc_id as d2", "n as n2", "g as g2")
     more = each.join(other, ["c", "h"]).filter(f"g < g2 and {fits}")
     last = alone.select("doc_id", "d2").unionAll(more.select("doc_id", "d2")) \
@@ -301,10 +310,10 @@ def linked_groups(buckets: DataFrame, texts: DataFrame, links: DataFrame, size:
 
 def compare_with_centres(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs ``(doc_id, c)`` with ``n`` (shingles of the document), ``i``
-    (those in the centre's set too), ``linked`` and ``rest``: of the
-    document's other shingles, in order, as many as a similar text must share
-    one of. A similar text has at least percent of n in common with it, so it
-    shares k = that - i of the others, one of them among all but k - 1."""
+    (those in the centre's set too), ``linked``, ``rest`` (its other shingles)
+    and ``k``: a similar text has at least percent of n in common with it, so
+    it shares that - i of the others, 1 at least if the centre's are not
+    enough."""
     both = pairs.join(texts.select("doc_id", "text"), "doc_id") \
                 .join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("ct")), "c").select("doc_id", "c", "text", "ct")
 
@@ -312,7 +321,7 @@ def compare_with_centres(pairs: DataFrame, texts: DataFrame, size: int, percent:
         for b in batches:
             h, off = shingle_sets(b.column("text"), size)
             hc, oc = shingle_sets(b.column("ct"), size)
-            n, i, linked, rest = np.diff(off), [], [], []
+            n, i, linked, rest, must = np.diff(off), [], [], [], []
             for k in range(b.num_rows):
                 x, y = h[off[k]:off[k + 1]], hc[oc[k]:oc[k + 1]]
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -320,10 +329,10 @@ def compare_with_centres(pairs: DataFrame, texts: DataFrame, size: int, percent:
                 common = len(x) - len(own)
                 i.append(common)
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
-                must = max(1, -(-percent * len(x) // 100) - common)
-                rest.append(own[:max(0, len(own) - must + 1)].view(np.int64))
+                must.append(max(1, -(-percent * len(x) // 100) - common))
+                rest.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("c"), pa.array(n), pa.array(i, pa.int64()), pa.array(linked, pa.bool_()),
-                 pa.array(rest, pa.list_(pa.int64()))], names=["doc_id", "c", "n", "i", "linked", "rest"])
+                 pa.array(rest, pa.list_(pa.int64())), pa.array(must, pa.int64())], names=["doc_id", "c", "n", "i", "linked", "rest", "k"])
 
-    return map_batches(both, run, "doc_id long, c long, n long, i long, linked boolean, rest array<long>")
+    return map_batches(both, run, "doc_id long, c long, n long, i long, linked boolean, rest array<long>, k long")
