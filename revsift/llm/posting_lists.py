@@ -7,9 +7,12 @@ bounded sample gives by balanced k-means. A point near the border of several
 lists is put into each of them (unless a list already taken is nearer to that
 centroid than the point is). Centroids are found through a graph of their
 neighbours, held in memory and walked for a whole batch of vectors at once.
-A query reads the lists whose centroid is at most a given ratio farther than
-the nearest one. Lists and the queries that read them meet in cells of
-bounded size; each cell sends on its best few of each query.
+A query reads all lists whose centroid is at most a given ratio farther than
+the nearest one, however many they are: on vectors without clusters that is
+nearly every list, and the search comes close to brute force. Lists of near
+centroids stand on one shelf, which a query that reads any of them reads as a
+whole. Shelves and their queries meet in cells of bounded size; each cell sends
+on its best few of each query.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches, written
+from .common import BATCH_BYTES, bound_batches, map_batches, written
 
 # Points that a list holds on average, and the most centroids there are.
 LIST_POINTS = 100
@@ -29,7 +32,8 @@ MOST_LISTS = 16_384
 # Vectors that k-means sees for each centroid, and its rounds.
 FIT_POINTS = 24
 FIT_ROUNDS = 8
-# Neighbours of a centroid in the graph; centroids that a walk keeps.
+# Neighbours of a centroid in the graph; centroids that a query's walk keeps (if
+# the last is still within the ratio, all centroids are compared).
 GRAPH_DEGREE = 24
 BEAM = 96
 # A point goes into lists at most this ratio farther than its nearest, REPLICAS at most.
@@ -40,7 +44,9 @@ EDGE_BEAM = 32
 # A query reads lists at most this ratio farther than its nearest.
 PROBE_RATIO = 1.6
 LEAST_PROBES = 8
-# Points and queries of one cell of a list.
+# Lists of a shelf on average: a query goes once to a shelf, not to each of its lists.
+SHELF_LISTS = 16
+# Points and queries of one cell of a shelf.
 CELL_POINTS = 4096
 CELL_QUERIES = 1024
 
@@ -149,6 +155,23 @@ def choose_lists(ids: np.ndarray, sims: np.ndarray, centroids: np.ndarray, ratio
     return out
 
 
+def probed_lists(c: Centroids, x: np.ndarray, ratio: float, least: int, beam: int) -> list[np.ndarray]:
+    """Lists that every query reads: all at most ``ratio`` farther than the
+    nearest, and the ``least`` nearest. A walk whose last centroid is still
+    within the ratio has not met them all: such a query compares every centroid."""
+    ids, sims = c.search(x, max(beam, least))
+    got = choose_lists(ids, sims, c.vectors, ratio, least, ids.shape[1], False)
+    if ids.shape[1] < len(c.vectors):
+        d = _distance(sims)
+        wide = np.flatnonzero((ids[:, -1] < 0) | (d[:, -1] <= ratio * d[:, 0] + 1e-6))
+        every = x[wide] @ c.vectors.T
+        order = np.argsort(-every, axis=1, kind="stable").astype(np.int32)
+        lists = choose_lists(order, np.take_along_axis(every, order, 1), c.vectors, ratio, least, order.shape[1], False)
+        for i, g in zip(wide.tolist(), lists):
+            got[i] = g
+    return got
+
+
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of doubles; shorter vectors are filled up with zeros."""
     n = np.diff(column.offsets.to_numpy())
@@ -212,38 +235,43 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, is_query: Column | None =
     rows = points.select("v").orderBy(F.xxhash64("point"), "point").limit(max(fit, 1)).toArrow()
     sample = _unit(_vectors(rows.column("v").combine_chunks(), dim))
     centroids = Centroids(fit_centroids(sample, lists))
-    shared = spark.sparkContext.broadcast(centroids)  # at most MOST_LISTS vectors and their graph
+    boards = fit_centroids(centroids.vectors, max(1, math.ceil(len(centroids.vectors) / SHELF_LISTS)))
+    shelf_of = np.argmax(centroids.vectors @ boards.T, axis=1).astype(np.int32)
+    shared = spark.sparkContext.broadcast((centroids, shelf_of))  # at most MOST_LISTS vectors and their graph
 
     def assign(as_query: bool):
         def run(batches):
-            c = shared.value
+            c, shelf = shared.value
             for batch in batches:
                 for a in range(0, batch.num_rows, 256):
                     b = batch.slice(a, 256)
                     x = _unit(_vectors(b.column("v"), dim))
-                    ids, sims = c.search(x, beam if as_query else EDGE_BEAM)
-                    got = (choose_lists(ids, sims, c.vectors, probe_ratio, LEAST_PROBES, beam, False) if as_query
-                           else choose_lists(ids, sims, c.vectors, EDGE_RATIO, 1, REPLICAS, True))
-                    times = np.array([len(g) for g in got])
-                    take = pa.array(np.repeat(np.arange(b.num_rows), times))
-                    yield pa.RecordBatch.from_arrays([b.column("point").take(take), pa.array(np.concatenate(got).astype(np.int32)), b.column("v").take(take)],
-                                                     names=["point", "list", "v"])
+                    got = (probed_lists(c, x, probe_ratio, LEAST_PROBES, beam) if as_query
+                           else choose_lists(*c.search(x, EDGE_BEAM), c.vectors, EDGE_RATIO, 1, REPLICAS, True))
+                    got = [np.unique(shelf[g]) for g in got]
+                    rows = np.repeat(np.arange(b.num_rows), [len(g) for g in got])
+                    of = np.concatenate(got)
+                    step = max(1, BATCH_BYTES // (8 * dim))  # a batch may read every shelf
+                    for i in range(0, len(rows), step):
+                        take = pa.array(rows[i:i + step])
+                        yield pa.RecordBatch.from_arrays([b.column("point").take(take), pa.array(of[i:i + step]), b.column("v").take(take)],
+                                                         names=["point", "shelf", "v"])
         return run
 
-    posting = written(map_batches(points.select("point", "v"), assign(False), "point long, list int, v array<double>"), "lists")
+    posting = written(map_batches(points.select("point", "v"), assign(False), "point long, shelf int, v array<double>"), "lists")
     queries = keyed.filter(wanted).select("vec_id", "v").distinct().join(points.select("v", "point"), "v").select("vec_id", "point")
     queries = written(queries, "queries")
     asked = points.join(queries.select("point").distinct(), "point", "left_semi").select("point", "v")
-    probes = written(map_batches(asked, assign(True), "point long, list int, v array<double>"), "probes")
-    # cells: a long list is cut by its points, a list that many queries read by its queries
-    cells = (posting.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_POINTS).alias("np"))
-             .join(probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("nq")), "list"))
-    cells = written(cells, "cells")  # one row for each list: MOST_LISTS at most
+    probes = written(map_batches(asked, assign(True), "point long, shelf int, v array<double>"), "probes")
+    # cells: a long shelf is cut by its points, a shelf that many queries read by its queries
+    cells = (posting.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / CELL_POINTS).alias("np"))
+             .join(probes.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("nq")), "shelf"))
+    cells = written(cells, "cells")  # one row for each shelf: MOST_LISTS at most
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = (posting.join(F.broadcast(cells), "list").withColumn("cp", F.pmod(F.xxhash64("point"), F.col("np"))).withColumn("cq", each("nq"))
-            .select("list", "cp", "cq", "point", "v"))
-    right = (probes.join(F.broadcast(cells), "list").withColumn("cq", F.pmod(F.xxhash64("point"), F.col("nq"))).withColumn("cp", each("np"))
-             .select("list", "cp", "cq", "point", "v"))
+    left = (posting.join(F.broadcast(cells), "shelf").withColumn("cp", F.pmod(F.xxhash64("point"), F.col("np"))).withColumn("cq", each("nq"))
+            .select("shelf", "cp", "cq", "point", "v"))
+    right = (probes.join(F.broadcast(cells), "shelf").withColumn("cq", F.pmod(F.xxhash64("point"), F.col("nq"))).withColumn("cp", each("np"))
+             .select("shelf", "cp", "cq", "point", "v"))
 
     def best(points_of: pa.Table, queries_of: pa.Table) -> pa.Table:
         out = {"q": [], "p": [], "score": []}
@@ -257,15 +285,15 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, is_query: Column | None =
             for a in range(0, len(qid), 256):
                 sim = fast_q[a:a + 256] @ fast_p.T
                 top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-                rows_q = np.repeat(np.arange(a, a + len(sim)), m)
-                s = cosine(q[rows_q], p[top.reshape(-1)])
-                out["q"].append(qid[rows_q])
-                out["p"].append(pid[top.reshape(-1)])
-                out["score"].append(s)
+                s = cosine(q[np.repeat(np.arange(a, a + len(sim)), m)], p[top.reshape(-1)]).reshape(-1, m)
+                order = np.lexsort((pid[top], -s), axis=1)[:, :k + 1]  # no more of a cell can be among the best k + 1
+                out["q"].append(np.repeat(qid[a:a + 256], order.shape[1]))
+                out["p"].append(pid[np.take_along_axis(top, order, 1)].reshape(-1))
+                out["score"].append(np.take_along_axis(s, order, 1).reshape(-1))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.table({"q": cat(out["q"], np.int64), "p": cat(out["p"], np.int64), "score": cat(out["score"], np.float64)})
 
-    found = (left.groupBy("list", "cp", "cq").cogroup(right.groupBy("list", "cp", "cq"))
+    found = (left.groupBy("shelf", "cp", "cq").cogroup(right.groupBy("shelf", "cp", "cq"))
              .applyInArrow(best, "q long, p long, score double"))
     # best points of a query point: k + 1 are enough, as its own point holds at least the query itself
     ranked = top_ranked(found.distinct(), "q", [F.desc("score"), F.asc("p")], k + 1)
