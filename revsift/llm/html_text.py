@@ -4,9 +4,9 @@ A page is read into text blocks, each under its root-to-leaf tag path. For
 every path the method adds up the text length and the punctuation of its
 blocks, divides both by the number of blocks and links, smooths the two
 ratios over the paths in page order, fuses them (their product) and keeps
-the paths above a threshold: those name the content nodes. The region that
-holds most of their text (an article or main element if there is one, else
-their lowest common element) is the article, and all of its blocks are
+the paths above a threshold: those name the content nodes. The article or main
+element that holds most of their text, if there is one, else the lowest
+container of all of them and of the headings over text, is the article, and all of its blocks are
 returned in page order, short ones too, but for those in elements that are
 never the article (menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments).
@@ -57,6 +57,7 @@ CONTAINER = frozenset("#root html body article main section div center td".split
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(?=[^A-Za-z/!?])|<\Z|</[^A-Za-z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=/\"']+)")
+HEADING = re.compile(r"h[1-6]")
 _WORDS = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。、，！？；]")
 
@@ -227,6 +228,23 @@ def path_scores(blocks: list[tuple[str, _Element, int]]) -> dict[str, float]:
     return {p: t * (1 + q) for p, t, q in zip(paths, smooth(ratio), smooth(punct))}
 
 
+def text_headings(blocks: list[tuple[str, _Element, int]]) -> list[_Element]:
+    """Elements of the headings that stand over text: before the next heading
+    comes a block that is not mostly links (further headings between them count
+    as one with it). Headings of a page's header or mostly of links do not count."""
+    out, over_text, after_heading = [], False, False
+    for text, e, linked in reversed(blocks):
+        prose = linked < 0.5 * len(text)
+        if HEADING.fullmatch(e.tag):
+            after_heading = True
+            if over_text and prose and not e.header:
+                out.append(e)
+        else:
+            over_text = prose or over_text and not after_heading
+            after_heading = False
+    return out
+
+
 def main_text(page: str) -> tuple[str, int, int]:
     """(main text, blocks taken, blocks of the page)."""
     blocks = read_blocks(page)
@@ -250,8 +268,15 @@ def main_text(page: str) -> tuple[str, int, int]:
     region = max(named, key=lambda e: (weight[e.order], -e.order), default=None)
     if region is not None and weight[region.order] * 3 < total:
         region = None  # a teaser in an article element is not the page's article
-    if region is None:  # the lowest container that holds nearly all of the content
-        region = max((e for e in element.values() if weight[e.order] * 10 >= total * 9 and e.tag in CONTAINER), key=lambda e: e.order)
+    if region is None:  # the lowest container that holds all of the content and its headings
+        held: dict[int, int] = {}
+        inner = [e for _, e, _ in content if not HEADING.fullmatch(e.tag)] + text_headings(usable) or [e for _, e, _ in content]
+        for e in inner:
+            while e is not None:
+                held[e.order] = held.get(e.order, 0) + 1
+                element[e.order] = e
+                e = e.parent
+        region = max((e for e in element.values() if held.get(e.order) == len(inner) and e.tag in CONTAINER), key=lambda e: e.order)
     taken = []
     for text, e, linked in usable:
         x = e
@@ -259,7 +284,7 @@ def main_text(page: str) -> tuple[str, int, int]:
             x = x.parent
         if x is None:
             continue
-        if e.header and not region.header and not re.fullmatch(r"h[1-6]", e.tag):
+        if e.header and not region.header and not HEADING.fullmatch(e.tag):
             continue
         if not region.article and scores[e.path] < floor and linked >= 0.5 * len(text):
             continue  # link lists beside the text of a page without article elements

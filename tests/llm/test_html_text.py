@@ -34,6 +34,15 @@ def test_page_without_article_element():
     assert text(page) == " ".join(f"Title {LONG} Short. one two c1 c2".split())
 
 
+def test_title_and_lead_beside_a_long_body():
+    for times in (1, 10, 100):
+        body = f"<p>{LONG}</p>" * times
+        page = f"""<body><div class=top><a href=/>Home</a></div><div class=post><h1>Title</h1><div class=intro><p>A short lead.</p></div>
+        <div class=gap>By someone</div><div class=when>Today</div><div class=entry-content>{body}</div></div>
+        <div class=more><h3>Elsewhere</h3><ul><li><a href=/a>Other story</a></ul></div></body>"""
+        assert text(page) == " ".join(f"Title A short lead. By someone Today {LONG * times}".split()), times
+
+
 def test_what_is_never_the_article():
     for junk in ("<nav><p>{0}</p></nav>", "<aside><p>{0}</p></aside>", "<div class='ad'><p>{0}</p></div>", "<form><p>{0}</p></form>",
                  "<section id=comments><p>{0}</p></section>", "<script>{0}</script>", "<style>{0}</style>", "<!-- {0} -->",
