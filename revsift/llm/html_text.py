@@ -9,7 +9,9 @@ element that holds most of their text, if there is one, else the lowest
 container of all of them and of the headings over text, is the article, and all of its blocks are
 returned in page order, short ones too, but for those in elements that are
 never the article (menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments).
+forms, reader comments). Tag, role and a few plain names say so at once; other
+words of class and id only hint at it, and hold where the element is mostly
+links, has no sentence, or lies outside the article. Headings have no hints.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ ENDS_SAME = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {
              "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
              "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 # Elements that are never part of the article.
-NEVER = frozenset("nav footer aside form button select menu dialog head search fieldset label svg math canvas object audio video".split())
+NEVER = frozenset("nav footer aside form button select menu dialog head search fieldset label svg annotation annotation-xml canvas object audio video".split())
 # ARIA roles and words of class and id that mark such elements.
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner
@@ -49,6 +51,13 @@ NEVER_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising a
     cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login
     comment comments commentlist discussion disqus replies reply respond share sharing social related recommended
     widget widgets form search copyright skip""".split())
+# Those that say it alone, as a whole name or with words of layout; the others are hints.
+NAMED = frozenset("""ad ads adsbygoogle advert adverts advertisement sponsored sidebar comment comments commentlist disqus navbar
+    breadcrumb breadcrumbs masthead topbar pagination""".split())
+LAYOUT = frozenset("""area bar bottom box block container content inner item items left list main page right section site slot
+    top unit wrapper article post story entry""".split())
+# A block with a sentence has at least so many characters outside links.
+SENTENCE = 40
 # Elements that name the article themselves.
 ARTICLE = frozenset(("article", "main"))
 
@@ -59,20 +68,22 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"([^\s=/\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=/\"']+)")
 HEADING = re.compile(r"h[1-6]")
 _WORDS = re.compile(r"[a-z]+")
+_STOP = re.compile(r"[.!?…。！？]")
 _PUNCT = re.compile(r"[.,;:!?…。、，！？；]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "never", "article", "parent", "order", "header")
+    __slots__ = ("tag", "path", "never", "article", "parent", "order", "header", "hint")
 
-    def __init__(self, tag: str, parent, never: bool, article: bool, order: int, step: str, header: bool):
+    def __init__(self, tag: str, parent, never: bool, article: bool, order: int, step: str, header: bool, hint: bool = False):
         self.tag, self.parent, self.never, self.article, self.order, self.header = tag, parent, never, article, order, header
+        self.hint = hint
         self.path = f"{parent.path}/{step}" if parent else step
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool, str]:
-    """(never content, names the article, path step) of a start tag."""
-    never, article, step = tag in NEVER, tag in ARTICLE, tag
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool, str]:
+    """(never content, a hint of that, names the article, path step) of a start tag."""
+    never, hint, article, step = tag in NEVER, False, tag in ARTICLE, tag
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             name = (m[1] or m[3]).lower()
@@ -84,15 +95,23 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, str]:
                 article |= value == "articlebody"
             elif name in ("class", "id"):
                 words = set(_WORDS.findall(value))
-                if tag not in ("html", "body", "article", "main"):
-                    never |= bool(words & NEVER_WORDS) and not words & {"article", "post", "story", "entry"} or \
-                        bool(words & {"comment", "comments", "sidebar", "sponsored", "related", "share"})
+                if tag not in ("html", "body", "article", "main") and not HEADING.fullmatch(tag) and (
+                        words & NEVER_WORDS and not words & {"article", "post", "story", "entry"}
+                        or words & {"comment", "comments", "sidebar", "sponsored", "related", "share"}):
+                    names = [set(_WORDS.findall(x)) for x in value.split()]
+                    never |= any(x & NAMED and x <= NEVER_WORDS | LAYOUT for x in names)
+                    hint = True
                 if name == "class":
                     step += "." + ".".join(sorted(words))
             elif name == "hidden" or name == "aria-hidden" and value == "true" or \
                     name == "style" and re.search(r"display\s*:\s*none", value):
                 never = True
-    return never, article, step
+    return never, hint, article, step
+
+
+def is_sentence(text: str, linked: int) -> bool:
+    """Whether a block has a sentence that is not mostly links."""
+    return linked < 0.5 * len(text) and len(text) - linked >= SENTENCE and _STOP.search(text) is not None
 
 
 def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
@@ -108,15 +127,17 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
     order = 0
     holder = root
     hidden = 0
+    hinted, hints = 0, [0]  # open inline elements with a hint, characters in them
 
     def flush() -> None:
         nonlocal holder
         if buffer:
             text = " ".join("".join(buffer).split())
-            if text:
+            # a block that is mostly in hinted inline elements, without a sentence, is a button or label
+            if text and (2 * hints[0] < len(text) or is_sentence(text, links[0])):
                 blocks.append((text, holder, links[0]))
             buffer.clear()
-        links[0] = 0
+        links[0] = hints[0] = 0
 
     def block_of(e: _Element) -> _Element:
         while e.parent is not None and e.tag not in BLOCK:
@@ -124,10 +145,11 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
         return e
 
     def pop_to(k: int) -> None:
-        nonlocal open_links, hidden
+        nonlocal open_links, hidden, hinted
         for e in stack[k:]:
             open_links -= e.tag == "a"
             hidden -= e.never and e.tag not in BLOCK
+            hinted -= e.hint and e.tag not in BLOCK
         if any(e.tag in BLOCK for e in stack[k:]):
             flush()
         del stack[k:]
@@ -149,6 +171,8 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
             buffer.append(text)
             if open_links > 0:
                 links[0] += len(text.strip())
+            if hinted > 0:
+                hints[0] += len(text.strip())
             continue
         tag = tag.lower()
         if m[1]:
@@ -175,7 +199,7 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
             elif tag == "hr":
                 flush()
             continue
-        never, article, step = _marks(tag, m[3])
+        never, hint, article, step = _marks(tag, m[3])
         if tag in ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
@@ -201,9 +225,10 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
         header = parent.header or tag == "header"
         if tag == "header" and not any(e.article for e in stack):
             never = True
-        e = _Element(tag, parent, never or parent.never, article, order, step, header)
+        e = _Element(tag, parent, never or parent.never, article, order, step, header, hint)
         stack.append(e)
         open_links += tag == "a"
+        hinted += hint and tag not in BLOCK
         hidden += e.never and tag not in BLOCK
     flush()
     return blocks
@@ -245,15 +270,44 @@ def text_headings(blocks: list[tuple[str, _Element, int]]) -> list[_Element]:
     return out
 
 
+def _hinted(e: _Element) -> list[_Element]:
+    """The block elements with a hint that hold a block."""
+    out = []
+    while e is not None:
+        if e.hint and e.tag in BLOCK:
+            out.append(e)
+        e = e.parent
+    return out
+
+
+def without_furniture(blocks: list[tuple[str, _Element, int]]) -> list[tuple[str, _Element, int]]:
+    """Blocks outside the elements whose hint their ratios confirm: mostly links, or no sentence."""
+    stats: dict[int, list[int]] = {}
+    for text, e, linked in blocks:
+        for x in _hinted(e):
+            s = stats.setdefault(x.order, [0, 0, 0])
+            s[0] += len(text)
+            s[1] += linked
+            s[2] += is_sentence(text, linked)
+    drop = {k for k, (n, linked, sentences) in stats.items() if 2 * linked >= n or not sentences}
+    return [b for b in blocks if not any(x.order in drop for x in _hinted(b[1]))] if drop else blocks
+
+
 def main_text(page: str) -> tuple[str, int, int]:
     """(main text, blocks taken, blocks of the page)."""
     blocks = read_blocks(page)
-    usable = [b for b in blocks if not b[1].never]
+    usable = without_furniture([b for b in blocks if not b[1].never])
     if not usable:
         return "", 0, len(blocks)
     scores = path_scores(usable)
     floor = pstdev(scores.values()) * 0.5 if len(scores) > 1 else 0.0
     content = [b for b in usable if scores[b[1].path] >= floor and b[2] < 0.5 * len(b[0])] or usable
+    # hinted text is part of the article only where the rest of the text puts it, unless it outweighs the rest
+    plain = [b for b in content if not _hinted(b[1])]
+    if 2 * sum(len(b[0]) for b in plain) >= sum(len(b[0]) for b in content):
+        content, voters = plain, [b for b in usable if not _hinted(b[1])]
+    else:
+        voters = usable
     total = sum(len(b[0]) for b in content)
 
     # text of content under every element
@@ -270,7 +324,7 @@ def main_text(page: str) -> tuple[str, int, int]:
         region = None  # a teaser in an article element is not the page's article
     if region is None:  # the lowest container that holds all of the content and its headings
         held: dict[int, int] = {}
-        inner = [e for _, e, _ in content if not HEADING.fullmatch(e.tag)] + text_headings(usable) or [e for _, e, _ in content]
+        inner = [e for _, e, _ in content if not HEADING.fullmatch(e.tag)] + text_headings(voters) or [e for _, e, _ in content]
         for e in inner:
             while e is not None:
                 held[e.order] = held.get(e.order, 0) + 1

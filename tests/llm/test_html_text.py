@@ -54,6 +54,25 @@ def test_what_is_never_the_article():
         assert text(inside) == "T " + LONG.strip(), junk
 
 
+def test_words_that_only_hint():
+    for part in ("<section id='discussion'>{0}</section>", "<div id='search-methods'>{0}</div>", "<div class='copyright'>{0}</div>",
+                 "<h2 id='related-work'>Work</h2>{0}", "<h3 id='social-history'>History</h3>{0}", "<section id='ad-hoc-networks'>{0}</section>"):
+        part = part.format(f"<p>{LONG}</p>")
+        want = "T " + LONG.strip() + (" Work" if "Work" in part else " History" if "History" in part else "") + " " + LONG.strip()
+        assert text(f"<body><article><h1>T</h1><p>{LONG}</p>{part}</article></body>") == want, part
+    links = "<a href=/1>Another story</a> <a href=/2>And one more, to read next, today.</a>"
+    for junk in (f"<div class='related'><p>{links}</p></div>", "<div class=social>Follow us</div>", "<p><a class=share href=/>Share</a></p>"):
+        assert text(f"<body><article><p>{LONG}</p>{junk}</article></body>") == LONG.strip(), junk
+    notice = "<div class=notice><p>We use cookies to show you this page. Read on to agree with that.</p></div>"
+    assert text(f"<body>{notice}<div class=text><h1>T</h1><p>{LONG}</p></div></body>") == "T " + LONG.strip()
+    assert text("<article><p>A <span class=search>search</span>ed word.</p></article>") == "A searched word."
+
+
+def test_formulas_stay():
+    page = "<article><p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = 2</annotation></semantics></math> holds.</p></article>"
+    assert text(page) == "So x=2 holds."
+
+
 def test_references_white_space_and_broken_markup():
     assert text("<article><p>a &amp;&lt;&#233;&#x4e2d;&nbsp;b\n\t c</p><p>x<b>y</b>z<br>w</article>") == "a &<é中 b c xyz w"
     assert text("<article><p>1 < 2 <3 and <b>open <p>next</b> <i>it") == "1 < 2 <3 and open next it"
