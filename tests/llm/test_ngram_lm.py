@@ -96,6 +96,13 @@ def test_query_matches_the_plain_model(spark, monkeypatch):
     assert all(again[i]["score"] == pytest.approx(got[i]["score"], rel=1e-12) for i in got)
 
 
+def test_query_scores_with_trigrams(spark):
+    from revsift.llm.queries import op2_kneser_ney
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    check(rows, rows_by(op2_kneser_ney(spark, SMALL)), 3)
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_orders(spark, monkeypatch, order):
     rnd = random.Random(order)
