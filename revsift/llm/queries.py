@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters, over
+"""Registered queries of the operators, with production parameters, over
 whole tables."""
 
 from __future__ import annotations
@@ -77,5 +77,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_nearest, op2_kneser_ney, op3_sharding, op4_quality, op5_license_scan, op6_main_text, op7_source_mix,
-                                   op8_near_duplicates, op9_sentencepiece, op10_fingerprints)}
+                                   op8_near_duplicates, op9_sentencepiece, op10_fingerprints, op12_simhash_groups)}
