@@ -77,6 +77,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -84,4 +90,4 @@ def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_nearest, op2_kneser_ney, op3_sharding, op4_quality, op5_license_scan, op6_main_text, op7_source_mix,
-                                   op8_near_duplicates, op9_sentencepiece, op10_fingerprints, op12_simhash_groups)}
+                                   op8_near_duplicates, op9_sentencepiece, op10_fingerprints, op11_spelling_variants, op12_simhash_groups)}
