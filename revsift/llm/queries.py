@@ -89,5 +89,12 @@ def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dialogue import conversation_repairs
+
+    return conversation_repairs(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_nearest, op2_kneser_ney, op3_sharding, op4_quality, op5_license_scan, op6_main_text, op7_source_mix,
-                                   op8_near_duplicates, op9_sentencepiece, op10_fingerprints, op11_spelling_variants, op12_simhash_groups)}
+                                   op8_near_duplicates, op9_sentencepiece, op10_fingerprints, op11_spelling_variants, op12_simhash_groups,
+                                   op13_conversation_repair)}
