@@ -9,14 +9,14 @@ numbered from 1.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import analysed_tokens, drop_stop_words, keyword_text, stop_array, tokens
 from .distributed import (DEFAULT_BROADCAST_ROWS, broadcast_if_small, cut_lineage, is_small, salted,
                           spread, top_k_per_group)
+from .dense import dense_scores, unit_rows
 from .embed import DEFAULT_DIM, hash_embed, hash_embed_from_postings
 
 # --- fixed values (published defaults) ----------------------------------------
@@ -301,111 +301,14 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = SPARSE_TOP_K, q_col:
 # ------------------------------------------------------------------------------
 # Dense search
 # ------------------------------------------------------------------------------
-def _prune(qi: np.ndarray, ci: np.ndarray, sc: np.ndarray, k: int, margin: float):
-    """Keep, per query, every candidate within ``margin`` of its k-th best
-    score, so ties after 6-place rounding are decided later by id in Spark."""
-    if len(sc) == 0:
-        return qi, ci, sc
-    order = np.lexsort((-sc, qi))
-    qi, ci, sc = qi[order], ci[order], sc[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-    counts = np.diff(np.r_[starts, len(qi)])
-    pos = np.arange(len(qi)) - np.repeat(starts, counts)
-    kth_idx = starts + np.minimum(counts, k) - 1
-    kth = np.repeat(sc[kth_idx], counts)
-    keep = (pos < k) | (sc >= kth - margin)
-    return qi[keep], ci[keep], sc[keep]
-
-
-def _dense_scorer(bq, k: int, id_col: str, vec_col: str, exclude_self: bool,
-                  query_chunk: int = 1024, margin: float = 2e-6):
-    """mapInPandas body: block matrix product of each Arrow batch of corpus
-    vectors against the broadcast query matrix; per-partition top-k."""
-
-    def run(batches):
-        q_ids, qmat = bq.value
-        pool_q = np.empty(0, np.int64)
-        pool_c = np.empty(0, np.int64)
-        pool_s = np.empty(0, np.float64)
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if len(pdf) == 0:
-                continue
-            c_ids = pdf[id_col].to_numpy(np.int64)
-            cmat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            kk = min(k, len(c_ids))
-            for s in range(0, len(q_ids), query_chunk):
-                qs = qmat[s:s + query_chunk]
-                sc = qs @ cmat.T
-                if exclude_self:
-                    sc[q_ids[s:s + query_chunk, None] == c_ids[None, :]] = -np.inf
-                # per-query k-th best in this block, then a margin for ties
-                if sc.shape[1] > kk:
-                    kth = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1]
-                else:
-                    kth = sc.min(axis=1)
-                mask = (sc >= (kth - margin)[:, None]) & np.isfinite(sc)
-                r, c = np.nonzero(mask)
-                pool_q = np.concatenate([pool_q, r + s])
-                pool_c = np.concatenate([pool_c, c_ids[c]])
-                pool_s = np.concatenate([pool_s, sc[r, c]])
-            pool_q, pool_c, pool_s = _prune(pool_q, pool_c, pool_s, k, margin)
-        if len(pool_q):
-            yield pd.DataFrame({"q": q_ids[pool_q], "id": pool_c, "score": pool_s})
-
-    return run
-
-
-DENSE_SCHEMA = T.StructType([T.StructField("q", T.LongType()), T.StructField("id", T.LongType()),
-                             T.StructField("score", T.DoubleType())])
-
-
-def dense_scores_blocked(queries: DataFrame, corpus: DataFrame, k: int, q_col: str = "q",
-                         id_col: str = "id", vec_col: str = "embedding", exclude_self: bool = False,
-                         max_broadcast_rows: int = 50_000) -> DataFrame:
-    """Candidate (q, id, score) rows: at most ~k per query per corpus partition.
-
-    The query matrix is size-checked and broadcast; each corpus partition is
-    scored by a vectorised matrix product in ``mapInPandas`` (Arrow batches,
-    float64). A query set above the bound is cut into blocks of at most
-    ``max_broadcast_rows`` by a hash of the query id, each block scored in
-    its own pass over the corpus and the passes unioned."""
-    spark = queries.sparkSession
-    qv = queries.select(F.col(q_col).cast("long").alias("q"), F.col(vec_col).alias("v")).filter(
-        F.col("v").isNotNull())
-    # one job both checks the bound and fetches the query matrix when it fits
-    first = qv.limit(max_broadcast_rows + 1).collect()
-    if len(first) <= max_broadcast_rows:
-        blocks = [first]
-    else:
-        n_total = qv.count()
-        n_blocks = -(-n_total // max_broadcast_rows) * 2  # hash blocks are uneven
-        blocks = [qv.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
-    c = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col))
-    parts = []
-    for blk in blocks:
-        rows = blk if isinstance(blk, list) else blk.collect()  # each block is at most the bound
-        if not rows:
-            continue
-        q_ids = np.array([r["q"] for r in rows], dtype=np.int64)
-        qmat = np.array([r["v"] for r in rows], dtype=np.float64)
-        bq = spark.sparkContext.broadcast((q_ids, qmat))
-        parts.append(c.mapInPandas(_dense_scorer(bq, k, id_col, vec_col, exclude_self), DENSE_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], DENSE_SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = DENSE_TOP_K, q_col: str = "q",
-               id_col: str = "id", vec_col: str = "embedding", exclude_self: bool = False,
-               max_broadcast_rows: int = 50_000) -> DataFrame:
-    """(q, rank, id, score) exact cosine top-k on unit vectors."""
-    cand = dense_scores_blocked(queries, corpus, k, q_col, id_col, vec_col, exclude_self,
-                                max_broadcast_rows)
-    out = ranked_top_k(cand, ["q"], "score", "id", k)
+               id_col: str = "id", vec_col: str = "embedding", exclude_self: bool = False, **kw) -> DataFrame:
+    """(q, rank, id, score) exact cosine top-k of any vectors, ids of any
+    type. Vectors that are null, zero or not finite, and rows without an id,
+    take no part. A query id with several vectors is scored by its best; a
+    corpus id is returned once. See ``dense`` for the plan."""
+    found = dense_scores(queries, corpus, k, q_col=q_col, id_col=id_col, vec_col=vec_col, exclude_self=exclude_self, **kw)
+    out = ranked_top_k(found, ["q"], "score", "id", k)
     return out.select("q", "rank", "id", F.round("score", SCORE_DIGITS).alias("score"))
 
 
@@ -444,45 +347,45 @@ def filtered_dense_topk(queries: DataFrame, corpus: DataFrame, predicate: Column
 # ------------------------------------------------------------------------------
 # MMR (R7)
 # ------------------------------------------------------------------------------
-MMR_SCHEMA = T.StructType([T.StructField("q", T.LongType()), T.StructField("rank", T.IntegerType()),
-                           T.StructField("id", T.LongType())])
-
-
 def _mmr_group(k: int, lam: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="mergesort")
-        ids = pdf["id"].to_numpy(np.int64)
-        rel = pdf["score"].to_numpy(np.float64)
-        vecs = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        sim = vecs @ vecs.T
-        chosen = [0]
-        max_sim = sim[0].copy()
-        left = np.ones(len(ids), bool)
-        left[0] = False
+    def run(group: pa.Table) -> pa.Table:
+        at, vecs = unit_rows(group.column("embedding").combine_chunks())
+        group = group.take(pa.array(at))
+        ids = group.column("id").to_numpy()
+        rel = group.column("score").to_numpy()
+        # by score, then id; of several vectors of an id the first
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -rel))
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+        ids, rel, vecs = ids[order], rel[order], vecs[order]
+        lowest = np.argsort(np.argsort(ids))
+        chosen: list[int] = []
+        max_sim, left = np.zeros(len(ids)), np.ones(len(ids), bool)
         while len(chosen) < min(k, len(ids)):
-            val = lam * rel - (1 - lam) * max_sim
-            val = np.where(left, np.round(val, 9), -np.inf)
+            val = np.where(left, np.round(lam * rel - (1 - lam) * max_sim, 9) if chosen else rel, -np.inf)
             best = np.flatnonzero(val == val.max())
-            j = best[np.argmin(ids[best])]
+            j = int(best[np.argmin(lowest[best])])
+            sim = vecs @ vecs[j]
+            max_sim = np.maximum(max_sim, sim) if chosen else sim
             chosen.append(j)
             left[j] = False
-            max_sim = np.maximum(max_sim, sim[j])
-        return pd.DataFrame({"q": np.full(len(chosen), pdf["q"].iloc[0], np.int64),
-                             "rank": np.arange(1, len(chosen) + 1, dtype=np.int32),
-                             "id": ids[chosen]})
+        return pa.table({"q": group.column("q").slice(0, len(chosen)), "rank": pa.array(range(1, len(chosen) + 1), pa.int32()),
+                         "id": pa.array(ids[chosen], group.schema.field("id").type)})
     return run
 
 
 def mmr_topk(candidates: DataFrame, vectors: DataFrame, k: int = 10, lam: float = MMR_LAMBDA,
              id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Greedy maximal marginal relevance over bounded candidate lists.
-
-    ``candidates`` is the output of ``dense_topk`` (at most its k rows per
-    query), so each ``applyInPandas`` group is bounded; the greedy step is
-    sequential by definition."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding"))
+    """Greedy maximal marginal relevance over bounded candidate lists,
+    similarity by cosine, ids of any type.
+
+    ``candidates`` is the output of ``dense_topk`` or ``rrf`` (at most its k
+    rows per query), so each group is bounded; the greedy step is sequential
+    by definition. A candidate without a usable vector is left out; of
+    several vectors of an id one is taken."""
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
     c = candidates.select("q", "id", "score").join(v, "id")
-    return c.groupBy("q").applyInPandas(_mmr_group(k, lam), MMR_SCHEMA)
+    types = {f.name: f.dataType.simpleString() for f in c.schema}
+    return c.groupBy("q").applyInArrow(_mmr_group(k, lam), f"q {types['q']}, rank int, id {types['id']}")
 
 
 # ------------------------------------------------------------------------------

@@ -72,15 +72,15 @@ SELECT q AS item_id, rank, doc AS doc_id, round(score, 6) AS score FROM {topk('r
 
 
 def vec_pairs(filter_sql: str = "", vec: str = "embedding") -> str:
-    return f"""s AS (SELECT x.vec_id AS q, y.vec_id AS id,
-  list_dot_product(CAST(x.{vec} AS DOUBLE[]), CAST(y.{vec} AS DOUBLE[])) AS score
-  FROM ev x JOIN ev y ON x.vec_id <> y.vec_id {filter_sql})"""
+    """Cosines of all pairs: dot products over the norms."""
+    return f"""un AS (SELECT *, sqrt(list_dot_product(CAST({vec} AS DOUBLE[]), CAST({vec} AS DOUBLE[]))) AS norm FROM ev),
+s AS (SELECT x.vec_id AS q, y.vec_id AS id,
+  list_dot_product(CAST(x.{vec} AS DOUBLE[]), CAST(y.{vec} AS DOUBLE[])) / (x.norm * y.norm) AS score
+  FROM un x JOIN un y ON x.vec_id <> y.vec_id {filter_sql})"""
 
 
 EV_FULL = "ev AS (SELECT vec_id, label, embedding FROM embeddings)"
-EV_32 = """ev AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 32),
-  lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(list_slice(embedding, 1, 32),
-  lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS embedding FROM embeddings)"""
+EV_32 = "ev AS (SELECT vec_id, label, list_slice(embedding, 1, 32) AS embedding FROM embeddings)"
 
 
 def dense_sql(filter_sql: str = "") -> str:
@@ -237,9 +237,9 @@ def slot_sql(bid: str, ts: str) -> str:
 MMR = f"""WITH RECURSIVE {EV_FULL}, {vec_pairs()},
 cand AS (SELECT q, id, round(score, 6) AS rel FROM {topk('s', 50, idc='id')}),
 csim AS (SELECT a.q, a.id AS a, b.id AS b,
-           list_dot_product(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[])) AS sim
-         FROM cand a JOIN cand b ON a.q = b.q JOIN embeddings ea ON ea.vec_id = a.id
-         JOIN embeddings eb ON eb.vec_id = b.id),
+           list_dot_product(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[])) / (ea.norm * eb.norm) AS sim
+         FROM cand a JOIN cand b ON a.q = b.q JOIN un ea ON ea.vec_id = a.id
+         JOIN un eb ON eb.vec_id = b.id),
 first_pick AS (SELECT q, arg_max(id, (rel, -id)) AS id FROM cand GROUP BY q),
 mmr(q, step, chosen) AS (
   SELECT q, 1, [id] FROM first_pick

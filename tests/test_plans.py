@@ -38,7 +38,8 @@ def test_dense_topk_is_block_scored_with_partial_limit(spark):
     out = rt.dense_topk(v.selectExpr("vec_id AS q", "embedding"), v.selectExpr("vec_id AS id", "embedding"),
                         k=10, exclude_self=True)
     p = plan_of(out)
-    assert "MapInPandas" in p and "WindowGroupLimit" in p
+    assert "MapInArrow" in p and "WindowGroupLimit" in p
+    assert "Broadcast" not in p.replace("BroadcastNestedLoopJoin", "")
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 

@@ -95,11 +95,49 @@ def test_dense_topk_exact_against_numpy(spark):
     for r in got.filter("rank = 1").collect():
         assert r.id == int(np.argmax(sims[r.q]))
     assert got.groupBy("q").count().filter("count != 5").count() == 0
-    # blocked path (query set above the broadcast bound) gives the same rows
-    blocked = rt.dense_topk(q, df, k=5, exclude_self=True, max_broadcast_rows=7)
+    # many small query blocks and corpus cells give the same rows
+    blocked = rt.dense_topk(q, df, k=5, exclude_self=True, block_bytes=700, parts=40)
     assert rows(blocked) == rows(got)
 
 
+def test_dense_topk_of_any_vectors_and_ids(spark):
+    """Cosine on vectors of any length, text ids, unusable vectors, repeated
+    ids and rows on either side, extra columns."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(40, 5)) * rng.uniform(0.01, 100, size=(40, 1))
+    corpus = [(f"n:{i}", m[i].tolist()) for i in range(40)]
+    corpus += [("n:3", m[7].tolist()), ("n:5", m[5].tolist()), ("zero", [0.0] * 5), ("null", None), (None, m[1].tolist()),
+               ("nan", [float("nan")] * 5), ("hole", [1.0, None, 1.0, 1.0, 1.0]), ("empty", [])]
+    queries = [(i, (m[i] * 3).tolist()) for i in range(10)] + [(0, m[20].tolist()), (4, (m[4] * 3).tolist()), (99, [0.0] * 5), (98, None), (None, m[0].tolist())]
+    c = spark.createDataFrame([(*r, 1) for r in corpus], "id string, embedding array<double>, q int").repartition(4)
+    q = spark.createDataFrame([(*r, "x") for r in queries], "q long, embedding array<double>, id string")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = []
+    for i in range(10):
+        mine = [unit[i]] + ([unit[20]] if i == 0 else [])
+        score = {f"n:{j}": max(float(u @ unit[j]) for u in mine) for j in range(40)}
+        score["n:3"] = max(score["n:3"], *(float(u @ unit[7]) for u in mine))
+        best = sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:6]
+        want += [(i, r, n, round(s, 6)) for r, (n, s) in enumerate(best, 1)]
+    for kw in ({}, {"block_bytes": 100, "parts": 12}):
+        got = rows(rt.dense_topk(q, c, k=6, **kw), "q", "rank", "id", "score")
+        assert [(a, b, i, round(s + 0.0, 6)) for a, b, i, s in got] == sorted(want, key=repr)
+    assert rt.dense_topk(q.limit(0), c, k=6).count() == 0 and rt.dense_topk(q, c.limit(0), k=6).count() == 0
+    # one query far longer than a corpus row of its own direction
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [10.0, 10.0])], "id int, embedding array<float>")
+    first = rt.dense_topk(two.limit(1).withColumnRenamed("id", "q"), two, k=2).collect()
+    assert [(r.id, r.score) for r in sorted(first, key=lambda r: r.rank)] == [(1, 1.0), (2, round(2 ** -0.5, 6))]
+
+
+def test_mmr_with_text_ids_and_long_vectors(spark):
+    vecs = [("a", [10.0, 0.0]), ("b", [0.999, 0.0447]), ("c", [60.0, 80.0]), ("z", [0.0, 0.0])]
+    v = spark.createDataFrame(vecs, "id string, embedding array<double>")
+    cands = spark.createDataFrame([("x", "a", 0.99), ("x", "b", 0.98), ("x", "c", 0.70), ("x", "z", 0.9)], "q string, id string, score double")
+    out = [r.id for r in rt.mmr_topk(cands, v, k=2).orderBy("rank").collect()]
+    assert out == ["a", "c"]
+
+
 def test_rrf_and_ties(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "q long, doc long, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "q long, doc long, rank int")
