@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import token_bucket, token_sign
 from ..functions.text import sentences, tokens
 from ..sources.io import VectorTable, build_or_load
+from .distributed import cut_lineage
 from .embed import DEFAULT_DIM, hash_embed
 
 FIXED_SIZE = 512
@@ -131,7 +132,7 @@ def build_index(spark, docs: DataFrame, path: str, recreate: bool = False, id_co
     table is written first and read back (that cuts the lineage), then the
     vector table is written from the stored nodes."""
     def build():
-        chunks = semantic_chunks(docs, id_col, text_col, dim)
+        chunks = cut_lineage(semantic_chunks(docs, id_col, text_col, dim))
         chunks = chunks.withColumn("node_id", F.concat_ws(":", F.col("doc").cast("string"),
                                                           F.col("chunk_no").cast("string")))
         vec = hash_embed(chunks, "node_id", "text", dim)

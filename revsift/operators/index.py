@@ -14,9 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import keyword_text
 from ..sources.io import VectorTable, build_or_load
 from . import retrieval as rt
-from .embed import DEFAULT_DIM, hash_embed_from_postings
+from .blockmax import BlockMaxIndex
+from .chunking import build_index
+from .distributed import cut_lineage
+from .embed import DEFAULT_DIM, hash_embed, hash_embed_from_postings
 
 
 @dataclass
@@ -67,3 +71,65 @@ class HybridIndex:
         if scorer is rt.overlap_score:
             return rt.rerank_overlap_postings(fused, qs, self.postings, k=rerank_k)
         return rt.rerank(fused, qs, self.docs, k=rerank_k, scorer=scorer)
+
+
+@dataclass
+class ChunkIndex:
+    """Retrieval over the chunks of a corpus (R5, R11, R16): the stored nodes,
+    their vectors, and a block-max index of their words, all under one
+    folder. Results name nodes by their text ids."""
+
+    nodes: DataFrame             # (node_id, doc_id, chunk_no, text, metadata, embedding)
+    vectors: DataFrame           # (node_id, doc_id, embedding) unit vectors
+    words: BlockMaxIndex
+    dim: int = DEFAULT_DIM
+
+    @classmethod
+    def build_or_load(cls, spark: SparkSession, path: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      meta_cols: list = (), dim: int = DEFAULT_DIM, recreate: bool = False) -> "ChunkIndex":
+        base = path.rstrip("/")
+        nodes = build_index(spark, docs, base, recreate, id_col, text_col, meta_cols, dim)
+        words = BlockMaxIndex.build_or_load(spark, base + "/words", nodes, "node_id", "text", recreate=recreate)
+        return cls(nodes, VectorTable(base + "/vectors", dim).read(spark), words, dim)
+
+    def sparse(self, queries: DataFrame, k: int = rt.SPARSE_TOP_K) -> DataFrame:
+        return self.words.search(queries, k)
+
+    def dense(self, queries: DataFrame, k: int = rt.DENSE_TOP_K) -> DataFrame:
+        """(q, v, rank, doc, score): nearest nodes of each question (v 0) and
+        of its keyword form (v 1), in one search."""
+        kind = queries.schema["q"].dataType.simpleString()
+        forms = queries.select(F.lit("0:").alias("v"), "q", "text").unionAll(
+            queries.select(F.lit("1:").alias("v"), "q", keyword_text("text").alias("text")))
+        named = forms.select(F.concat("v", F.col("q").cast("string")).alias("qv"), "text")
+        found = rt.dense_topk(hash_embed(named, "qv", "text", self.dim), self.vectors, k=k, q_col="qv", id_col="node_id")
+        return found.select(F.substring("q", 3, 1 << 20).cast(kind).alias("q"), F.left("q", F.lit(1)).cast("int").alias("v"), "rank",
+                            F.col("id").alias("doc"), "score")
+
+    def candidates(self, queries: DataFrame, fusion_k: int = rt.FUSION_TOP_K, dense_k: int = rt.DENSE_TOP_K,
+                   sparse_k: int = rt.SPARSE_TOP_K) -> DataFrame:
+        """Fused (q, rank, doc, score), written once. The keyword form has the
+        same analysed words as the question, so words give one list; vectors
+        give two."""
+        dense = self.dense(queries, dense_k).select("q", "doc", "rank")
+        return cut_lineage(rt.rrf([self.sparse(queries, sparse_k).select("q", "doc", "rank"), dense], k=fusion_k))
+
+    def search(self, queries: DataFrame, mode: str = "hybrid", min_score: float | None = None, k: int = rt.RERANK_TOP_K,
+               scorer=rt.overlap_score, lam: float = rt.MMR_LAMBDA) -> DataFrame:
+        """The best k nodes of every question ``(q, text)``.
+
+        ``hybrid``: fused candidates above ``min_score``, rescored by
+        ``scorer``: (q, rank, doc, score). ``mmr``: of the same candidates a
+        greedy choice of relevant but different nodes, relevance being the
+        cosine of question and node: (q, rank, doc); a question or node
+        without a vector takes no part."""
+        fused = rt.score_cutoff(self.candidates(queries), min_score)
+        if mode == "hybrid":
+            return rt.rerank(fused, queries, self.nodes.select(F.col("node_id").alias("doc_id"), "text"), k=k, scorer=scorer)
+        if mode != "mmr":
+            raise ValueError(f"unknown mode {mode!r}")
+        asked = hash_embed(queries.select("q", "text"), "q", "text", self.dim).withColumnRenamed("embedding", "_qv")
+        near = (fused.select("q", "doc").join(asked, "q").join(self.vectors.select(F.col("node_id").alias("doc"), "embedding"), "doc")
+                .select("q", F.col("doc").alias("id"), F.round(rt.cosine(F.col("_qv"), F.col("embedding")), rt.SCORE_DIGITS).alias("score"))
+                .filter("score is not null"))
+        return rt.mmr_topk(near, self.vectors, k, lam, id_col="node_id").withColumnRenamed("id", "doc")

@@ -27,10 +27,10 @@ def hexint(x: str, a: int, n: int) -> str:
 
 
 # BM25 over documents for a query relation Q(q, text) -> scores(q, doc, score)
-def bm25_ctes(queries_sql: str, prefix: str = "") -> str:
+def bm25_ctes(queries_sql: str, prefix: str = "", src: str = "documents", idc: str = "doc_id") -> str:
     p = prefix
     return f"""
-{p}dtok AS (SELECT doc_id, {atok('text')} AS toks FROM documents),
+{p}dtok AS (SELECT {idc} AS doc_id, {atok('text')} AS toks FROM {src}),
 {p}stats AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM {p}dtok),
 {p}post AS (SELECT doc, dl, term, count(*) AS tf
           FROM (SELECT doc_id AS doc, len(toks) AS dl, unnest(toks) AS term FROM {p}dtok)

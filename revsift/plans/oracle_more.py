@@ -117,7 +117,7 @@ def _sentence_ctes() -> str:
 sents AS (SELECT doc, len(ss) AS n, unnest(ss) AS s, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS i FROM sa)"""
 
 
-SEMANTIC = f"""WITH {_sentence_ctes()},
+CHUNK_CTES = f"""{_sentence_ctes()},
 tk AS (SELECT doc, n, i, unnest({tok('s')}) AS tok FROM sents),
 sv AS (SELECT doc, n, i, {hexint('tok', 1, 8)} % 64 AS bucket,
               sum(CASE WHEN {hexint('tok', 9, 1)} % 2 = 0 THEN 1 ELSE -1 END) AS c FROM tk GROUP BY doc, n, i, bucket),
@@ -138,9 +138,73 @@ cuts AS (SELECT dist.doc, dist.p + 1 AS i, CASE WHEN d > thr THEN 1 ELSE 0 END A
 lab AS (SELECT s.doc, s.i, s.s, sum(coalesce(c.cut, 0)) OVER (PARTITION BY s.doc ORDER BY s.i
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chunk_no
         FROM sents s LEFT JOIN cuts c ON c.doc = s.doc AND c.i = s.i),
-chk AS (SELECT doc, chunk_no, count(*) AS n_sentences, string_agg(s, ' ' ORDER BY i) AS text FROM lab GROUP BY doc, chunk_no)
+chk AS (SELECT doc, chunk_no, count(*) AS n_sentences, string_agg(s, ' ' ORDER BY i) AS text FROM lab GROUP BY doc, chunk_no)"""
+SEMANTIC = "WITH " + CHUNK_CTES + """
 SELECT doc AS doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, n_sentences, md5(text) AS text_md5 FROM chk"""
 
+# Search over chunks: the same nodes, numbered doc:chunk; vectors are stored as floats.
+NODE_CTES = CHUNK_CTES + ", nodes AS (SELECT doc || ':' || chunk_no AS node_id, text FROM chk)"
+NODE_VECTORS = hash_sparse_ctes("nodes", "node_id", "text", "hn_") + """,
+nv AS (SELECT id, bucket, CAST(CAST(weight AS FLOAT) AS DOUBLE) AS w FROM hn_w),
+nl AS (SELECT id, sqrt(sum(w * w)) AS len FROM nv GROUP BY id)"""
+NODE_QUERIES = f"""nq AS (SELECT item_id AS q, 0 AS v, text FROM benchmark
+  UNION ALL SELECT item_id AS q, 1 AS v, array_to_string({atok('text')}, ' ') AS text FROM benchmark),
+nqk AS (SELECT q * 2 + v AS qv, text FROM nq)"""
+NODE_SCORES = hash_sparse_ctes("nqk", "qv", "text", "hk_") + """,
+ndots AS (SELECT a.id AS qv, b.id AS doc, sum(a.weight * b.w) AS s FROM hk_w a JOIN nv b ON a.bucket = b.bucket GROUP BY a.id, b.id),
+nscores AS (SELECT qn.id AS qv, nl.id AS doc, coalesce(d.s, 0.0) / nl.len AS score
+            FROM hk_nrm qn CROSS JOIN nl LEFT JOIN ndots d ON d.qv = qn.id AND d.doc = nl.id)"""
+
+
+def node_fused() -> str:
+    """CTEs ending in fused(q, doc, score, rank) over the chunks: one list by
+    words, two by vectors."""
+    return ("WITH RECURSIVE " + NODE_CTES + "," + bm25_ctes(BENCH_Q, src="nodes", idc="node_id") + "," + NODE_VECTORS + "," + NODE_QUERIES + ","
+            + NODE_SCORES + f""",
+lists AS (SELECT q, doc, rank FROM {topk('scores', 50)}
+          UNION ALL SELECT qv // 2 AS q, doc, rank FROM {topk('nscores', 50, q='qv')}),
+fused_all AS (SELECT q, doc, sum(1.0::DOUBLE / (60 + rank)) AS score FROM lists GROUP BY q, doc),
+fused AS (SELECT q, doc, score, rank FROM {topk('fused_all', 50)})""")
+
+
+BM25_CHUNKS = ("WITH " + NODE_CTES + "," + bm25_ctes(BENCH_Q, src="nodes", idc="node_id") + f"""
+SELECT q AS item_id, rank, doc AS node_id, round(score, 6) AS score FROM {topk('scores', 50)}""")
+
+HYBRID_CHUNKS = node_fused() + f""",
+rr AS (SELECT c.q, c.doc, {overlap_sql('b.text', 'd.text')} AS score
+       FROM fused c JOIN benchmark b ON b.item_id = c.q JOIN nodes d ON d.node_id = c.doc)
+SELECT q AS item_id, rank, doc AS node_id, round(score, 6) AS score FROM {topk('rr', 20)}"""
+
+
+def greedy_sql(k: int) -> str:
+    """CTEs ending in fin(q, chosen): greedy choice among cand(q, id, rel)
+    with csim(q, a, b, sim)."""
+    return f"""first_pick AS (SELECT q, first(id ORDER BY rel DESC, id) AS id FROM cand GROUP BY q),
+mmr(q, step, chosen) AS (
+  SELECT q, 1, [id] FROM first_pick
+  UNION ALL
+  SELECT m.q, m.step + 1, list_append(m.chosen, (
+      SELECT c.id FROM cand c
+      WHERE c.q = m.q AND NOT list_contains(m.chosen, c.id)
+      ORDER BY round(0.5 * c.rel - 0.5 * (SELECT max(x.sim) FROM csim x
+                                           WHERE x.q = m.q AND x.a = c.id AND list_contains(m.chosen, x.b)), 9) DESC,
+               c.id
+      LIMIT 1))
+  FROM mmr m
+  WHERE m.step < {k} AND m.step < (SELECT count(*) FROM cand c2 WHERE c2.q = m.q)),
+fin AS (SELECT q, chosen FROM (SELECT q, chosen, row_number() OVER (PARTITION BY q ORDER BY step DESC) AS r FROM mmr) WHERE r = 1)"""
+
+
+MMR_CHUNKS = node_fused() + f""",
+cand AS MATERIALIZED (SELECT f.q, f.doc AS id, round(s.score, 6) AS rel FROM fused f JOIN nscores s ON s.qv = f.q * 2 AND s.doc = f.doc),
+pair AS (SELECT DISTINCT a.id AS a, b.id AS b FROM cand a JOIN cand b ON a.q = b.q),
+psim AS MATERIALIZED (SELECT p.a, p.b, coalesce(sum(x.w * y.w), 0.0) / (any_value(la.len) * any_value(lb.len)) AS sim
+         FROM pair p JOIN nl la ON la.id = p.a JOIN nl lb ON lb.id = p.b
+         LEFT JOIN nv x ON x.id = p.a LEFT JOIN nv y ON y.id = p.b AND y.bucket = x.bucket GROUP BY p.a, p.b),
+csim AS MATERIALIZED (SELECT a.q, p.a, p.b, p.sim FROM cand a JOIN cand b ON a.q = b.q JOIN psim p ON p.a = a.id AND p.b = b.id),
+{greedy_sql(10)}
+SELECT q AS item_id, CAST(generate_subscripts(chosen, 1) AS INTEGER) AS rank, unnest(chosen) AS node_id FROM fin"""
+
 FIXED = f"""WITH t AS (SELECT doc_id, {tok('text')} AS toks FROM documents),
 st AS (SELECT doc_id, toks, list_filter(range(0, len(toks), 502), lambda s: s = 0 OR s + 10 < len(toks)) AS starts
        FROM t WHERE len(toks) > 0),
@@ -290,6 +354,9 @@ SELECT e.event_id, coalesce(j.availability, '{}') AS availability FROM events e
     "score_table": f"""SELECT doc_id, CAST(relevancy AS DOUBLE) AS relevancy, CAST(correctness AS DOUBLE) AS correctness
   FROM {_SCORES}""",
     "mmr_topk": MMR,
+    "bm25_chunks": BM25_CHUNKS,
+    "hybrid_search_chunks": HYBRID_CHUNKS,
+    "mmr_search_chunks": MMR_CHUNKS,
     "dense_topk": dense_sql(),
     "filtered_dense": dense_sql("AND y.label >= 2 AND y.label < 7"),
     "score_cutoff": f"WITH {EV_FULL}, {vec_pairs()}\nSELECT q, id AS vec_id, round(score, 6) AS score FROM "

@@ -7,10 +7,11 @@ the driver; the only driver-side values are row counts and path checks.
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,30 +160,74 @@ def load_nodes(spark: SparkSession, path: str) -> DataFrame:
 # S8 ---------------------------------------------------------------------------
 @dataclass
 class VectorTable:
-    """A vector collection on Parquet: fixed dimension, cosine metric on
-    unit vectors. ``write`` checks the dimension lazily, in the write job."""
+    """A vector collection on Parquet: fixed dimension, cosine metric, unit
+    vectors (made on write; a null stays null, a zero vector becomes null).
+
+    Every write makes a new folder under ``data`` and then adds one row to the
+    ``manifest`` table: version, dimension, metric, count, folders. A reader
+    takes the latest row, so it sees a whole version or the one before, and a
+    table that is being read is never written over. ``vacuum`` deletes the
+    folders that the latest version does not name."""
 
     path: str
     dim: int
     vector_col: str = "embedding"
 
-    def write(self, df: DataFrame, recreate: bool = True) -> None:
-        checked = df.withColumn(
-            self.vector_col,
-            F.when(F.col(self.vector_col).isNull() | (F.size(self.vector_col) == self.dim),
-                   F.col(self.vector_col))
-             .otherwise(F.raise_error(F.concat(F.lit(f"vector dimension is not {self.dim}: "),
-                                               F.size(self.vector_col).cast("string")))))
-        checked.write.mode("overwrite" if recreate else "append").parquet(self.path)
+    def write(self, df: DataFrame, recreate: bool = True) -> int:
+        """Write a version (``recreate`` false: the latest one and these rows)
+        and return its number. A vector of another dimension ends the job."""
+        spark = df.sparkSession
+        v = F.col(self.vector_col)
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        unit = F.when(v.isNull() | (F.size(v) == self.dim), F.when((norm > 0) & (norm < float("inf")), F.transform(v, lambda x: x / norm))) \
+                .otherwise(F.raise_error(F.concat(F.lit(f"vector dimension is not {self.dim}: "), F.size(v).cast("string"))))
+        count = Observation()
+        checked = df.withColumn(self.vector_col, unit.cast(df.schema[self.vector_col].dataType)).observe(count, F.count(F.lit(1)).alias("n"))
+        folder = f"{self.path.rstrip('/')}/data/{uuid.uuid4().hex}"
+        checked.write.parquet(folder)
+        last = self.manifest(spark)
+        kept = [] if recreate or last is None else list(last["folders"])
+        version = 1 if last is None else last["version"] + 1
+        row = (version, self.dim, "cosine", count.get["n"] + (last["count"] if kept else 0), [*kept, folder])
+        spark.createDataFrame([row], "version long, dim int, metric string, count long, folders array<string>").coalesce(1) \
+             .write.mode("append").parquet(f"{self.path.rstrip('/')}/manifest")
+        return version
+
+    def manifest(self, spark: SparkSession):
+        """The latest version's row, or None."""
+        rows = f"{self.path.rstrip('/')}/manifest"
+        return spark.read.parquet(rows).orderBy(F.desc("version")).first() if _path_has_data(spark, rows) else None
 
     def exists(self, spark: SparkSession) -> bool:
-        return _path_has_data(spark, self.path)
+        """Whether a version with rows is there."""
+        last = self.manifest(spark)
+        return last is not None and last["count"] > 0
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        last = self.manifest(spark)
+        if last is None:
+            raise FileNotFoundError(f"no vector table at {self.path}")
+        if last["dim"] != self.dim:
+            raise ValueError(f"the table at {self.path} has dimension {last['dim']}, not {self.dim}")
+        return spark.read.parquet(*last["folders"])
 
     def count(self, spark: SparkSession) -> int:
-        return self.read(spark).count()
+        """The number of rows, from the manifest."""
+        last = self.manifest(spark)
+        return 0 if last is None else last["count"]
+
+    def vacuum(self, spark: SparkSession) -> list[str]:
+        """Delete the data folders of earlier versions; returns them. Readers
+        of those versions must have ended."""
+        last = self.manifest(spark)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/data")
+        fs = root.getFileSystem(conf)
+        keep = {f.rstrip("/").rsplit("/", 1)[-1] for f in (last["folders"] if last else [])}
+        old = [f.getPath() for f in (fs.listStatus(root) if last and fs.exists(root) else []) if f.getPath().getName() not in keep]
+        for folder in old:
+            fs.delete(folder, True)
+        return [f.toString() for f in old]
 
 
 def vector_stats(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -218,8 +263,9 @@ def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     written table also cuts the lineage)."""
     if not recreate and _path_has_data(spark, path):
         return spark.read.parquet(path)
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    built = build()
+    built.write.mode("overwrite").parquet(path)
+    return spark.read.schema(built.schema).parquet(path)  # an empty table may have no file
 
 
 def recreate_flags(recreate_index: bool, recreate_retrieval_eval: bool,
