@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distributed import spread
+from .distributed import broadcast_if_small, cut_lineage, spread, top_k_per_group
 
 METRICS = ("hit_rate", "mrr", "precision", "recall", "ap", "ndcg")
 DIGITS = 6
@@ -32,48 +32,51 @@ def ideal_dcg(n: Column) -> Column:
 
 
 # E1 -----------------------------------------------------------------------------
-ANCHOR_WORDS = 3
 _GAP = "[ \\t\\r\\n]+"
 
 
-def _anchors(words: Column) -> Column:
-    """Hashes of every run of ANCHOR_WORDS words (none for fewer). Shifted
-    copies are zipped, so that the lambda sees its own element only."""
-    n = F.greatest(F.size(words) - ANCHOR_WORDS + 1, F.lit(0))
-    runs = F.arrays_zip(*[F.slice(words, k + 1, n).alias(f"w{k}") for k in range(ANCHOR_WORDS)])
-    return F.transform(runs, lambda r: F.xxhash64(r))
-
-
 def passage_qrels(queries: DataFrame, docs: DataFrame, q_col: str = "item_id", q_text: str = "text",
                   doc_id_col: str = "doc_id", doc_text: str = "text", max_broadcast_rows: int = 100_000) -> DataFrame:
-    """(q, doc) pairs where the document text contains the query passage as a
-    substring (same case). Ids keep their types.
+    """(q, doc) pairs, each once, where a text of the document contains a
+    passage of the query as a substring (same case). Ids keep their types.
 
     All words of a passage but its first and last stand in a text that
-    contains it as whole words, one after the other. So a passage with at
-    least ANCHOR_WORDS inner words names one run of them (the one of the
-    smallest hash) as its anchor; a join on anchors with the runs of the
-    documents gives the candidates, and ``instr`` decides. Only ids and
-    hashes go through that join; texts meet candidates afterwards. Passages
-    with fewer inner words are compared with every document, in blocks of at
-    most ``max_broadcast_rows`` passages."""
-    q = queries.select(F.col(q_col).alias("q"), F.col(q_text).alias("_p")).filter(F.length("_p") > 0)
-    inner = F.split("_p", _GAP)
-    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
-    q = q.withColumn("_a", F.array_min(_anchors(inner)))
-    d = spread(docs.select(F.col(doc_id_col).alias("doc"), F.col(doc_text).alias("_t")).filter(F.length("_t") > 0))
-    runs = d.select("doc", F.explode(F.array_distinct(_anchors(F.split("_t", _GAP)))).alias("_a"))
-    long_q = q.filter(F.col("_a").isNotNull())
-    pairs = runs.join(long_q.select("q", "_a"), "_a").select("q", "doc")
-    out = (d.join(pairs, "doc").join(long_q.select("q", "_p"), "q")
+    contains it as whole words. One pass over the texts writes which documents
+    have which of these words; the rarest one is the passage's anchor, and a
+    passage with a word that no document has is in none. ``instr`` decides in
+    a second pass, where the texts stand: the pairs of documents and anchors,
+    and the passages, travel to them by broadcast.
+    Beyond ``max_broadcast_rows`` rows of these, they meet by shuffle joins, in
+    which only documents with an anchor take part. Passages without inner
+    words are compared with every document, in blocks of at most
+    ``max_broadcast_rows`` passages. Null ids, and null and empty texts, have
+    no pairs."""
+    q = queries.select(F.col(q_col).alias("q"), F.col(q_text).alias("_p")).filter(F.col("q").isNotNull() & (F.length("_p") > 0))
+    words = F.split("_p", _GAP)
+    q = cut_lineage(q.distinct().withColumn("_inner", F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))))
+    d = spread(docs.select(F.col(doc_id_col).alias("doc"), F.col(doc_text).alias("_t"))
+               .filter(F.col("doc").isNotNull() & (F.length("_t") > 0)))
+    named = q.filter(F.size("_inner") > 0).select("q", "_p", F.explode("_inner").alias("_w")).withColumn("_h", F.xxhash64("_w")).drop("_w")
+    asked, _ = broadcast_if_small(named.select("_h").distinct(), max_broadcast_rows)
+    # (document, word) by hash, the passages' words only: written once, counted and looked up
+    held = d.select("doc", F.explode(F.array_distinct(F.split("_t", _GAP))).alias("_w")).select("doc", F.xxhash64("_w").alias("_h"))
+    held = cut_lineage(held.join(asked, "_h", "left_semi"))
+    counts = held.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    anchors = (named.join(counts, "_h", "left").groupBy("q", "_p")
+               .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_h")).alias("a"))
+               .filter("a.n > 0").select("q", "_p", F.col("a._h").alias("_h")))
+    anchors, small = broadcast_if_small(cut_lineage(anchors), max_broadcast_rows)
+    pairs, _ = broadcast_if_small(cut_lineage(held.join(anchors.select("_h", "q"), "_h").select("q", "doc").distinct()), max_broadcast_rows)
+    texts = anchors.select("q", "_p")
+    out = (d.join(pairs, "doc").join(F.broadcast(texts) if small else texts, "q")
             .filter(F.instr(F.col("_t"), F.col("_p")) > 0).select("q", "doc"))
-    short = q.filter(F.col("_a").isNull()).select("q", "_p")
+    short = q.filter(F.size("_inner") == 0).select("q", "_p")
     n = short.count()
     blocks = -(-n // max_broadcast_rows)
     for i in range(blocks):
         part = short if blocks == 1 else short.filter(F.pmod(F.xxhash64("q", "_p"), F.lit(blocks)) == i)
         out = out.unionByName(d.join(F.broadcast(part), F.instr(F.col("_t"), F.col("_p")) > 0).select("q", "doc"))
-    return out
+    return out.distinct()
 
 
 def make_pairs(nodes: DataFrame, questions: DataFrame, node_id: str = "node_id", node_text: str = "text",
@@ -215,18 +218,37 @@ def compare_reports(reports: dict) -> DataFrame:
 
 
 # E6 --------------------------------------------------------------------------------
-def retrieval_errors(per_query: DataFrame, ranked: DataFrame, n_show: int = 10,
-                     q_col: str = "q", id_col: str = "doc") -> DataFrame:
-    """Rows with hit_rate < 1 with their first ``n_show`` retrieved ids (in
-    rank order, comma-joined), sorted by hit_rate then id."""
-    firsts = (ranked.filter(F.col("rank") <= n_show)
-                    .groupBy(F.col("q").alias(q_col))
-                    .agg(F.array_join(F.transform(
-                        F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col(id_col).alias("_id")))),
-                        lambda s: s["_id"].cast("string")), ",").alias("retrieved")))
+def retrieval_errors(per_query: DataFrame, ranked: DataFrame, n_show: int = 10, q_col: str = "q", id_col: str = "doc",
+                     nodes: DataFrame | None = None, qrels: DataFrame | None = None, node_id: str = "node_id",
+                     node_text: str = "text") -> DataFrame:
+    """Rows with hit_rate < 1, all metrics kept, ordered by the metrics in
+    their usual order and then by query, with their first ``n_show`` retrieved
+    ids (in rank order, comma-joined).
+
+    With ``nodes`` and ``qrels`` also ``n_expected``, and the texts as lists:
+    ``expected`` (relevant nodes by id) and ``retrieved_texts`` (by rank), at
+    most ``n_show`` of each, cut before texts are joined; an id without a node
+    is left out. Only rows with an error meet texts."""
     err = per_query.filter(F.col("hit_rate") < 1)
-    return (err.join(firsts, q_col, "left")
-               .orderBy(F.col("hit_rate").asc_nulls_last(), F.col(q_col).asc_nulls_last()))
+    shown = ranked.filter(F.col("rank") <= n_show).select(F.col("q").alias(q_col), F.col("rank").alias("_at"), F.col(id_col).alias("_id"))
+    shown = shown.join(err.select(q_col), q_col, "left_semi")
+
+    def in_order(df: DataFrame, what: str, name: str) -> DataFrame:
+        got = F.array_sort(F.collect_list(F.struct("_at", F.col(what).alias("_v"))))
+        return df.groupBy(q_col).agg(F.transform(got, lambda s: s["_v"]).alias(name))
+
+    ids = in_order(shown.withColumn("_id", F.col("_id").cast("string")), "_id", "retrieved")
+    out = err.join(ids.withColumn("retrieved", F.array_join("retrieved", ",")), q_col, "left")
+    if nodes is not None:
+        texts = nodes.select(F.col(node_id).alias("_id"), F.col(node_text).alias("_t"))
+        rel = qrels.select(F.col("q").alias(q_col), F.col(id_col).alias("_id")).distinct().join(err.select(q_col), q_col, "left_semi")
+        counts = rel.groupBy(q_col).agg(F.count(F.lit(1)).alias("n_expected"))
+        first = top_k_per_group(rel, [q_col], [F.col("_id")], n_show, "_at")
+        out = (out.join(counts, q_col, "left").fillna(0, ["n_expected"])
+               .join(in_order(first.join(texts, "_id"), "_t", "expected"), q_col, "left")
+               .join(in_order(shown.join(texts, "_id"), "_t", "retrieved_texts"), q_col, "left"))
+    order = [m for m in METRICS if m in err.columns]
+    return out.orderBy(*[F.col(c).asc_nulls_last() for c in [*order, q_col]])
 
 
 # A6 / E7 / U1 / J7 ----------------------------------------------------------------
@@ -243,9 +265,19 @@ def summarise_scores(long_scores: DataFrame) -> DataFrame:
     return long_scores.groupBy("metric").agg(_r(F.avg("score")).alias("mean"))
 
 
-def score_table(long_scores: DataFrame, metrics: list, key: str = "example_id") -> DataFrame:
-    """One row per example, one column per metric."""
-    return long_scores.groupBy(key).pivot("metric", metrics).agg(F.first("score"))
+def score_table(long_scores: DataFrame, metrics: list, key: str = "example_id", predictions: DataFrame | None = None) -> DataFrame:
+    """One row per example, one column per metric; with ``predictions``
+    (key, query, answer, contexts) also these columns, joined by the key."""
+    wide = long_scores.groupBy(key).pivot("metric", metrics).agg(F.first("score"))
+    if predictions is None:
+        return wide
+    return wide.join(predictions.select(key, "query", "answer", "contexts"), key, "left").select(key, "query", "answer", *metrics, "contexts")
+
+
+def joined_contexts(contexts) -> Column:
+    """F16: contexts as one text, a blank line between two; null for none."""
+    c = F.col(contexts) if isinstance(contexts, str) else contexts
+    return F.when(F.size(c) > 0, F.array_join(c, "\n\n"))
 
 
 def join_predictions(examples: DataFrame, predictions: DataFrame, key: str = "example_id") -> DataFrame:
@@ -274,14 +306,31 @@ def last_by_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
 
 def attach_expected(errors: DataFrame, examples: DataFrame, query_col: str = "query",
-                    order: str = "example_id") -> DataFrame:
-    """Attach the expected answer by query text (last duplicate wins); a
-    missing query keeps its row with ``missing = true``."""
-    exp = last_by_key(examples, query_col, "expected", order)
+                    order: str = "example_id", contexts_col: str | None = None) -> DataFrame:
+    """Attach the expected answer by query text (last duplicate wins,
+    rows without an answer do not count); a missing query keeps its row with
+    ``missing = true``. With ``contexts_col`` also that row's reference
+    contexts as one text (``expected_contexts``)."""
+    if contexts_col is None:
+        exp = last_by_key(examples, query_col, "expected", order)
+    else:
+        rows = examples.filter("expected is not null").withColumn("_e", F.struct("expected", joined_contexts(contexts_col).alias("expected_contexts")))
+        exp = last_by_key(rows, query_col, "_e", order).select(query_col, "_e.*")
     return (errors.join(exp, query_col, "left")
                   .withColumn("missing", F.col("expected").isNull()))
 
 
+def answer_errors(scores: DataFrame, examples: DataFrame, metric: str, below: float = 1.0, key: str = "example_id",
+                  query_col: str = "query", contexts_col: str | None = "reference_contexts") -> DataFrame:
+    """Rows of a score table (``score_table`` with predictions) whose
+    ``metric`` is below the limit, ordered by it and the key, with the
+    retrieved contexts as one text and the expected answer and contexts of
+    the question. A row without that score is no error."""
+    bad = scores.filter(F.col(metric) < below).withColumn("contexts", joined_contexts("contexts"))
+    out = attach_expected(bad, examples, query_col, "example_id", contexts_col)
+    return out.orderBy(F.col(metric).asc(), F.col(key).asc_nulls_last())
+
+
 # E9 --------------------------------------------------------------------------------
 def examples_from_pairs(pairs: DataFrame, query_col: str = "query", answer_col: str = "reference_answer",
                         id_col: str | None = None, query_by: str = "human") -> DataFrame:

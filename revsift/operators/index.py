@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_text
 from ..sources.io import VectorTable, build_or_load
 from . import retrieval as rt
 from .blockmax import BlockMaxIndex
@@ -66,7 +65,7 @@ class HybridIndex:
         """Hybrid search over the stored index: (q, rank, doc, score)."""
         fused = rt.hybrid_candidates(queries, self.docs, doc_vectors=self.vectors, corpus=self.postings,
                                      bm25=self.bm25_index())
-        fused = rt.score_cutoff(fused, min_score)
+        fused = cut_lineage(rt.score_cutoff(fused, min_score))
         qs = queries.select("q", "text")
         if scorer is rt.overlap_score:
             return rt.rerank_overlap_postings(fused, qs, self.postings, k=rerank_k)
@@ -99,12 +98,9 @@ class ChunkIndex:
         """(q, v, rank, doc, score): nearest nodes of each question (v 0) and
         of its keyword form (v 1), in one search."""
         kind = queries.schema["q"].dataType.simpleString()
-        forms = queries.select(F.lit("0:").alias("v"), "q", "text").unionAll(
-            queries.select(F.lit("1:").alias("v"), "q", keyword_text("text").alias("text")))
-        named = forms.select(F.concat("v", F.col("q").cast("string")).alias("qv"), "text")
-        found = rt.dense_topk(hash_embed(named, "qv", "text", self.dim), self.vectors, k=k, q_col="qv", id_col="node_id")
-        return found.select(F.substring("q", 3, 1 << 20).cast(kind).alias("q"), F.left("q", F.lit(1)).cast("int").alias("v"), "rank",
-                            F.col("id").alias("doc"), "score")
+        forms = hash_embed(rt.query_variants(queries).select("qv", "text"), "qv", "text", self.dim)
+        found = rt.dense_topk(forms, self.vectors, k=k, q_col="qv", id_col="node_id")
+        return found.select(rt.variant_query("q", kind).alias("q"), F.left("q", F.lit(1)).cast("int").alias("v"), "rank", F.col("id").alias("doc"), "score")
 
     def candidates(self, queries: DataFrame, fusion_k: int = rt.FUSION_TOP_K, dense_k: int = rt.DENSE_TOP_K,
                    sparse_k: int = rt.SPARSE_TOP_K) -> DataFrame:

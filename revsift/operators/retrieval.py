@@ -458,10 +458,16 @@ def rerank_overlap_postings(cands: DataFrame, queries: DataFrame, corpus: DataFr
 
 
 def query_variants(queries: DataFrame, q_col: str = "q", text_col: str = "text") -> DataFrame:
-    """R9 re-aimed: each query plus its keyword form. Key ``qv = 2q + v``."""
+    """R9 re-aimed: each query (``v`` 0) plus its keyword form (1). ``qv``
+    names the pair as text, whatever the type of the query ids."""
     orig = queries.select(F.col(q_col).alias("q"), F.lit(0).alias("v"), F.col(text_col).alias("text"))
     kw = queries.select(F.col(q_col).alias("q"), F.lit(1).alias("v"), keyword_text(text_col).alias("text"))
-    return orig.unionByName(kw).withColumn("qv", F.col("q") * 2 + F.col("v"))
+    return orig.unionByName(kw).withColumn("qv", F.concat(F.col("v").cast("string"), F.lit(":"), F.col("q").cast("string")))
+
+
+def variant_query(qv: str, id_type: str) -> Column:
+    """The query id of a ``qv``, in its own type."""
+    return F.expr(f"substring({qv}, 3)").cast(id_type)
 
 
 def hybrid_candidates(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_col: str = "text",
@@ -477,17 +483,16 @@ def hybrid_candidates(queries: DataFrame, docs: DataFrame, q_col: str = "q", tex
     # tokenise the corpus once for both retrievers (and the reranker)
     if corpus is None:
         corpus = cut_lineage(corpus_postings(docs, doc_id_col, doc_text_col))
-    # the keyword variant has the same analysed terms as the original: dedupe
-    sparse = bm25_topk(qv.select(F.col("qv").alias("q"), "text"), docs, k=sparse_k, dedupe=True,
+    # the keyword form has the analysed terms of the question: one list by words, two by vectors
+    sparse = bm25_topk(queries.select(F.col(q_col).alias("q"), F.col(text_col).alias("text")), docs, k=sparse_k,
                        id_col=doc_id_col, text_col="text", doc_text_col=doc_text_col,
                        index=bm25 if bm25 is not None else bm25_index(docs, corpus=corpus))
     dvec = (doc_vectors if doc_vectors is not None
             else hash_embed_from_postings(corpus, dim).withColumnRenamed("doc", doc_id_col))
     qvec = hash_embed(qv.select("qv", "text"), "qv", "text", dim)
     dense = dense_topk(qvec, dvec, k=dense_k, q_col="qv", id_col=doc_id_col)
-    lists = [sparse.select((F.floor(F.col("q") / 2)).cast("long").alias("q"), "doc", "rank"),
-             dense.select((F.floor(F.col("q") / 2)).cast("long").alias("q"),
-                          F.col("id").alias("doc"), "rank")]
+    lists = [sparse.select("q", "doc", "rank"),
+             dense.select(variant_query("q", queries.schema[q_col].dataType.simpleString()).alias("q"), F.col("id").alias("doc"), "rank")]
     return rrf(lists, k=fusion_k)
 
 
@@ -500,7 +505,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, q_col: str = "q", text_co
     the hashed dense vectors and the default reranker."""
     corpus = cut_lineage(corpus_postings(docs, doc_id_col, doc_text_col))
     fused = hybrid_candidates(queries, docs, q_col, text_col, doc_id_col, doc_text_col, corpus=corpus, **kw)
-    fused = score_cutoff(fused, min_score)
+    fused = cut_lineage(score_cutoff(fused, min_score))  # bounded by queries x depth; the reranker reads it twice
     qs = queries.select(F.col(q_col).alias("q"), F.col(text_col).alias("text"))
     if scorer is overlap_score:
         return rerank_overlap_postings(fused, qs, corpus, k=rerank_k)

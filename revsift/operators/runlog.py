@@ -3,7 +3,7 @@ flattening (F9), long metric tables (S12, A4) and trace spans (L1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,20 @@ def log_metrics(wide: DataFrame, prefix: str = "", run: str | None = None) -> Da
     return out
 
 
+def count_params(frames: dict[str, DataFrame], folder: str, prefix: str = "n_") -> DataFrame:
+    """A4: write every frame as Parquet under ``folder``/name and return its
+    row count as a run parameter, (name, value) as ``write_metrics`` takes
+    them. Rows are counted by the job that writes them, not by one of their
+    own. An empty frame counts 0; no frames give no rows."""
+    counts = []
+    for name, df in frames.items():
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+        counts.append((f"{prefix}{name}", float(seen.get["n"])))
+    spark = next(iter(frames.values())).sparkSession if frames else SparkSession.active()
+    return spark.createDataFrame(counts, "name string, value double")
+
+
 def write_metrics(long_df: DataFrame, path: str) -> None:
     long_df.write.mode("append").parquet(path)
 

@@ -50,9 +50,10 @@ QV = f"""SELECT item_id * 2 AS q, text FROM benchmark
 
 
 def fused_ctes() -> str:
-    return ("WITH qv AS (" + QV + ")," + bm25_ctes("SELECT * FROM qv") + "," + dense_hash_scores("qv", "q", "text")
+    """One list by words (the keyword form has the same), two by vectors."""
+    return ("WITH qv AS (" + QV + ")," + bm25_ctes(BENCH_Q) + "," + dense_hash_scores("qv", "q", "text")
             + f""",
-lists AS (SELECT q // 2 AS q, doc, rank FROM {topk('scores', 50)}
+lists AS (SELECT q, doc, rank FROM {topk('scores', 50)}
           UNION ALL SELECT q // 2 AS q, doc, rank FROM {topk('dscores', 50)}),
 fused_all AS (SELECT q, doc, sum(1.0::DOUBLE / (60 + rank)) AS score FROM lists GROUP BY q, doc),
 fused AS (SELECT q, doc, score, rank FROM {topk('fused_all', 50)})""")
@@ -276,8 +277,14 @@ RETRIEVAL_ERRORS = ("WITH " + dense_hash_scores("(" + BENCH_Q + ")", "q", "text"
 rkd AS (SELECT q, doc AS id, rank FROM {topk('dscores', 50)}),
 """ + retrieval_metrics_sql("SELECT * FROM rkd", f"SELECT q, doc AS id FROM ({QRELS_TEXT})",
                             "SELECT item_id AS q FROM benchmark", 50) + """,
-firsts AS (SELECT q, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS retrieved FROM rkd WHERE rank <= 10 GROUP BY q)
-SELECT per_q.q AS item_id, hit_rate, mrr, firsts.retrieved FROM per_q LEFT JOIN firsts ON firsts.q = per_q.q
+firsts AS (SELECT q, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS retrieved FROM rkd WHERE rank <= 10 GROUP BY q),
+rtext AS (SELECT q, md5(string_agg(d.text, chr(10) || chr(10) ORDER BY rank)) AS retrieved_md5 FROM rkd JOIN documents d ON d.doc_id = rkd.id
+          WHERE rank <= 10 GROUP BY q),
+etext AS (SELECT q, CAST(max(n) AS BIGINT) AS n_expected, md5(string_agg(d.text, chr(10) || chr(10) ORDER BY r.id) FILTER (pos <= 10)) AS expected_md5
+          FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY id) AS pos, count(*) OVER (PARTITION BY q) AS n FROM rel) r
+          JOIN documents d ON d.doc_id = r.id GROUP BY q)
+SELECT per_q.q AS item_id, hit_rate, mrr, precision, recall, ap, ndcg, firsts.retrieved, coalesce(n_expected, 0) AS n_expected, expected_md5, retrieved_md5
+FROM per_q LEFT JOIN firsts ON firsts.q = per_q.q LEFT JOIN rtext ON rtext.q = per_q.q LEFT JOIN etext ON etext.q = per_q.q
 WHERE hit_rate < 1""")
 
 _DAYS = "['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday']"
@@ -337,6 +344,11 @@ dp AS (SELECT qr.q, qr.doc, sum(a.weight * b.weight) AS s
 SELECT qr.q AS item_id, qr.doc AS doc_id, round(coalesce(dp.s, 0.0), 6) AS cos
 FROM qr LEFT JOIN dp ON dp.q = qr.q AND dp.doc = qr.doc""")
 
+def _contexts(a: str, b: str) -> str:
+    """Two contexts as one text, a blank line between them, nulls left out."""
+    return f"(CASE WHEN {a} IS NULL AND {b} IS NULL THEN NULL ELSE concat_ws({NL} || {NL}, {a}, {b}) END)"
+
+
 ORACLE_MORE = {
     "sql_functions": f"""SELECT event_id, CAST({slot_sql('user_id', 'ts')} AS INTEGER) AS slots,
   coalesce(user_id % 12 <= hour(ts) AND hour(ts) < user_id % 12 + 8, false) AS open_flag FROM events""",
@@ -351,8 +363,21 @@ SELECT e.event_id, coalesce(j.availability, '{}') AS availability FROM events e
   SELECT event_id, CAST(to_json(map_from_entries(list({'k': hour, 'v': ok} ORDER BY hour))) AS VARCHAR) AS availability
   FROM ar GROUP BY event_id) j ON j.event_id = e.event_id""",
     "pair_similarity": PAIR_SIM,
-    "score_table": f"""SELECT doc_id, CAST(relevancy AS DOUBLE) AS relevancy, CAST(correctness AS DOUBLE) AS correctness
-  FROM {_SCORES}""",
+    "score_table": f"""SELECT s.doc_id, d.lang AS query, md5(d.text) AS answer_md5, CAST(relevancy AS DOUBLE) AS relevancy,
+  CAST(correctness AS DOUBLE) AS correctness, {_contexts('d.lang', 'd.source')} AS contexts
+  FROM {_SCORES} s JOIN documents d ON d.doc_id = s.doc_id""",
+    "answer_errors": f"""WITH good AS (SELECT d.* FROM documents d WHERE lang <> 'en'
+    AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1 AND toxic = 0)),
+  ex AS (SELECT lang AS query, arg_max(text, doc_id) AS expected, arg_max({_contexts('source', 'lang')}, doc_id) AS expected_contexts
+         FROM good WHERE text IS NOT NULL GROUP BY lang)
+SELECT s.doc_id, d.lang AS query, CAST(relevancy AS DOUBLE) AS relevancy, CAST(correctness AS DOUBLE) AS correctness,
+  {_contexts('d.lang', 'd.source')} AS contexts, md5(expected) AS expected_md5, expected_contexts, expected IS NULL AS missing
+FROM {_SCORES} s JOIN documents d ON d.doc_id = s.doc_id LEFT JOIN ex ON ex.query = d.lang WHERE relevancy < 1""",
+    "count_params": """SELECT 'n_documents' AS name, CAST(count(*) AS DOUBLE) AS value FROM documents
+UNION ALL SELECT 'n_good_documents', CAST(count(*) AS DOUBLE) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+UNION ALL SELECT 'n_user_turns', CAST(count(*) AS DOUBLE) FROM conversations WHERE role = 'user'""",
+    "make_pairs": f"""SELECT p.q AS item_id, b.text AS question, p.doc AS doc_id, md5(d.text) AS text_md5
+  FROM (SELECT DISTINCT q, doc FROM ({QRELS_TEXT})) p JOIN benchmark b ON b.item_id = p.q JOIN documents d ON d.doc_id = p.doc""",
     "mmr_topk": MMR,
     "bm25_chunks": BM25_CHUNKS,
     "hybrid_search_chunks": HYBRID_CHUNKS,

@@ -4,6 +4,7 @@ evaluation reports, answer assembly and availability."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..operators import evaluate as ev
 from ..operators import hours as hr
 from ..operators import prepare as pp
 from ..operators import retrieval as rt
+from ..operators import runlog as rl
 from ..operators.distributed import cut_lineage
 from ..operators.embed import hash_embed, hash_embed_sparse, truncate_dims
 from ..operators.index import ChunkIndex
@@ -107,7 +109,7 @@ def q_rerank_overlap(spark, d):
     docs = _t(spark, d, "documents")
     qs = _bench_queries(spark, d)
     corpus = cut_lineage(rt.corpus_postings(docs))
-    cands = rt.bm25_topk(qs, docs, k=rt.SPARSE_TOP_K, index=rt.bm25_index(docs, corpus=corpus))
+    cands = cut_lineage(rt.bm25_topk(qs, docs, k=rt.SPARSE_TOP_K, index=rt.bm25_index(docs, corpus=corpus)))
     out = rt.rerank_overlap_postings(cands, qs, corpus, k=rt.RERANK_TOP_K)
     return out.select(F.col("q").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
@@ -243,8 +245,9 @@ def q_retrieval_errors(spark, d):
     qrels = ev.passage_qrels(bench, docs).withColumnRenamed("doc", "id")
     per_q = ev.retrieval_metrics(bench.select(F.col("item_id").alias("q")), ranked, qrels, k=rt.DENSE_TOP_K,
                                  id_col="id")
-    err = ev.retrieval_errors(per_q, ranked, id_col="id")
-    return err.select(F.col("q").alias("item_id"), "hit_rate", "mrr", "retrieved")
+    err = ev.retrieval_errors(per_q, ranked, id_col="id", nodes=docs, qrels=qrels, node_id="doc_id")
+    return err.select(F.col("q").alias("item_id"), *ev.METRICS, "retrieved", "n_expected", F.md5(ev.joined_contexts("expected")).alias("expected_md5"),
+                      F.md5(ev.joined_contexts("retrieved_texts")).alias("retrieved_md5"))
 
 
 def q_score_summary(spark, d):
@@ -321,15 +324,60 @@ def q_pair_similarity(spark, d):
                     F.round(F.coalesce(rt.dot(F.col("qv"), F.col("dv")), F.lit(0.0)), 6).alias("cos"))
 
 
-def q_score_table(spark, d):
+def _long_scores(spark, d) -> DataFrame:
     from .queries import _scores
     s = _scores(spark, d)
-    long_ = ev.stack_scores(
+    return ev.stack_scores(
         s.select(F.col("doc_id").alias("example_id"), F.lit("relevancy").alias("metric"),
                  F.col("relevancy").cast("double").alias("score")),
         s.select(F.col("doc_id").alias("example_id"), F.lit("correctness").alias("metric"),
                  F.col("correctness").cast("double").alias("score")))
-    return ev.score_table(long_, ["relevancy", "correctness"]).withColumnRenamed("example_id", "doc_id")
+
+
+def q_score_table(spark, d):
+    long_ = _long_scores(spark, d)
+    out = ev.score_table(long_, ["relevancy", "correctness"], predictions=_predictions(spark, d))
+    return out.select(F.col("example_id").alias("doc_id"), "query", F.md5("answer").alias("answer_md5"), "relevancy", "correctness",
+                      ev.joined_contexts("contexts").alias("contexts"))
+
+
+def _predictions(spark, d) -> DataFrame:
+    """Test-data predictions: a document answers the question of its
+    language, from the contexts of its language and source."""
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("example_id"), F.col("lang").alias("query"), F.col("text").alias("answer"),
+                                            F.array_compact(F.array("lang", "source")).alias("contexts"))
+
+
+def q_answer_errors(spark, d):
+    """Badly scored answers; the expected answer of a language is that of
+    its last labelled good document, with its benchmark contexts."""
+    table = ev.score_table(_long_scores(spark, d), ["relevancy", "correctness"], predictions=_predictions(spark, d))
+    good = _t(spark, d, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    examples = (_t(spark, d, "documents").join(good, "doc_id", "left_semi").filter("lang <> 'en'")
+                .select(F.col("doc_id").alias("example_id"), F.col("lang").alias("query"), F.col("text").alias("expected"),
+                        F.array_compact(F.array("source", "lang")).alias("reference_contexts")))
+    err = ev.answer_errors(table, examples, "relevancy")
+    return err.select(F.col("example_id").alias("doc_id"), "query", "relevancy", "correctness", "contexts", F.md5("expected").alias("expected_md5"),
+                      "expected_contexts", "missing")
+
+
+def q_count_params(spark, d):
+    """A4: the counts of three derived tables, taken while they are written."""
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    frames = {"documents": docs, "good_documents": docs.join(labels.filter("quality = 1").select("doc_id"), "doc_id", "left_semi"),
+              "user_turns": _t(spark, d, "conversations").filter("role = 'user'")}
+    return rl.count_params(frames, shared_dir(spark, f"counted-{uuid.uuid4().hex}"))
+
+
+def q_make_pairs(spark, d):
+    """The benchmark passages as questions about the documents that hold
+    them; the three maps joined back to one table."""
+    bench, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
+    pairs = ev.passage_qrels(bench, docs)
+    asked = pairs.join(_bench_queries(spark, d), "q").select("q", F.col("text").alias("question"), F.col("doc").alias("node_id"))
+    queries, corpus, relevant = ev.make_pairs(docs, cut_lineage(asked), node_id="doc_id")
+    return (relevant.join(queries, "q").join(corpus, "node_id")
+            .select(F.col("q").alias("item_id"), "question", F.col("node_id").alias("doc_id"), F.md5("text").alias("text_md5")))
 
 
 REF_MIN_SCORE = 30000.0  # same threshold in the SQL twin
@@ -384,6 +432,9 @@ QUERIES_MORE = {
     "availability_json": q_availability_json,
     "pair_similarity": q_pair_similarity,
     "score_table": q_score_table,
+    "answer_errors": q_answer_errors,
+    "count_params": q_count_params,
+    "make_pairs": q_make_pairs,
     "dense_topk": q_dense_topk,
     "filtered_dense": q_filtered_dense,
     "score_cutoff": q_score_cutoff,

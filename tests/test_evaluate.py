@@ -53,6 +53,63 @@ def test_passage_qrels_short_and_anchored_passages(spark):
     assert "NestedLoop" not in p and "Python" not in p and "Pandas" not in p
 
 
+def test_passage_qrels_repeated_ids_and_rows(spark):
+    """An id with several texts has a pair if one of them holds the passage,
+    once, whichever path finds it."""
+    q = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (2, "two"), (None, "one two three four"),
+                               (3, "zzz unheard of words"), (1, "ten eleven twelve")], "item_id int, text string")
+    d = spark.createDataFrame([(1, "zero one two three four five six seven"), (1, "so: one two three four five six"), (1, "nothing"),
+                               (2, "nine ten eleven twelve"), (None, "one two three four five six")], "doc_id long, text string")
+    want = [(1, 1), (1, 2), (2, 1)]
+    assert rows(ev.passage_qrels(q, d), "q", "doc") == want
+    assert rows(ev.passage_qrels(q, d, max_broadcast_rows=1), "q", "doc") == want
+
+
+def test_passage_qrels_moves_no_texts(spark):
+    """Texts are shuffled by nothing but the spread of small inputs."""
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    d = spark.createDataFrame(base.collect(), base.schema).repartition(16)
+    q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    p = ev.passage_qrels(q, d)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in p and "NestedLoop" not in p
+    assert "Exchange hashpartitioning(_t" not in p and p.count("Exchange hashpartitioning(doc") <= 1  # that of the few (q, doc)
+
+
+def test_retrieval_errors_with_texts(spark):
+    per_q = spark.createDataFrame([(1, 0.0, 0.5, 0.1), (2, 1.0, 1.0, 1.0), (3, 0.0, 0.25, 0.1), (4, None, None, None)],
+                                  "q long, hit_rate double, mrr double, ap double")
+    ranked = spark.createDataFrame([(1, r, f"n{r}") for r in range(1, 6)] + [(2, 1, "n1"), (3, 1, "gone")], "q long, rank int, doc string")
+    qrels = spark.createDataFrame([(1, "n9"), (1, "n8"), (1, "n8"), (1, "n7"), (3, "gone"), (2, "n1")], "q long, doc string")
+    nodes = spark.createDataFrame([(f"n{i}", f"text {i}") for i in range(1, 10)], "node_id string, text string")
+    got = ev.retrieval_errors(per_q, ranked, n_show=2, nodes=nodes, qrels=qrels).collect()
+    assert [r["q"] for r in got] == [3, 1]
+    assert got[1]["retrieved"] == "n1,n2" and got[1]["retrieved_texts"] == ["text 1", "text 2"]
+    assert got[1]["expected"] == ["text 7", "text 8"] and got[1]["n_expected"] == 3
+    assert (got[0]["retrieved"], got[0]["retrieved_texts"], got[0]["expected"], got[0]["n_expected"]) == ("gone", None, None, 1)
+
+
+def test_answer_errors_and_score_table(spark):
+    scores = spark.createDataFrame([(1, "relevancy", 0.5), (1, "correctness", 1.0), (2, "relevancy", 1.0), (3, "relevancy", 0.0)],
+                                   "example_id long, metric string, score double")
+    preds = spark.createDataFrame([(1, "why?", "because", ["a", "b"]), (2, "who?", "me", []), (3, "what?", None, None)],
+                                  "example_id long, query string, answer string, contexts array<string>")
+    table = ev.score_table(scores, ["relevancy", "correctness"], predictions=preds)
+    assert table.columns == ["example_id", "query", "answer", "relevancy", "correctness", "contexts"]
+    ex = spark.createDataFrame([(1, "why?", "old", ["x"]), (2, "why?", "new", ["y", "z"]), (3, "why?", None, ["n"])],
+                               "example_id long, query string, expected string, reference_contexts array<string>")
+    got = ev.answer_errors(table, ex, "relevancy").collect()
+    assert [(r["example_id"], r["answer"], r["contexts"], r["expected"], r["expected_contexts"], r["missing"]) for r in got] == [
+        (3, None, None, None, None, True), (1, "because", "a\n\nb", "new", "y\n\nz", False)]
+
+
+def test_count_params(spark, tmp_path):
+    from revsift.operators.runlog import count_params
+    df = spark.range(7)
+    got = count_params({"nodes": df, "none": df.limit(0)}, str(tmp_path / "out"))
+    assert rows(got) == [("n_nodes", 7.0), ("n_none", 0.0)]
+    assert spark.read.parquet(str(tmp_path / "out" / "nodes")).count() == 7 and count_params({}, str(tmp_path)).count() == 0
+
+
 def test_make_pairs(spark):
     nodes = spark.createDataFrame([("n1", "text one"), ("n2", "text two"), ("n3", "unasked")], "node_id string, text string")
     qs = spark.createDataFrame([(1, "what?", "n1"), (2, "who?", "n2"), (3, "", "n2"), (4, "lost?", "n9"), (1, "what?", "n2")],
