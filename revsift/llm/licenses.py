@@ -57,14 +57,26 @@ IDENTIFIERS = {
     "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "agpl-3.0": "agpl", "mpl-2.0": "mpl-2", "epl-2.0": "epl",
     "bsl-1.0": "bsl-1", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nc-4.0": "cc-by-nc",
     "cc-by-nd-4.0": "cc-by-nd",
+    "0bsd": "bsd", "afl-3.0": "afl", "agpl-1.0": "agpl", "apache-1.0": "apache-1", "apache-1.1": "apache-1", "artistic-1.0": "artistic",
+    "artistic-2.0": "artistic", "bsd-1-clause": "bsd", "bsd-3-clause-clear": "bsd", "bsd-4-clause": "bsd", "cc-by-2.0": "cc-by",
+    "cc-by-2.5": "cc-by", "cc-by-3.0": "cc-by", "cc-by-nc-3.0": "cc-by-nc", "cc-by-nc-nd-4.0": "cc-by-nc-nd", "cc-by-nc-sa-4.0": "cc-by-nc-sa",
+    "cc-by-nd-3.0": "cc-by-nd", "cc-by-sa-2.0": "cc-by-sa", "cc-by-sa-2.5": "cc-by-sa", "cc-by-sa-3.0": "cc-by-sa", "cddl-1.0": "cddl",
+    "cddl-1.1": "cddl", "curl": "mit", "ecl-2.0": "ecl", "epl-1.0": "epl", "eupl-1.1": "eupl", "eupl-1.2": "eupl", "fsfap": "fsfap", "gpl-1.0": "gpl",
+    "lgpl-2.0": "lgpl", "mit-0": "mit", "mpl-1.1": "mpl", "ms-pl": "ms-pl", "ncsa": "ncsa", "odbl-1.0": "odbl", "ofl-1.1": "ofl", "openssl": "openssl",
+    "osl-3.0": "osl", "pddl-1.0": "public-domain", "postgresql": "postgresql", "psf-2.0": "psf", "python-2.0": "psf", "upl-1.0": "upl", "wtfpl": "wtfpl",
+    "x11": "mit",
 }
 # How restrictive a label is: 0 none asked, 1 notice, 2 share alike for files,
 # 3 share alike for works, 4 no use in trade or no changes, 5 nothing granted.
 STRICTNESS = {
     "public-domain": 0, "cc0": 0, "mit": 1, "apache-2": 1, "bsd": 1, "isc": 1, "zlib": 1, "bsl-1": 1, "cc-by": 1,
     "lgpl": 2, "mpl": 2, "mpl-2": 2, "epl": 2, "gpl": 3, "gpl-2": 3, "gpl-3": 3, "agpl": 3, "cc-by-sa": 3,
-    "cc-by-nc": 4, "cc-by-nd": 4, "all-rights-reserved": 5,
+    "cc-by-nc": 4, "cc-by-nd": 4, "cc-by-nc-nd": 4, "cc-by-nc-sa": 4, "all-rights-reserved": 5,
+    "afl": 1, "apache-1": 1, "artistic": 1, "ecl": 1, "fsfap": 1, "ms-pl": 1, "ncsa": 1, "ofl": 1, "openssl": 1, "postgresql": 1, "psf": 1, "upl": 1,
+    "wtfpl": 0, "cddl": 2, "eupl": 3, "odbl": 3, "osl": 3,
 }
+# An identifier that no table knows is its own label, and stricter than all.
+UNKNOWN_STRICTNESS = 6
 # Belief that a licence applies, by kind of finding.
 WEIGHTS = {"tag": 0.95, "base": 0.9, "notice": 0.7}
 
@@ -161,7 +173,8 @@ def parse_expression(text: str) -> list[str] | None:
 def evaluate_expression(text: str) -> tuple[frozenset[str], int] | None:
     """(labels to comply with, strictness): AND needs both sides, OR lets the
     taker choose the less strict side, WITH keeps its licence (an exception
-    only grants more). None for an unknown or malformed expression."""
+    only grants more). An identifier that is not known stays, as its own label
+    and stricter than all others. None for a malformed expression."""
     post = parse_expression(text)
     if post is None:
         return None
@@ -177,10 +190,9 @@ def evaluate_expression(text: str) -> tuple[frozenset[str], int] | None:
                 stack.append(min(a, b, key=lambda x: (x[1], sorted(x[0]))))
         else:
             name = re.sub(r"(-only|-or-later|\+)$", "", tok)
-            label = IDENTIFIERS.get(name)
-            stack.append((frozenset([label]), STRICTNESS[label]) if label else (frozenset(), 0))
-    labels, strict = stack[0]
-    return (labels, strict) if labels else None
+            label = IDENTIFIERS.get(name, tok)
+            stack.append((frozenset([label]), STRICTNESS.get(label, UNKNOWN_STRICTNESS)))
+    return stack[0]
 
 
 def _automaton() -> WordAutomaton:
@@ -210,7 +222,7 @@ def scan_text(text: str, automaton: WordAutomaton) -> tuple:
             base.add(label)
         labels.add(label)
         doubt *= 1 - WEIGHTS[kind]
-    strict = max((STRICTNESS[x] for x in labels), default=None)
+    strict = max((STRICTNESS[x] for x in labels), default=None)  # notices name known labels only
     expressions = []
     if tagged:
         for m in _TAG_AT.finditer(text):

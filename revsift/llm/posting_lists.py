@@ -49,6 +49,9 @@ SHELF_LISTS = 16
 # Points and queries of one cell of a shelf.
 CELL_POINTS = 4096
 CELL_QUERIES = 1024
+# Bound of the error of a cosine in single precision, and pairs ranked exactly at a time.
+FAST_ERROR = 1e-5
+EXACT_PAIRS = 1 << 15
 
 
 class Centroids:
@@ -212,8 +215,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, is_query: Column | None =
 
     Vectors that are null, empty, zero or have null or non-finite components,
     and rows without an id, take no part. Vectors of different lengths are
-    compared as if the shorter ended in zeros. A repeated row is one row. A
-    table of one usable row, or none, gives no rows.
+    compared as if the shorter ended in zeros. A repeated row is one row. An
+    id with several different vectors is named once in a list, with the best
+    score of any of them (its list, and lists that name it, may be shorter).
+    A table of one usable row, or none, gives no rows.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -281,15 +286,19 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, is_query: Column | None =
             p = _vectors(points_of.column("v").combine_chunks(), dim)
             q = _vectors(queries_of.column("v").combine_chunks(), dim)
             fast_p, fast_q = _unit(p), _unit(q)
-            m = min(2 * k + 6, len(pid))  # kept by the fast measure, ranked by the exact one
+            m = min(k + 1, len(pid))  # no more of a cell can be among the best k + 1
             for a in range(0, len(qid), 256):
+                # by the fast measure the first m and all that its error could put level with them; the exact one ranks
                 sim = fast_q[a:a + 256] @ fast_p.T
-                top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-                s = cosine(q[np.repeat(np.arange(a, a + len(sim)), m)], p[top.reshape(-1)]).reshape(-1, m)
-                order = np.lexsort((pid[top], -s), axis=1)[:, :k + 1]  # no more of a cell can be among the best k + 1
-                out["q"].append(np.repeat(qid[a:a + 256], order.shape[1]))
-                out["p"].append(pid[np.take_along_axis(top, order, 1)].reshape(-1))
-                out["score"].append(np.take_along_axis(s, order, 1).reshape(-1))
+                low = -np.partition(-sim, m - 1, axis=1)[:, m - 1:m]
+                r, c = np.nonzero(sim >= low - FAST_ERROR)
+                s = np.concatenate([cosine(q[a + r[i:i + EXACT_PAIRS]], p[c[i:i + EXACT_PAIRS]]) for i in range(0, len(r), EXACT_PAIRS)])
+                order = np.lexsort((pid[c], -s, r))
+                start = np.searchsorted(r, r)  # r is sorted
+                order = order[np.arange(len(r)) - start < m]
+                out["q"].append(qid[a + r[order]])
+                out["p"].append(pid[c[order]])
+                out["score"].append(s[order])
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.table({"q": cat(out["q"], np.int64), "p": cat(out["p"], np.int64), "score": cat(out["score"], np.float64)})
 
@@ -300,7 +309,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, is_query: Column | None =
     hits = (ranked.join(points.select(F.col("point").alias("p"), "ids"), "p")
             .select("q", "score", F.explode("ids").alias("vec_id")))
     hits = hits.join(queries.select(F.col("vec_id").alias("query_id"), F.col("point").alias("q")), "q").filter("vec_id <> query_id")
-    out = top_ranked(hits.select("query_id", "vec_id", "score"), "query_id", [F.desc("score"), F.asc("vec_id")], k, "rank")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    out = top_ranked(hits, "query_id", [F.desc("score"), F.asc("vec_id")], k, "rank")
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

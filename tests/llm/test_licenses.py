@@ -60,6 +60,8 @@ def test_overlapping_and_nested_phrases():
 @pytest.mark.parametrize("text,labels,strict", [
     ("MIT", {"mit"}, 1), ("MIT AND GPL-3.0-only", {"mit", "gpl-3"}, 3), ("MIT OR GPL-3.0-or-later", {"mit"}, 1),
     ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl-2"}, 3), ("MIT OR GPL-3.0-only AND CC-BY-NC-4.0", {"mit"}, 1),
+    ("MIT OR LicenseRef-Foo", {"mit"}, 1), ("LicenseRef-Foo OR Apache-2.0", {"apache-2"}, 1), ("MIT AND LicenseRef-Foo", {"mit", "licenseref-foo"}, 6),
+    ("MIT AND WTFPL", {"mit", "wtfpl"}, 1), ("Unknown-1.0", {"unknown-1.0"}, 6), ("Unknown-1.0 WITH x OR CC-BY-NC-ND-4.0", {"cc-by-nc-nd"}, 4),
     ("(MIT OR ISC) AND MPL-2.0", {"isc", "mpl-2"}, 2), ("MIT and apache-2.0 or gpl-2.0+", {"gpl-2"}, 3)])
 def test_expressions(text, labels, strict):
     got = evaluate_expression(text)
@@ -71,4 +73,9 @@ def test_expressions(text, labels, strict):
 def test_bad_expressions():
     for t in ("", "AND MIT", "MIT AND", "(MIT", "MIT OR )"):
         assert parse_expression(t) is None
-    assert evaluate_expression("Unknown-1.0") is None
+        assert evaluate_expression(t) is None
+
+
+def test_every_label_has_a_strictness():
+    from revsift.llm.licenses import IDENTIFIERS, STRICTNESS
+    assert set(IDENTIFIERS.values()) | set(BASE_PHRASES.values()) | set(NOTICE_PHRASES.values()) <= set(STRICTNESS)

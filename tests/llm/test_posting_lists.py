@@ -138,3 +138,19 @@ def test_balanced_centroids():
     c = fit_centroids(x, 10)
     share = np.bincount(np.argmax(x @ c.T, axis=1), minlength=10)
     assert share.max() < 400 and (share > 0).sum() >= 8
+
+
+def test_ties_of_scaled_vectors_go_to_the_smaller_id(spark):
+    """Sixty multiples of one query: all scores are 1."""
+    base = [0.25, -0.5, 1.0, 0.125]
+    rows = [(0, base)] + [(i, [x * 2.0 ** (i % 11 + 1) * (1 + 0.0 * i) for x in base]) for i in range(1, 61)]
+    rows += [(100 + i, [1.0, float(i), 0.0, 0.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_neighbours(df, 5, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(i, i, 1.0) for i in range(1, 6)]
+
+
+def test_id_with_several_vectors_is_named_once(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.001]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0])]
+    got = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got][:2] == [1, 2] and got[0]["score"] == 1.0 and len({r["vec_id"] for r in got}) == len(got)
