@@ -28,11 +28,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates by shingles of five words: the row of the smallest id
     of each group stays; rows without an id or without words all stay. Of
     rows that share an id, one stays (the smallest by its columns)."""
-    kept = near_duplicates(docs, size=5).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    one = docs.filter("doc_id is not null").join(kept.select("doc_id", "rows"), "doc_id").select(*docs.columns, "rows")
-    single = one.filter("rows = 1").select(*docs.columns)
+    count = "rows"
+    while count in docs.columns:  # a name that the documents do not have
+        count += "_"
+    kept = near_duplicates(docs, size=5).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(count))
+    one = docs.filter("doc_id is not null").join(kept, "doc_id").select(*docs.columns, count)
+    single = one.filter(F.col(count) == 1).select(*docs.columns)
     # ids that occur on several rows; these are settled by a small aggregation of their own
-    several = one.filter("rows > 1").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    several = one.filter(F.col(count) > 1).groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return single.unionAll(several).unionAll(docs.filter("doc_id is null"))
 
 
