@@ -5,6 +5,7 @@ import zlib  # noqa: F401
 from collections import Counter
 
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from revsift.llm.quality import classify_documents
@@ -68,5 +69,8 @@ def test_dedup_stage_edges(spark):
     df = documents(spark, [t, t, t, None, None, "", t + " x"], [4, 4, 9, 5, None, None, None])
     got = sorted((r["doc_id"] or -1, r["text"] or "") for r in stage("near_duplicates")(spark, df, "").collect())
     assert got == [(-1, ""), (-1, ""), (-1, t + " x"), (4, t), (5, "")]
+    clash = df.withColumn("Rows", F.lit(7)).withColumn("kept", F.lit("x"))
+    assert sorted((r["doc_id"] or -1, r["text"] or "", r["Rows"], r["kept"]) for r in stage("near_duplicates")(spark, clash, "").collect()) == [
+        (*g, 7, "x") for g in got]
     for n in ("quality", "near_duplicates", "source_mix", "sentencepiece"):
         assert stage(n)(spark, df.limit(0), "").count() == 0
