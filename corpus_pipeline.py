@@ -29,7 +29,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of each group stays; rows without an id or without words all stay. Of
     rows that share an id, one stays (the smallest by its columns)."""
     count = "rows"
-    while count in docs.columns:  # a name that the documents do not have
+    while count in {c.lower() for c in docs.columns}:  # a name that the documents do not have
         count += "_"
     kept = near_duplicates(docs, size=5).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(count))
     one = docs.filter("doc_id is not null").join(kept, "doc_id").select(*docs.columns, count)
