@@ -137,16 +137,22 @@ def simhash_groups(docs: DataFrame, size: int = 3, distance: int = 2, id_col: st
     """
     prints = written(fingerprints(id_text(docs, id_col, text_col, "long"), size), "fingerprints")
     with_id = prints.filter("doc_id is not null")
-    classes = written(with_id.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(with_id.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     # an id with several fingerprints links their classes
-    tagged = with_id.join(classes, "fp")
     several = with_id.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("doc_id")
-    own = tagged.join(several, "doc_id").filter("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    own = (with_id.join(several, "doc_id", "left_semi").join(classes, "fp").filter("rep <> doc_id")
+           .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
     # nodes are ids: a class stands under its smallest one. Two classes may share that id
     # (an id with several fingerprints), which links them already
-    groups = components(close_pairs(classes, distance).filter("a <> b").unionAll(own))
+    groups = components(close_pairs(classes.select("rep", "fp"), distance).filter("a <> b").unionAll(own))
     g = groups.selectExpr("node as rep", "component")
-    out = (tagged.join(g, "rep", "left")
-           .select("doc_id", "fp", F.coalesce("component", "rep").alias("component_id"), "n_shingles"))
+    named = written(classes.join(g, "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")), "named")
+    # classes of over a thousandth of all rows, fewer than a thousand whatever the input, go to
+    # their rows by broadcast; no other key of the shuffle join holds more
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(named.filter(F.col("n") * 1000 > total).select("fp", "component_id"))
+    cold = named.filter(F.col("n") * 1000 <= total).select("fp", "component_id")
+    out = (with_id.join(hot, "fp").unionByName(with_id.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+           .select("doc_id", "fp", "component_id", "n_shingles"))
     rest = prints.filter("doc_id is null").select("doc_id", "fp", F.col("doc_id").alias("component_id"), "n_shingles")
     return out.unionAll(rest).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_shingles")
