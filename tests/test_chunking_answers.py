@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from revsift.operators import answers as an
 from revsift.operators import chunking as ch
+from revsift.sources.io import VectorTable
 from tests.conftest import rows
 
 TEXTS = [(1, "Only one sentence here."), (2, "First one. Second one!"), (3, ""),
@@ -51,7 +52,8 @@ def test_build_index_writes_nodes_and_vectors(spark, tmp_path):
     path = str(tmp_path / "idx")
     nodes = ch.build_index(spark, _docs(spark), path, recreate=True)
     n = nodes.count()
-    assert n == spark.read.parquet(path + "/vectors").count()
+    table = VectorTable(path + "/vectors", 64)
+    assert n == table.read(spark).count() == table.count(spark)
     again = ch.build_index(spark, _docs(spark).limit(1), path, recreate=False)  # reused, not rebuilt
     assert again.count() == n
 
