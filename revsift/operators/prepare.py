@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import seeded_md5
+from ..functions.hashing import hex_int, seeded_key, seeded_md5
 from .distributed import global_rank
 
 
@@ -211,30 +211,20 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 # T4 --------------------------------------------------------------------------------
-DRAWS_PER_PASS = 256
-
-
 def sample_with_replacement(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Draw j = 0..n-1 takes the key with the smallest
-    ``md5(seed ':' j ':' key)``; n is clamped to the row count; 0 = every row
-    once. Each pass is one aggregation with up to 256 ``min_by`` aggregates
-    (no cross join, no explode of the table): partial per map task, final on
-    one row; larger n runs ceil(n / 256) passes."""
+    """Draw j = 0..n-1 takes the row at a random place in the order of the
+    keys (nulls first): the first 15 hex digits of ``md5(seed ':' j)`` modulo
+    the row count. n is clamped to the row count; 0 = every row once. Rows
+    are ranked once by range partitions and meet the draws in one join, so
+    the cost is that of the rows plus that of the draws."""
     if n == 0:
         return df.select(F.col(key)).withColumn("draw", F.lit(None).cast("int"))
-    out = None
-    for lo in range(0, n, DRAWS_PER_PASS):
-        js = range(lo, min(n, lo + DRAWS_PER_PASS))
-        aggs = [F.min_by(F.col(key), F.struct(seeded_md5(seed, j, F.col(key)), F.col(key))).alias(f"d{j}")
-                for j in js]
-        aggs.append(F.count(F.lit(1)).alias("_n"))
-        one = df.agg(*aggs)
-        draws = F.array(*[F.struct(F.lit(j).alias("draw"), F.col(f"d{j}").alias(key)) for j in js])
-        ex = one.select("_n", F.explode(draws).alias("_d"))
-        part = ex.filter(F.col("_d.draw") < F.col("_n")).select(F.col(f"_d.{key}").alias(key),
-                                                                 F.col("_d.draw").alias("draw"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    ranked = global_rank(df.select(key), [F.col(key)])
+    total = ranked.agg(F.max("_rank")).first()[0] or 0  # one number
+    draws = df.sparkSession.range(min(n, total)).select(
+        F.col("id").cast("int").alias("draw"),
+        (hex_int(seeded_key(seed, F.col("id")), 1, 15) % F.lit(max(total, 1)) + 1).alias("_rank"))
+    return draws.join(ranked, "_rank").select(key, "draw")
 
 
 # T5 / J3 / U3 ----------------------------------------------------------------------

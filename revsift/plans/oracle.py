@@ -233,10 +233,9 @@ SELECT term, count(*) AS df FROM post GROUP BY term""",
   FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations
         WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""",
     "sample_exact": "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 30",
-    "sample_repl": """SELECT first(doc_id ORDER BY md5('42:' || draw || ':' || doc_id), doc_id) AS doc_id,
-  CAST(draw AS INTEGER) AS draw
-  FROM (SELECT range AS draw FROM range(30)) r CROSS JOIN documents
-  GROUP BY draw HAVING draw < (SELECT count(*) FROM documents)""",
+    "sample_repl": f"""WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CAST(draw AS INTEGER) AS draw FROM (SELECT range AS draw FROM range(30)) d
+  JOIN k ON k.r = {hexint("'42:' || draw", 1, 15)} % k.n + 1 WHERE draw < n""",
     "group_split": """WITH k AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL),
   r AS (SELECT o_custkey, row_number() OVER (ORDER BY md5('42:' || o_custkey), o_custkey) AS rn FROM k),
   n AS (SELECT count(*) AS n FROM k),

@@ -127,6 +127,11 @@ def test_sample_with_replacement_many_draws(spark):
     small = dict(rows(pp.sample_with_replacement(df, 10, "k", 5), "draw", "k"))
     big = dict(rows(s, "draw", "k"))
     assert all(big[j] == small[j] for j in range(10))  # draws are independent of n
+    assert 400 < len(set(big.values())) < 520  # 451 different rows are expected of 600 draws of 1000
+    # nulls and repeated keys are rows like others; an empty table has no draws
+    odd = spark.createDataFrame([(None,), ("a",), ("a",), (None,)], "k string")
+    assert {r["k"] for r in pp.sample_with_replacement(odd, 4, "k", 1).collect()} <= {None, "a"}
+    assert pp.sample_with_replacement(odd, 9, "k").count() == 4 and pp.sample_with_replacement(odd.limit(0), 5, "k").count() == 0
 
 
 def test_quantiles_with_a_hot_value(spark):
