@@ -214,10 +214,13 @@ def bm25_topk_pruned(queries: DataFrame, docs: DataFrame, k: int = SPARSE_TOP_K,
     4. Queries failing the test are scored exhaustively, and only they.
     Common terms never expand into per-document rows for settled queries."""
     qt = query_terms(queries, q_col, text_col)
-    if not is_small(qt, max_broadcast_rows):
-        raise ValueError("pruned BM25 needs a query batch under the broadcast bound")
     if index is None:
         index = bm25_index(docs, id_col, doc_text_col)
+    if not is_small(qt, max_broadcast_rows):
+        # a query side too large to broadcast is scored exhaustively, by shuffle joins
+        full = bm25_scores(queries, docs, q_col=q_col, text_col=text_col, k1=k1, b=b, max_broadcast_rows=max_broadcast_rows, index=index)
+        out = ranked_top_k(full, ["q"], "score", "doc", k).select("q", "rank", "doc", F.round("score", SCORE_DIGITS).alias("score"))
+        return (out, qt.select("q", F.lit(False).alias("safe")).distinct()) if with_status else out
     postings, stats = index[0], index[1]
     postings = postings.filter(F.col("term").isNotNull())
     weight = F.col("tf") * F.lit(k1 + 1.0) / (

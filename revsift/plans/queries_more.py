@@ -164,7 +164,7 @@ def _lineitem_hits(spark, d):
     li = li.withColumn("rank", F.row_number().over(
         Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     part = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("biz_name"))
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("l_suppkey"), "text")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("l_suppkey"), an.reference_text("text").alias("text"))
     h = li.join(part, "l_partkey", "left").join(docs, "l_suppkey", "left")
     return h.select(F.col("l_orderkey").alias("q"), "rank", F.col("l_extendedprice").alias("score"),
                     "biz_name", F.col("l_suppkey").alias("review_id"), "text")

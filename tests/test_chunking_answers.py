@@ -70,6 +70,14 @@ def test_citation_context_and_render(spark):
         an.render("{missing}", query_str=F.lit("x"))
 
 
+def test_reference_block_of_cut_texts_is_the_same(spark):
+    hits = [(1, i, "biz", f"r{i}", text) for i, text in enumerate(["x" * n for n in (0, 900, 963, 964, 999, 1000, 1001, 5000)] + [None])]
+    df = spark.createDataFrame(hits, "q long, rank int, biz_name string, review_id string, text string").withColumn("score", F.lit(1.0))
+    cut = df.withColumn("text", an.reference_text("text"))
+    assert cut.filter("length(text) > 1000").count() == 0
+    assert an.reference_block(cut).first()["block"] == an.reference_block(df).first()["block"]
+
+
 def test_reference_block_truncation_and_order(spark):
     suffix = len(" (Review ID: <REVIEW_ID>r</REVIEW_ID>)")
     t999, t1000 = "a" * (999 - suffix), "b" * (1000 - suffix)

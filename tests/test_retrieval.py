@@ -61,6 +61,12 @@ def test_bm25_salted_path_equals_broadcast_path(spark):
     assert a == b
 
 
+def test_pruned_bm25_beyond_the_broadcast_bound(spark):
+    q = spark.createDataFrame([(10, "cat mat"), (11, "dogs park cats")], "q long, text string")
+    got, status = rt.bm25_topk_pruned(q, _docs(spark), k=5, max_broadcast_rows=0, with_status=True)
+    assert rows(got) == rows(rt.bm25_topk(q, _docs(spark), k=5)) and rows(status) == [(10, False), (11, False)]
+
+
 def test_query_equal_to_a_document_ranks_it_first(spark):
     docs = _docs(spark)
     q = spark.createDataFrame([(7, DOCS[3][1])], "q long, text string")
