@@ -229,9 +229,9 @@ def retrieval_errors(per_query: DataFrame, ranked: DataFrame, n_show: int = 10,
     ``expected`` (relevant nodes by id) and ``retrieved_texts`` (by rank), at
     most ``n_show`` of each, cut before texts are joined; an id without a node
     is left out. Only rows with an error meet texts."""
-    err = per_query.filter(F.col("hit_rate") < 1)
+    err = cut_lineage(per_query.filter(F.col("hit_rate") < 1))  # these rows are read several times
     shown = ranked.filter(F.col("rank") <= n_show).select(F.col("q").alias(q_col), F.col("rank").alias("_at"), F.col(id_col).alias("_id"))
-    shown = shown.join(err.select(q_col), q_col, "left_semi")
+    shown = cut_lineage(shown.join(err.select(q_col), q_col, "left_semi"))
 
     def in_order(df: DataFrame, what: str, name: str) -> DataFrame:
         got = F.array_sort(F.collect_list(F.struct("_at", F.col(what).alias("_v"))))

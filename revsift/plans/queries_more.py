@@ -241,8 +241,9 @@ def q_retrieval_errors(spark, d):
     bench, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
     dvec = hash_embed(docs, "doc_id", "text")
     qvec = hash_embed(_bench_queries(spark, d), "q", "text")
-    ranked = rt.dense_topk(qvec, dvec, k=rt.DENSE_TOP_K, id_col="doc_id").withColumnRenamed("doc_id", "id")
-    qrels = ev.passage_qrels(bench, docs).withColumnRenamed("doc", "id")
+    # queries x depth rows, and the few pairs: each is read several times
+    ranked = cut_lineage(rt.dense_topk(qvec, dvec, k=rt.DENSE_TOP_K, id_col="doc_id"))
+    qrels = cut_lineage(ev.passage_qrels(bench, docs).withColumnRenamed("doc", "id"))
     per_q = ev.retrieval_metrics(bench.select(F.col("item_id").alias("q")), ranked, qrels, k=rt.DENSE_TOP_K,
                                  id_col="id")
     err = ev.retrieval_errors(per_q, ranked, id_col="id", nodes=docs, qrels=qrels, node_id="doc_id")
