@@ -5,19 +5,26 @@ every path the method adds up the text length and the punctuation of its
 blocks, divides both by the number of blocks and links, smooths the two
 ratios over the paths in page order, fuses them (their product) and keeps
 the paths above a threshold: those name the content nodes. The article or main
-element that holds most of their text, if there is one, else the lowest
+element that holds most of their text, if there is one, with other such elements
+that hold at least a quarter as much, else the lowest
 container of all of them and of the headings over text, is the article, and all of its blocks are
 returned in page order, short ones too, but for those in elements that are
 never the article (menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments). Tag, role and a few plain names say so at once; other
+forms, reader comments). Tag, role and a few plain names say so at once. Names
+that consist of such words (a cookie banner, a related box) say it unless the
+element outweighs the rest of the page; other
 words of class and id only hint at it, and hold where the element is mostly
 links, has no sentence, or lies outside the article. Headings have no hints.
+
+Every step is linear in the page: paths are numbers of (parent path, step),
+open elements are found by tag, and sums go once from children to parents.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from statistics import pstdev
 
 import pyarrow as pa
@@ -33,6 +40,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp template".split
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
     figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre
     search section select summary table tbody td tfoot th thead tr ul""".split())
+# An open p does not end beyond one of these.
+P_SCOPE = ("td", "th", "button", "object", "caption", "table")
 # An open p ends where one of these starts.
 ENDS_P = BLOCK - frozenset("body caption dd dt head html legend li optgroup option tbody td tfoot th thead tr".split())
 # Start tag -> open elements that it ends, up to the nearest of the scope.
@@ -44,6 +53,8 @@ ENDS_SAME = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {
              "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 # Elements that are never part of the article.
 NEVER = frozenset("nav footer aside form button select menu dialog head search fieldset label svg annotation annotation-xml canvas object audio video".split())
+# Class and id words of elements that an article element can itself be.
+NOT_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement sponsored".split())
 # ARIA roles and words of class and id that mark such elements.
 NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner
@@ -53,9 +64,14 @@ NEVER_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising a
     widget widgets form search copyright skip""".split())
 # Those that say it alone, as a whole name or with words of layout; the others are hints.
 NAMED = frozenset("""ad ads adsbygoogle advert adverts advertisement sponsored sidebar comment comments commentlist disqus navbar
-    breadcrumb breadcrumbs masthead topbar pagination""".split())
+    breadcrumb breadcrumbs masthead topbar pagination cookie cookies gdpr""".split())
+# Those that say it in a class of such words (in an id, in a name of two or more), unless the element outweighs the rest.
+STRONG = frozenset("""consent notice popup modal overlay newsletter subscribe subscription signup promo promotion banner sponsor related
+    recommended widget widgets share sharing social replies respond""".split())
 LAYOUT = frozenset("""area bar bottom box block container content inner item items left list main page right section site slot
-    top unit wrapper article post story entry""".split())
+    top unit wrapper article post story entry articles posts stories links reading sticky fixed grid cards card wrap""".split())
+# An article element stands beside the heaviest one where it holds at least this share of its text.
+BESIDE = 0.25
 # A block with a sentence has at least so many characters outside links.
 SENTENCE = 40
 # Elements that name the article themselves.
@@ -73,17 +89,23 @@ _PUNCT = re.compile(r"[.,;:!?…。、，！？；]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "never", "article", "parent", "order", "header", "hint")
+    """An open element: ``path`` numbers its root-to-leaf tag path; ``block``,
+    ``named`` and ``hinted`` are the nearest block element, article element and
+    hinted block element around it (itself included)."""
+    __slots__ = ("tag", "path", "never", "article", "parent", "order", "header", "hint", "strong", "block", "named", "hinted")
 
-    def __init__(self, tag: str, parent, never: bool, article: bool, order: int, step: str, header: bool, hint: bool = False):
+    def __init__(self, tag: str, parent, never: bool, article: bool, order: int, path: int, header: bool, hint: bool = False,
+                 strong: bool = False):
         self.tag, self.parent, self.never, self.article, self.order, self.header = tag, parent, never, article, order, header
-        self.hint = hint
-        self.path = f"{parent.path}/{step}" if parent else step
+        self.path, self.hint, self.strong = path, hint, strong
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.named = self if article else parent.named if parent else None
+        self.hinted = self if hint and tag in BLOCK else parent.hinted if parent else None
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool, str]:
-    """(never content, a hint of that, names the article, path step) of a start tag."""
-    never, hint, article, step = tag in NEVER, False, tag in ARTICLE, tag
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool, bool, str]:
+    """(never content, a hint of that, a strong hint, names the article, path step) of a start tag."""
+    never, hint, strong, article, step = tag in NEVER, False, False, tag in ARTICLE, tag
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             name = (m[1] or m[3]).lower()
@@ -100,13 +122,16 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool, str]:
                         or words & {"comment", "comments", "sidebar", "sponsored", "related", "share"}):
                     names = [set(_WORDS.findall(x)) for x in value.split()]
                     never |= any(x & NAMED and x <= NEVER_WORDS | LAYOUT for x in names)
+                    strong |= any(x & STRONG and x <= NEVER_WORDS | LAYOUT and (name == "class" or len(x) > 1) for x in names)
                     hint = True
+                elif tag == "article" and words & NOT_ARTICLE:
+                    never |= any(x & NOT_ARTICLE and x <= NEVER_WORDS | LAYOUT for x in (set(_WORDS.findall(x)) for x in value.split()))
                 if name == "class":
                     step += "." + ".".join(sorted(words))
             elif name == "hidden" or name == "aria-hidden" and value == "true" or \
                     name == "style" and re.search(r"display\s*:\s*none", value):
                 never = True
-    return never, hint, article, step
+    return never, hint, strong, article, step
 
 
 def is_sentence(text: str, linked: int) -> bool:
@@ -118,8 +143,11 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
     """(text, innermost block element, characters in links) of every text
     block of a page in page order, white space as single spaces. Unclosed,
     misnested and cut-off markup is read as browsers do in the common cases."""
-    root = _Element("#root", None, False, False, 0, "", False)
+    root = _Element("#root", None, False, False, 0, 0, False)
     stack: list[_Element] = [root]
+    paths: dict[tuple[int, str], int] = {}
+    open_at: dict[str, list[int]] = {}  # places in the stack by tag
+    open_blocks = [0]
     blocks: list[tuple[str, _Element, int]] = []
     buffer: list[str] = []
     links = [0]
@@ -139,10 +167,9 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
             buffer.clear()
         links[0] = hints[0] = 0
 
-    def block_of(e: _Element) -> _Element:
-        while e.parent is not None and e.tag not in BLOCK:
-            e = e.parent
-        return e
+    def last(tags) -> int:
+        """Place of the innermost open element of these tags (0: none)."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     def pop_to(k: int) -> None:
         nonlocal open_links, hidden, hinted
@@ -150,9 +177,13 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
             open_links -= e.tag == "a"
             hidden -= e.never and e.tag not in BLOCK
             hinted -= e.hint and e.tag not in BLOCK
-        if any(e.tag in BLOCK for e in stack[k:]):
+        if open_blocks[-1] >= k:
             flush()
-        del stack[k:]
+        while len(stack) > k:
+            tag = stack.pop().tag
+            open_at[tag].pop()
+            if tag in BLOCK:
+                open_blocks.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -166,7 +197,7 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
             if hidden > 0:
                 continue
             if not buffer:
-                holder = block_of(stack[-1])
+                holder = stack[-1].block
             text = html.unescape(text) if "&" in text else text
             buffer.append(text)
             if open_links > 0:
@@ -179,15 +210,11 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
             if tag == "br":
                 buffer.append(" ")
                 continue
-            if tag == "p" and all(e.tag != "p" for e in stack):
+            k = last((tag,))
+            if k and (tag in BLOCK or k > open_blocks[-1]):  # an inline end tag does not close blocks
+                pop_to(k)
+            elif tag == "p":
                 flush()
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break  # an inline end tag does not close blocks
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -199,23 +226,16 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
             elif tag == "hr":
                 flush()
             continue
-        never, hint, article, step = _marks(tag, m[3])
+        never, hint, strong, article, step = _marks(tag, m[3])
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag in ("td", "th", "button", "object", "caption", "table"):
-                    break
+            k = last(("p",))
+            if k > last(P_SCOPE):
+                pop_to(k)
         if tag in ENDS_SAME:
             same, scope = ENDS_SAME[tag]
-            low = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in scope:
-                    break
-                if stack[k].tag in same:
-                    low = k
-            if low is not None:
+            edge = last(scope)
+            low = min((at_tag[j] for at_tag in map(open_at.get, same) if at_tag and (j := bisect_right(at_tag, edge)) < len(at_tag)), default=0)
+            if low:
                 pop_to(low)
         if tag in BLOCK:
             flush()
@@ -223,9 +243,13 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
         order += 1
         # the header of a page goes, that of an article keeps its headings
         header = parent.header or tag == "header"
-        if tag == "header" and not any(e.article for e in stack):
+        if tag == "header" and parent.named is None:
             never = True
-        e = _Element(tag, parent, never or parent.never, article, order, step, header, hint)
+        path = paths.setdefault((parent.path, step), len(paths) + 1)
+        e = _Element(tag, parent, never or parent.never, article, order, path, header, hint, strong)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            open_blocks.append(len(stack))
         stack.append(e)
         open_links += tag == "a"
         hinted += hint and tag not in BLOCK
@@ -234,9 +258,9 @@ def read_blocks(page: str) -> list[tuple[str, _Element, int]]:
     return blocks
 
 
-def path_scores(blocks: list[tuple[str, _Element, int]]) -> dict[str, float]:
+def path_scores(blocks: list[tuple[str, _Element, int]]) -> dict[int, float]:
     """Fused and smoothed text and punctuation ratios of every tag path."""
-    stats: dict[str, list[float]] = {}
+    stats: dict[int, list[float]] = {}
     for text, e, linked in blocks:
         s = stats.setdefault(e.path, [0, 0, 0, 0])
         s[0] += 1
@@ -270,27 +294,65 @@ def text_headings(blocks: list[tuple[str, _Element, int]]) -> list[_Element]:
     return out
 
 
-def _hinted(e: _Element) -> list[_Element]:
-    """The block elements with a hint that hold a block."""
-    out = []
-    while e is not None:
-        if e.hint and e.tag in BLOCK:
-            out.append(e)
-        e = e.parent
-    return out
+def _around(inner) -> list[_Element]:
+    """The given elements and all around them, parents first."""
+    seen: dict[int, _Element] = {}
+    for e in inner:
+        while e is not None and e.order not in seen:
+            seen[e.order] = e
+            e = e.parent
+    return [seen[k] for k in sorted(seen)]
+
+
+def _sums(own: list[tuple[_Element, int]]) -> tuple[dict[int, int], list[_Element]]:
+    """Sums under every element by its order, and the elements, parents first."""
+    sums: dict[int, int] = {}
+    for e, n in own:
+        sums[e.order] = sums.get(e.order, 0) + n
+    elements = _around(e for e, _ in own)
+    for e in reversed(elements):
+        if e.parent is not None:
+            sums[e.parent.order] = sums.get(e.parent.order, 0) + sums.get(e.order, 0)
+    return sums, elements
 
 
 def without_furniture(blocks: list[tuple[str, _Element, int]]) -> list[tuple[str, _Element, int]]:
-    """Blocks outside the elements whose hint their ratios confirm: mostly links, or no sentence."""
+    """Blocks outside the elements whose hint their ratios confirm: mostly
+    links, no sentence, or a strong hint on an element that is not most of the page:
+    it stands in or beside an article element with text of its own, or holds at most half of all text."""
+    hinted: dict[int, _Element] = {}
     stats: dict[int, list[int]] = {}
+    total = in_article = 0
     for text, e, linked in blocks:
-        for x in _hinted(e):
-            s = stats.setdefault(x.order, [0, 0, 0])
-            s[0] += len(text)
-            s[1] += linked
-            s[2] += is_sentence(text, linked)
-    drop = {k for k, (n, linked, sentences) in stats.items() if 2 * linked >= n or not sentences}
-    return [b for b in blocks if not any(x.order in drop for x in _hinted(b[1]))] if drop else blocks
+        total += len(text)
+        in_article += len(text) if e.named else 0
+        if e.hinted is not None:
+            s = stats.setdefault(e.hinted.order, [0, 0, 0, 0])
+            for i, n in enumerate((len(text), linked, is_sentence(text, linked), len(text) if e.named else 0)):
+                s[i] += n
+            x = e.hinted
+            while x is not None and x.order not in hinted:
+                hinted[x.order] = x
+                x = x.parent.hinted
+    for k in sorted(hinted, reverse=True):
+        up = hinted[k].parent.hinted
+        if up is not None:
+            s = stats.setdefault(up.order, [0, 0, 0, 0])
+            for i, n in enumerate(stats[k]):
+                s[i] += n
+
+    def outweighs(x: _Element, n: int, named: int) -> bool:
+        if x.parent.named is not None:
+            return named == in_article
+        return 2 * n > total and 2 * named >= in_article
+
+    drop = set()
+    for k in sorted(hinted):
+        x, (n, linked, sentences, named) = hinted[k], stats[k]
+        up = x.parent.hinted
+        if up is not None and up.order in drop or 2 * linked >= n or not sentences or x.strong and not outweighs(x, n, named):
+            drop.add(k)
+    return [b for b in blocks if b[1].hinted is None or b[1].hinted.order not in drop] if drop else blocks
 
 
 def main_text(page: str) -> tuple[str, int, int]:
@@ -303,45 +365,44 @@ def main_text(page: str) -> tuple[str, int, int]:
     floor = pstdev(scores.values()) * 0.5 if len(scores) > 1 else 0.0
     content = [b for b in usable if scores[b[1].path] >= floor and b[2] < 0.5 * len(b[0])] or usable
     # hinted text is part of the article only where the rest of the text puts it, unless it outweighs the rest
-    plain = [b for b in content if not _hinted(b[1])]
+    plain = [b for b in content if b[1].hinted is None]
     if 2 * sum(len(b[0]) for b in plain) >= sum(len(b[0]) for b in content):
-        content, voters = plain, [b for b in usable if not _hinted(b[1])]
+        content, voters = plain, [b for b in usable if b[1].hinted is None]
     else:
         voters = usable
     total = sum(len(b[0]) for b in content)
 
     # text of content under every element
-    weight: dict[int, int] = {}
-    element: dict[int, _Element] = {}
-    for text, e, _ in content:
-        while e is not None:
-            weight[e.order] = weight.get(e.order, 0) + len(text)
-            element[e.order] = e
-            e = e.parent
-    named = [e for e in element.values() if e.article and not e.never]
-    region = max(named, key=lambda e: (weight[e.order], -e.order), default=None)
-    if region is not None and weight[region.order] * 3 < total:
-        region = None  # a teaser in an article element is not the page's article
-    if region is None:  # the lowest container that holds all of the content and its headings
-        held: dict[int, int] = {}
+    weight, elements = _sums([(e, len(text)) for text, e, _ in content])
+    named = [e for e in elements if e.article and not e.never]
+    heaviest = max((weight[e.order] for e in named), default=0)
+    regions = {e.order for e in named if weight[e.order] >= BESIDE * heaviest}
+    outer: dict[int, _Element | None] = {}
+    for e in elements:  # the outermost of them around every element
+        outer[e.order] = (outer[e.parent.order] if e.parent else None) or (e if e.order in regions else None)
+    if 3 * sum(len(text) for text, e, _ in content if outer[e.order]) < total or not regions:
+        # no article element, or teasers in such elements; the lowest container that holds all of the content and its headings
         inner = [e for _, e, _ in content if not HEADING.fullmatch(e.tag)] + text_headings(voters) or [e for _, e, _ in content]
-        for e in inner:
-            while e is not None:
-                held[e.order] = held.get(e.order, 0) + 1
-                element[e.order] = e
-                e = e.parent
-        region = max((e for e in element.values() if held.get(e.order) == len(inner) and e.tag in CONTAINER), key=lambda e: e.order)
+        held, elements = _sums([(e, 1) for e in inner])
+        regions = {max(e.order for e in elements if held[e.order] == len(inner) and e.tag in CONTAINER)}
+    # a main element's text outside of its article elements, where these hold most of it, is held to its ratios
+    articles: dict[int, int] = {}
+    for text, e, _ in content:
+        if (x := outer[e.order]) is not None and e.named is not x:
+            articles[x.order] = articles.get(x.order, 0) + len(text)
+    loose = {e.order for e in named if e.order in regions and e.tag == "main" and 2 * articles.get(e.order, 0) >= weight[e.order]}
     taken = []
+    region: dict[int, _Element | None] = {}
+    for e in _around(e for _, e, _ in usable):
+        region[e.order] = (region[e.parent.order] if e.parent else None) or (e if e.order in regions else None)
     for text, e, linked in usable:
-        x = e
-        while x is not None and x is not region:
-            x = x.parent
+        x = region[e.order]
         if x is None:
             continue
-        if e.header and not region.header and not HEADING.fullmatch(e.tag):
+        if e.header and not x.header and not HEADING.fullmatch(e.tag):
             continue
-        if not region.article and scores[e.path] < floor and linked >= 0.5 * len(text):
-            continue  # link lists beside the text of a page without article elements
+        if (not x.article or x.order in loose and e.named is x) and scores[e.path] < floor and linked >= 0.5 * len(text):
+            continue  # link lists beside the text
         taken.append(text)
     return " ".join(taken), len(taken), len(blocks)
 

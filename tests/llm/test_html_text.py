@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from revsift.llm.html_text import extract_pages, main_text
 from revsift.llm.queries import op6_main_text
@@ -89,3 +90,33 @@ def test_edges(spark):
     assert [r["text"][:10] for r in got] == ["", "", "same words", "same words", LONG[:10], ""]
     assert got[4]["n_chars"] == len((LONG * 3000).strip())
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_notices_with_sentences_go():
+    said = "We use cookies on this site to show you what you like. Read on to agree with that."
+    for junk in ("<div class='cookie-banner'><p>{0}</p></div>", "<div id='cookie-notice'>{0}</div>", "<div class=related><p>{0}</p></div>",
+                 "<section class='related-posts'><p>{0}</p></section>", "<div class='newsletter'><p>{0}</p></div>", "<div class=notice>{0}</div>",
+                 "<div class='popup overlay'><p>{0}</p></div>", "<div class='promo-box'><p>{0}</p></div>", "<article class='comment'><p>{0}</p></article>"):
+        for times in (1, 20):
+            box = junk.format(" ".join([said] * times))
+            for page in (f"<body>{box}<article><h1>T</h1><p>{LONG}</p></article></body>", f"<body><main><h1>T</h1><p>{LONG}</p>{box}</main></body>",
+                         f"<article><h1>T</h1>{box}<p>{LONG}</p></article>"):
+                assert text(page) == "T " + LONG.strip(), page
+    # a wrapper around the whole page is not a notice
+    assert text(f"<div class='overlay'><article><h1>T</h1><p>{LONG}</p></article></div>") == "T " + LONG.strip()
+    assert text(f"<div class='page-banner widget'><div><h1>T</h1><p>{LONG}</p></div></div>") == "T " + LONG.strip()
+
+
+def test_several_articles_stay_together():
+    page = f"<body><nav>x</nav><article><h2>A</h2><p>{LONG * 2}</p></article><article><h2>B</h2><p>{LONG}</p></article><footer>f</footer></body>"
+    assert text(page) == f"A {LONG * 2}".strip() + f" B {LONG}".rstrip()
+    teaser = "<article><h3><a href=/1>Other story</a></h3><p>Read.</p></article>"
+    assert text(f"<body><article><h2>A</h2><p>{LONG}</p></article>{teaser}</body>") == f"A {LONG}".strip()
+
+
+def test_depth_costs_no_more_than_length():
+    for tags in ("<div>", "<div class=a>", "<div class=related>", "<b>", "<li>", "<p><table><td>", "<ul><li>"):
+        page = tags * 100_000 + f"<p>{LONG}</p><p>End.</p>"
+        began = time.monotonic()
+        assert text(page) == f"{LONG}End.", tags
+        assert time.monotonic() - began < 10, tags
