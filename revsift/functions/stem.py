@@ -1,5 +1,6 @@
 """An English suffix stemmer (Porter 1980, "An algorithm for suffix
-stripping"), applied to a *vocabulary* table, never per token occurrence.
+stripping") as one column expression, applied to a *vocabulary* table. No
+Python runs; every step is bound to a name once, so the expression stays small.
 
 Only words of ASCII letters a-z are stemmed; anything else (other scripts,
 digits) is returned unchanged.
@@ -7,10 +8,7 @@ digits) is returned unchanged.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values (suffix rules of the published algorithm) ---------------------
@@ -24,114 +22,109 @@ STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment
          "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 # ----------------------------------------------------------------------------------
 
-_WORD = re.compile(r"^[a-z]+$")
-
-
-def _cons_flags(w: str) -> list:
-    """Whether each letter is a consonant; a y is one at the start or after a
-    vowel. One forward pass, so runs of any length are fine."""
-    flags = []
-    for c in w:
-        flags.append((not flags or not flags[-1]) if c == "y" else c not in "aeiou")
-    return flags
-
-
-def _measure(stem: str) -> int:
-    """m in [C](VC)^m[V]."""
-    m, prev_vowel = 0, False
-    for cons in _cons_flags(stem):
-        if cons and prev_vowel:
-            m += 1
-        prev_vowel = not cons
-    return m
-
-
-def _has_vowel(stem: str) -> bool:
-    return not all(_cons_flags(stem))
-
-
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _cons_flags(w)[-1]
-
-
-def _cvc(w: str) -> bool:
-    return len(w) >= 3 and _cons_flags(w)[-3:] == [True, False, True] and w[-1] not in "wxy"
-
-
-def _replace(w: str, rules, min_m: int) -> str:
-    for suf, rep in rules:
-        if w.endswith(suf):
-            stem = w[: len(w) - len(suf)]
-            return stem + rep if _measure(stem) > min_m else w
-    return w
-
-
-def porter(word: str) -> str:
-    if word is None or len(word) <= 2 or not _WORD.match(word):
-        return word
-    w = word
-    # step 1a
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
-        w = w[:-1]
-    # step 1b
-    extra = False
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    elif w.endswith("ed") and _has_vowel(w[:-2]):
-        w, extra = w[:-2], True
-    elif w.endswith("ing") and _has_vowel(w[:-3]):
-        w, extra = w[:-3], True
-    if extra:
-        if w.endswith(("at", "bl", "iz")):
-            w += "e"
-        elif _double_cons(w) and w[-1] not in "lsz":
-            w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
-            w += "e"
-    # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    # steps 2 and 3
-    w = _replace(w, STEP2, 0)
-    w = _replace(w, STEP3, 0)
-    # step 4
-    for suf in sorted(STEP4, key=len, reverse=True):
-        if w.endswith(suf):
-            stem = w[: len(w) - len(suf)]
-            if _measure(stem) > 1 and (suf != "ion" or stem.endswith(("s", "t"))):
-                w = stem
-            break
-    # step 5a
-    if w.endswith("e"):
-        stem = w[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            w = stem
-    # step 5b
-    if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):
-        w = w[:-1]
-    return w
-
-
-def _stem_series(words: pd.Series) -> pd.Series:
-    return words.map(porter)
-
-
-def porter_udf():
-    """Vectorised (Arrow) UDF over a column of words, built on demand so the
-    module imports without a Spark context (as on Python workers)."""
-    return F.pandas_udf(_stem_series, "string")
+
+def shape(w: Column) -> Column:
+    """Every letter of a word as c (consonant) or v (vowel). A y is a consonant
+    at the start or after a vowel: first a y after a plain consonant becomes a
+    vowel, then every second y of the runs that remain."""
+    plain = F.replace(F.regexp_replace(w, "([^aeiouy])y", "$1i"), F.lit("yy"), F.lit("yi"))
+    return F.translate(plain, "abcdefghijklmnopqrstuvwxyz", "vcccvcccvcccccvcccccvccccc")
+
+
+# The measure m of [C](VC)^m[V] counts changes from vowel to consonant.
+def _over_0(s: Column) -> Column:
+    return s.contains("vc")
+
+
+def _over_1(s: Column) -> Column:
+    return s.rlike("vc+v+c")
+
+
+def _double(w: Column, s: Column) -> Column:
+    """Ends in a double consonant."""
+    return (F.length(w) >= 2) & (F.right(w, F.lit(1)) == F.substring(F.right(w, F.lit(2)), 1, 1)) & s.endswith("c")
+
+
+def _cvc(w: Column, s: Column) -> Column:
+    """Ends consonant, vowel, consonant other than w, x, y."""
+    return s.endswith("cvc") & ~w.rlike("[wxy]$")
+
+
+def _cut(x: Column, n) -> Column:
+    """The text without its last n letters."""
+    return F.left(x, F.length(x) - n)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _step(w: Column, body) -> Column:
+    """``body`` of a word and its shape."""
+    return _let(w, lambda x: _let(shape(x), lambda s: body(x, s)))
+
+
+def _plural(w: Column) -> Column:
+    return (F.when(w.endswith("sses") | w.endswith("ies"), _cut(w, 2))
+            .when(w.endswith("s") & ~w.endswith("ss"), _cut(w, 1)).otherwise(w))
+
+
+def _past(w: Column, s: Column) -> Column:
+    """-eed, -ed and -ing; what the last two leave is mended."""
+    return (F.when(w.endswith("eed"), F.when(_over_0(_cut(s, 3)), _cut(w, 1)).otherwise(w))
+            .when(w.endswith("ed") & _cut(s, 2).contains("v"), _let(_cut(w, 2), lambda t: _mended(t, _cut(s, 2))))
+            .when(w.endswith("ing") & _cut(s, 3).contains("v"), _let(_cut(w, 3), lambda t: _mended(t, _cut(s, 3))))
+            .otherwise(w))
+
+
+def _mended(w: Column, s: Column) -> Column:
+    return (F.when(w.rlike("(at|bl|iz)$"), F.concat(w, F.lit("e")))
+            .when(_double(w, s) & ~w.rlike("[lsz]$"), _cut(w, 1))
+            .when(_over_0(s) & ~_over_1(s) & _cvc(w, s), F.concat(w, F.lit("e"))).otherwise(w))
+
+
+def _last_y(w: Column, s: Column) -> Column:
+    return F.when(w.endswith("y") & _cut(s, 1).contains("v"), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _suffixes(suffixes, rewrite):
+    """A step: the longest of the suffixes is replaced as ``rewrite(stem, shape
+    of the stem, suffix)`` says (null: the word stays)."""
+    pattern = "(" + "|".join(suffixes) + ")$"
+
+    def step(w: Column, s: Column) -> Column:
+        return _let(F.regexp_extract(w, pattern, 1), lambda f: F.when(
+            f != "", F.coalesce(rewrite(_cut(w, F.length(f)), _cut(s, F.length(f)), f), w)).otherwise(w))
+    return step
+
+
+def _replaced(rules):
+    """A step: a suffix gives way to another where its stem has a measure."""
+    ending = F.create_map(*[F.lit(x) for rule in rules for x in rule])
+    return _suffixes([a for a, _ in rules], lambda stem, s, f: F.when(_over_0(s), F.concat(stem, F.element_at(ending, f))))
+
+
+def _last_e(w: Column, s: Column) -> Column:
+    left = _cut(s, 1)
+    return F.when(w.endswith("e") & (_over_1(left) | _over_0(left) & ~_cvc(_cut(w, 1), left)), _cut(w, 1)).otherwise(w)
+
+
+def _last_l(w: Column, s: Column) -> Column:
+    return F.when(w.endswith("ll") & _over_1(s), _cut(w, 1)).otherwise(w)
+
+
+def stem(word: Column) -> Column:
+    """The stem of a word of more than two letters a-z; other texts as they are."""
+    dropped = _suffixes(STEP4, lambda t, s, f: F.when(_over_1(s) & ((f != "ion") | t.rlike("[st]$")), t))
+    w = _let(word, _plural)
+    for step in (_past, _last_y, _replaced(STEP2), _replaced(STEP3), dropped, _last_e, _last_l):
+        w = _step(w, step)
+    return F.when((F.length(word) > 2) & word.rlike("^[a-z]+$"), w).otherwise(word)
 
 
 def stem_vocabulary(terms: DataFrame, term_col: str = "term") -> DataFrame:
-    """(term, stem) for the distinct terms: Python runs once per distinct
-    word (Arrow batches), not once per occurrence."""
+    """(term, stem) for the distinct terms that are not null: the stemmer runs
+    once per distinct word, not once per occurrence."""
     vocab = terms.select(term_col).distinct().filter(F.col(term_col).isNotNull())
-    return vocab.select(term_col, porter_udf()(F.col(term_col)).alias("stem"))
+    return vocab.select(term_col, stem(F.col(term_col)).alias("stem"))

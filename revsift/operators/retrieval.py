@@ -110,8 +110,8 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     postings = bm25_postings(docs, id_col, text_col, corpus=corpus)
     if stem:
         from ..functions.stem import stem_vocabulary
-        # tokenise once and run the Python stemmer once (over distinct words):
-        # both inputs of the re-keying are materialised first
+        # tokenise once and stem the distinct words once: both inputs of the
+        # re-keying are materialised first
         base = cut_lineage(postings) if materialise and corpus is None else postings
         vocab = stem_vocabulary(base.filter(F.col("term").isNotNull()))
         vocab = cut_lineage(vocab) if materialise else vocab

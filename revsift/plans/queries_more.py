@@ -407,8 +407,7 @@ def q_examples_from_pairs(spark, d):
 
 
 def q_bm25_stemmed(spark, d):
-    """BM25 top-k with the vocabulary stemmer (no SQL twin: checked
-    against a brute-force Python BM25 on a fixture in the tests)."""
+    """BM25 top-k with the vocabulary stemmer."""
     out = rt.bm25_topk(_bench_queries(spark, d), _t(spark, d, "documents"), k=rt.SPARSE_TOP_K, stem=True)
     return out.select(F.col("q").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 

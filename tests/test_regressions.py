@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from revsift.functions.stem import porter
+from tests.porter_plain import porter
 from revsift.functions.text import to_number
 from revsift.operators import evaluate as ev
 from revsift.operators import prepare as pp

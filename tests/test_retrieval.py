@@ -178,7 +178,8 @@ def test_overlap_rerank_and_normalize(spark):
 
 
 def test_porter_stemmer_and_stemmed_bm25(spark):
-    from revsift.functions.stem import porter, stem_vocabulary
+    from revsift.functions.stem import stem_vocabulary
+    from tests.porter_plain import porter
     cases = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre",
              "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi",
              "relational": "relat", "conditional": "condit", "generalization": "gener", "adjustment": "adjust",
@@ -246,7 +247,7 @@ def test_persisted_index_auto_prunes_exactly(spark, tmp_path):
 
 
 def test_stemmed_bm25_matches_brute_force(spark):
-    from revsift.functions.stem import porter
+    from tests.porter_plain import porter
     from revsift.functions.text import STOP_WORDS
     docs = DOCS + [(6, "Running runners ran; the cats are running.")]
     queries = [(20, "running cat"), (21, "runs"), (22, "the")]
@@ -254,3 +255,27 @@ def test_stemmed_bm25_matches_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.q, r.doc): r.score for r in rt.bm25_topk(q, d, k=50, stem=True).collect()}
     assert got == _bm25_reference(queries, docs, stop=STOP_WORDS, stem=porter)
+
+
+def test_stemmer_columns_match_word_by_word(spark):
+    import random
+    from revsift.functions.stem import STEP2, STEP3, STEP4, stem_vocabulary
+    from tests.porter_plain import porter
+    rng = random.Random(3)
+    ends = [a for a, _ in STEP2 + STEP3] + list(STEP4) + ["s", "es", "sses", "ies", "ed", "eed", "ing", "y", "e", "ll", "ly", ""]
+    words = {"".join(rng.choices("aeiouybcdlstwxz", k=rng.randint(0, 7))) + rng.choice(ends) + rng.choice(ends) for _ in range(20000)}
+    words |= {"y" * k for k in range(1, 9)} | {"by" + "y" * k + "ing" for k in range(4)} | {"", "Ünïcode", "x1s", "is", "falling", "a" * 100_000 + "tional"}
+    v = stem_vocabulary(spark.createDataFrame([(w,) for w in sorted(words)] + [(None,), ("is",)], "word string"), "word")
+    got = {r["word"]: r["stem"] for r in v.collect()}
+    assert got == {w: porter(w) for w in words}
+    assert "Python" not in v._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stem_twin_matches_word_by_word():
+    import duckdb
+    from revsift.plans.oracle_stem import stem_ctes
+    from tests.porter_plain import porter
+    words = ["caresses", "ponies", "feed", "agreed", "hopping", "filing", "sky", "syzygy", "relational", "adoption", "controll", "é", "is", "byyying"]
+    src = " UNION ALL ".join(f"SELECT '{w}' AS term" for w in words)
+    got = dict(duckdb.sql(f"WITH {stem_ctes(src)} SELECT term, stem FROM stems").fetchall())
+    assert got == {w: porter(w) for w in words}
