@@ -57,3 +57,10 @@ def token_bucket(tok: Column, dim: int) -> Column:
 def token_sign(tok: Column) -> Column:
     """+1 when the 9th md5 hex digit is even, else -1."""
     return F.when(F.pmod(hex_int(tok, 9, 1), F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(-1))
+
+
+def signed_bucket(digest: Column, dim: int) -> Column:
+    """``2 * token_bucket``, plus 1 where ``token_sign`` is -1, from a token's md5."""
+    def part(start, n):
+        return F.conv(F.substring(digest, start, n), 16, 10).cast("bigint")
+    return (F.pmod(part(1, 8), F.lit(dim)) * 2 + F.pmod(part(9, 1), F.lit(2))).cast("int")

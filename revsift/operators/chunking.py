@@ -1,22 +1,19 @@
 """Corpus building: sentence windows (W1), semantic chunks (R2, W2, W3, A11),
 fixed token chunks (R3) and the index build (R5).
 
-Sentence windows and fixed chunks are per-row array expressions: a document
-is one row, so they need no shuffle at all. Semantic chunking aggregates
-per (document, ...) keys; the documents are hash-partitioned by id once, and
-every later aggregation, join and window is keyed by a superset of the id,
-so Spark reuses that partitioning instead of shuffling again.
+All of them are per-row array expressions: a document is one row, so they
+need no shuffle at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import token_bucket, token_sign
+from ..functions.hashing import signed_bucket
 from ..functions.text import sentences, tokens
 from ..sources.io import VectorTable, build_or_load
-from .distributed import cut_lineage
+from .distributed import cut_lineage, spread
 from .embed import DEFAULT_DIM, hash_embed
 
 FIXED_SIZE = 512
@@ -47,14 +44,17 @@ def sentence_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return d.select("doc", F.posexplode(wins).alias("i", "window_text"))
 
 
-def _add3(a, b, c, dim: int):
-    zero = F.array_repeat(F.lit(0).cast("bigint"), dim)
-    a, b, c = F.coalesce(a, zero), F.coalesce(b, zero), F.coalesce(c, zero)
-    return F.zip_with(F.zip_with(a, b, lambda x, y: x + y), c, lambda x, y: x + y)
+def _net(codes: Column, bucket: Column) -> Column:
+    """Signed count of a bucket among signed bucket codes (null codes: 0)."""
+    return F.coalesce(F.size(F.array_remove(codes, bucket * 2 + 1)) - F.size(F.array_remove(codes, bucket * 2)), F.lit(0))
 
 
-def _idot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+def _dots(ahead: int) -> Column:
+    """Dot product of every sentence's counts with those of the sentence ``ahead`` of it (0 beyond the last)."""
+    def dot(entries, i):
+        other = F.get(F.col("_codes"), i + ahead)
+        return F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, x: acc + x["c"] * _net(other, x["bucket"]))
+    return F.transform(F.col("_counts"), dot)
 
 
 def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -68,46 +68,48 @@ def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold = exact linear 95th percentile of d over the document; cut
     after i when d_i > threshold; a chunk is its sentences joined by a space.
 
-    Plan: documents are hash-partitioned by id once. One aggregation builds
-    each sentence's D-slot count vector; everything after that is one
-    window (partitioned by document, ordered by sentence) for the group sums,
-    neighbour distances, per-document threshold and the running cut count,
-    and a final per-chunk aggregation. Every group is one document, which is
-    bounded by the document's length.
+    One row expression, no shuffle on split input: a sentence is a list of
+    signed bucket codes and at most ``dim`` (bucket, count) entries; the dot
+    products of sentences up to three apart give those of neighbouring
+    groups. The work of a document grows with its length. A row's chunks do
+    not depend on other rows; null or empty text has none.
     """
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
-    base = base.repartition(partitions, "doc") if partitions else base.repartition("doc")
-    S = sentence_rows(base, "doc", "_text")
-    tok = (S.select("doc", "i", F.explode_outer(tokens("s")).alias("_tok")).filter(F.col("_tok").isNotNull())
-            .select("doc", "i", token_bucket(F.col("_tok"), dim).alias("bucket"),
-                    token_sign(F.col("_tok")).alias("sign")))
-    sv = (tok.groupBy("doc", "i", "bucket").agg(F.sum("sign").alias("c"))
-             .groupBy("doc", "i").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("_m")))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda b: F.coalesce(F.element_at(F.col("_m"), b), F.lit(0).cast("bigint")))
-    sent = S.join(sv, ["doc", "i"], "left").select("doc", "n", "i", "s", vec.alias("v"))
-    w = Window.partitionBy("doc").orderBy("i")
-    g = sent.select("doc", "n", "i", "s",
-                    _add3(F.lag("v", 1).over(w), F.col("v"), F.lead("v", 1).over(w), dim).alias("g_here"))
-    g = g.withColumn("nl", _idot(F.col("g_here"), F.col("g_here")))
-    # group i+1 and its squared norm are the next row's (same window, no
-    # recomputation); they exist only when i < n-1
-    g = g.withColumn("g_next", F.lead("g_here", 1).over(w)).withColumn("nr", F.lead("nl", 1).over(w))
-    nl, nr = F.col("nl"), F.col("nr")
-    cos = F.when((nl > 0) & (nr > 0),
-                 _idot(F.col("g_here"), F.col("g_next")).cast("double")
-                 / (F.sqrt(nl.cast("double")) * F.sqrt(nr.cast("double")))).otherwise(F.lit(0.0))
-    d = g.select("doc", "i", "s", F.when(F.col("i") < F.col("n") - 1, F.round(F.lit(1.0) - cos, 9)).alias("d"))
-    wd = Window.partitionBy("doc")
-    d = d.withColumn("thr", F.percentile(F.col("d"), F.lit(pct)).over(wd))
-    cut_before = F.coalesce((F.lag("d", 1).over(w) > F.lag("thr", 1).over(w)).cast("int"), F.lit(0))
-    lab = d.withColumn("_cut", cut_before).withColumn(
-        "chunk_no", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    chunks = lab.groupBy("doc", "chunk_no").agg(
-        F.count(F.lit(1)).alias("n_sentences"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ")
-         .alias("text"))
-    return chunks.select("doc", F.col("chunk_no").cast("int").alias("chunk_no"), "n_sentences", "text")
+    base = base.repartition(partitions, "doc") if partitions else spread(base, ["doc"])
+    d = base.select("doc", sentences("_text").alias("_s")).select("doc", "_s", F.transform("_s", lambda s: F.transform(
+        F.transform(tokens(s), lambda t: F.md5(t)), lambda h: signed_bucket(h, dim))).alias("_codes"))
+    d = d.withColumn("_counts", F.transform("_codes", lambda c: F.transform(
+        F.array_distinct(F.transform(c, lambda x: F.shiftright(x, 1))),
+        lambda k: F.struct(k.alias("bucket"), _net(c, k).alias("c")))))
+    d = d.select("doc", "_s", *[_dots(k).alias(f"_d{k}") for k in range(4)])
+
+    def at(k, i):
+        return F.coalesce(F.get(F.col(f"_d{k}"), i), F.lit(0).cast("bigint"))
+
+    def norm(i):
+        return at(0, i - 1) + at(0, i) + at(0, i + 1) + 2 * (at(1, i - 1) + at(1, i) + at(2, i - 1))
+
+    def distance(i):
+        here, ahead = norm(i), norm(i + 1)
+        both = (at(1, i - 1) + at(2, i - 1) + at(3, i - 1) + at(0, i) + 2 * at(1, i) + at(2, i) + at(0, i + 1) + at(1, i + 1))
+        cos = F.when((here > 0) & (ahead > 0), both.cast("double") / (F.sqrt(here.cast("double")) * F.sqrt(ahead.cast("double"))))
+        return F.round(F.lit(1.0) - F.coalesce(cos, F.lit(0.0)), 9)
+
+    n = F.size("_s")
+    d = d.select("doc", "_s", F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), distance))
+                               .otherwise(F.array().cast("array<double>")).alias("_d"))
+    # the percentile at place pct * (size - 1) of the sorted distances, between its two neighbours
+    d = d.select("doc", "_s", "_d", F.array_sort("_d").alias("_sorted"), (F.lit(pct) * (F.size("_d") - 1)).alias("_at"))
+    low, high = F.get("_sorted", F.floor("_at").cast("int")), F.get("_sorted", F.ceil("_at").cast("int"))
+    d = d.select("doc", "_s", "_d", F.when(low == high, low).otherwise(
+        (F.ceil("_at") - F.col("_at")) * low + (F.col("_at") - F.floor("_at")) * high).alias("_thr"))
+    d = d.select("doc", "_s", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (
+        F.get(F.col("_d"), i - 1) > F.col("_thr")))).alias("_starts"))
+    sizes = F.transform("_starts", lambda a, j: F.struct(a.alias("a"), (F.coalesce(F.get(F.col("_starts"), j + 1), n) - a).alias("k")))
+    # posexplode_outer: a non-empty filter inferred from the explode would repeat all of this below it
+    return (d.select("doc", "_s", F.posexplode_outer(sizes).alias("chunk_no", "_c")).filter(F.col("chunk_no").isNotNull())
+            .select("doc", "chunk_no", F.col("_c.k").cast("bigint").alias("n_sentences"),
+                    F.array_join(F.slice(F.col("_s"), F.col("_c.a") + 1, F.col("_c.k")), " ").alias("text")))
 
 
 def fixed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

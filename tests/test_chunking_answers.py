@@ -105,3 +105,50 @@ def test_pair_turns(spark):
     assert rows(pairs, "turn", "user_text", "reply_text") == [(1, "u1", None), (2, "u2", "a2"), (4, "u3", None)]
     msgs = rows(an.pairs_to_messages(pairs), "turn", "k", "role", "text")
     assert msgs == [(1, 0, "user", "u1"), (2, 0, "user", "u2"), (2, 1, "assistant", "a2"), (4, 0, "user", "u3")]
+
+
+def test_semantic_chunks_rows_stand_alone(spark):
+    """Repeated ids, null texts, one sentence, sentences without words, a very
+    long sentence: every row is cut for itself, as plain Python cuts it."""
+    import hashlib
+    import math
+    import random
+    import re
+    from revsift.functions.text import SENTENCE_PATTERN, TOKEN_PATTERN
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(" ".join(rng.choices(vocab[k:k + 12], k=rng.randint(1, 9))) + rng.choice(".!?") for k in rng.choices(range(28), k=m))
+             for m in (1, 2, 3, 4, 30, 60)]
+    texts += ["", None, "One.", "... !!! ???", " ".join(rng.choices(vocab, k=30000)) + ". Then two. And three.", texts[4]]
+    df = spark.createDataFrame([(i % 7, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, doc string")
+
+    def plain(text):
+        sents = [x for x in (s.strip(" ") for s in re.findall(SENTENCE_PATTERN, text or "")) if x]
+        vecs = []
+        for s in sents:
+            v = [0] * 64
+            for t in re.findall(TOKEN_PATTERN.replace(r"\p{L}\p{N}", r"a-z0-9"), s.lower()):
+                h = hashlib.md5(t.encode()).hexdigest()
+                v[int(h[:8], 16) % 64] += 1 - 2 * (int(h[8], 16) % 2)
+            vecs.append(v)
+        groups = [[sum(x) for x in zip(*vecs[max(0, i - 1):i + 2])] for i in range(len(vecs))]
+        dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+        d = []
+        for a, b in zip(groups, groups[1:]):
+            na, nb = dot(a, a), dot(b, b)
+            d.append(round(1 - (dot(a, b) / (math.sqrt(na) * math.sqrt(nb)) if na and nb else 0.0), 9))
+        place = 0.95 * (len(d) - 1)
+        o = sorted(d)
+        thr = None if not d else o[int(place)] if o[int(place)] == o[math.ceil(place)] else (
+            (math.ceil(place) - place) * o[int(place)] + (place - int(place)) * o[math.ceil(place)])
+        out = []
+        for i, s in enumerate(sents):
+            if i == 0 or d[i - 1] > thr:
+                out.append([])
+            out[-1].append(s)
+        return [(k, len(c), " ".join(c)) for k, c in enumerate(out)]
+
+    want = sorted((i % 7, *c) for i, t in enumerate(texts) for c in plain(t))
+    got = sorted((r["doc"], r["chunk_no"], r["n_sentences"], r["text"]) for r in ch.semantic_chunks(df).collect())
+    assert got == want and max(c[1] for c in want) >= 2
+    assert ch.semantic_chunks(df.limit(0)).count() == 0

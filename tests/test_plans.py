@@ -48,9 +48,12 @@ def test_corpus_postings_shuffle_once(spark):
     assert exchanges(p) == 1  # the spread by document; the aggregation reuses it
 
 
-def test_semantic_chunks_few_exchanges(spark):
+def test_semantic_chunks_do_not_shuffle_split_input(spark):
     p = plan_of(ch.semantic_chunks(_docs(spark)))
-    assert exchanges(p) <= 3
+    assert exchanges(p) <= 1  # one coarse file: its documents are spread once
+    docs = spark.range(64, numPartitions=64).selectExpr("id AS doc_id", "concat('Text ', id, '. More of it.') AS text")
+    p = plan_of(ch.semantic_chunks(docs))
+    assert exchanges(p) == 0 and "Window" not in p and p.count("regexp_extract_all") <= 3
 
 
 def test_join_m1_check_costs_no_extra_shuffle(spark):
