@@ -22,7 +22,7 @@ from pyspark.sql.types import (BooleanType, DoubleType, IntegerType, LongType, S
 from .common import id_text, map_batches
 from .words import GOLD, _chunk, mix64, text_bytes, word_hashes
 
-# Rows on which the scorer is fitted, at most (about; chosen by a hash of id and text).
+# Distinct rows on which the scorer is fitted, about (chosen by a hash of id and text).
 FIT_ROWS = 4096
 # Hash buckets of word features and of shape features.
 DIM = 1 << 13
@@ -255,22 +255,26 @@ def fit_scorer(rows: np.ndarray, places: np.ndarray, shares: np.ndarray, labels:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[LabelModel, Scorer]:
     """Vote counts over all rows of ``docs`` (``doc_id``, ``text``), posteriors
     by expectation maximisation, and a scorer fitted on about ``fit_rows``
-    rows. To the driver come the pattern counts (at most 3^9) and the hashed
-    features of the sample (at most 2 * DIM numbers a row)."""
+    distinct rows (a row that occurs more than once is one of them). To the
+    driver come the pattern counts (at most 3^9) and the hashed features of
+    the sample (at most 2 * DIM numbers a row). Neither depends on the order
+    in which rows arrive."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+
     def count(batches):
         for b in batches:
             s, *_ = read_texts(b.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(pattern_codes(votes(s)))], names=["code"])
+            yield pa.RecordBatch.from_arrays([pa.array(pattern_codes(votes(s))), b.column("key")], names=["code", "key"])
 
-    patterns = map_batches(docs.select("text"), count, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    # equal rows have equal patterns, so the distinct rows of the patterns add up
+    patterns = map_batches(docs.select("text", key.alias("key")), count, "code long, key long").groupBy("code").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("distinct")).toPandas()
     codes, n = patterns["code"].to_numpy(np.int64), patterns["n"].to_numpy(np.float64)
     order = np.argsort(codes)
     codes, n = codes[order], n[order]
     labels = fit_labels(pattern_votes(codes, len(LABELLERS)), n)
-    total = float(n.sum())
-    share = min(1.0, fit_rows / max(total, 1.0))
-    picked = docs.filter(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1 << 30))
-                         < F.lit(int(share * (1 << 30)))).limit(2 * fit_rows)
+    share = min(1.0, fit_rows / max(float(patterns["distinct"].sum()), 1.0))
+    picked = docs.filter(F.pmod(key, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).dropDuplicates(["doc_id", "text"])
 
     def features(batches):
         for b in batches:

@@ -1,7 +1,11 @@
 """Operator 4: held-out accuracy, expectation maximisation, edges."""
 
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from revsift.llm.quality import (ABSTAIN, BAD, DIM, GOOD, LABELLERS, classify_documents, fit, fit_labels, fit_scorer, keep_good,
                                  pattern_codes, pattern_votes, read_texts, votes)
@@ -89,3 +93,76 @@ def test_edges(spark):
     kept = classify_documents(df).filter("kept").count()
     assert keep_good(df).count() == kept
     assert classify_documents(df.limit(0)).count() == 0 and keep_good(df.limit(0)).count() == 0
+
+
+def plain_votes(text):
+    """The heuristics word by word."""
+    b = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", b)
+    n = len(words)
+
+    def count(cls):
+        return len(re.findall(cls, b))
+
+    def vote(bad, good=False):
+        return 0 if bad else 1 if good else 2
+
+    letters, stops = count(rb"[A-Za-z\x80-\xff]"), count(rb"[.!?:;]")
+    low = [w.lower() for w in words]
+    repeats = sum(x == y for x, y in zip(low, low[1:]))
+    bare = sum(not re.search(rb"[A-Za-z\x80-\xff]", w) for w in words)
+    plain = sum(re.fullmatch(rb"[A-Z]*[a-z\x80-\xff]+(\.+|,+|;+|:+|\?+|!+)?", w) is not None for w in words) / max(n, 1)
+    per_stop, mean, usual = n / max(stops, 1), letters / max(n, 1), 2 * math.sqrt(n)
+    return n, [
+        vote(n >= 5 and count(rb"[#$%&*@^~|<>{}\[\]=_\\+`]") / max(len(b), 1) > 0.04),
+        vote(n >= 5 and count(rb"[A-Z]") / max(count(rb"[A-Za-z]"), 1) > 0.4),
+        vote(repeats >= 4 and repeats / max(n - 1, 1) > 0.15),
+        vote(bare >= 8 and bare / max(n, 1) > 0.3),
+        vote(n >= 5 and count(rb"!") / max(n, 1) > 0.15),
+        vote(n >= 20 and len(set(low)) < usual / 2, n >= 20 and len(set(low)) > usual),
+        vote(n >= 20 and per_stop > 100, n >= 20 and 1.5 < per_stop < 40),
+        vote(n >= 5 and (mean < 1.5 or mean > 25), n >= 5 and 2.5 < mean < 15),
+        vote(n >= 5 and plain < 0.6, n >= 5 and plain > 0.85)]
+
+
+def test_whole_result_against_plain_python(spark):
+    """Votes, posteriors and scores of every document, one text at a time; only
+    the hash of a word and the fitted weights are the operator's."""
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = df.select("doc_id", "text").collect()
+    got = rows_by(op4_quality(spark, SMALL))
+    read = {r["doc_id"]: plain_votes(r["text"]) for r in rows}
+
+    # expectation maximisation, row by row in place of counts of patterns
+    v = [x[1] for x in read.values()]
+    q = [0.02 if 0 in x else 0.98 for x in v]
+    for _ in range(100):
+        table = [[[(sum(w for x, w in zip(v, ws) if x[j] == k) + 0.5) / (sum(ws) + 1.5) for k in range(3)]
+                  for ws in ([1 - a for a in q], q)] for j in range(len(LABELLERS))]
+        good = min(0.99, max(0.01, (sum(q) + 1) / (len(q) + 2)))
+        new = []
+        for x in v:
+            z = math.log(1 - good) - math.log(good) + sum(math.log(table[j][0][k]) - math.log(table[j][1][k]) for j, k in enumerate(x) if k < 2)
+            new.append(1 / (1 + math.exp(min(700, max(-700, z)))))
+        stop = max(abs(a - b) for a, b in zip(new, q)) < 1e-6
+        if stop:
+            break
+        q = new
+    _, scorer = fit(id_text(df, "doc_id", "text"))
+    for (i, (n, x)), posterior in zip(read.items(), new):
+        r = got[i]
+        assert (r["n_words"], r["n_votes"], r["n_bad"], r["pattern"]) == (n, sum(k < 2 for k in x), x.count(0), "".join(map(str, x)))
+        assert r["posterior"] == pytest.approx(posterior, abs=1e-6)
+    for r in rows:
+        _, words, shapes, _ = read_texts(pa.array([r["text"] or ""]))
+        z = scorer.constant + sum(scorer.weights[a] + scorer.weights[DIM + b] for a, b in zip(words, shapes)) / (len(words) + 5)
+        score = 1 / (1 + math.exp(-z))
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-9) and got[r["doc_id"]]["kept"] == (got[r["doc_id"]]["score"] >= 0.3)
+
+
+def test_repeated_rows_do_not_move_the_fit(spark):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    few = df.orderBy("doc_id").limit(7)
+    many = few.crossJoin(spark.range(3000)).drop("id")
+    a, b = fit(many, 64), fit(many.repartition(5), 64)
+    assert np.array_equal(a[1].weights, b[1].weights) and np.array_equal(a[1].weights != 0, fit(few, 64)[1].weights != 0)
