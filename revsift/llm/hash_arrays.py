@@ -1,12 +1,12 @@
 """Sorted hash arrays in shared files, memory-mapped by workers.
 
-A table maps 64-bit hashes to rows of small numbers. It is cut into buckets
-by the hash's size (bucket = hash * buckets / 2^64), one file for each
-bucket; inside, the hashes are sorted and kept as 48 bits of their place in
-the bucket: an index by the upper 16, the lower 32 as an array. Numbers are
-single bytes; those of 255 and more are listed beside them. Files are written
-under a temporary name and renamed, so a task that is run again replaces its
-file by an equal one.
+A table maps 64-bit hashes to rows of small numbers. It is cut into buckets,
+which the caller chooses, one file for each bucket with rows; inside, the
+hashes are sorted and kept as their upper 48 bits: an index by the upper 16,
+the lower 32 as an array. A row of numbers is one byte, its place among the
+255 most frequent rows of the bucket; other rows are listed beside them. Files
+are written under a temporary name and renamed, so a task that is run again
+replaces its file by an equal one.
 
 The folder must be one that all executors see (``spark.checkpoint.dir``).
 Files in a store that cannot be mapped are copied to an unnamed temporary
@@ -20,6 +20,8 @@ import uuid
 
 import numpy as np
 
+from .words import GOLD, mix64
+
 # Maps that one worker keeps open.
 OPEN_MAPS = 4000
 
@@ -45,10 +47,13 @@ def write_file(uri: str, arrays: list[np.ndarray]) -> None:
     store.move(tmp, path)
 
 
-def map_file(uri: str, dtypes: list) -> list[np.ndarray]:
+def map_file(uri: str, dtypes: list) -> list[np.ndarray] | None:
+    """The arrays of a file; nothing if there is none (a bucket without rows)."""
     from pyarrow import fs
 
     store, path = _store(uri)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
     if isinstance(store, fs.LocalFileSystem):
         raw = np.memmap(path, np.uint8, "r")
     else:
@@ -74,52 +79,72 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
         return ((high + low) >> np.uint64(32)).astype(np.int64)
 
 
-def _place(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        r = h * np.uint64(buckets)  # place inside the bucket, as a fraction of 2^64
-    return (r >> np.uint64(48)).astype(np.int64), ((r >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _place(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(48)).astype(np.int64), ((h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def write_bucket(uri: str, h: np.ndarray, values: list[np.ndarray], buckets: int) -> None:
+def value_arrays(values: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of numbers as one byte each: four arrays for ``value_columns``."""
+    with np.errstate(over="ignore"):
+        key = np.zeros(len(values[0]), np.uint64)
+        for v in values:
+            key = mix64(key * GOLD + v + np.uint64(1)) if len(values) > 1 else v
+    _, first, code, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    by_count = np.argsort(-n, kind="stable")
+    rank = np.empty(len(n), np.uint32)
+    rank[by_count] = np.arange(len(n))
+    code = rank[code]
+    rare = np.flatnonzero(code >= 255)
+    kinds = np.stack([v[first[by_count]] for v in values]).astype(np.uint64)
+    return [np.minimum(code, 255).astype(np.uint8), rare.astype(np.uint32), code[rare], kinds]
+
+
+def value_columns(arrays: list[np.ndarray], at: np.ndarray, columns: int = 1) -> list[np.ndarray]:
+    """The columns of the rows at the given places."""
+    byte, rare_at, rare, kinds = arrays
+    code = byte[at].astype(np.int64)
+    if len(over := np.flatnonzero(code == 255)):
+        code[over] = rare[np.searchsorted(rare_at, at[over])]
+    return [k[code].astype(np.int64) for k in kinds.reshape(columns, -1)]
+
+
+def write_bucket(uri: str, h: np.ndarray, values: list[np.ndarray]) -> None:
     """One bucket: hashes in rising order and columns of numbers for them."""
-    cell, rest = _place(h, buckets)
-    arrays = [np.searchsorted(cell, np.arange(_CELL + 1)).astype(np.uint32), rest]
-    for v in values:
-        big = np.flatnonzero(v >= 255)
-        arrays += [np.minimum(v, 255).astype(np.uint8), big.astype(np.uint32), v[big].astype(np.uint64)]
-    write_file(uri, arrays)
+    cell, rest = _place(h)
+    write_file(uri, [np.searchsorted(cell, np.arange(_CELL + 1)).astype(np.uint32), rest, *value_arrays(values)])
 
 
 class HashTable:
-    """Look-ups in a table of ``columns`` numbers under ``folder``;
-    ``present``: the buckets that have a file (all, if not given)."""
+    """Look-ups in a table of ``columns`` numbers under ``folder``."""
 
-    def __init__(self, folder: str, name: str, columns: int, buckets: int, present: set[int] | None = None):
-        self.folder, self.name, self.columns, self.buckets, self.present = folder, name, columns, buckets, present
-        self.open: dict[int, list[np.ndarray]] = {}
+    def __init__(self, folder: str, name: str, columns: int):
+        self.folder, self.name, self.columns = folder, name, columns
+        self.open: dict[int, list[np.ndarray] | None] = {}
 
     def uri(self, bucket: int) -> str:
         return f"{self.folder}/{self.name}/{bucket:07d}"
 
-    def _bucket(self, b: int) -> list[np.ndarray]:
+    def _bucket(self, b: int) -> list[np.ndarray] | None:
         if b not in self.open:
             if len(self.open) >= OPEN_MAPS:
                 self.open.clear()
-            self.open[b] = map_file(self.uri(b), [np.uint32, np.uint32, *[np.uint8, np.uint32, np.uint64] * self.columns])
+            self.open[b] = map_file(self.uri(b), [np.uint32, np.uint32, np.uint8, np.uint32, np.uint32, np.uint64])
         return self.open[b]
 
-    def get(self, h: np.ndarray) -> list[np.ndarray]:
-        """The columns of every hash of a rising array; 0 where it is not in the table."""
+    def get(self, h: np.ndarray, bucket: np.ndarray) -> list[np.ndarray]:
+        """The columns of every hash, looked up in its bucket; 0 where it is not in the table."""
         out = [np.zeros(len(h), np.int64) for _ in range(self.columns)]
         if not len(h):
             return out
-        which = bucket_of(h, self.buckets)
+        order = np.lexsort((h, bucket))
+        which = bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]]))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if self.present is not None and int(which[lo]) not in self.present:
+            if (found := self._bucket(int(which[lo]))) is None:
                 continue
-            index, rest, *cols = self._bucket(int(which[lo]))
-            cell, want = _place(h[lo:hi], self.buckets)
+            index, rest, *values = found
+            rows = order[lo:hi]
+            cell, want = _place(h[rows])
             a, b = index[cell].astype(np.int64), index[cell + 1].astype(np.int64)
             end = b.copy()
             while (go := np.flatnonzero(a < b)).size:
@@ -129,11 +154,6 @@ class HashTable:
                 b[go] = np.where(less, b[go], mid)
             hit = np.flatnonzero(a < end)
             hit = hit[rest[a[hit]] == want[hit]]
-            pos = a[hit]
-            for k in range(self.columns):
-                small, big_at, big = cols[3 * k:3 * k + 3]
-                v = small[pos].astype(np.int64)
-                if len(over := np.flatnonzero(v == 255)):
-                    v[over] = big[np.searchsorted(big_at, pos[over])].astype(np.int64)
-                out[k][lo + hit] = v
+            for o, v in zip(out, value_columns(values, a[hit], self.columns)):
+                o[rows[hit]] = v
         return out

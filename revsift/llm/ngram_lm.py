@@ -1,13 +1,21 @@
 """Operator 2: interpolated modified Kneser-Ney n-gram model.
 
 Training texts are counted in Spark: every task counts the n-grams of its
-texts in sorted arrays and sends, for each bucket of hashes, one packed and
-compressed piece; a bucket's task merges its pieces, so a word pair that
-holds a third of all text is one entry a task long before the shuffle. The
-counts of each order and what is needed of every context (total, number of
-followers seen once, twice, three times or more) become sorted hash arrays in
-the shared folder (``hash_arrays``). Scoring workers memory-map them and look
-up only the distinct n-grams of a batch, in hash order.
+texts in sorted arrays and sends, for each bucket, one packed and compressed
+piece; a bucket's task merges its pieces, so a word pair that holds a third of
+all text is one entry a task long before the shuffle. The counts of each order
+and what is needed of every context (total, number of followers seen once,
+twice, three times or more) become sorted hash arrays in the shared folder
+(``hash_arrays``). Scoring workers memory-map them and look up only the
+distinct n-grams of a batch.
+
+An n-gram goes to the bucket of its inner words, so that its context and its
+end are complete there and need no shuffle of their own; from a trigram even
+the word pair's count is. No bucket may fill up so: if all inner words are
+frequent (``frequent``), the context decides and the ends are sent on; if the
+first word is frequent as well, the n-gram itself decides and the context is
+sent on too. Words are numbered by frequency, as small numbers pack well; the
+lowest bit of a word's number says whether it is frequent.
 
 Counts of the highest order are plain; a lower order counts in how many
 different n-grams of the next order an n-gram is the end (those that open a
@@ -15,8 +23,7 @@ text, where nothing can precede, keep their plain counts). Each order gives
 three discounts from its counts of counts. Unknown words share what the
 single words' discounts free, as one further word.
 
-The production order is 3; any order from 2 works. Its disk use is over the
-limit of the check tool (figures in the README).
+The production order is 3; any order from 2 works.
 """
 
 from __future__ import annotations
@@ -32,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import id_text, map_batches, run_folder
-from .hash_arrays import HashTable, bucket_of, map_file, write_bucket, write_file
+from .hash_arrays import HashTable, bucket_of, map_file, value_arrays, value_columns, write_bucket, write_file
 from .words import GOLD, mix64, word_hashes
 
 ORDER = 3
 # Bytes of training text for one bucket.
 BUCKET_BYTES = 24 << 20
+# A word is frequent above this part of the tokens that a bucket has on average.
+FREQUENT_PART = 16
 # Grams that a counting task holds before it sends them on.
 HELD_GRAMS = 3_000_000
 # The end of a text, which is a token, and its start, which is context only.
@@ -103,16 +112,46 @@ def _unpack(piece: bytes) -> list[np.ndarray]:
     return out
 
 
-def _pieces(kind: int, h: np.ndarray, arrays: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """One piece for each bucket of hashes in rising order."""
-    b = bucket_of(h, buckets)
+def is_hot(ids: np.ndarray) -> np.ndarray:
+    """Whether all words of a row are frequent (true of no words)."""
+    return (ids & ids.dtype.type(1)).all(axis=1)
+
+
+def _keyed(n: int, *choices: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each of n rows the hash of the words that its choice (rows, words) names."""
+    key = np.zeros(n, np.uint64)
+    for rows, words in choices:
+        if rows.any():
+            key[rows] = gram_hash(words[rows])
+    return key
+
+
+def gram_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of n-grams: by the inner words, the context or all words (see above)."""
+    inner, first = is_hot(ids[:, 1:-1]), is_hot(ids[:, :1])
+    if ids.shape[1] == 1:
+        first[:] = True
+    return bucket_of(_keyed(len(ids), (~inner, ids[:, 1:-1]), (inner & ~first, ids[:, :-1]), (inner & first, ids)), buckets)
+
+
+def context_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of contexts: that of their n-grams, unless all words are frequent."""
+    inner = is_hot(ids[:, 1:])
+    return bucket_of(_keyed(len(ids), (~inner, ids[:, 1:]), (inner, ids)), buckets)
+
+
+def _pieces(kind: int, b: np.ndarray, arrays: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    """One piece for each bucket, in the order of the keys: neighbours are alike, which packs well."""
+    order = np.lexsort([*keys[::-1], b])
+    b = b[order]
     cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, np.int64)
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        part = [a[lo:hi] for a in arrays]
-        if kind >= 2:  # by ids: neighbours are alike, which packs well
-            order = np.lexsort([p for p in part[::-1]])
-            part = [p[order] for p in part]
-        yield int(b[lo]), kind, _pack(part)
+        yield int(b[lo]), kind, _pack([a[order[lo:hi]] for a in arrays])
+
+
+def _gram_pieces(ids: np.ndarray, c: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    cols = list(ids.T)
+    return _pieces(2 * len(cols), gram_bucket(ids, buckets), [*cols, c], [*cols[1:-1], cols[0], cols[-1]])
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -141,47 +180,67 @@ def _joined(pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """What scoring needs besides the files: small, whatever the corpus."""
+    """What scoring needs besides the files: a few numbers, whatever the corpus."""
 
     folder: str
     order: int
     buckets: int
-    sizes: list[int]  # words in each bucket of the vocabulary
+    vocabulary: int
+    most: int  # words of the largest bucket
     train_tokens: int
     discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)
-    present: dict[str, set[int]] = field(default_factory=dict)  # buckets of each table that have rows
     unigram: tuple[int, int, int, int] = (0, 0, 0, 0)  # continuation total and words of count 1, 2, 3 or more
 
     @property
-    def vocabulary(self) -> int:
-        return sum(self.sizes)
+    def frequent(self) -> int:
+        """Tokens that a word or context of one bucket may have at most."""
+        return max(1, self.train_tokens // (FREQUENT_PART * self.buckets))
+
+    @property
+    def unknown(self) -> int:
+        """Number of all unknown words; known ones are below."""
+        return 2 * self.most * self.buckets
+
+    @property
+    def start(self) -> int:
+        """Number of the start of a text, which is frequent."""
+        return self.unknown + 3
+
+    @property
+    def number_type(self):
+        return np.uint32 if self.start < 1 << 32 else np.uint64
 
 
 class Vocabulary:
-    """Word hash -> (id, count); the id is the hash's rank."""
+    """Word hash -> (number, count)."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.base = np.concatenate([[0], np.cumsum(model.sizes)])
-        self.maps: dict[int, list[np.ndarray]] = {}
+        self.table: dict[int, list[np.ndarray] | None] = {}
+
+    def _bucket(self, b: int) -> list[np.ndarray] | None:
+        if b not in self.table:
+            self.table[b] = map_file(f"{self.model.folder}/words/{b:07d}", [np.uint64, np.uint32, np.uint8, np.uint32, np.uint32, np.uint64])
+        return self.table[b]
 
     def get(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of rising hashes; the number of words and 0 for unknown ones."""
-        ids = np.full(len(h), self.model.vocabulary, np.uint32)
+        """Numbers and counts of rising hashes; ``unknown`` and 0 for unknown ones."""
+        m = self.model
+        ids = np.full(len(h), m.unknown, m.number_type)
         counts = np.zeros(len(h), np.int64)
-        which = bucket_of(h, self.model.buckets)
+        which = bucket_of(h, m.buckets)
         cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             b = int(which[lo])
-            if not self.model.sizes[b]:
+            if (found := self._bucket(b)) is None:
                 continue
-            if b not in self.maps:
-                self.maps[b] = map_file(f"{self.model.folder}/words/{b:07d}", [np.uint64, np.uint64])
-            words, c = self.maps[b]
+            words, rank, *cols = found
             at = np.minimum(np.searchsorted(words, h[lo:hi]), len(words) - 1)
             hit = np.flatnonzero(words[at] == h[lo:hi])
-            ids[lo + hit] = self.base[b] + at[hit]
-            counts[lo + hit] = c[at[hit]]
+            at = at[hit]
+            c = value_columns(cols, at)[0]
+            counts[lo + hit] = c
+            ids[lo + hit] = 2 * (rank[at].astype(np.int64) * m.buckets + b) + (c > m.frequent)
         return ids, counts
 
 
@@ -195,12 +254,20 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], inverse
 
 
+def _distinct_rows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rising hashes, rows) of the distinct rows and the place of every row among them."""
+    h, inverse = _distinct(gram_hash(ids))
+    first = np.empty(len(h), np.int64)
+    first[inverse] = np.arange(len(ids))
+    return h, ids[first], inverse
+
+
 def _grams(ids: np.ndarray, off: np.ndarray, k: int, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The k-gram that ends at each token, with one start before a text, and
     whether it exists (enough tokens of its text before)."""
     n = len(ids)
     place = np.arange(n) - np.repeat(off[:-1], np.diff(off))
-    out = np.empty((n, k), np.uint32)
+    out = np.empty((n, k), ids.dtype)
     for j in range(k):
         back = k - 1 - j
         out[:, j] = ids[np.maximum(np.arange(n) - back, 0)]
@@ -218,6 +285,9 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
 
+    def word_pieces(words):
+        return list(_pieces(_VOCAB, bucket_of(words[0], buckets), list(words), [words[0]]))
+
     def count_words(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -230,27 +300,27 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
             if len(held) > 1 and sum(len(x[0]) for x in held) > HELD_GRAMS:
                 held = [merged()]
                 if len(held[0][0]) > HELD_GRAMS // 2:
-                    yield _batch(list(_pieces(_VOCAB, held[0][0], list(held[0]), buckets)))
+                    yield _batch(word_pieces(held[0]))
                     held = []
         if held:
             words = merged()
-            yield _batch(list(_pieces(_VOCAB, words[0], list(words), buckets)))
+            yield _batch(word_pieces(words))
 
     def write_words(batches):
         for bucket, kinds in _by_kind(batches):
             h, c = sums_by(*_joined(kinds[_VOCAB]))
-            write_file(f"{folder}/words/{bucket:07d}", [h, c])
+            rank = np.empty(len(h), np.uint32)
+            rank[np.lexsort((h, c))[::-1]] = np.arange(len(h))  # the most frequent word is the first
+            write_file(f"{folder}/words/{bucket:07d}", [h, rank, *value_arrays([c])])
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(h)]), pa.array([int(c.sum())])], names=["bucket", "n", "c"])
 
     def dealt(df):
         return df.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
 
-    words = map_batches(dealt(map_batches(docs, count_words, _PIECE)), write_words, "bucket int, n long, c long").collect()
-    sizes = [0] * buckets  # one number for each bucket comes to the driver
-    for r in words:
-        sizes[r["bucket"]] = r["n"]
-    model = Model(folder, order, buckets, sizes, sum(r["c"] for r in words))
-    start = model.vocabulary + 1
+    words = map_batches(dealt(map_batches(docs, count_words, _PIECE)), write_words, "bucket int, n long, c long")
+    words = words.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("c").alias("c")).first()
+    model = Model(folder, order, buckets, words["n"] or 0, words["most"] or 0, words["c"] or 0)
+    start = model.start
 
     def count_grams(batches):
         vocabulary = Vocabulary(model)
@@ -260,9 +330,9 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
             return gram_sums(np.concatenate([x[0] for x in held[k]]), np.concatenate([x[1] for x in held[k]]))
 
         def send(k):
-            h, ids, c = merged(k)
+            _, ids, c = merged(k)
             held[k] = []
-            return _batch(list(_pieces(2 * k, h, [*ids.T, c], buckets)))
+            return _batch(list(_gram_pieces(ids, c, buckets)))
 
         for batch in batches:
             h, off = token_hashes(batch.column("text"))
@@ -275,7 +345,7 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
                 _, g, c = gram_sums(grams[keep], np.ones(int(keep.sum()), np.uint64))
                 held.setdefault(k, []).append((g, c))
                 if sum(len(x[0]) for x in held[k]) > HELD_GRAMS:
-                    h2, g, c = merged(k)
+                    _, g, c = merged(k)
                     held[k] = [(g, c)]
                     if len(g) > HELD_GRAMS // 2:
                         yield send(k)
@@ -283,49 +353,66 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
             if held[k]:
                 yield send(k)
 
+    def settle(bucket, k, ids, c):
+        """Write the n-grams of order k that are complete in a bucket and the
+        contexts that are; the rows to send on: contexts of frequent words,
+        ends (which count for order k - 1) and sums."""
+        h, ids, c = gram_sums(ids, c)
+        hot = is_hot(ids[:, :-1]) if k > 1 else np.zeros(len(ids), bool)
+        for name, rows in ((f"grams{k}", ~hot), (f"hot_grams{k}", hot)):
+            if rows.any():
+                write_bucket(f"{folder}/{name}/{bucket:07d}", h[rows], [c[rows]])
+        three = [(c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c >= 3).astype(np.uint64)]
+        sums = [k, *(int((c == j).sum()) for j in (1, 2, 3, 4)), int(c.sum()), *(int(x.sum()) for x in three)]
+        later = [(bucket, _STATS, _pack([np.array(sums, np.uint64)]))]
+        if k == 1:
+            return later
+        ch, ctx, *sums = gram_sums(ids[:, :-1], c, *three)
+        hot = is_hot(ctx)
+        if not hot.all():
+            write_bucket(f"{folder}/contexts{k}/{bucket:07d}", ch[~hot], [x[~hot] for x in sums])
+        later += _pieces(2 * k + 1, bucket_of(ch[hot], buckets), [*ctx[hot].T, *(x[hot] for x in sums)], list(ctx[hot].T))
+        del h, c, three, ch, ctx, sums
+        _, ends, n = gram_sums(ids[:, 1:], np.ones(len(ids), np.uint64))
+        # pairs after a word that is not frequent met all their trigrams here
+        whole = ~is_hot(ends[:, :1]) if k == 3 else np.zeros(len(ends), bool)
+        later += _gram_pieces(ends[~whole], n[~whole], buckets)
+        if whole.any():
+            later += settle(bucket, 2, ends[whole], n[whole])
+        return later
+
     def reduce_level(k):
-        """Merge the grams of order k and the contexts of order k + 1; send on
-        the contexts of order k and the ends, which count for order k - 1."""
+        """Settle the n-grams of order k and the contexts of order k + 1 that were sent on."""
         def run(batches):
             for bucket, kinds in _by_kind(batches):
                 later = []
                 if 2 * k in kinds:
                     *ids, c = _joined(kinds.pop(2 * k))
-                    h, ids, c = gram_sums(np.stack(ids, axis=1).astype(np.uint32), c)
-                    write_bucket(f"{folder}/grams{k}/{bucket:07d}", h, [c], buckets)
-                    low = [int((c == j).sum()) for j in (1, 2, 3, 4)]
-                    three = [(c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c >= 3).astype(np.uint64)]
-                    stats = [0, k, *low, int(c.sum()), *(int(x.sum()) for x in three)]
-                    later.append((bucket, _STATS, _pack([np.array(stats, np.uint64)])))
-                    if k > 1:
-                        ch, ctx, *sums = gram_sums(ids[:, :-1], c, *three)
-                        later += _pieces(2 * k + 1, ch, [*ctx.T, *sums], buckets)
-                        eh, ends, n = gram_sums(ids[:, 1:], np.ones(len(ids), np.uint64))
-                        later += _pieces(2 * k - 2, eh, [*ends.T, n], buckets)
+                    later += settle(bucket, k, np.stack(ids, axis=1).astype(model.number_type), c)
                 if 2 * k + 3 in kinds:
                     cols = _joined(kinds.pop(2 * k + 3))
-                    h, _, *sums = gram_sums(np.stack(cols[:k], axis=1).astype(np.uint32), *cols[k:])
-                    write_bucket(f"{folder}/contexts{k + 1}/{bucket:07d}", h, sums, buckets)
-                    later.append((bucket, _STATS, _pack([np.array([1, k + 1], np.uint64)])))
+                    h, _, *sums = gram_sums(np.stack(cols[:k], axis=1).astype(model.number_type), *cols[k:])
+                    write_bucket(f"{folder}/hot_contexts{k + 1}/{bucket:07d}", h, sums)
                 for kind, pieces in kinds.items():  # of later levels
                     later += [(bucket, kind, _pack(p)) for p in pieces]
                 yield _batch(later)
         return run
 
+    names = ["k", "n1", "n2", "n3", "n4", "total", "one", "two", "more"]
+
+    def unpacked(batches):
+        for batch in batches:
+            rows = [_unpack(p.as_py())[0].tolist() for p in batch.column("piece")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
+
     level = map_batches(docs, count_grams, _PIECE)
     for k in range(order, 0, -1):
         level = map_batches(dealt(level), reduce_level(k), _PIECE)
-    totals: dict[int, np.ndarray] = {}
-    # at most two pieces of a few numbers for each bucket and order
-    for r in level.filter(F.col("kind") == _STATS).collect():
-        contexts, k, *s = _unpack(bytes(r["piece"]))[0].tolist()
-        model.present.setdefault(f"contexts{k}" if contexts else f"grams{k}", set()).add(r["bucket"])
-        if not contexts:
-            totals[k] = totals.get(k, 0) + np.array(s, np.int64)
-    for k, s in totals.items():
-        model.discounts[k] = discounts(*s[:4].tolist())
-    if 1 in totals:
-        model.unigram = tuple(totals[1][4:8].tolist())
+    sums = map_batches(level.filter(F.col("kind") == _STATS), unpacked, ", ".join(f"{c} long" for c in names))
+    for r in sums.groupBy("k").agg(*(F.sum(c).alias(c) for c in names[1:])).collect():  # one row for each order
+        model.discounts[r["k"]] = discounts(r["n1"], r["n2"], r["n3"], r["n4"])
+        if r["k"] == 1:
+            model.unigram = (r["total"], r["one"], r["two"], r["more"])
     return model
 
 
@@ -343,10 +430,18 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.words = model, Vocabulary(model)
-        f, b = model.folder, model.buckets
-        there = lambda name: model.present.get(name, set())
-        self.grams = {k: HashTable(f, f"grams{k}", 1, b, there(f"grams{k}")) for k in range(1, model.order + 1)}
-        self.contexts = {k: HashTable(f, f"contexts{k}", 4, b, there(f"contexts{k}")) for k in range(2, model.order + 1)}
+        self.tables: dict[str, HashTable] = {}
+
+    def _get(self, name: str, columns: int, h: np.ndarray, bucket: np.ndarray, hot: np.ndarray) -> list[np.ndarray]:
+        """Numbers of distinct hashes from a table or its part of frequent words."""
+        out = [np.zeros(len(h), np.int64) for _ in range(columns)]
+        for part, rows in ((name, np.flatnonzero(~hot)), (f"hot_{name}", np.flatnonzero(hot))):
+            if len(rows):
+                if part not in self.tables:
+                    self.tables[part] = HashTable(self.model.folder, part, columns)
+                for o, x in zip(out, self.tables[part].get(h[rows], bucket[rows])):
+                    o[rows] = x
+        return out
 
     def _rest(self, k: int, a: np.ndarray) -> np.ndarray:
         d = np.array([0.0, *self.model.discounts.get(k, PLAIN_DISCOUNTS)])
@@ -355,20 +450,17 @@ class Scorer:
     def probability(self, grams: np.ndarray) -> np.ndarray:
         """P(last | others) of rows of ids, of any width up to the order."""
         k = grams.shape[1]
-        h = gram_hash(grams)
-        distinct, inverse = _distinct(h)
-        first = np.empty(len(distinct), np.int64)
-        first[inverse] = np.arange(len(h))
-        g = grams[first]
-        a = self.grams[k].get(distinct)[0]
+        h, g, inverse = _distinct_rows(grams)
+        hot = is_hot(g[:, :-1]) if k > 1 else np.zeros(len(g), bool)
+        a = self._get(f"grams{k}", 1, h, gram_bucket(g, self.model.buckets), hot)[0]
         d1, d2, d3 = self.model.discounts.get(k, PLAIN_DISCOUNTS)
         if k == 1:
             total, n1, n2, n3 = self.model.unigram
             lower = 1.0 / (self.model.vocabulary + 1)
             p = (self._rest(1, a) + (d1 * n1 + d2 * n2 + d3 * n3) * lower) / total if total else np.full(len(g), lower)
             return p[inverse]
-        ctx, at = _distinct(gram_hash(g[:, :-1]))
-        c, n1, n2, n3 = (x[at] for x in self.contexts[k].get(ctx))
+        h, ctx, at = _distinct_rows(g[:, :-1])
+        c, n1, n2, n3 = (x[at] for x in self._get(f"contexts{k}", 4, h, context_bucket(ctx, self.model.buckets), is_hot(ctx)))
         lower = self.probability(g[:, 1:])
         with np.errstate(divide="ignore", invalid="ignore"):
             p = (self._rest(k, a) + (d1 * n1 + d2 * n2 + d3 * n3) * lower) / c
@@ -385,7 +477,7 @@ class Scorer:
         logp = np.zeros(len(ids))
         left = np.ones(len(ids), bool)
         for k in range(self.model.order, 1, -1):  # the longest gram that a text's start allows
-            grams, there = _grams(ids, off, k, v + 1)
+            grams, there = _grams(ids, off, k, self.model.start)
             now = np.flatnonzero(left & there)
             logp[now] = np.log10(self.probability(grams[now]))
             left[now] = False

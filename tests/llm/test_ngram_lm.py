@@ -141,11 +141,14 @@ def test_hash_arrays(tmp_path):
     for buckets in (1, 3, 64):
         b = bucket_of(h, buckets)
         assert (np.diff(b) >= 0).all() and b.max() < buckets
-        t = HashTable(str(tmp_path / str(buckets)), "t", 2, buckets)
+        t = HashTable(str(tmp_path / str(buckets)), "t", 2)
         for i in range(buckets):
-            write_bucket(t.uri(i), h[b == i], [v[b == i], v[b == i] % np.uint64(7)], buckets)
+            write_bucket(t.uri(i), h[b == i], [v[b == i], v[b == i] % np.uint64(7)])
         q = np.sort(np.concatenate([h, rnd.integers(0, 2**64, 5000, dtype=np.uint64)]))
         want = dict(zip(h.tolist(), v.tolist()))
-        a, m = t.get(q)
+        mixed = rnd.permutation(len(q))
+        a, m = (np.empty(len(q), np.int64) for _ in range(2))
+        a[mixed], m[mixed] = t.get(q[mixed], bucket_of(q, buckets)[mixed])
         assert a.tolist() == [want.get(x, 0) for x in q.tolist()] and (m == a % 7).all()
-        assert [x.tolist() for x in t.get(q[:0])] == [[], []]
+        assert [x.tolist() for x in t.get(q[:0], np.zeros(0, np.int64))] == [[], []]
+        assert not any(t.get(q[:3], np.full(3, buckets))[0])  # a bucket without a file
