@@ -88,7 +88,7 @@ def value_arrays(values: list[np.ndarray]) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         key = np.zeros(len(values[0]), np.uint64)
         for v in values:
-            key = mix64(key * GOLD + v + np.uint64(1)) if len(values) > 1 else v
+            key = mix64(key * GOLD + v.astype(np.uint64, copy=False) + np.uint64(1)) if len(values) > 1 else v
     _, first, code, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     by_count = np.argsort(-n, kind="stable")
     rank = np.empty(len(n), np.uint32)

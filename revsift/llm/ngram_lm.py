@@ -40,15 +40,17 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import id_text, map_batches, run_folder
 from .hash_arrays import HashTable, bucket_of, map_file, value_arrays, value_columns, write_bucket, write_file
-from .words import GOLD, mix64, word_hashes
+from .words import GOLD, mix64, text_bytes, word_hashes
 
 ORDER = 3
 # Bytes of training text for one bucket.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 # A word is frequent above this part of the tokens that a bucket has on average.
 FREQUENT_PART = 16
 # Grams that a counting task holds before it sends them on.
-HELD_GRAMS = 3_000_000
+HELD_GRAMS = 1_000_000
+# Bytes of text worked on at a time (a longer single text is done alone).
+SLICE_BYTES = 3 << 20
 # The end of a text, which is a token, and its start, which is context only.
 END = np.uint64(0x5851F42D4C957F2D)
 # Discounts where an order has no n-grams of some of the counts 1 to 4.
@@ -64,6 +66,15 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, off[1:], END), off + np.arange(len(off))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, by at most SLICE_BYTES of text or one row."""
+    off, lo = text_bytes(batch.column("text"))[1], 0
+    while lo < batch.num_rows:
+        hi = int(max(lo + 1, np.searchsorted(off, off[lo] + SLICE_BYTES, side="right") - 1))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def sums_by(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, rising, and the sums of the columns for each."""
     order = np.argsort(keys, kind="stable")
@@ -101,13 +112,14 @@ def _pack(arrays: list[np.ndarray]) -> bytes:
 
 
 def _unpack(piece: bytes) -> list[np.ndarray]:
+    """The columns, as narrow as they were packed."""
     raw = pa.decompress(piece[8:], int.from_bytes(piece[:8], "little"), codec="zstd", asbytes=True)
     n, m = np.frombuffer(raw, np.uint32, 2).tolist()
     out, at = [], 8
     for _ in range(m):
         width = raw[at]
         planes = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n).astype(np.uint64))
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n))
         at += 1 + n * width
     return out
 
@@ -294,7 +306,7 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
         def merged():
             return sums_by(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
 
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             h, _ = token_hashes(batch.column("text"))
             held.append(sums_by(h, np.ones(len(h), np.uint64)))
             if len(held) > 1 and sum(len(x[0]) for x in held) > HELD_GRAMS:
@@ -308,7 +320,7 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
 
     def write_words(batches):
         for bucket, kinds in _by_kind(batches):
-            h, c = sums_by(*_joined(kinds[_VOCAB]))
+            h, c = sums_by(*(x.astype(np.uint64, copy=False) for x in _joined(kinds.pop(_VOCAB))))
             rank = np.empty(len(h), np.uint32)
             rank[np.lexsort((h, c))[::-1]] = np.arange(len(h))  # the most frequent word is the first
             write_file(f"{folder}/words/{bucket:07d}", [h, rank, *value_arrays([c])])
@@ -334,7 +346,7 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
             held[k] = []
             return _batch(list(_gram_pieces(ids, c, buckets)))
 
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             h, off = token_hashes(batch.column("text"))
             distinct, inverse = _distinct(h)
             ids = vocabulary.get(distinct)[0][inverse]
@@ -353,16 +365,24 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
             if held[k]:
                 yield send(k)
 
-    def settle(bucket, k, ids, c):
+    def merged_grams(pieces, words):
+        """gram_sums of pieces; the unpacked columns go on the way."""
+        cols = _joined(pieces)
+        pieces.clear()
+        ids = np.stack(cols[:words], axis=1).astype(model.number_type, copy=False)
+        del cols[:words]
+        return gram_sums(ids, *(c.astype(np.uint64, copy=False) for c in cols))
+
+    def settle(bucket, k, grams):
         """Write the n-grams of order k that are complete in a bucket and the
         contexts that are; the rows to send on: contexts of frequent words,
         ends (which count for order k - 1) and sums."""
-        h, ids, c = gram_sums(ids, c)
+        h, ids, c = grams
         hot = is_hot(ids[:, :-1]) if k > 1 else np.zeros(len(ids), bool)
         for name, rows in ((f"grams{k}", ~hot), (f"hot_grams{k}", hot)):
             if rows.any():
                 write_bucket(f"{folder}/{name}/{bucket:07d}", h[rows], [c[rows]])
-        three = [(c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c >= 3).astype(np.uint64)]
+        three = [(c == 1).astype(np.uint32), (c == 2).astype(np.uint32), (c >= 3).astype(np.uint32)]
         sums = [k, *(int((c == j).sum()) for j in (1, 2, 3, 4)), int(c.sum()), *(int(x.sum()) for x in three)]
         later = [(bucket, _STATS, _pack([np.array(sums, np.uint64)]))]
         if k == 1:
@@ -373,12 +393,14 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
             write_bucket(f"{folder}/contexts{k}/{bucket:07d}", ch[~hot], [x[~hot] for x in sums])
         later += _pieces(2 * k + 1, bucket_of(ch[hot], buckets), [*ctx[hot].T, *(x[hot] for x in sums)], list(ctx[hot].T))
         del h, c, three, ch, ctx, sums
-        _, ends, n = gram_sums(ids[:, 1:], np.ones(len(ids), np.uint64))
+        eh, ends, n = gram_sums(ids[:, 1:], np.ones(len(ids), np.uint64))
+        del ids
+        grams.clear()
         # pairs after a word that is not frequent met all their trigrams here
         whole = ~is_hot(ends[:, :1]) if k == 3 else np.zeros(len(ends), bool)
         later += _gram_pieces(ends[~whole], n[~whole], buckets)
         if whole.any():
-            later += settle(bucket, 2, ends[whole], n[whole])
+            later += settle(bucket, 2, [eh[whole], ends[whole], n[whole]])
         return later
 
     def reduce_level(k):
@@ -387,11 +409,9 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
             for bucket, kinds in _by_kind(batches):
                 later = []
                 if 2 * k in kinds:
-                    *ids, c = _joined(kinds.pop(2 * k))
-                    later += settle(bucket, k, np.stack(ids, axis=1).astype(model.number_type), c)
+                    later += settle(bucket, k, list(merged_grams(kinds.pop(2 * k), k)))
                 if 2 * k + 3 in kinds:
-                    cols = _joined(kinds.pop(2 * k + 3))
-                    h, _, *sums = gram_sums(np.stack(cols[:k], axis=1).astype(model.number_type), *cols[k:])
+                    h, _, *sums = merged_grams(kinds.pop(2 * k + 3), k)
                     write_bucket(f"{folder}/hot_contexts{k + 1}/{bucket:07d}", h, sums)
                 for kind, pieces in kinds.items():  # of later levels
                     later += [(bucket, kind, _pack(p)) for p in pieces]
@@ -508,7 +528,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
 
     def run(batches):
         scorer = Scorer(model)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             n, known, base, logp = scorer.score(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(known), pa.array(base), pa.array(logp)],
                                              names=[f.name for f in fields])

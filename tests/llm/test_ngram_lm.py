@@ -92,6 +92,7 @@ def test_query_matches_the_plain_model(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     monkeypatch.setattr(ngram_lm, "BUCKET_BYTES", 20_000)  # many buckets and pieces
     monkeypatch.setattr(ngram_lm, "HELD_GRAMS", 1000)
+    monkeypatch.setattr(ngram_lm, "SLICE_BYTES", 5000)
     again = rows_by(op2_kneser_ney(spark, SMALL))
     assert all(again[i]["score"] == pytest.approx(got[i]["score"], rel=1e-12) for i in got)
 
@@ -128,6 +129,21 @@ def test_edges(spark):
         ngram_lm.train(one, 1)
 
 
+def test_buckets_of_frequent_and_rare_words():
+    """A context settles with all its trigrams, and a pair after a rare word with
+    all trigrams that it ends; words that are frequent decide no bucket alone."""
+    rnd = np.random.default_rng(3)
+    ids = (rnd.integers(0, 6, (4000, 3)) * 2 + rnd.integers(0, 2, (4000, 3))).astype(np.uint32)
+    b = ngram_lm.gram_bucket(ids, 64)
+    hot = ngram_lm.is_hot(ids[:, :2])
+    assert (b == ngram_lm.context_bucket(ids[:, :2], 64))[~hot].all()
+    rare = ~ngram_lm.is_hot(ids[:, 1:2])
+    assert (b == ngram_lm.gram_bucket(ids[:, 1:], 64))[rare].all()
+    same = (ids[:, :2] == ids[hot][0, :2]).all(axis=1)
+    assert len(set(b[same].tolist())) > 1 and 0 < hot.sum() < len(ids)
+    assert ngram_lm.gram_bucket(ids[:0], 64).tolist() == [] and ngram_lm.gram_bucket(ids[:, :1], 64).max() < 64
+
+
 def test_discounts():
     assert discounts(0, 5, 1, 1) == PLAIN_DISCOUNTS
     d = discounts(100, 40, 20, 10)
