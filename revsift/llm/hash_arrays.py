@@ -55,13 +55,13 @@ def map_file(uri: str, dtypes: list) -> list[np.ndarray] | None:
     if store.get_file_info(path).type == fs.FileType.NotFound:
         return None
     if isinstance(store, fs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     else:
         with tempfile.TemporaryFile() as copy, store.open_input_stream(path) as src:
             while block := src.read(1 << 22):
                 copy.write(block)
             copy.flush()
-            raw = np.memmap(copy, np.uint8, "r")
+            raw = np.memmap(copy, np.uint8, "r").view(np.ndarray)
     n = int(raw[:8].view(np.int64)[0])
     sizes = raw[8:8 + 8 * n].view(np.int64)
     out, at = [], 8 + 8 * n
@@ -79,6 +79,11 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
         return ((high + low) >> np.uint64(32)).astype(np.int64)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Small numbers in the narrowest type: numpy sorts up to 16 bits by radix."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
+
+
 def _place(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(48)).astype(np.int64), ((h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
@@ -136,7 +141,7 @@ class HashTable:
         out = [np.zeros(len(h), np.int64) for _ in range(self.columns)]
         if not len(h):
             return out
-        order = np.lexsort((h, bucket))
+        order = np.argsort(narrow(bucket), kind="stable")
         which = bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]]))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):

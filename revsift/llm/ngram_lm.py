@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import id_text, map_batches, run_folder
-from .hash_arrays import HashTable, bucket_of, map_file, value_arrays, value_columns, write_bucket, write_file
+from .hash_arrays import HashTable, bucket_of, map_file, narrow, value_arrays, value_columns, write_bucket, write_file
 from .words import GOLD, mix64, text_bytes, word_hashes
 
 ORDER = 3
@@ -154,7 +154,7 @@ def context_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 def _pieces(kind: int, b: np.ndarray, arrays: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """One piece for each bucket, in the order of the keys: neighbours are alike, which packs well."""
-    order = np.lexsort([*keys[::-1], b])
+    order = np.lexsort([*keys[::-1], narrow(b)])
     b = b[order]
     cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, np.int64)
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -256,22 +256,20 @@ class Vocabulary:
         return ids, counts
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rising distinct values, place of every value among them)."""
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rising distinct values, place of every value among them, a place that holds each)."""
     order = np.argsort(h)
     s = h[order]
     new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
     inverse = np.empty(len(h), np.int64)
     inverse[order] = np.cumsum(new) - 1
-    return s[new], inverse
+    return s[new], inverse, order[new]
 
 
 def _distinct_rows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rising hashes, rows) of the distinct rows and the place of every row among them."""
-    h, inverse = _distinct(gram_hash(ids))
-    first = np.empty(len(h), np.int64)
-    first[inverse] = np.arange(len(ids))
-    return h, ids[first], inverse
+    h, inverse, at = _distinct(gram_hash(ids))
+    return h, ids[at], inverse
 
 
 def _grams(ids: np.ndarray, off: np.ndarray, k: int, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -348,7 +346,7 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Mod
 
         for batch in (part for b in batches for part in slices(b)):
             h, off = token_hashes(batch.column("text"))
-            distinct, inverse = _distinct(h)
+            distinct, inverse, _ = _distinct(h)
             ids = vocabulary.get(distinct)[0][inverse]
             for k in range(2, order + 1):
                 grams, there = _grams(ids, off, k, start)
@@ -489,7 +487,7 @@ class Scorer:
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, log10 probability) of texts."""
         h, off = token_hashes(texts)
-        distinct, inverse = _distinct(h)
+        distinct, inverse, _ = _distinct(h)
         ids, counts = self.words.get(distinct)
         n, v = self.model.train_tokens, self.model.vocabulary  # without training rows: one unknown word
         base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))[inverse]
