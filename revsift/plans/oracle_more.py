@@ -50,10 +50,10 @@ QV = f"""SELECT item_id * 2 AS q, text FROM benchmark
 
 
 def fused_ctes() -> str:
-    """One list by words (the keyword form has the same), two by vectors."""
-    return ("WITH qv AS (" + QV + ")," + bm25_ctes(BENCH_Q) + "," + dense_hash_scores("qv", "q", "text")
+    """The question and its keyword form, each with a list by words and one by vectors."""
+    return ("WITH qv AS (" + QV + ")," + bm25_ctes("SELECT * FROM qv") + "," + dense_hash_scores("qv", "q", "text")
             + f""",
-lists AS (SELECT q, doc, rank FROM {topk('scores', 50)}
+lists AS (SELECT q // 2 AS q, doc, rank FROM {topk('scores', 50)}
           UNION ALL SELECT q // 2 AS q, doc, rank FROM {topk('dscores', 50)}),
 fused_all AS (SELECT q, doc, sum(1.0::DOUBLE / (60 + rank)) AS score FROM lists GROUP BY q, doc),
 fused AS (SELECT q, doc, score, rank FROM {topk('fused_all', 50)})""")

@@ -224,6 +224,25 @@ def test_bm25_dedupe_equals_plain(spark):
     assert rows(rt.bm25_topk(q, _docs(spark), k=3, dedupe=True)) == rows(rt.bm25_topk(q, _docs(spark), k=3))
 
 
+def test_bm25_dedupe_with_repeated_rows(spark):
+    q = spark.createDataFrame([(1, "cat mat"), (1, "cat mat"), (2, "mat cat"), (3, "cat mat cat mat")], "q long, text string")
+    assert rows(rt.bm25_topk(q, _docs(spark), k=3, dedupe=True)) == rows(rt.bm25_topk(q, _docs(spark), k=3))
+
+
+def test_fusion_counts_the_lists_of_both_forms(spark):
+    """The question and its keyword form each give a list by words and one by vectors."""
+    q = spark.createDataFrame([("a", "the cat on a mat"), ("b", "dogs park")], "q string, text string")
+    forms = rt.query_variants(q).select("qv", "text")
+    words = rt.bm25_topk(forms.withColumnRenamed("qv", "q"), _docs(spark))
+    vectors = rt.dense_topk(hash_embed(forms, "qv", "text"), hash_embed(_docs(spark), "doc_id", "text"), q_col="qv", id_col="doc_id")
+    want = {}
+    for r in words.select("q", "rank", "doc").collect() + vectors.select("q", "rank", "id").collect():
+        key = (r["q"][2:], r[2])
+        want[key] = want.get(key, 0.0) + 1.0 / (60 + r["rank"])
+    got = {(r["q"], r["doc"]): r["score"] for r in rt.hybrid_candidates(q, _docs(spark)).collect()}
+    assert got == {k: round(v, 6) for k, v in want.items()}
+
+
 def test_pruned_bm25_equals_exhaustive(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id AS q", "text")
