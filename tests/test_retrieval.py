@@ -136,6 +136,29 @@ def test_dense_topk_of_any_vectors_and_ids(spark):
     assert [(r.id, r.score) for r in sorted(first, key=lambda r: r.rank)] == [(1, 1.0), (2, round(2 ** -0.5, 6))]
 
 
+def test_dense_cell_holds_few_rows_of_many_copies():
+    """2,000 copies of each of three vectors: a cell keeps the smallest ids of
+    the nearest, whatever the order of arrival, and little else."""
+    import numpy as np
+    import pyarrow as pa
+
+    from revsift.operators import dense
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3, 16))
+    ids = rng.permutation(6000)
+    cell = dense._Cell(4, True)
+    keys = np.arange(0, 6000, 7)
+    cell.queries(pa.array(keys), pa.array(list(base[keys % 3])))
+    for s in range(0, 6000, 512):
+        part = ids[s:s + 512]
+        cell.corpus(pa.array(part), pa.array(list(base[part % 3])))
+    out = cell.result((pa.int64(), pa.int64())).to_pandas()
+    assert len(out) <= 8 * 4 * len(keys)
+    out["score"] = out["score"].round(6)
+    best = out.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q")["id"].apply(lambda x: list(x[:4]))
+    assert all(best[q] == [i for i in range(q % 3, 6000, 3) if i != q][:4] for q in keys)
+
+
 def test_mmr_with_text_ids_and_long_vectors(spark):
     vecs = [("a", [10.0, 0.0]), ("b", [0.999, 0.0447]), ("c", [60.0, 80.0]), ("z", [0.0, 0.0])]
     v = spark.createDataFrame(vecs, "id string, embedding array<double>")
