@@ -76,3 +76,11 @@ def test_no_single_partition_window_in_samples_and_splits(spark):
     # ranks come from one materialised ranged copy: its bounds are sampled
     # once; the only single-partition step is over per-partition counts
     assert "rangepartitioning" not in p and "Scan ExistingRDD" in p
+
+
+def test_reference_blocks_deal_no_texts(spark):
+    """The texts meet the line items by broadcast, after the last shuffle by order."""
+    from revsift.plans.queries_more import q_reference_block
+    p = plan_of(q_reference_block(spark, SF_SMALL))
+    assert exchanges(p) == 1 and "hashpartitioning(l_orderkey" in p
+    assert p.count("ObjectHashAggregate") == 2  # partial and final of one grouping, no shuffle between
