@@ -84,3 +84,17 @@ def test_reference_blocks_deal_no_texts(spark):
     p = plan_of(q_reference_block(spark, SF_SMALL))
     assert exchanges(p) == 1 and "hashpartitioning(l_orderkey" in p
     assert p.count("ObjectHashAggregate") == 2  # partial and final of one grouping, no shuffle between
+
+
+def test_postings_of_asked_terms_keep_the_statistics(spark):
+    """Only the rows of a batch's terms are made; N, avgdl and df stay, and no
+    posting is shuffled after the texts were dealt by document."""
+    docs = _docs(spark)
+    every, some = rt.corpus_postings(docs), rt.corpus_postings(docs, terms=rt.asked_terms(_queries(spark).limit(3)))
+    assert exchanges(plan_of(some)) <= 3 and "REPARTITION_BY_NUM" in plan_of(some)  # texts once, the few terms twice
+    assert rt.bm25_corpus_stats(some).first() == rt.bm25_corpus_stats(every).first()
+    assert some.count() < every.count()
+    terms = [r["term"] for r in rt.asked_terms(_queries(spark).limit(3)).collect()]
+    asked = F.col("term").isin(terms)
+    a, b = (p.filter(asked).groupBy("term").agg(F.count(F.lit(1)), F.sum("tf")).collect() for p in (some, every))
+    assert sorted(a) == sorted(b) and a
