@@ -25,13 +25,14 @@ from .distributed import broadcast_if_small, cut_lineage, global_rank
 
 SPAN = 128          # documents of a block
 FIRST_SPANS = 4     # spans scored before the threshold is known
+MAX_WANTED = 2_000_000  # (query, span) rows that may be broadcast
 MARGIN = 1e-6       # ranks are by scores rounded to 6 places
 
 
 @dataclass
 class BlockMaxIndex:
     ids: DataFrame       # (ord, id): numbers in the order of the ids
-    blocks: DataFrame    # (term, span, top, ords, weights), clustered by term
+    blocks: DataFrame    # (term, span, top, ords, weights), clustered by span: a document's scores add up where they are read
     terms: DataFrame     # (term, idf)
 
     @classmethod
@@ -65,10 +66,11 @@ class BlockMaxIndex:
             return df.select("term", F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))).alias("idf"))
 
         def spans() -> DataFrame:
-            p = weighted().select("term", F.floor(F.col("ord") / SPAN).alias("span"), "ord", "w")
+            # the postings are shuffled once: the ranges that cluster the table also serve the grouping
+            p = weighted().select("term", F.floor(F.col("ord") / SPAN).alias("span"), "ord", "w").repartitionByRange("span", "term")
             rows = p.groupBy("term", "span").agg(F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("ord", "w"))).alias("rows"))
             rows = rows.select("term", "span", "top", F.col("rows.ord").alias("ords"), F.col("rows.w").alias("weights"))
-            return rows.repartitionByRange("term", "span").sortWithinPartitions("term", "span")
+            return rows.sortWithinPartitions("span", "term")
 
         blocks = build_or_load(spark, base + "/blocks", spans, recreate)
         return cls(ids, blocks, build_or_load(spark, base + "/terms", idfs, recreate))
@@ -104,8 +106,12 @@ class BlockMaxIndex:
 
     def _scores(self, wanted: DataFrame, qt: DataFrame) -> DataFrame:
         """(q, ord, score) of all documents in the wanted (q, span)."""
-        asked = wanted.join(qt, "q")
-        asked, _ = broadcast_if_small(asked)
-        hit = self.blocks.select("term", "span", "ords", "weights").join(asked, ["term", "span"])
+        blocks = self.blocks.select("term", "span", "ords", "weights")
+        side, small = broadcast_if_small(qt)
+        spans, few = broadcast_if_small(wanted, MAX_WANTED)
+        if small and few:  # the blocks stay where they are
+            hit = blocks.join(side, "term").join(spans, ["q", "span"])
+        else:
+            hit = blocks.join(wanted.join(qt, "q"), ["term", "span"])
         each = hit.select("q", "weight", F.explode(F.arrays_zip("ords", "weights")).alias("e"))
         return each.groupBy("q", F.col("e.ords").alias("ord")).agg(F.sum(F.col("weight") * F.col("e.weights")).alias("score"))

@@ -18,7 +18,7 @@ from ..sources.io import VectorTable, build_or_load
 from . import retrieval as rt
 from .blockmax import BlockMaxIndex
 from .chunking import build_index
-from .distributed import cut_lineage
+from .distributed import broadcast_if_small, cut_lineage
 from .embed import DEFAULT_DIM, hash_embed, hash_embed_from_postings
 
 
@@ -120,12 +120,15 @@ class ChunkIndex:
         cosine of question and node: (q, rank, doc); a question or node
         without a vector takes no part."""
         fused = rt.score_cutoff(self.candidates(queries), min_score)
+        # queries x depth rows: they go to the stored texts and vectors, which stay where they are
+        fused, _ = broadcast_if_small(fused.select("q", "doc"))
         if mode == "hybrid":
             return rt.rerank(fused, queries, self.nodes.select(F.col("node_id").alias("doc_id"), "text"), k=k, scorer=scorer)
         if mode != "mmr":
             raise ValueError(f"unknown mode {mode!r}")
         asked = hash_embed(queries.select("q", "text"), "q", "text", self.dim).withColumnRenamed("embedding", "_qv")
-        near = (fused.select("q", "doc").join(asked, "q").join(self.vectors.select(F.col("node_id").alias("doc"), "embedding"), "doc")
+        found = self.vectors.select(F.col("node_id").alias("doc"), "embedding").join(fused, "doc")
+        near = (found.join(asked, "q")
                 .select("q", F.col("doc").alias("id"), F.round(rt.cosine(F.col("_qv"), F.col("embedding")), rt.SCORE_DIGITS).alias("score"))
                 .filter("score is not null"))
         return rt.mmr_topk(near, self.vectors, k, lam, id_col="node_id").withColumnRenamed("id", "doc")

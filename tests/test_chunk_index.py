@@ -88,3 +88,27 @@ def test_vector_table_versions(spark, tmp_path):
     assert len(t.vacuum(spark)) == 3 and t.read(spark).count() == 1  # two versions and the failed one
     with pytest.raises(ValueError):
         VectorTable(t.path, dim=3).read(spark)
+
+
+def test_chunk_search_leaves_stored_texts_where_they_are(spark, tmp_path):
+    """The candidates are broadcast; no plan deals the stored texts or vectors by node."""
+    docs = spark.createDataFrame([(i, f"The dog number {i} sleeps. The cat {i % 3} runs.") for i in range(30)], "doc_id long, text string")
+    index = ChunkIndex.build_or_load(spark, str(tmp_path / "ix"), docs)
+    q = spark.createDataFrame([(1, "dog cat"), (2, "number 7")], "q long, text string")
+    plan = index.search(q)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc" not in plan and "hashpartitioning(node_id" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_block_scores_by_broadcast_and_by_shuffle(spark, tmp_path, monkeypatch):
+    """Wanted spans go to the blocks while they are few; beyond the bound the rows are the same."""
+    from revsift.operators import blockmax
+    rnd = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rnd.randrange(40)}" for _ in range(12))) for i in range(900)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"w{i} w{i + 7} w{i + 11}") for i in range(12)], "q int, text string")
+    index = BlockMaxIndex.build_or_load(spark, str(tmp_path / "ix"), docs)
+    few = index.search(q, k=5)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan
+    got = rows(few)
+    monkeypatch.setattr(blockmax, "MAX_WANTED", 1)
+    assert rows(index.search(q, k=5)) == got == rows(rt.bm25_topk(q, docs, k=5))
