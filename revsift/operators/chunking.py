@@ -7,14 +7,16 @@ need no shuffle at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import signed_bucket
+from ..functions.hashing import signed_codes, signed_counts
 from ..functions.text import sentences, tokens
 from ..sources.io import VectorTable, build_or_load
 from .distributed import cut_lineage, spread
-from .embed import DEFAULT_DIM, hash_embed
+from .embed import BATCH_TEXTS, DEFAULT_DIM, hash_embed, hash_vector
 
 FIXED_SIZE = 512
 FIXED_OVERLAP = 10
@@ -44,23 +46,39 @@ def sentence_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return d.select("doc", F.posexplode(wins).alias("i", "window_text"))
 
 
-def _net(codes: Column, bucket: Column) -> Column:
-    """Signed count of a bucket among signed bucket codes (null codes: 0)."""
-    return F.coalesce(F.size(F.array_remove(codes, bucket * 2 + 1)) - F.size(F.array_remove(codes, bucket * 2)), F.lit(0))
-
-
-def _dots(ahead: int) -> Column:
-    """Dot product of every sentence's counts with those of the sentence ``ahead`` of it (0 beyond the last)."""
-    def dot(entries, i):
-        other = F.get(F.col("_codes"), i + ahead)
-        return F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, x: acc + x["c"] * _net(other, x["bucket"]))
-    return F.transform(F.col("_counts"), dot)
+def _group_dots(dim: int):
+    """For every sentence i of a document (its tokens): the squared length of
+    the signed counts of group i (sentences i-1..i+1) and their dot product
+    with those of group i+1 (0 for the last)."""
+    def run(docs: pa.Array) -> pa.Array:
+        sizes = docs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        sents = docs.flatten()
+        doc = np.repeat(np.arange(len(docs)), sizes)
+        joined = np.concatenate([doc[1:] == doc[:-1], [False]]) if len(doc) else np.zeros(0, dtype=bool)  # with the sentence after it
+        starts = np.concatenate([[0], np.cumsum(sents.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        codes = signed_codes(sents.flatten(), dim)
+        square, ahead = np.zeros(len(doc), dtype=np.int64), np.zeros(len(doc), dtype=np.int64)
+        for a in range(0, len(doc), BATCH_TEXTS):  # with the sentences that the first and last groups reach
+            b = min(a + BATCH_TEXTS, len(doc))
+            low, high = max(a - 1, 0), min(b + 2, len(doc))
+            counts = signed_counts(codes, starts[low:high + 1], dim)
+            next_one = joined[low:high - 1, None]
+            groups = counts.copy()
+            groups[:-1] += counts[1:] * next_one
+            groups[1:] += counts[:-1] * next_one
+            square[a:b] = np.einsum("ij,ij->i", groups, groups)[a - low:b - low]
+            dots = np.zeros(high - low, dtype=np.int64)
+            dots[:-1] = np.einsum("ij,ij->i", groups[:-1], groups[1:]) * next_one[:, 0]
+            ahead[a:b] = dots[a - low:b - low]
+        pairs = pa.StructArray.from_arrays([pa.array(square), pa.array(ahead)], names=["square", "ahead"])
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pairs)
+    return run
 
 
 def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     dim: int = DEFAULT_DIM, pct: float = BREAKPOINT_PERCENTILE,
-                    partitions: int | None = None) -> DataFrame:
-    """R2: (doc, chunk_no, n_sentences, text).
+                    partitions: int | None = None, keep: list = ()) -> DataFrame:
+    """R2: (doc, chunk_no, n_sentences, text), then the ``keep`` columns of the document.
 
     Group i = sentences i-1..i+1; its vector = signed hashed token counts
     (the hashing embedder before normalisation, so cosine is exact);
@@ -68,48 +86,41 @@ def semantic_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold = exact linear 95th percentile of d over the document; cut
     after i when d_i > threshold; a chunk is its sentences joined by a space.
 
-    One row expression, no shuffle on split input: a sentence is a list of
-    signed bucket codes and at most ``dim`` (bucket, count) entries; the dot
-    products of sentences up to three apart give those of neighbouring
-    groups. The work of a document grows with its length. A row's chunks do
-    not depend on other rows; null or empty text has none.
+    One row expression, no shuffle on split input: the words are Spark's, an
+    Arrow function counts them for a batch of sentences (``_group_dots``:
+    whole numbers), and distances, threshold and cuts are Spark's again. The
+    work of a document grows with its length. A row's chunks do not depend on
+    other rows; null or empty text has none.
     """
-    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
+    base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     base = base.repartition(partitions, "doc") if partitions else spread(base, ["doc"])
-    d = base.select("doc", sentences("_text").alias("_s")).select("doc", "_s", F.transform("_s", lambda s: F.transform(
-        F.transform(tokens(s), lambda t: F.md5(t)), lambda h: signed_bucket(h, dim))).alias("_codes"))
-    d = d.withColumn("_counts", F.transform("_codes", lambda c: F.transform(
-        F.array_distinct(F.transform(c, lambda x: F.shiftright(x, 1))),
-        lambda k: F.struct(k.alias("bucket"), _net(c, k).alias("c")))))
-    d = d.select("doc", "_s", *[_dots(k).alias(f"_d{k}") for k in range(4)])
-
-    def at(k, i):
-        return F.coalesce(F.get(F.col(f"_d{k}"), i), F.lit(0).cast("bigint"))
-
-    def norm(i):
-        return at(0, i - 1) + at(0, i) + at(0, i + 1) + 2 * (at(1, i - 1) + at(1, i) + at(2, i - 1))
+    kept = ["doc", *[f"_keep_{c}" for c in keep]]
+    d = base.select(*kept, sentences("_text").alias("_s")).select(*kept, "_s", F.transform("_s", tokens).alias("_words"))
+    dots = F.arrow_udf(_group_dots(dim), "array<struct<square: bigint, ahead: bigint>>")
+    d = d.select(*kept, "_s", dots("_words").alias("_g"))
 
     def distance(i):
-        here, ahead = norm(i), norm(i + 1)
-        both = (at(1, i - 1) + at(2, i - 1) + at(3, i - 1) + at(0, i) + 2 * at(1, i) + at(2, i) + at(0, i + 1) + at(1, i + 1))
-        cos = F.when((here > 0) & (ahead > 0), both.cast("double") / (F.sqrt(here.cast("double")) * F.sqrt(ahead.cast("double"))))
+        here, ahead = F.get(F.col("_g"), i), F.get(F.col("_g"), i + 1)["square"].cast("double")
+        square = here["square"].cast("double")
+        cos = F.when((square > 0) & (ahead > 0), here["ahead"].cast("double") / (F.sqrt(square) * F.sqrt(ahead)))
         return F.round(F.lit(1.0) - F.coalesce(cos, F.lit(0.0)), 9)
 
     n = F.size("_s")
-    d = d.select("doc", "_s", F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), distance))
+    d = d.select(*kept, "_s", F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), distance))
                                .otherwise(F.array().cast("array<double>")).alias("_d"))
     # the percentile at place pct * (size - 1) of the sorted distances, between its two neighbours
-    d = d.select("doc", "_s", "_d", F.array_sort("_d").alias("_sorted"), (F.lit(pct) * (F.size("_d") - 1)).alias("_at"))
+    d = d.select(*kept, "_s", "_d", F.array_sort("_d").alias("_sorted"), (F.lit(pct) * (F.size("_d") - 1)).alias("_at"))
     low, high = F.get("_sorted", F.floor("_at").cast("int")), F.get("_sorted", F.ceil("_at").cast("int"))
-    d = d.select("doc", "_s", "_d", F.when(low == high, low).otherwise(
+    d = d.select(*kept, "_s", "_d", F.when(low == high, low).otherwise(
         (F.ceil("_at") - F.col("_at")) * low + (F.col("_at") - F.floor("_at")) * high).alias("_thr"))
-    d = d.select("doc", "_s", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (
+    d = d.select(*kept, "_s", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (
         F.get(F.col("_d"), i - 1) > F.col("_thr")))).alias("_starts"))
     sizes = F.transform("_starts", lambda a, j: F.struct(a.alias("a"), (F.coalesce(F.get(F.col("_starts"), j + 1), n) - a).alias("k")))
     # posexplode_outer: a non-empty filter inferred from the explode would repeat all of this below it
-    return (d.select("doc", "_s", F.posexplode_outer(sizes).alias("chunk_no", "_c")).filter(F.col("chunk_no").isNotNull())
+    return (d.select(*kept, "_s", F.posexplode_outer(sizes).alias("chunk_no", "_c")).filter(F.col("chunk_no").isNotNull())
             .select("doc", "chunk_no", F.col("_c.k").cast("bigint").alias("n_sentences"),
-                    F.array_join(F.slice(F.col("_s"), F.col("_c.a") + 1, F.col("_c.k")), " ").alias("text")))
+                    F.array_join(F.slice(F.col("_s"), F.col("_c.a") + 1, F.col("_c.k")), " ").alias("text"),
+                    *[F.col(f"_keep_{c}").alias(c) for c in keep]))
 
 
 def fixed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
