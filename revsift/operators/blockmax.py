@@ -14,8 +14,12 @@ one span, so both passes give whole scores and the result is exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +33,48 @@ MAX_WANTED = 2_000_000  # (query, span) rows that may be broadcast
 MARGIN = 1e-6       # ranks are by scores rounded to 6 places
 
 
+def _span_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (term, span, ord, w) sorted by span to one row (term, span, top,
+    ords, weights) a term and span. The span that a batch ends in (the words of
+    ``SPAN`` documents) waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        span = batch["span"].to_numpy()
+        if not len(span):
+            continue
+        last = int(np.searchsorted(span, span[-1]))  # where the last span begins
+        if held and held[0]["span"][0].as_py() != span[-1]:
+            yield _blocks([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield _blocks([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield _blocks(held)
+
+
+def _blocks(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The blocks of whole spans."""
+    t = pa.Table.from_batches(batches).combine_chunks()
+    words = t["term"].combine_chunks().dictionary_encode()
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    code, span, ords = place[words.indices.to_numpy()], t["span"].to_numpy(), t["ord"].to_numpy()
+    by = np.lexsort((ords, code, span))
+    code, span, w = code[by], span[by], t["w"].to_numpy()[by]
+    starts = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]) | (span[1:] != span[:-1])) + 1])
+    ends = pa.array(np.concatenate([starts, [len(by)]]).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [words.dictionary.take(pa.array(order[code[starts]])), pa.array(span[starts]), pa.array(np.maximum.reduceat(w, starts)),
+         pa.ListArray.from_arrays(ends, pa.array(ords[by])), pa.ListArray.from_arrays(ends, pa.array(w))],
+        names=["term", "span", "top", "ords", "weights"])
+
+
 @dataclass
 class BlockMaxIndex:
     ids: DataFrame       # (ord, id): numbers in the order of the ids
-    blocks: DataFrame    # (term, span, top, ords, weights), clustered by span: a document's scores add up where they are read
+    blocks: DataFrame    # (term, span, top, ords, weights), a span in one file, sorted by span and term
     terms: DataFrame     # (term, idf)
 
     @classmethod
@@ -52,27 +94,22 @@ class BlockMaxIndex:
         ids = build_or_load(spark, base + "/ids", lambda: numbered().select("ord", "id"), recreate)
         postings: list[DataFrame] = []
 
-        def weighted() -> DataFrame:
-            if not postings:
-                p = cut_lineage(rt.bm25_postings(numbered(), "ord", "text"))
-                one = rt.bm25_corpus_stats(p).first()  # two numbers
-                norm = F.lit(k1 * (1.0 - b)) + F.lit(k1 * b / (one["avgdl"] or 1.0)) * F.col("dl")
-                w = F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
-                postings.append(p.filter("term is not null").select("term", F.col("doc").alias("ord"), w.alias("w"), F.lit(one["n_docs"]).alias("n_docs")))
-            return postings[0]
-
-        def idfs() -> DataFrame:
-            df = weighted().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.first("n_docs").alias("n_docs"))
-            return df.select("term", F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))).alias("idf"))
-
         def spans() -> DataFrame:
-            # the postings are shuffled once: the ranges that cluster the table also serve the grouping
-            p = weighted().select("term", F.floor(F.col("ord") / SPAN).alias("span"), "ord", "w").repartitionByRange("span", "term")
-            rows = p.groupBy("term", "span").agg(F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("ord", "w"))).alias("rows"))
-            rows = rows.select("term", "span", "top", F.col("rows.ord").alias("ords"), F.col("rows.w").alias("weights"))
-            return rows.sortWithinPartitions("span", "term")
+            # a span's documents meet before they are tokenised, so its postings need no shuffle
+            p = cut_lineage(rt.bm25_postings(numbered(), "ord", "text", span=F.floor(F.col("doc") / SPAN)))
+            one = rt.bm25_corpus_stats(p).first()  # two numbers
+            norm = F.lit(k1 * (1.0 - b)) + F.lit(k1 * b / (one["avgdl"] or 1.0)) * F.col("dl")
+            w = F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
+            p = p.filter("term is not null").select("term", "span", F.col("doc").alias("ord"), w.alias("w")).sortWithinPartitions("span")
+            return p.mapInArrow(_span_blocks, "term string, span bigint, top double, ords array<bigint>, weights array<double>")
 
         blocks = build_or_load(spark, base + "/blocks", spans, recreate)
+
+        def idfs() -> DataFrame:
+            n_docs = F.lit(ids.count())
+            df = blocks.groupBy("term").agg(F.sum(F.size("ords")).alias("df"))
+            return df.select("term", F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))).alias("idf"))
+
         return cls(ids, blocks, build_or_load(spark, base + "/terms", idfs, recreate))
 
     def search(self, queries: DataFrame, k: int = rt.SPARSE_TOP_K, q_col: str = "q", text_col: str = "text",

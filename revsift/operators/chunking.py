@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import signed_codes, signed_counts
 from ..functions.text import sentences, tokens
 from ..sources.io import VectorTable, build_or_load
-from .distributed import cut_lineage, spread
+from .distributed import broadcast_if_small, cut_lineage, spread
 from .embed import BATCH_TEXTS, DEFAULT_DIM, hash_embed, hash_vector
 
 FIXED_SIZE = 512
@@ -143,19 +143,38 @@ def build_index(spark, docs: DataFrame, path: str, recreate: bool = False, id_co
                 text_col: str = "text", meta_cols: list = (), dim: int = DEFAULT_DIM) -> DataFrame:
     """Chunk -> embed -> persist nodes and the vector table. The node
     table is written first and read back (that cuts the lineage), then the
-    vector table is written from the stored nodes."""
+    vector table is written from the stored nodes.
+
+    The chunks of a document whose id occurs once are made, embedded and
+    written where its row is. Rows that share an id (or have none) share their
+    node ids: those chunks meet the metadata of all rows and the vector of all
+    texts of their id by joins."""
+    def nodes_of(chunks):
+        return chunks.select("node_id", F.col("doc").cast("long").alias("doc_id"), "chunk_no", "text",
+                             "metadata", F.col("embedding").cast("array<float>").alias("embedding"))
+
+    def named(chunks):
+        return chunks.withColumn("node_id", F.concat_ws(":", F.col("doc").cast("string"), F.col("chunk_no").cast("string")))
+
     def build():
-        chunks = cut_lineage(semantic_chunks(docs, id_col, text_col, dim))
-        chunks = chunks.withColumn("node_id", F.concat_ws(":", F.col("doc").cast("string"),
-                                                          F.col("chunk_no").cast("string")))
+        meta = F.map_from_arrays(F.array(*[F.lit(c) for c in meta_cols]),
+                                 F.array(*[F.col(c).cast("string") for c in meta_cols]))
+        rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"), meta.alias("metadata"))
+        shared = rows.groupBy("doc").count().filter((F.col("count") > 1) | F.col("doc").isNull()).select(F.col("doc").alias("_id"))
+        shared = cut_lineage(shared)
+        if shared.isEmpty():
+            alone, several = rows, None
+        else:
+            side, _ = broadcast_if_small(shared)
+            match = F.col("doc").eqNullSafe(F.col("_id"))
+            alone, several = rows.join(side, match, "left_anti"), rows.join(side, match, "left_semi")
+        chunks = named(semantic_chunks(alone, "doc", "_text", dim, keep=["metadata"]))
+        nodes = nodes_of(chunks.withColumn("embedding", hash_vector(tokens("text"), dim)))
+        if several is None:
+            return nodes
+        chunks = named(cut_lineage(semantic_chunks(several, "doc", "_text", dim)))
         vec = hash_embed(chunks, "node_id", "text", dim)
-        meta = docs.select(F.col(id_col).alias("doc"),
-                           F.map_from_arrays(F.array(*[F.lit(c) for c in meta_cols]),
-                                             F.array(*[F.col(c).cast("string") for c in meta_cols]))
-                            .alias("metadata"))
-        return (chunks.join(meta, "doc", "left").join(vec, "node_id", "left")
-                      .select("node_id", F.col("doc").cast("long").alias("doc_id"), "chunk_no", "text",
-                              "metadata", F.col("embedding").cast("array<float>").alias("embedding")))
+        return nodes.unionByName(nodes_of(chunks.join(several.select("doc", "metadata"), "doc", "left").join(vec, "node_id", "left")))
     nodes = build_or_load(spark, path.rstrip("/") + "/nodes", build, recreate)
     vt = VectorTable(path.rstrip("/") + "/vectors", dim)
     if recreate or not vt.exists(spark):
