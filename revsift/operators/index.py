@@ -131,4 +131,5 @@ class ChunkIndex:
         near = (found.join(asked, "q")
                 .select("q", F.col("doc").alias("id"), F.round(rt.cosine(F.col("_qv"), F.col("embedding")), rt.SCORE_DIGITS).alias("score"))
                 .filter("score is not null"))
+        near, _ = broadcast_if_small(cut_lineage(near))
         return rt.mmr_topk(near, self.vectors, k, lam, id_col="node_id").withColumnRenamed("id", "doc")
