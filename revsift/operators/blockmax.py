@@ -38,7 +38,7 @@ MAX_WANTED = 2_000_000  # (query, span) rows that may be sent to every task
 MARGIN = 1e-6       # ranks are by scores rounded to 6 places
 HELD = 1 << 16      # found rows that wait until the best are taken
 POSTINGS = 1 << 18  # postings of a span multiplied at a time
-GROUP_BYTES = 4 << 20   # a row group, which a scan decodes at once: some hundred spans
+GROUP = {"parquet.block.size": 4 << 20, "parquet.block.row.count.limit": 32}  # a row group, which a scan decodes at once
 
 
 def _span_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ class BlockMaxIndex:
             df = stored.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("sizes").alias("n")))).groupBy("term").agg(F.sum("n").alias("df"))
             return df.select("term", F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))).alias("idf"))
 
-        stored = build_or_load(spark, base + "/spans", spans, recreate, **{"parquet.block.size": GROUP_BYTES})
+        stored = build_or_load(spark, base + "/spans", spans, recreate, **GROUP)
         return cls(stored, build_or_load(spark, base + "/terms", idfs, recreate))
 
     def search(self, queries: DataFrame, k: int = rt.SPARSE_TOP_K, q_col: str = "q", text_col: str = "text",

@@ -107,8 +107,10 @@ class ChunkIndex:
         """Fused (q, rank, doc, score), written once. The keyword form has the
         same analysed words as the question, so words give one list; vectors
         give two."""
+        # one after the other: a worker holds the arrays of one search
+        sparse = cut_lineage(self.sparse(queries, sparse_k).select("q", "doc", "rank"))
         dense = self.dense(queries, dense_k).select("q", "doc", "rank")
-        return cut_lineage(rt.rrf([self.sparse(queries, sparse_k).select("q", "doc", "rank"), dense], k=fusion_k))
+        return cut_lineage(rt.rrf([sparse, dense], k=fusion_k))
 
     def search(self, queries: DataFrame, mode: str = "hybrid", min_score: float | None = None, k: int = rt.RERANK_TOP_K,
                scorer=rt.overlap_score, lam: float = rt.MMR_LAMBDA) -> DataFrame:
