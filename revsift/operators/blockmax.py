@@ -36,6 +36,7 @@ SPAN = 128          # documents of a block
 FIRST_SPANS = 4     # spans scored before the threshold is known
 MAX_WANTED = 2_000_000  # (query, span) rows that may be sent to every task
 MARGIN = 1e-6       # ranks are by scores rounded to 6 places
+ROWS = 16 * SPAN    # documents whose words are counted at a time
 HELD = 1 << 16      # found rows that wait until the best are taken
 POSTINGS = 1 << 18  # postings of a span multiplied at a time
 GROUP = {"parquet.block.size": 4 << 20, "parquet.block.row.count.limit": 32}  # a row group, which a scan decodes at once
@@ -83,10 +84,8 @@ def _postings(batches: Iterator[pa.RecordBatch], names: dict, average: float, k1
     """Rows (ord, id, words) to rows (term, span, ord, w) sorted by span, with
     the place in the span as ord; the ids of a span go to ``names``."""
     stops = pa.array(STOP_WORDS)
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         n, at = batch.num_rows, batch["ord"].to_numpy()
-        if not n:
-            continue
         span = at // SPAN
         starts = np.concatenate([[0], np.flatnonzero(span[1:] != span[:-1]) + 1, [n]])
         for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -121,6 +120,7 @@ def _span_rows(average: float, k1: float, b: float):
             lists += [pa.ListArray.from_arrays(pa.array(ends), x)
                       for x in (block["term"], block["top"], block["ords"].value_lengths(), block["ords"], block["weights"])]
             yield pa.RecordBatch.from_arrays([pa.array(spans), *lists], names=["span", "ids", "terms", "tops", "sizes", "ords", "weights"])
+        pa.default_memory_pool().release_unused()  # the worker stays
     return run
 
 
@@ -252,6 +252,7 @@ def _score_rows(asked: _Batch, k: int):
             best.settle()
             if len(best.qi):
                 yield pa.RecordBatch.from_arrays([asked.q.take(pa.array(best.qi)), best.ids, pa.array(best.sc)], names=["q", "id", "score"])
+        pa.default_memory_pool().release_unused()
     return run
 
 
